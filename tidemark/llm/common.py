@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
 
 def split_batch(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of ``batch`` whose ``column`` holds about ``most_bytes`` at most; one row at least."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_pylist()
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if i > start and held + n > most_bytes:

@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.quality_rules import quality_rules
+from tidemark.llm.token_blocks import token_store
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_store(_docs(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_docs(spark, sf_dir).select("doc_id", "text"))
 
