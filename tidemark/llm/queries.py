@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.lexicon import encode_texts
 from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import quality_rules
+from tidemark.llm.substrings import repeated_words
 from tidemark.llm.token_blocks import token_store
 
 
@@ -40,6 +41,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir).select("doc_id", "text"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
