@@ -16,6 +16,7 @@ checkpoints at once, with one table lookup an id.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import split_batch, stored, work_dir
-from tidemark.llm.tokens import crc_of, encoder, vocabulary_path
+from tidemark.llm.tokens import encoder, vocabulary_path
 
 MAGIC = b"TMH1"
 SPACING = 64
-BLOCK_TOKENS = 1 << 16
+BLOCK_TOKENS = 1 << 18
 MOST_BITS = 18
 
 
@@ -150,8 +151,8 @@ def _counts(staged: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch["ids"].to_pylist():
-                n = np.bincount(np.frombuffer(x, kind))
+            for part in split_batch(batch, "ids"):
+                n = np.bincount(np.frombuffer(b"".join(part["ids"].to_pylist()), kind))
                 if len(n) > len(total):
                     total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
                 total[: len(n)] += n
@@ -205,8 +206,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     ordered.mapInArrow(run, "part int, block int, first long, n_tokens long, data binary").write.mode("overwrite").parquet(f"{path}/blocks")
 
 
-def read_tokens(spark, path: str) -> DataFrame:
-    """Every stored document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids (uint32 packed)."""
+def read_tokens(spark, path: str, with_ids: bool = True) -> DataFrame:
+    """Every stored document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids (uint32 packed).
+
+    ``with_ids`` False leaves ``ids`` null, for those who need the figures alone.
+    """
     book = spark.read.schema("id int, bits int").parquet(f"{path}/codebook").toArrow()
     ids, bits = book["id"].to_numpy(), book["bits"].to_numpy()
     blocks = spark.read.schema("part int, block int, first long, n_tokens long, data binary").parquet(f"{path}/blocks")
@@ -222,17 +226,18 @@ def read_tokens(spark, path: str) -> DataFrame:
                 keys, found = read_block(codes, data)
                 sizes = np.array([len(x) for x in found], np.int64)
                 start = before[part] + first + np.cumsum(sizes) - sizes
-                packed = [x.astype("<u4").tobytes() for x in found]
+                packed = [x.tobytes() for x in found]
+                sums = pa.array(map(zlib.crc32, packed), pa.int64())
                 yield pa.record_batch(
-                    [pa.array(keys, pa.int64()), pa.array(start), pa.array(sizes), pa.array([crc_of(x) for x in found], pa.int64()), pa.array(packed, pa.binary())],
+                    [pa.array(keys, pa.int64()), pa.array(start), pa.array(sizes), sums, pa.array(packed if with_ids else [None] * len(keys), pa.binary())],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 
     return blocks.select("part", "first", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
-def token_store(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2) -> DataFrame:
+def token_store(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, with_ids: bool = True) -> DataFrame:
     """Write ``docs`` to a store in the shared folder and read it back."""
     path = work_dir(docs.sparkSession) + "/tokens"
     write_tokens(docs, path, vocabulary, end_id)
-    return read_tokens(docs.sparkSession, path)
+    return read_tokens(docs.sparkSession, path, with_ids)

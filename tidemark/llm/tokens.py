@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -17,6 +18,8 @@ import numpy as np
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters outside these ranges are in other classes for ``re`` than for the library: such texts go to the library's own splitter.
 OTHERS = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-՗؀-߿ऀ-ৠ -⁯぀-㆏一-鿿가-힣]")
+#: The same, with all white space but the blank and the line feed.
+ODD = re.compile("[^\n\x20-\x84\x86-\x9f\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-՗؀-߿ऀ-ৠ​-‧‪-‮‰-⁞぀-㆏一-鿿가-힣\x00-\x08\x0e-\x1b]")
 SPECIAL = "<|endoftext|>"
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -50,34 +53,71 @@ def library(path: str):
     return _open[path]
 
 
+class Known(dict):
+    """Values by key, made where missing.  ``age`` bounds it: what was not asked for in the last generation goes."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def age(self, most: int) -> None:
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
+
+
+def is_plain(text: str) -> bool:
+    """White space is single blanks and line feeds only, and ``PIECES`` splits the text as the library does."""
+    return not (ODD.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or SPECIAL in text)
+
+
 class Encoder:
-    """Ids of texts as packed little-endian integers of ``width`` bytes."""
+    """Ids of texts as packed little-endian integers of ``width`` bytes.
+
+    A plain text is cut before each blank and line feed, where a pre-token always ends; the cuts are looked up whole.
+    """
 
-    def __init__(self, path: str, most_words: int = 300_000):
-        self.tokenizer, self.most = library(path), most_words
+    def __init__(self, path: str, most: int = 250_000):
+        self.tokenizer, self.most = library(path), most
         self.width = 2 if self.tokenizer.get_vocab_size(True) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.known: dict[str, bytes] = {}
+        self.shown = {b: c for c, b in byte_of_char().items()}
+        self.pack = [struct.Struct("<" + ("H" if self.width == 2 else "I") * n).pack for n in range(16)]
+        self.pieces, self.cuts = Known(self._piece), Known(self._cut)
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        found = self.tokenizer.model.tokenize("".join(map(self.shown.__getitem__, piece.encode())))
+        return self.pack[len(found)](*[t.id for t in found]) if len(found) < 16 else self._pack([t.id for t in found])
+
+    def _cut(self, cut: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(cut if cut[:1] == "\n" else " " + cut)))
+
+    def _text(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if is_plain(text):
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return b"".join(map(self.pieces.__getitem__, PIECES.findall(first))) + b"".join(map(self.cuts.__getitem__, rest))
+        if SPECIAL in text or OTHERS.search(text):
+            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text)))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text, null as the empty text."""
-        split = [None if t and (OTHERS.search(t) or SPECIAL in t) else PIECES.findall(t or "") for t in texts]
-        new = list(set().union(*(x for x in split if x)) - self.known.keys())
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(set().union(*(x for x in split if x)))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = self._pack(found.ids)
-        get = self.known.__getitem__
-        return [
-            self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if x is None else b"".join(map(get, x))
-            for t, x in zip(texts, split, strict=True)
-        ]
+        out = list(map(self._text, texts))
+        self.pieces.age(self.most)
+        self.cuts.age(self.most)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
