@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import languages
+from tidemark.llm.embeddings import near_vectors
 from tidemark.llm.lexicon import encode_texts
+from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.substrings import repeated_words
@@ -18,11 +21,22 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
+    found = languages.identify(docs, languages.fit(docs))
+    held_out = F.expr("crc32(cast(doc_id as string)) % 5 = 0").alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op3_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = token_store(_docs(spark, sf_dir).select("doc_id", "text"))
+    found = token_store(_docs(spark, sf_dir).select("doc_id", "text"), with_ids=False)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_docs(spark, sf_dir).select("doc_id", "text"))
 
@@ -45,6 +59,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_words(_docs(spark, sf_dir).select("doc_id", "text"))
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
