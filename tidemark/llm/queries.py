@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import languages
 from tidemark.llm.embeddings import near_vectors
+from tidemark.llm.html_text import extract
 from tidemark.llm.lexicon import encode_texts
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.packing import pack
@@ -37,6 +38,10 @@ def op4_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 
+def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_docs(spark, sf_dir).select("doc_id", "text"))
 
