@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import languages
+from tidemark.llm import languages, ordinal
 from tidemark.llm.embeddings import near_vectors
 from tidemark.llm.html_text import extract
 from tidemark.llm.lexicon import encode_texts
@@ -22,6 +22,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    model = ordinal.fit(docs, ordinal.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")), top=2)
+    return ordinal.rate(docs, model)
+
+
 def op2_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
     found = languages.identify(docs, languages.fit(docs))
