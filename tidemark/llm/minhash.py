@@ -3,9 +3,10 @@
 A shingle is five lower-cased words; its weight is how often it occurs times the mean inverse document frequency of its
 words.  Document frequencies are counted over all documents in ``BUCKETS`` hashed buckets, so what the driver holds and
 the tasks receive has one size for every corpus.  Texts of equal words form a class first and only its smallest doc_id
-goes on.  Documents that agree in all samples of a band are candidates: each is compared with the smallest of its
-bucket, then, where a bucket still holds several components, with the members of the others.  Links are pairs whose
-weighted Jaccard similarity, computed from the texts, is ``LEAST`` or more; classes are their connected components.
+goes on.  Documents that agree in all samples of a band meet in a bucket.  Buckets are compared in tiles of about ``TILE`` documents a
+side, one tile pair a group, so one of any size is spread over tasks; no pair is listed, a tile returns for each
+document the smallest one its links lead to.  Links are pairs whose weighted Jaccard similarity, computed from the texts,
+is ``LEAST`` or more; classes are their connected components.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from tidemark.llm.substrings import HASHES, spans
 
 SHINGLE = 5
 LEAST = 0.8
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 11, 3
 BUCKETS = 1 << 18
 TABLE = 1 << 12
+TILE = 128
+COLUMNS = 8192
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -34,30 +37,38 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [words_of(t) for t in batch["text"].to_pylist()]
-        digests = [hashlib.md5(b" ".join(w)).hexdigest() if w else None for w in words]
-        return pa.record_batch([batch["doc_id"], pa.array([len(w) for w in words], pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "digest"])
+    """(doc_id, n_words, digest) of every row, and a last row of each task with its texts by word bucket in ``counts``."""
 
-    return map_batches(docs, run, "doc_id long, n_words long, digest string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, total, texts = ["doc_id", "n_words", "digest", "counts"], np.zeros(BUCKETS, np.int64), 0
+        for batch in batches:
+            n, digests = [], []
+            for text in batch["text"].to_pylist():
+                words = words_of(text)
+                n.append(len(words))
+                digests.append(hashlib.md5(b" ".join(words)).hexdigest() if words else None)
+                if words:
+                    texts += 1
+                    total[np.unique((HASHES.of(words) & np.uint64(BUCKETS - 1)).view(np.int64))] += 1
+            yield pa.record_batch([batch["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.nulls(len(n), pa.binary())], names)
+        used = np.flatnonzero(total)
+        counts = np.stack([np.append(used, -1), np.append(total[used], texts)]).tobytes()
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([counts], pa.binary())], names)
 
+    return docs.mapInArrow(run, "doc_id long, n_words long, digest string, counts binary")
 
-def word_weights(docs: DataFrame) -> np.ndarray:
-    """Smoothed inverse document frequency by word bucket, over all texts of ``docs``; BUCKETS floats."""
+
+def word_weights(profiles: DataFrame) -> np.ndarray:
+    """Smoothed inverse document frequency by word bucket, over all texts; BUCKETS floats whatever the corpus size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for part in split_batch(batch, "text"):
-                for t in part["text"].to_pylist():
-                    if w := words_of(t):
-                        n += 1
-                        seen = np.unique(HASHES.of(w) & np.uint64(BUCKETS - 1)).astype(np.int64)
-                        total[seen] += 1
-        used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(np.append(used, -1)), pa.array(np.append(total[used], n))], ["bucket", "n"])
+            for blob in batch["counts"].to_pylist():
+                bucket, n = np.frombuffer(blob, np.int64).reshape(2, -1)
+                yield pa.record_batch([pa.array(bucket), pa.array(n)], ["bucket", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    parts = profiles.where("counts is not null").select("counts").mapInArrow(run, "bucket long, n long")
+    rows = parts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = rows["bucket"].to_numpy(), rows["n"].to_numpy()
     count = np.zeros(BUCKETS, np.int64)
     count[bucket[bucket >= 0]] = n[bucket >= 0]
@@ -65,15 +76,21 @@ def word_weights(docs: DataFrame) -> np.ndarray:
     return (np.log((1 + total) / (1 + count)) + 1).astype(np.float32)
 
 
-def shingles(words: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes ascending, weights) of the distinct shingles."""
+def counted(words: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes ascending, weight of one, occurrences) of the distinct shingles."""
     h = HASHES.of(words)
     if len(h) < SHINGLE:
-        return np.empty(0, np.uint64), np.empty(0)
+        return np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int64)
     run = np.concatenate([[0.0], np.cumsum(idf[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], dtype=np.float64)])
     mean = np.round((run[SHINGLE:] - run[:-SHINGLE]) / SHINGLE, 6)
     found, at, times = np.unique(spans(h, SHINGLE), return_index=True, return_counts=True)
-    return found, mean[at] * times
+    return found, mean[at], times
+
+
+def shingles(words: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, TF-IDF weights) of the distinct shingles."""
+    found, weight, times = counted(words, idf)
+    return found, weight * times
 
 
 class Sampler:
@@ -84,22 +101,33 @@ class Sampler:
 
     def __init__(self, samples: int = BANDS * ROWS, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.r = rng.gamma(2, 1, (samples, TABLE)).astype(np.float32)
-        self.log_c = np.log(rng.gamma(2, 1, (samples, TABLE))).astype(np.float32)
-        self.b = rng.random((samples, TABLE)).astype(np.float32)
+        self.r = rng.gamma(2, 1, (samples, TABLE)).astype(np.float32).ravel()
+        self.one_by_r = 1 / self.r
+        self.log_c = np.log(rng.gamma(2, 1, (samples, TABLE))).astype(np.float32).ravel()
+        self.b = rng.random((samples, TABLE)).astype(np.float32).ravel()
+        self.first = (np.arange(samples) * TABLE)[:, None]
         self.mix = rng.integers(1, 1 << 63, samples, np.uint64) | np.uint64(1)
         self.salt = rng.integers(1, 1 << 63, samples, np.uint64) | np.uint64(1)
 
+    def _least(self, hashes: np.ndarray, log_w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(value, index, level) of the least draw of each sample."""
+        at = ((hashes[None, :] * self.mix[:, None]) >> np.uint64(52)).astype(np.int64) + self.first
+        b = self.b[at]
+        t = np.floor(log_w[None, :] * self.one_by_r[at] + b)
+        value = self.log_c[at] - self.r[at] * (t - b + 1)
+        i = value.argmin(1)
+        rows = np.arange(len(i))
+        return value[rows, i], i, t[rows, i]
+
     def keys(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One key a band: equal keys mean equal (shingle, level) samples in all its rows."""
         log_w = np.log(weights).astype(np.float32)
-        out = np.empty(len(self.mix), np.uint64)
-        for k in range(len(self.mix)):
-            at = ((hashes * self.mix[k]) >> np.uint64(52)).astype(np.int64)
-            r, b = self.r[k][at], self.b[k][at]
-            t = np.floor(log_w / r + b)
-            i = int((self.log_c[k][at] - r * (t - b + 1)).argmin())
-            out[k] = hashes[i] + np.uint64(int(t[i]) & 0xFFFF)
+        value, i, t = self._least(hashes[:2048], log_w[:2048])
+        for s in range(2048, len(hashes), 2048):
+            other, j, u = self._least(hashes[s : s + 2048], log_w[s : s + 2048])
+            less = other < value
+            value, i, t = np.where(less, other, value), np.where(less, j + s, i), np.where(less, u, t)
+        out = hashes[i] + (t.astype(np.int64) & 0xFFFF).astype(np.uint64)
         out *= self.salt
         out ^= out >> np.uint64(32)
         band = out.reshape(BANDS, ROWS)
@@ -110,24 +138,23 @@ class Sampler:
 
 
 def _samples(docs: DataFrame, idf) -> DataFrame:
-    """(doc_id, band, key, mass): a row a band of each document with a shingle; mass is the sum of its weights."""
+    """(doc_id, band, key): a row a band of each document with a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, weights = Sampler(), idf.value
         for batch in batches:
             for part in split_batch(batch, "text"):
-                ids, keys, mass = [], [], []
+                ids, keys = [], []
                 for key, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
                     h, w = shingles(words_of(text), weights)
                     if len(h):
                         ids.append(key)
                         keys.append(sampler.keys(h, w))
-                        mass.append(w.sum())
                 if ids:
-                    cols = [np.repeat(np.array(ids, np.int64), BANDS), np.tile(np.arange(BANDS, dtype=np.int32), len(ids)), np.concatenate(keys), np.repeat(np.array(mass), BANDS)]
-                    yield pa.record_batch([pa.array(c) for c in cols], ["doc_id", "band", "key", "mass"])
+                    cols = [np.repeat(np.array(ids, np.int64), BANDS), np.tile(np.arange(BANDS, dtype=np.int32), len(ids)), np.concatenate(keys)]
+                    yield pa.record_batch([pa.array(c) for c in cols], ["doc_id", "band", "key"])
 
-    return docs.mapInArrow(run, "doc_id long, band int, key long, mass double")
+    return docs.mapInArrow(run, "doc_id long, band int, key long")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -140,24 +167,56 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / (total - common))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf, path: str) -> DataFrame:
-    """Pairs (a, b) that are LEAST similar or more, by their texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, last, held = idf.value, None, None
-        for batch in batches:
-            for part in split_batch(batch, "text_a"):
-                keep = []
-                for b, ta, tb in zip(part["b"].to_pylist(), part["text_a"].to_pylist(), part["text_b"].to_pylist(), strict=True):
-                    if b != last:
-                        last, held = b, shingles(words_of(tb), weights)
-                    keep.append(similarity(shingles(words_of(ta), weights), held) >= LEAST)
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return stored(both.mapInArrow(run, "a long, b long"), path)
+def _common(a: list, b: list) -> np.ndarray:
+    """Common weight of each pair of shingle sets; a shingle that occurs n times counts as n elements of its weight."""
+
+    def elements(sets: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(len(sets)), [len(h) for h, _, _ in sets])
+        h, w, n = (np.concatenate([x[i] for x in sets]) for i in range(3))
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(owner, n), np.repeat(h, n) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.repeat(w, n)
+
+    (row_a, el_a, w_a), (row_b, el_b, _) = elements(a), elements(b)
+    shared = np.intersect1d(el_a, el_b)  # what one side alone has adds nothing
+    out = np.zeros((len(a), len(b)))
+    for s in range(0, len(shared), COLUMNS):
+        part = shared[s : s + COLUMNS]
+        both = []
+        for row, el, w, n in ((row_a, el_a, w_a, len(a)), (row_b, el_b, None, len(b))):
+            at = np.minimum(np.searchsorted(part, el), len(part) - 1)
+            hit = part[at] == el
+            m = np.zeros((n, len(part)), np.float32)
+            m[row[hit], at[hit]] = 1 if w is None else w[hit]
+            both.append(m)
+        out += both[0] @ both[1].T
+    return out
+
+
+def _tile_links(tile: pa.Table, idf: np.ndarray) -> pa.Table:
+    """(a, b): for each document of a tile pair with a link there, the smallest document its links there lead to."""
+    ids, side, own = tile["doc_id"].to_numpy(), tile["side"].to_numpy(), tile["i"][0] == tile["j"][0]
+    sets = [counted(words_of(t), idf) for t in tile["text"].to_pylist()]
+    total = np.array([w @ n for _, w, n in sets])
+    a, b = (np.arange(len(ids)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    x = y = np.empty(0, np.int64)
+    if len(a) and len(b):
+        common = _common([sets[i] for i in a], [sets[i] for i in b])
+        alike = common / (total[a][:, None] + total[b][None, :] - common)
+        for i, j in zip(*np.nonzero(np.abs(alike - LEAST) < 1e-4), strict=True):  # sums in single precision do not decide
+            alike[i, j] = similarity(*((h, w * n) for h, w, n in (sets[a[i]], sets[b[j]])))
+        x, y = np.nonzero(alike >= LEAST)
+        x, y = a[x], b[y]
+        x, y = x[ids[x] != ids[y]], y[ids[x] != ids[y]]
+    nodes = np.unique(np.concatenate([ids[x], ids[y]]))
+    x, y = np.searchsorted(nodes, ids[x]), np.searchsorted(nodes, ids[y])
+    root, low = None, np.arange(len(nodes))
+    while root is None or (low != root).any():
+        root = low
+        low = root.copy()
+        np.minimum.at(low, x, root[y])
+        np.minimum.at(low, y, root[x])
+        low = low[low]
+    return pa.table({"a": pa.array(nodes, pa.int64()), "b": pa.array(nodes[root], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -170,38 +229,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark, path = docs.sparkSession, work_dir(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    profiles = stored(_profiles(docs), f"{path}/profiles")
+    counted_rows = stored(_profiles(docs), f"{path}/profiles")
+    profiles = counted_rows.where("counts is null").drop("counts")
     least = profiles.where("doc_id is not null and digest is not null").groupBy("digest").agg(
         F.min("doc_id").alias("first"), F.max("n_words").alias("n_words")
     )
     firsts = stored(least, f"{path}/firsts")
-    idf = spark.sparkContext.broadcast(word_weights(docs))
+    idf = spark.sparkContext.broadcast(word_weights(counted_rows))
     long = firsts.where(F.col("n_words") >= SHINGLE).select(F.col("first").alias("doc_id"))
     samples = stored(_samples(docs.join(long, "doc_id", "left_semi"), idf), f"{path}/samples")
-    hubs = samples.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top")
-    hubs = stored(hubs.select("band", "key", "hub"), f"{path}/hubs")
-    members = stored(samples.join(hubs, ["band", "key"]), f"{path}/members")
-    heavy = F.least("m.mass", "n.mass") >= LEAST * F.greatest("m.mass", "n.mass") - 1e-6
-    stars = members.where("doc_id != hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    texts = stored(docs.join(stored(members.select("doc_id").distinct(), f"{path}/involved"), "doc_id").dropDuplicates(["doc_id"]), f"{path}/texts")
-    links = _verified(stored(stars, f"{path}/stars"), texts, idf, f"{path}/links")
-    part = stored(components(links, f"{path}/first"), f"{path}/part")
-    placed = members.join(part, F.col("doc_id") == F.col("node"), "left").select(
-        "band", "key", "hub", "doc_id", "mass", F.coalesce("component", "doc_id").alias("component")
+    # Buckets of the same documents count once.
+    buckets = samples.groupBy("band", "key").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("top"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("mark")
     )
-    placed = stored(placed, f"{path}/placed")
-    split = placed.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band", "key")
-    open_ = stored(placed.join(stored(split, f"{path}/split"), ["band", "key"]), f"{path}/open")
-    rest = (
-        open_.alias("m")
-        .join(open_.alias("n"), ["band", "key"])
-        .where("m.component != n.component and m.doc_id > n.doc_id and n.doc_id != n.hub")
-        .where(heavy)
-        .select(F.col("m.doc_id").alias("a"), F.col("n.doc_id").alias("b"))
-        .distinct()
+    buckets = buckets.where("low < top").groupBy("n", "low", "top", "mark").agg(F.min(F.struct("band", "key")).alias("at"))
+    buckets = stored(buckets.select("at.band", "at.key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), f"{path}/buckets")
+    members = stored(samples.join(buckets, ["band", "key"]), f"{path}/members")
+    involved = stored(members.select("doc_id").distinct(), f"{path}/involved")
+    texts = stored(docs.join(involved, "doc_id").dropDuplicates(["doc_id"]), f"{path}/texts")
+    tile = F.pmod(F.xxhash64("doc_id"), F.col("tiles").cast("long")).cast("int")
+    pairs = members.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pairs = pairs.select(
+        "band", "key", "doc_id", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side")
     )
-    more = _verified(stored(rest, f"{path}/rest"), texts, idf, f"{path}/more")
-    whole = stored(components(links.unionByName(more), f"{path}/second"), f"{path}/whole")
+
+    def links_of(tile: pa.Table) -> pa.Table:
+        return _tile_links(tile, idf.value)
+
+    links = pairs.join(texts, "doc_id").groupBy("band", "key", "i", "j").applyInArrow(links_of, "a long, b long")
+    links = stored(links.where("a != b").distinct(), f"{path}/links")
+    whole = stored(components(links, f"{path}/parts"), f"{path}/whole")
     classes = firsts.join(whole, F.col("first") == F.col("node"), "left").select("digest", F.coalesce("component", "first").alias("class_id"))
     return profiles.join(classes, "digest", "left").select(
         "doc_id",
