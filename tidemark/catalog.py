@@ -4,37 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import text as T
-from tidemark.operators import entities, groups, logs, measures, profiles, search, series
+from tidemark.operators import entities, groups, measures, profiles, series
 from tidemark.plans.plan import Cond, Measure, Plan, Step, StepColumn, run_plan
+from tidemark.registry import QUERIES, SQL, query
 from tidemark.sources import tables
 from tidemark.sources.tables import table
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 def _plan(spark: SparkSession, sf_dir: str, *steps: Step) -> DataFrame:
     return run_plan(Plan(steps), {s.table: table(spark, sf_dir, s.table) for s in steps})[steps[-1].name]
 
@@ -461,22 +439,22 @@ def related_latest(spark, sf_dir):
 
 
 @query(
-    """WITH v AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS v FROM part), w AS (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[^a-z]+'))) AS v FROM documents)
+    """WITH v AS (SELECT DISTINCT lower(split_part(text, ' ', 3)) AS v FROM benchmark), w AS (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[^a-z]+'))) AS v FROM documents)
        SELECT doc_id, v AS mention FROM w JOIN v USING (v) WHERE v <> ''"""
 )
 def text_mention(spark, sf_dir):
-    values = table(spark, sf_dir, "part").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("mention")).distinct().where("mention != ''")
+    values = table(spark, sf_dir, "benchmark").select(F.lower(F.split_part("text", F.lit(" "), F.lit(3))).alias("mention")).distinct().where("mention != ''")
     said = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("mention"))
     return said.join(values, "mention").select("doc_id", "mention")
 
 
 @query(
-    """WITH m AS (SELECT DISTINCT l_suppkey AS n, l_partkey AS m FROM lineitem WHERE l_suppkey <= 40), s AS (SELECT n, count(*) AS s FROM m GROUP BY 1),
+    """WITH m AS (SELECT DISTINCT l_linenumber AS n, l_partkey AS m FROM lineitem WHERE l_partkey <= 400), s AS (SELECT n, count(*) AS s FROM m GROUP BY 1),
        p AS (SELECT x.n AS a, y.n AS b, count(*) AS common FROM m x JOIN m y ON x.m = y.m AND x.n < y.n GROUP BY 1, 2)
        SELECT a, b, common, round(common / (sa.s + sb.s - common), 6) AS jaccard FROM p JOIN s sa ON sa.n = a JOIN s sb ON sb.n = b WHERE round(common / (sa.s + sb.s - common), 6) >= 0.3"""
 )
 def shared_members(spark, sf_dir):
-    return entities.set_likeness(table(spark, sf_dir, "lineitem").where("l_suppkey <= 40"), "l_suppkey", "l_partkey", 0.3)
+    return entities.set_likeness(table(spark, sf_dir, "lineitem").where("l_partkey <= 400"), "l_linenumber", "l_partkey", 0.3)
 
 
 @query("SELECT o_orderpriority, count(*) AS n_lines, count(DISTINCT o_orderkey) AS n_orders, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS cents FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
@@ -489,3 +467,14 @@ def join_aggregate(spark, sf_dir):
 def active_in_window(spark, sf_dir):
     df = table(spark, sf_dir, "orders").withColumn("ended", F.expr("o_orderdate + INTERVAL 30 DAYS"))
     return series.active_between(df, "o_orderdate", "ended", "1996-06-01", "1996-07-01").select("o_orderkey")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import tidemark.catalog_text  # noqa: F401  registers the rest
+
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return dict(SQL)
