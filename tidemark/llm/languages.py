@@ -217,7 +217,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, calibration_docs: int = CALIB
     About ``fit_docs`` labelled documents of each language are counted and ``calibration_docs`` others calibrate,
     chosen by a hash of doc_id; these bounds are what keeps the models of one size at any corpus size.
     """
-    usable = docs.where("text is not null and lang is not null and doc_id is not null").where("crc32(cast(doc_id as string)) % 5 != 0")
+    usable = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null and doc_id is not null").where("crc32(cast(doc_id as string)) % 5 != 0")
     per = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per:
         return Languages([], [], np.zeros(0), np.ones(0))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, map_batches, split_batch, stored, work_dir
+from tidemark.llm.common import components, free_name, split_batch, stored, work_dir
 from tidemark.llm.substrings import HASHES, spans
 
 SHINGLE = 5
@@ -269,5 +269,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are the kept document of their class, with all their columns."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    own = free_name(docs, "kept_id")
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[own]), "left_semi")

@@ -124,7 +124,7 @@ def fit(docs: DataFrame, ratings: DataFrame, top: int, fit_rows: int = FIT_ROWS)
     share = fit_rows / max(rated.count(), 1)
     picked = rated.where(F.pmod(F.xxhash64(F.lit(3), "__id"), F.lit(1 << 40)) < int(share * (1 << 40)))
     # ``picked`` holds about ``fit_rows`` short rows at most, whatever the corpus size: that bound makes it safe to broadcast.
-    chosen = docs.where("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("text", "rating")
+    chosen = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("text", "rating")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, split_batch, stored, work_dir
+from tidemark.llm.common import free_name, map_batches, split_batch, stored, work_dir
 
 WINDOW = 50
 GRAM = 16
@@ -249,7 +249,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     parsed = Parsed(docs)
     whole = parsed.copies().distinct().select("doc_id", F.lit("").alias("kept"))
     changes = cut(parsed).select("doc_id", "kept").dropDuplicates(["doc_id"]).unionByName(whole)
-    changes = changes.select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
-    return docs.join(changes, F.col("doc_id") == F.col("__id"), "left").select(
-        *(F.coalesce("__kept", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns)
+    own, kept = free_name(docs, "changed_id"), free_name(docs, "kept_text")
+    changes = changes.select(F.col("doc_id").alias(own), F.col("kept").alias(kept))
+    return docs.join(changes, docs["doc_id"] == changes[own], "left").select(
+        *(F.coalesce(changes[kept], docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns)
     )
