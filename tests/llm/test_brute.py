@@ -182,7 +182,7 @@ def test_encoders_on_odd_text(library):
     path = vocabulary_path()
     merges = lexicon.Merges(path)
     coder = lexicon.Coder(path, lexicon.build({w: merges.merge(w) for w in (b" the", b" then", b" other", b"a")}))
-    odd = ["x²y  z\n\n q", "<|endoftext|>a<|endoftext|>", "\x1c\x85   x", "日本語 テスト", "don't WE'LL 's", "a" * 500, " " * 90 + "b", "\r\n\tq ", "é́ ü", "🙂🙃 ok", "", "٣٤ ½"]
+    odd = ["x²y  z\n\n q", "<|endoftext|>a<|endoftext|>", "\x1c\x85   x", "日本語 テスト", "don't WE'LL 's", "a" * 500, " " * 90 + "b", "\r\n\tq ", "é́ ü", "🙂🙃 ok", "", "a \x00b \x00", "٣٤ ½"]
     e = Encoder(path)
     for text, a, b in zip(odd, coder.encode(odd), e.encode(odd), strict=True):
         ids = library.encode(text, add_special_tokens=False).ids

@@ -14,6 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """The one large table that a worker keeps between batches and tasks; asking for another drops the last.
+
+    Workers live on after a task, and the tables of several operators would add up.
+    """
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
 
 
 def work_dir(spark: SparkSession) -> str:

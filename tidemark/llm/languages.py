@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, split_batch
+from tidemark.llm.common import held, map_batches, split_batch
 
 ORDER = 5
 START, END = "\x02", "\x03"
@@ -194,12 +194,6 @@ def _gram_counts(sample: DataFrame) -> DataFrame:
     return sample.select("text", "lang").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def scorer(shared, held: dict = {}) -> Scorer:  # noqa: B006  the worker's one scorer
-    if held.get("id") != shared.id:
-        held.update(id=shared.id, scorer=Scorer(shared.value))
-    return held["scorer"]
-
-
 class Shared:
     """A broadcast with an identity that workers can compare."""
 
@@ -211,6 +205,11 @@ class Shared:
         return self.broadcast.value
 
 
+def scorer(shared: Shared) -> Scorer:
+    """The worker's scorer of these models."""
+    return held(f"scorer {shared.id}", lambda: Scorer(shared.value))
+
+
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> Languages:
     """Models of every language of ``docs`` (doc_id, text, lang) outside the held-out fifth.
 

@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import json
 import mmap
+import struct
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -22,11 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import split_batch
-from tidemark.llm.tokens import OTHERS, PIECES, SPECIAL, byte_of_char, library, vocabulary_path
+from tidemark.llm.common import held, split_batch, stored, work_dir
+from tidemark.llm.tokens import OTHERS, PIECES, SPECIAL, Known, byte_of_char, is_plain, library, vocabulary_path
 
 LEXICON = 1 << 15
 MOST_KNOWN = 250_000
+MARK = "\x00"
+BITS = 24
+MASK = (1 << BITS) - 1
+NONE = 1 << 62
 
 
 class Merges:
@@ -48,28 +53,31 @@ class Merges:
         for content, i in added.items():
             self.bytes_of[i] = content.encode()
         self.single = [self.id_of[bytes([b])] for b in range(256)]
-        # (left id, right id) -> (rank, merged id)
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        # left id and right id in one integer -> rank and merged id in one integer
+        self.rank: dict[int, int] = {}
         for n, m in enumerate(model["model"]["merges"]):
             left, right = m.split(" ") if isinstance(m, str) else m
             a, b = (bytes(raw[c] for c in x) for x in (left, right))
-            self.rank[self.id_of[a], self.id_of[b]] = (n, self.id_of[a + b])
+            self.rank[self.id_of[a] << BITS | self.id_of[b]] = n << BITS | self.id_of[a + b]
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a pre-token: again and again the adjacent pair of lowest rank, leftmost first."""
         ids = [self.single[b] for b in word]
         if len(ids) > 64:
             return self._merge_long(ids)
-        rank = self.rank
-        while len(ids) > 1:
-            low, at = None, 0
-            for i, pair in enumerate(zip(ids, ids[1:], strict=False)):
-                found = rank.get(pair)
-                if found is not None and (low is None or found < low):
-                    low, at = found, i
-            if low is None:
+        rank = self.rank.get
+        pairs = [rank(a << BITS | b, NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        while pairs:
+            low = min(pairs)
+            if low == NONE:
                 break
-            ids[at : at + 2] = [low[1]]
+            i = pairs.index(low)
+            ids[i : i + 2] = [low & MASK]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank(ids[i - 1] << BITS | ids[i], NONE)
+            if i < len(pairs):
+                pairs[i] = rank(ids[i] << BITS | ids[i + 1], NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -78,8 +86,8 @@ class Merges:
         after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
         def push(i: int) -> None:
-            if i >= 0 and after[i] < n and (found := self.rank.get((ids[i], ids[after[i]]))):
-                heapq.heappush(heap, (found[0], i, ids[i], ids[after[i]], found[1]))
+            if i >= 0 and after[i] < n and (found := self.rank.get(ids[i] << BITS | ids[after[i]], NONE)) != NONE:
+                heapq.heappush(heap, (found >> BITS, i, ids[i], ids[after[i]], found & MASK))
 
         for i in range(n - 1):
             push(i)
@@ -219,42 +227,69 @@ def pretokens(text: str | None, path: str) -> list[str]:
     return PIECES.findall(text)
 
 
+def cuts(text: str | None, path: str) -> list[str]:
+    """Parts of a text that pre-tokens do not cross: a plain text is cut before each blank and line feed, any other into pre-tokens.
+
+    The first part of a plain text and the parts of any other begin with a NUL; the rest have lost a blank or begin with a line feed.
+    """
+    if text and MARK not in text and is_plain(text):
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return [MARK + first, *rest]
+    return [MARK + w for w in pretokens(text, path)]
+
+
+def pretokens_of_cut(cut: str) -> list[str]:
+    """The pre-tokens of a cut: whole where it is marked and no plain text, else by the split rule."""
+    if cut[:1] == MARK:
+        return [cut[1:]] if not is_plain(cut[1:]) else PIECES.findall(cut[1:])
+    return PIECES.findall(cut if cut[:1] == "\n" else " " + cut)
+
+
 class Coder:
-    """A worker's encoder: known pre-tokens first, then the lexicon, then exact merging."""
+    """A worker's encoder: known cuts first, then known pre-tokens, then the lexicon, then exact merging."""
 
     def __init__(self, path: str, data: bytes):
         self.path, self.merges, self.lexicon = path, Merges(path), Lexicon(data)
-        self.known: dict[str, bytes] = {}
+        self.known, self.whole = Known(None), Known(None)
+
+    def _new(self, table: Known, keys: set[str]) -> list[str]:
+        """Keys that a table has not; those of its last generation come over."""
+        keys = keys - table.keys()
+        back = keys & table.old.keys()
+        table.update((k, table.old[k]) for k in back)
+        return list(keys - back)
 
     def learn(self, new: list[str]) -> None:
         raw = [w.encode() for w in new]
         for word, b, rank in zip(new, raw, self.lexicon.ranks(raw).tolist(), strict=True):
             if word == SPECIAL:
-                self.known[word] = np.array([self.merges.special], "<u4").tobytes()
+                self.known[word] = self.pack[1](self.merges.special)
+            elif rank >= 0:
+                self.known[word] = self.lexicon.packed(rank)
             else:
-                self.known[word] = self.lexicon.packed(rank) if rank >= 0 else np.array(self.merges.merge(b), "<u4").tobytes()
+                ids = self.merges.merge(b)
+                self.known[word] = self.pack[len(ids)](*ids) if len(ids) < len(self.pack) else np.array(ids, "<u4").tobytes()
+
+    pack = tuple(struct.Struct(f"<{n}I").pack for n in range(32))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [pretokens(t, self.path) for t in texts]
-        new = set().union(*split) - self.known.keys()
-        if len(self.known) + len(new) > MOST_KNOWN:
-            self.known.clear()
-            new = set().union(*split)
-        self.learn(list(new))
-        return [b"".join(map(self.known.__getitem__, x)) for x in split]
+        split = [cuts(t, self.path) for t in texts]
+        new = {c: pretokens_of_cut(c) for c in self._new(self.whole, set().union(*split))}
+        self.learn(self._new(self.known, set().union(*new.values())))
+        get = self.known.__getitem__
+        self.whole.update((c, b"".join(map(get, x))) for c, x in new.items())
+        out = [b"".join(map(self.whole.__getitem__, x)) for x in split]
+        self.known.age(MOST_KNOWN)
+        self.whole.age(MOST_KNOWN)
+        return out
 
     def decode(self, packed: bytes) -> str:
         return b"".join(map(self.merges.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_coders: dict[str, Coder] = {}
-
-
 def coder(path: str, data: bytes, digest: str) -> Coder:
-    if digest not in _coders:
-        _coders.clear()
-        _coders[digest] = Coder(path, data)
-    return _coders[digest]
+    """The worker's coder of this lexicon."""
+    return held(f"coder {digest}", lambda: Coder(path, data))
 
 
 def count_pretokens(docs: DataFrame, path: str) -> DataFrame:
@@ -264,15 +299,18 @@ def count_pretokens(docs: DataFrame, path: str) -> DataFrame:
         seen: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            words: Counter[str] = Counter()
+            for cut, n in seen.items():
+                for w in pretokens_of_cut(cut):
+                    words[w] += n
             seen.clear()
-            return out
+            return pa.record_batch([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for part in split_batch(batch, "text"):
                 for t in part["text"].to_pylist():
-                    seen.update(pretokens(t, path))
-                if len(seen) > MOST_KNOWN:
+                    seen.update(cuts(t, path))
+                if len(seen) > 2 * MOST_KNOWN:
                     yield flush()
         yield flush()
 
@@ -280,8 +318,20 @@ def count_pretokens(docs: DataFrame, path: str) -> DataFrame:
 
 
 def compile_lexicon(docs: DataFrame, path: str, size: int = LEXICON) -> bytes:
-    """The lexicon of the ``size`` most frequent pre-tokens of ``docs``; at most ``size`` rows reach the driver."""
-    top = count_pretokens(docs, path).where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(size).collect()
+    """The lexicon of the most frequent pre-tokens of ``docs``, ``size`` at most.
+
+    A histogram of counts, eight steps to a doubling, says from which count on there are at most ``size`` of them; only those rows
+    reach the driver.
+    """
+    words = stored(count_pretokens(docs, path).where((F.col("n") > 1) & (F.length("word") <= 64)), work_dir(docs.sparkSession))
+    step = F.floor(F.log2("n") * 8).alias("step")
+    total, least = 0, None
+    for r in sorted(words.groupBy(step).count().collect(), reverse=True):  # a few hundred rows at any corpus size
+        total += r["count"]
+        if total > size:
+            break
+        least = r["step"]
+    top = words.where(step >= least).collect() if least is not None else []
     merges = Merges(path)
     return build({w: merges.merge(w) for w in (r["word"].encode() for r in top) if w != SPECIAL.encode()})
 

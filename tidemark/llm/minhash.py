@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, free_name, split_batch, stored, work_dir
-from tidemark.llm.substrings import HASHES, spans
+from tidemark.llm.substrings import hashes as word_hashes
+from tidemark.llm.substrings import spans
 
 SHINGLE = 5
 LEAST = 0.8
@@ -49,7 +50,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
                 digests.append(hashlib.md5(b" ".join(words)).hexdigest() if words else None)
                 if words:
                     texts += 1
-                    total[np.unique((HASHES.of(words) & np.uint64(BUCKETS - 1)).view(np.int64))] += 1
+                    total[np.unique((word_hashes(words) & np.uint64(BUCKETS - 1)).view(np.int64))] += 1
             yield pa.record_batch([batch["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.nulls(len(n), pa.binary())], names)
         used = np.flatnonzero(total)
         counts = np.stack([np.append(used, -1), np.append(total[used], texts)]).tobytes()
@@ -78,7 +79,7 @@ def word_weights(profiles: DataFrame) -> np.ndarray:
 
 def counted(words: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes ascending, weight of one, occurrences) of the distinct shingles."""
-    h = HASHES.of(words)
+    h = word_hashes(words)
     if len(h) < SHINGLE:
         return np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int64)
     run = np.concatenate([[0.0], np.cumsum(idf[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], dtype=np.float64)])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import split_batch
+from tidemark.llm.common import held, split_batch
 
 DIM = 1 << 18
 TOKENS = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
@@ -42,15 +42,13 @@ class Places(dict):
         return place
 
 
-PLACES = Places()
-
-
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(places ascending, values) of a text; both empty where it has no token."""
     tokens = TOKENS.findall((text or "").lower())
-    if len(PLACES) > MOST_TOKENS:
-        PLACES.clear()
-    at, times = np.unique(np.fromiter(map(PLACES.__getitem__, tokens), np.int64, len(tokens)), return_counts=True)
+    places = held("places", Places)
+    if len(places) > MOST_TOKENS:
+        places.clear()
+    at, times = np.unique(np.fromiter(map(places.__getitem__, tokens), np.int64, len(tokens)), return_counts=True)
     again = sum(map(operator.eq, tokens[1:], tokens))
     if again:
         at, times = np.append(at, REPEAT), np.append(times, again)

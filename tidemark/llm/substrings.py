@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, map_batches, split_batch, stored, work_dir
+from tidemark.llm.common import free_name, held, map_batches, split_batch, stored, work_dir
 
 WINDOW = 50
 GRAM = 16
@@ -44,7 +44,9 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-HASHES = WordHashes()
+def hashes(words: list[bytes]) -> np.ndarray:
+    """Hash of each word, by the worker's table."""
+    return held("word hashes", WordHashes).of(words)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -104,7 +106,7 @@ def profile(docs: DataFrame) -> DataFrame:
             if len(words) < WINDOW:
                 anchors.append([])
                 continue
-            a = anchors_of(HASHES.of(words))
+            a = anchors_of(hashes(words))
             anchors.append(a[np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))])
         cols = [batch["doc_id"], pa.array(n, pa.int64()), pa.array(kept), pa.array(anchors, pa.list_(pa.int64()))]
         return pa.record_batch(cols, ["doc_id", "n_words", "digest", "anchors"])
@@ -118,18 +120,18 @@ def _windows(candidates: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in split_batch(batch, "text"):
-                keys, starts, hashes, checks = [], [], [], []
+                keys, starts, found, checks = [], [], [], []
                 for key, text, shared in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), part["shared"], strict=True):
-                    h = HASHES.of(words_of(text))
+                    h = hashes(words_of(text))
                     if len(h) < WINDOW:
                         continue
                     at = np.flatnonzero(np.isin(anchors_of(h), shared.values.to_numpy()))
                     keys.append(np.full(len(at), key, np.int64))
                     starts.append(at.astype(np.int32))
-                    hashes.append(spans(h, WINDOW)[at].view(np.int64))
+                    found.append(spans(h, WINDOW)[at].view(np.int64))
                     checks.append((spans(h, WINDOW, 0xC2B2AE3D27D4EB4F)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 if keys:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (keys, starts, hashes, checks)], ["doc_id", "start", "h", "check"])
+                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (keys, starts, found, checks)], ["doc_id", "start", "h", "check"])
 
     return candidates.mapInArrow(run, "doc_id long, start int, h long, check int")
 

@@ -14,6 +14,8 @@ import zlib
 
 import numpy as np
 
+from tidemark.llm.common import held
+
 #: The split rule of the vocabulary, written for ``re``.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters outside these ranges are in other classes for ``re`` than for the library: such texts go to the library's own splitter.
@@ -120,14 +122,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder of this vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(f"encoder {path}", lambda: Encoder(path))
 
 
 def crc_of(ids: np.ndarray) -> int:

@@ -91,3 +91,17 @@ def lift(df: DataFrame, fields: list[str], focus) -> DataFrame:
     return per.join(F.broadcast(totals), "field").where("n_focus > 0").select(  # totals: a row a field
         "field", "value", "n", "n_focus", share.alias("share"), (share / base).alias("lift"), (share * F.log(share / base)).alias("score")
     )
+
+
+def replaced(now: DataFrame, before: DataFrame, value: str, close: float = 0.25) -> DataFrame:
+    """(new, old): values only there now, each beside the value only there before whose count is nearest, within ``close``."""
+    a = now.groupBy(value).agg(F.count("*").alias("n"))
+    b = before.groupBy(value).agg(F.count("*").alias("n"))
+    came = a.join(b.select(value), value, "left_anti").select(F.col(value).alias("new"), F.col("n").alias("n_new"))
+    went = b.join(a.select(value), value, "left_anti").select(F.col(value).alias("old"), F.col("n").alias("n_old"))
+    # Counts in logarithmic steps: near counts are in the same or a neighbouring step, so this is an equi-join.
+    step = lambda c: F.floor(F.log(F.col(c)) / F.log(F.lit(1 + close))).cast("long")
+    near = came.withColumn("s", F.explode(F.array(*(step("n_new") + i for i in (-2, -1, 0, 1, 2))))).join(went.withColumn("s", step("n_old")), "s")
+    off = F.abs(F.col("n_new") - F.col("n_old"))
+    fit = near.where(off <= close * F.greatest("n_new", "n_old"))
+    return fit.groupBy("new", "n_new").agg(F.min_by("old", F.struct(off, "old")).alias("old"))

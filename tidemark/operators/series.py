@@ -140,3 +140,24 @@ def active_between(df: DataFrame, start_col: str, end_col: str, start: str, end:
     """Records with a start and an open or later end that overlap [start, end)."""
     a, b = (F.lit(x).cast("timestamp_ntz") for x in (start, end))
     return df.where((F.col(start_col) < b) & (F.col(end_col).isNull() | (F.col(end_col) >= a)))
+
+
+def recurrence(found: DataFrame, labels: list[str], time: str, days: int) -> DataFrame:
+    """Whether each series' runs of ``found`` are usual: the days they were on, usual from RECURS of at least 3 days."""
+    per = found.groupBy(*labels).agg(F.countDistinct(F.to_date(time)).alias("days_on"))
+    return per.withColumn("usual", F.lit(days >= 3) & (F.col("days_on") >= RECURS * days))
+
+
+def day_scan(df: DataFrame, labels: list[str], time: str, last_day: str, weeks: int = 4) -> DataFrame:
+    """Rows on ``last_day`` of each series against the same weekday of earlier weeks, a series without rows counting 0.
+
+    Noise guard: a difference counts from max(3, 2 * sqrt(usual)) on.
+    """
+    back = F.datediff(F.lit(last_day).cast("date"), F.to_date(time))
+    near = df.withColumn("k", (back / 7).cast("int")).where((back >= 0) & (back % 7 == 0) & (back <= 7 * weeks))
+    per = near.groupBy(*labels).agg(*(F.count_if(F.col("k") == i).alias(f"w{i}") for i in range(weeks + 1)))
+    earlier = F.array_sort(F.array(*(F.col(f"w{i}") for i in range(1, weeks + 1))))
+    usual = (F.element_at(earlier, (weeks + 1) // 2) + F.element_at(earlier, weeks // 2 + 1)) / 2.0
+    off = F.abs(F.col("w0") - usual) >= F.greatest(F.lit(3.0), 2 * F.sqrt(usual))
+    what = F.when((F.col("w0") == 0) & (usual > 0) & off, "gone").when(off & (F.col("w0") > usual), "above").when(off, "below").otherwise("usual")
+    return per.select(*labels, F.col("w0").alias("now"), usual.alias("usual"), what.alias("reading"))
