@@ -48,6 +48,11 @@ def terms(c: Column) -> Column:
     return F.transform(F.filter(words(c), lambda x: ~x.isin(*STOP)), stem)
 
 
+def loose_key(c: Column) -> Column:
+    """What stays of a value without case, separators and the leading zeros of its numbers."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", ""), r"(^|[a-z])0+([0-9])", "$1$2")
+
+
 def mask_secrets(c: Column) -> Column:
     for pattern, by in SECRETS:
         c = F.regexp_replace(c, pattern, by)
