@@ -143,3 +143,13 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     batch = windows.tumbling(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", ["event_type"])
     assert rows(spark.table("t").drop("total")) == rows(batch.drop("total"))
+
+
+def test_alike_misses_no_pair(spark):
+    names = "amber birch cedar delta ember fjord grove haven inlet jetty".split()
+    texts = [(i, " ".join(names[(i * k) % 10] for k in range(1, 3 + i % 6))) for i in range(40)] + [(90, ""), (91, None), (92, "amber")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    sets = {r.id: set(r.ts or ()) for r in df.select("id", T.terms(F.col("text")).alias("ts")).collect()}
+    for least in (0.3, 0.6, 1.0):
+        want = {(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
+        assert {(r.a, r.b) for r in search.alike(df, "id", F.col("text"), least).collect()} == want and want

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.catalog_text import _terms_sql
 from tidemark.functions import text as T
 from tidemark.operators import entities, groups, search, series
 from tidemark.registry import query
@@ -49,9 +50,12 @@ def benchmark_overlap(spark, sf_dir):
     return search.shared_runs(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), table(spark, sf_dir, "benchmark"), "item_id", F.col("text"), 8)
 
 
-@query()
+@query(
+    f"""WITH s AS (SELECT conv_id * 1000 + turn AS id, list_distinct({_terms_sql('text')}) AS ts FROM conversations WHERE role = 'user'),
+       p AS (SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.ts, y.ts)) / len(list_distinct(list_concat(x.ts, y.ts))), 6) AS jaccard FROM s x JOIN s y ON x.id < y.id AND len(list_intersect(x.ts, y.ts)) > 0) SELECT * FROM p WHERE jaccard >= 0.6"""
+)
 def alike_questions(spark, sf_dir):
-    """Conversation turns of the user that say nearly the same (term rules are checked by terms_vocabulary)."""
+    """Conversation turns of the user that say nearly the same."""
     asked = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return search.alike(asked, "id", F.col("text"), 0.6)
 
