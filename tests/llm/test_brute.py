@@ -126,6 +126,23 @@ def test_op4_links(spark):
     assert [(got[i].n_links, got[i].component_id) for i in ids.tolist()] == list(zip(near.sum(1).tolist(), root.tolist(), strict=True))
 
 
+@pytest.mark.parametrize("n", [10_000, 1_000_000, 30_000_000])
+def test_op4_pairs_at_the_threshold_meet(n):
+    from tidemark.llm import embeddings
+
+    rng = np.random.default_rng(4)
+    a, b = embeddings.units(rng.standard_normal((40_000, 64))), rng.standard_normal((40_000, 64))
+    b = embeddings.units(b - (a * b).sum(1, keepdims=True) * a)
+    bits, bands = embeddings.bands_of(n)
+    miss = (1 - (1 - np.arccos(embeddings.LEAST) / np.pi) ** bits) ** bands
+    assert miss <= 1e-6
+    near = embeddings.LEAST * a + np.sqrt(1 - embeddings.LEAST**2) * b
+    meets = embeddings.band_keys(a, bits, bands) == embeddings.band_keys(near, bits, bands)
+    assert meets.any(1).all()
+    share = (1 - np.arccos(embeddings.LEAST) / np.pi) ** bits
+    assert abs(meets.mean() / share - 1) < 0.1
+
+
 def test_op5_articles(spark):
     from html import unescape
 

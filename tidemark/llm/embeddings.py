@@ -3,8 +3,9 @@
 A unit vector is rotated at random and keeps the signs of its coordinates: the code, with one stored factor, the inner
 product of the vector with the corner its code names.  Dividing by the factor makes the code's inner product with any
 query an unbiased estimate of the cosine, with an error that shrinks with the dimension.  Several independent
-rotations give one long code.  Vectors that agree on a band of code bits meet in a bucket; there the
+rotations give one long code.  Vectors that agree on a band of sign bits meet in a bucket; there the
 estimate with its confidence bound rules out most pairs, and only the rest are computed exactly, in double precision.
+Each bit of a band is a coordinate of a rotation of its own, shared with no other bit or band.
 
 Buckets are compared in tiles of at most ``TILE`` vectors a side, one tile pair a group, so a bucket of any size is
 spread over tasks.  A pair that meets in several bands counts in the first.  Pairs are never listed: a tile
@@ -26,9 +27,9 @@ from tidemark.llm.common import components, map_batches, stored, work_dir
 LEAST = 0.9
 ROTATIONS = 4
 TILE = 512
-#: Unrelated vectors that a bucket holds at every corpus size, and the chance to meet for a pair at the threshold.
+#: Unrelated vectors that a bucket holds at every corpus size, and the chance that a pair at the threshold meets in no band.
 BUCKET = 256
-MEET = 0.999
+MISS = 1e-6
 SEED = 20
 #: Standard errors between an estimate and the cosine it may still reach.
 CONFIDENCE = 5.0
@@ -61,19 +62,33 @@ def encode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bands_of(n: int) -> tuple[int, int]:
-    """(bits of a band, bands) for ``n`` vectors: longer bands as the corpus grows, and as many as MEET asks for."""
+    """(bits of a band, bands) for ``n`` vectors: longer bands as the corpus grows, and as many as MISS asks for.
+
+    Bits and bands are independent, so a pair at the threshold misses all bands with (1 - agree) ** bands exactly.
+    """
     bits = int(np.clip(np.ceil(np.log2(max(n, 2) / BUCKET)), 4, 30))
     agree = (1 - np.arccos(LEAST) / np.pi) ** bits
-    return bits, int(np.ceil(np.log(1 - MEET) / np.log(1 - agree)))
+    return bits, int(np.ceil(np.log(MISS) / np.log1p(-agree)))
+
+
+@lru_cache(maxsize=4)
+def directions(dim: int, n: int) -> np.ndarray:
+    """(dim, n): one column of each of ``n`` independent random rotations, which is a uniform direction; lengths do not matter."""
+    return np.random.default_rng(SEED + 1).standard_normal((n, dim)).T
+
+
+def band_keys(unit: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """(rows, bands) keys: each band holds the signs of unit vectors in ``bits`` directions that no other band reads."""
+    ways, weight = directions(unit.shape[1], bits * bands), np.left_shift(1, np.arange(bits))
+    keys = np.empty((len(unit), bands), np.int32)
+    for k in range(bands):
+        keys[:, k] = (unit @ ways[:, k * bits : (k + 1) * bits] > 0) @ weight
+    return keys
 
 
-def band_keys(signs: np.ndarray, bits: int, bands: int) -> np.ndarray:
-    """(rows, bands) keys: each band reads ``bits`` positions of the code, drawn once."""
-    rng = np.random.default_rng(SEED + 1)
-    weight = np.left_shift(1, np.arange(bits))
-    width = signs.shape[1]
-    picks = [rng.choice(width, min(bits, width), replace=False) for _ in range(bands)]
-    return np.stack([(signs[:, p] * weight[: len(p)]).sum(1) for p in picks], 1).astype(np.int32)
+def code_kind(bits: int) -> np.dtype:
+    """The smallest integer that holds a key of ``bits`` bits."""
+    return np.min_scalar_type((1 << bits) - 1)
 
 
 def upper_bounds(unit: np.ndarray, signs: np.ndarray, factor: np.ndarray) -> np.ndarray:
@@ -102,12 +117,12 @@ def _coded(vectors: DataFrame, bits: int, bands: int, kind: str) -> DataFrame:
                 rows.setdefault(len(v), []).append((key, a))
         parts = []
         for dim, found in rows.items():
-            keys = band_keys(encode(units([a for _, a in found]))[0], bits, bands)
+            keys = band_keys(units([a for _, a in found]), bits, bands)
             cols = [
                 pa.array([k for k, _ in found], pa.int64()),
                 pa.array([dim] * len(found), pa.int32()),
                 pa.array([a.astype(kind).tobytes() for _, a in found], pa.binary()),
-                pa.array([k.tobytes() for k in keys], pa.binary()),
+                pa.array([k.tobytes() for k in keys.astype(code_kind(bits))], pa.binary()),
                 pa.array(list(keys), pa.list_(pa.int32())),
             ]
             parts.append(pa.record_batch(cols, ["vec_id", "dim", "vector", "code", "keys"]))
@@ -116,13 +131,13 @@ def _coded(vectors: DataFrame, bits: int, bands: int, kind: str) -> DataFrame:
     return map_batches(vectors, run, "vec_id long, dim int, vector binary, code binary, keys array<int>")
 
 
-def _tile_links(tile: pa.Table, kind: str) -> pa.Table:
+def _tile_links(tile: pa.Table, kind: str, bits: int) -> pa.Table:
     """Links inside one tile pair: (vec_id, n, least) of every vector with a link."""
     tile = tile.combine_chunks()
     band, side, own = tile["band"][0].as_py(), tile["side"].to_numpy(), tile["i"][0] == tile["j"][0]
     ids, dim = tile["vec_id"].to_numpy(), tile["dim"][0].as_py()
     unit = units(np.frombuffer(b"".join(tile["vector"].to_pylist()), kind).reshape(-1, dim))
-    keys = np.frombuffer(b"".join(tile["code"].to_pylist()), np.int32).reshape(len(ids), -1)
+    keys = np.frombuffer(b"".join(tile["code"].to_pylist()), code_kind(bits)).reshape(len(ids), -1)
     a, b = (slice(None), slice(None)) if own else (side == 0, side == 1)
     ids_a, ids_b, unit_a, unit_b, keys_a, keys_b = ids[a], ids[b], unit[a], unit[b], keys[a], keys[b]
     if len(ids_a) and len(ids_b):
@@ -175,7 +190,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     )
 
     def links_of(tile: pa.Table) -> pa.Table:
-        return _tile_links(tile, kind)
+        return _tile_links(tile, kind, bits)
 
     found = pairs.groupBy("dim", "band", "key", "i", "j").applyInArrow(links_of, "vec_id long, n long, least long")
     found = stored(found, f"{path}/found")
