@@ -186,6 +186,30 @@ def test_bands_tell_junk():
     assert (keep(prose), keep(noise), keep(repeated)) == (True, False, False)
 
 
+def _noise(rng, letters, n):
+    """``n`` random letters in words, 20 words at least."""
+    s, width = "".join(rng.choice(list(letters), n)), max(1, min(6, n // 22 - 1))
+    return " ".join(s[i : i + width] for i in range(0, n, width))[:n]
+
+
+@pytest.mark.parametrize("size", [50, 80, 110, 170, 230, 300, 370, 450, 600, 750, 900, 1200, 1800, 3000, 4000, 6000, 12000, 20000, 30000])
+def test_bands_tell_junk_of_every_length(size):
+    from string import ascii_letters, ascii_lowercase, digits
+
+    rng, keep = np.random.default_rng(6), lambda t: quality_rules._judge([t], quality_rules.Bands())[0][6]
+    texts = [_noise(rng, ascii_letters + digits, size) for _ in range(40)]
+    assert all(len(t.split()) >= 20 for t in texts) and sum(map(keep, texts)) <= 4
+    if size > 1536:
+        assert not any(keep(_noise(rng, ascii_lowercase, size)) for _ in range(20))
+
+
+def test_bands_keep_clean_text_of_every_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    judged = [(len(r.text.encode()), x) for r in docs if r.text for x in quality_rules._judge([r.text], quality_rules.Bands()) if not x[5]]
+    low = [n for n, x in judged if x[7] < next(b for b in quality_rules.Bands().whole if n < b[0])[1]]
+    assert len(judged) > 800 and not low
+
+
 def test_op7_round_trip(spark, docs, library):
     got = by_id(queries.op7_bpe_lexicon(spark, SF))
     for key, text in docs:

@@ -27,19 +27,30 @@ class Bands:
     """Accepted ratios raw bytes / compressed bytes.
 
     ``whole``: (bytes up to, least, most); short texts cannot shrink far, long ones shrink more, so the
-    limits follow the length.  ``chunk`` bounds each full chunk of ``chunk_bytes``; a text is rejected
+    limits follow the length.  Each lower limit lies between the measured ratios of random letters and digits and
+    those of clean text of that length; from 1,536 bytes on also above random lower-case letters.  ``chunk`` bounds each full chunk of ``chunk_bytes``; a text is rejected
     when more than ``chunk_share`` of its chunks lie outside.
     """
 
     whole: tuple[tuple[float, float, float], ...] = (
-        (256, 0.70, 3.0),
-        (1024, 1.10, 3.0),
-        (4096, 1.30, 3.6),
-        (16384, 1.40, 4.5),
-        (float("inf"), 1.45, 6.0),
+        (64, 0.89, 3.0),
+        (96, 0.98, 3.0),
+        (128, 1.02, 3.0),
+        (192, 1.09, 3.0),
+        (256, 1.16, 3.0),
+        (320, 1.18, 3.0),
+        (384, 1.22, 3.0),
+        (512, 1.30, 3.0),
+        (768, 1.40, 3.0),
+        (1024, 1.50, 3.0),
+        (1536, 1.58, 3.6),
+        (2048, 1.70, 3.6),
+        (4096, 1.75, 3.6),
+        (16384, 1.85, 4.5),
+        (float("inf"), 1.95, 6.0),
     )
     chunk_bytes: int = 2048
-    chunk: tuple[float, float] = (1.30, 3.6)
+    chunk: tuple[float, float] = (1.72, 3.6)
     chunk_share: float = 0.34
     level: int = 3
 
