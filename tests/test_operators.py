@@ -132,6 +132,26 @@ def test_empty_tables(spark):
     assert entities.connected(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
+def test_candidate_pairs_of_large_blocks(spark, monkeypatch):
+    """Blocks of over 200 names, compared in several tiles, and pairs of representatives that stand for all rows."""
+    from tidemark.operators import entities
+
+    monkeypatch.setattr(entities, "TILE", 100)
+    names = [(i, f"{('red', 'blue')[i % 2]} {('ring', 'bolt', 'plate')[i % 3]}" if i % 50 else ("-", None, "lone")[i // 50 % 3]) for i in range(600)]
+    blocks = [{*(n or "").split(), (n or "").replace(" ", "")} - {"", "-"} for _, n in names]
+    want = {(a, b) for a in range(600) for b in range(a + 1, 600) if blocks[a] & blocks[b]}
+    df = spark.createDataFrame(names, "id long, name string")
+    assert {tuple(r) for r in entities.candidate_pairs(df, "id", "name").collect()} == want
+    members = entities.name_members(df, "id", "name")
+    stands = {r.id: r.representative for r in members.collect()}
+    assert len(stands) == 600
+    few = df.join(members.where("id = representative").select("id"), "id", "left_semi")
+    pairs = {tuple(r) for r in entities.candidate_pairs(few, "id", "name").collect()}
+    assert len(pairs) < 30
+    same = lambda a, b: stands[a] == stands[b] or (min(stands[a], stands[b]), max(stands[a], stands[b])) in pairs
+    assert {(a, b) for a in range(600) for b in range(a + 1, 600) if same(a, b)} == want
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from tests.conftest import SF
     from tidemark.streaming import windows

@@ -219,6 +219,20 @@ def block_pairs(spark, sf_dir):
     return entities.candidate_pairs(table(spark, sf_dir, "part").where("p_partkey <= 300"), "p_partkey", "p_name")
 
 
+@query()
+def block_members(spark, sf_dir):
+    """All parts, with the part that stands for their name in block_pairs_all."""
+    return entities.name_members(table(spark, sf_dir, "part"), "p_partkey", "p_name")
+
+
+@query()
+def block_pairs_all(spark, sf_dir):
+    """Candidate pairs over all parts, by the representatives of block_members; the pairs of rows would grow with the square of the table."""
+    part = table(spark, sf_dir, "part")
+    standing = entities.name_members(part, "p_partkey", "p_name").where("id = representative").select(F.col("id").alias("p_partkey"))
+    return entities.candidate_pairs(part.join(standing, "p_partkey", "left_semi"), "p_partkey", "p_name")
+
+
 def _edges(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where("l_orderkey <= 400").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
 

@@ -9,6 +9,8 @@ from tidemark.functions.text import fold
 
 #: Words of a name that tell an environment or a version.
 ENVIRONMENTS = "prod|production|preprod|dev|test|uat|qa|staging|int"
+#: Names in a tile of a block.
+TILE = 1000
 
 
 def name_keys(c: Column) -> Column:
@@ -21,14 +23,33 @@ def name_keys(c: Column) -> Column:
     return F.struct(written.alias("written"), compact(written).alias("compact"), compact(no_env).alias("noenv"), compact(no_ver).alias("nover"), compact(core).alias("core"))
 
 
-def candidate_pairs(names: DataFrame, key: str, name: str, largest: int = 200) -> DataFrame:
-    """Pairs (a < b) that share a key or a word; blocks of over ``largest`` names say nothing and are left out."""
+def _block_keys(name: str) -> Column:
     k = name_keys(F.col(name))
     keys = F.array_distinct(F.concat(F.array(k["compact"], k["noenv"], k["nover"], k["core"]), F.split(k["written"], " ")))
-    blocks = names.select(F.col(key).alias("id"), F.explode(F.filter(keys, lambda x: F.length(x) > 1)).alias("block"))
-    small = blocks.groupBy("block").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= largest)).select("block")
-    kept = blocks.join(small, "block")
-    return kept.select("block", F.col("id").alias("a")).join(kept.select("block", F.col("id").alias("b")), "block").where("a < b").select("a", "b").distinct()
+    return F.filter(keys, lambda x: F.length(x) > 1)
+
+
+def name_members(names: DataFrame, key: str, name: str) -> DataFrame:
+    """(id, representative): rows with the same keys and words have one representative, the least id; a row without any is its own.
+
+    Rows of one representative are candidates of each other, and what holds for a pair of representatives holds for all their rows.
+    """
+    keyed = names.select(F.col(key).alias("id"), F.coalesce(F.array_sort(_block_keys(name)), F.array().cast("array<string>")).alias("keys"))
+    least = keyed.where(F.size("keys") > 0).groupBy("keys").agg(F.min("id").alias("representative"))
+    return keyed.join(least, "keys", "left").select("id", F.coalesce("representative", "id").alias("representative"))
+
+
+def candidate_pairs(names: DataFrame, key: str, name: str) -> DataFrame:
+    """Pairs (a < b) that share a key or a word; blocks of any size are compared, in pairs of tiles spread over tasks.
+
+    Their number grows with the square of a block: over tables that repeat names, pair the representatives of :func:`name_members`.
+    """
+    blocks = names.select(F.col(key).alias("id"), F.explode(_block_keys(name)).alias("block"))
+    tiles = blocks.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.ceil(F.col("n") / TILE).alias("tiles"))
+    kept = blocks.join(tiles, "block").select("block", "id", F.pmod(F.xxhash64("id"), "tiles").alias("tile"), F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1).alias("others"))
+    left = kept.select("block", F.col("id").alias("a"), F.col("tile").alias("i"), F.explode("others").alias("j"))
+    right = kept.select("block", F.col("id").alias("b"), F.explode("others").alias("i"), F.col("tile").alias("j"))
+    return left.join(right, ["block", "i", "j"]).where("a < b").select("a", "b").distinct()
 
 
 def verdict(a: Column, b: Column) -> Column:
