@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from tidemark.functions import text as T
 from tidemark.operators import entities, groups, guards, logs, search, series
 from tidemark.plans.plan import Cond, Measure, Plan, Step, StepColumn, condition, factor, run_plan, validate
@@ -132,6 +135,45 @@ def test_empty_tables(spark):
     assert entities.connected(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
+def _labels_around(edges, rounds):
+    """Label propagation by hand over (a, b, w)."""
+    label = {n: n for e in edges for n in e[:2]}
+    for _ in range(rounds):
+        around = {n: {} for n in label}
+        for a, b, w in edges:
+            for x, y in ((a, b), (b, a)):
+                around[x][label[y]] = around[x].get(label[y], 0) + w
+        label = {n: min(v, key=lambda k: (-v[k], k)) for n, v in around.items()}
+    return label
+
+
+def test_graph_queries_see_all_lines(spark):
+    from tidemark import catalog
+
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()
+    edges = Counter((f"o{r.l_orderkey}", f"p{r.l_partkey}") for r in lines)
+    up = {n: n for e in edges for n in e}
+
+    def root(n):
+        while up[n] != n:
+            up[n] = n = up[up[n]]
+        return n
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    assert {r.node: r.component for r in catalog.queries()["connected_components_all"](spark, SF).collect()} == {n: root(n) for n in up}
+    want = _labels_around([(*e, w) for e, w in edges.items()], 4)
+    assert {r.node: r.label for r in catalog.queries()["communities"](spark, SF).collect()} == want
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    chain = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(100)], "a string, b string")
+    with pytest.raises(RuntimeError):
+        entities.connected(chain, most_rounds=2)
+    assert {r.component for r in entities.connected(chain).collect()} == {"n000"}
+
+
 def test_candidate_pairs_of_large_blocks(spark, monkeypatch):
     """Blocks of over 200 names, compared in several tiles, and pairs of representatives that stand for all rows."""
     from tidemark.operators import entities

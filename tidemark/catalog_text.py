@@ -234,7 +234,8 @@ def block_pairs_all(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_orderkey <= 400").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
+    """Orders and parts of all lines."""
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
 
 
 @query(
@@ -242,6 +243,13 @@ def _edges(spark, sf_dir):
        r(n, m) AS (SELECT a, a FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.n) SELECT n AS node, min(m) AS component FROM r GROUP BY 1"""
 )
 def connected_components(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey <= 400")
+    return entities.connected(lines.select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")))
+
+
+@query()
+def connected_components_all(spark, sf_dir):
+    """Components of the graph of all lines."""
     return entities.connected(_edges(spark, sf_dir))
 
 
@@ -287,7 +295,7 @@ def parent_vote(spark, sf_dir):
 
 @query()
 def communities(spark, sf_dir):
-    """Label propagation over customers and priorities (an iterative method)."""
+    """Label propagation over the orders and parts of all lines (an iterative method)."""
     e = _edges(spark, sf_dir).groupBy("a", "b").agg(F.count("*").alias("w"))
     return entities.communities(e, 4)
 

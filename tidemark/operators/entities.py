@@ -70,7 +70,7 @@ def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component) of undirected ``edges`` (a, b): the smallest node reachable.
 
     Minimum labels spread along the edges and jump to the label of their label; rounds are checkpointed in the
-    folder of spark.checkpoint.dir where one is set.
+    folder of spark.checkpoint.dir where one is set.  Labels that have not settled after ``most_rounds`` are an error.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"))
@@ -84,6 +84,8 @@ def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         labels = following
         if not moved:
             break
+    else:
+        raise RuntimeError("components did not settle")
     return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
 
 
