@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +32,12 @@ def held(name: str, make: Callable[[], object]):
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share: under ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (local tests) a folder of this process is used; it goes at exit.
+    Where that setting is missing a local master (tests) uses a folder of this process, which goes at exit; any other raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if "base" not in _own:
             _own["base"] = tempfile.mkdtemp(prefix="tidemark-")
             atexit.register(shutil.rmtree, _own["base"], ignore_errors=True)
@@ -57,22 +60,38 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``fn`` on each Arrow batch of ``df``; ``None`` gives no rows."""
+    """``fn`` on slices of bounded bytes of each Arrow batch of ``df``; ``None`` gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            if out is not None and out.num_rows:
-                yield out
+            for part in slices(batch):
+                out = fn(part)
+                if out is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
 
-def split_batch(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of ``batch`` whose ``column`` holds about ``most_bytes`` at most; one row at least."""
-    sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_pylist()
+def texts_where(df: DataFrame, column: str, judge: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of ``df`` whose ``column`` the judge accepts; only that column goes to Python and only verdicts come back."""
+
+    @F.arrow_udf("boolean")
+    def accepted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in texts:
+            found = [pa.array(judge(part.column(0).to_pylist()), pa.bool_()) for part in slices(pa.record_batch([whole], ["text"]))]
+            yield pa.concat_arrays(found) if found else pa.array([], pa.bool_())
+
+    return df.where(accepted(F.col(f"`{column}`")))
+
+
+def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of ``batch`` with about ``most_bytes`` in its strings and binaries at most; one row at least."""
+    wide = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for c in wide:
+        sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
-    for i, n in enumerate(sizes):
+    for i, n in enumerate(sizes.tolist()):
         if i > start and held + n > most_bytes:
             yield batch.slice(start, i - start)
             start, held = i, 0

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held, map_batches, split_batch
+from tidemark.llm.common import held, map_batches, slices, texts_where
 
 ORDER = 5
 START, END = "\x02", "\x03"
@@ -264,7 +264,7 @@ def identify(docs: DataFrame, languages: Languages) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in split_batch(batch, "text"):
+            for part in slices(batch):
                 lang, score, entropy, rejected = judge(shared.value, scorer(shared).sums(part["text"].to_pylist()))
                 cols = [part["doc_id"], pa.array(lang, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)]
                 yield pa.record_batch(cols, ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
@@ -276,7 +276,7 @@ def keep_known(docs: DataFrame, languages: Languages) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns unchanged."""
     shared = Shared(docs.sparkSession.sparkContext.broadcast(languages))
 
-    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(~judge(shared.value, scorer(shared).sums(batch["text"].to_pylist()))[3]))
+    def known(texts: list[str | None]) -> list[bool]:
+        return (~judge(shared.value, scorer(shared).sums(texts))[3]).tolist()
 
-    return map_batches(docs, keep, docs.schema)
+    return texts_where(docs, "text", known)

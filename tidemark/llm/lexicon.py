@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held, split_batch, stored, work_dir
+from tidemark.llm.common import held, slices, stored, work_dir
 from tidemark.llm.tokens import OTHERS, PIECES, SPECIAL, Known, byte_of_char, is_plain, library, vocabulary_path
 
 LEXICON = 1 << 15
@@ -307,7 +307,7 @@ def count_pretokens(docs: DataFrame, path: str) -> DataFrame:
             return pa.record_batch([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for part in split_batch(batch, "text"):
+            for part in slices(batch):
                 for t in part["text"].to_pylist():
                     seen.update(cuts(t, path))
                 if len(seen) > 2 * MOST_KNOWN:
@@ -350,7 +350,7 @@ def encode_texts(docs: DataFrame, vocabulary: str | None = None, size: int = LEX
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, shared.value, digest)
         for batch in batches:
-            for part in split_batch(batch, "text"):
+            for part in slices(batch):
                 ids = c.encode(part["text"].to_pylist())
                 yield pa.record_batch(
                     [part["doc_id"], pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.string())], ["doc_id", "ids", "decoded"]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, free_name, split_batch, stored, work_dir
+from tidemark.llm.common import components, free_name, slices, stored, work_dir
 from tidemark.llm.substrings import hashes as word_hashes
 from tidemark.llm.substrings import spans
 
@@ -144,7 +144,7 @@ def _samples(docs: DataFrame, idf) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, weights = Sampler(), idf.value
         for batch in batches:
-            for part in split_batch(batch, "text"):
+            for part in slices(batch):
                 ids, keys = [], []
                 for key, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
                     h, w = shingles(words_of(text), weights)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held, split_batch
+from tidemark.llm.common import held, slices
 
 DIM = 1 << 18
 TOKENS = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
@@ -148,7 +148,7 @@ def rate(docs: DataFrame, model: Ordinal, least_tail: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in split_batch(batch, "text"):
+            for part in slices(batch):
                 tails = m.tails(np.array([m.score(t) for t in part["text"].to_pylist()]))
                 cols = [part["doc_id"], pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= least_tail)]
                 yield pa.record_batch(cols, ["doc_id", "expected_grade", "tail_probability", "kept"])

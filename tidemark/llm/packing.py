@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import split_batch, stored, work_dir
+from tidemark.llm.common import slices, stored, work_dir
 from tidemark.llm.tokens import crc_of, encoder, vocabulary_path
 
 CAPACITY = 1024
@@ -40,7 +40,7 @@ def _pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Dat
         e, part = encoder(vocabulary), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
-            for small in split_batch(batch, "text"):
+            for small in slices(batch):
                 rows = []
                 for key, x in zip(small["doc_id"].to_pylist(), e.encode(small["text"].to_pylist()), strict=True):
                     ids = np.append(np.frombuffer(x, e.kind).astype("<u4"), np.uint32(end_id))

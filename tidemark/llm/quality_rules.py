@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import map_batches
+from tidemark.llm.common import map_batches, texts_where
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -143,7 +143,4 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 def keep_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns unchanged."""
 
-    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array([x[6] for x in _judge(batch["text"].to_pylist(), bands)], pa.bool_()))
-
-    return map_batches(docs, keep, docs.schema)
+    return texts_where(docs, "text", lambda texts: [x[6] for x in _judge(texts, bands)])

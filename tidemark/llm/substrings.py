@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, held, map_batches, split_batch, stored, work_dir
+from tidemark.llm.common import free_name, held, map_batches, slices, stored, work_dir
 
 WINDOW = 50
 GRAM = 16
@@ -119,7 +119,7 @@ def _windows(candidates: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in split_batch(batch, "text"):
+            for part in slices(batch):
                 keys, starts, found, checks = [], [], [], []
                 for key, text, shared in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), part["shared"], strict=True):
                     h = hashes(words_of(text))
@@ -204,7 +204,7 @@ def cut(parsed: Parsed) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in split_batch(batch, "text"):
+            for part in slices(batch):
                 removed, kept = [], []
                 for text, found in zip(part["text"].to_pylist(), _hits(part), strict=True):
                     words = words_of(text)

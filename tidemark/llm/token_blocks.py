@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import split_batch, stored, work_dir
+from tidemark.llm.common import slices, stored, work_dir
 from tidemark.llm.tokens import encoder, vocabulary_path
 
 MAGIC = b"TMH1"
@@ -140,7 +140,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         e = encoder(vocabulary)
         end = np.array([end_id], e.kind).tobytes()
         for batch in batches:
-            for part in split_batch(batch, "text"):
+            for part in slices(batch):
                 ids = [x + end for x in e.encode(part["text"].to_pylist())]
                 yield pa.record_batch([part["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -151,7 +151,7 @@ def _counts(staged: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for part in split_batch(batch, "ids"):
+            for part in slices(batch):
                 n = np.bincount(np.frombuffer(b"".join(part["ids"].to_pylist()), kind))
                 if len(n) > len(total):
                     total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
