@@ -100,35 +100,48 @@ def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.Reco
         yield batch.slice(start)
 
 
+HUBS = 64
+
+
+def _with_least(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """``rows`` (a, ...) with the least of their ``a`` from ``least`` (a, m, n).
+
+    Nodes with over an ``edges`` / HUBS share of the rows, of which there are fewer than 2 * HUBS by that count, are broadcast, so that
+    no task gets all rows of a hub; the others are joined by shuffle.
+    """
+    hub = F.col("n") > max(edges // HUBS, 1)
+    hubs = F.broadcast(least.where(hub).drop("n"))
+    return rows.join(hubs, "a").unionByName(rows.join(hubs.select("a"), "a", "left_anti").join(least.where(~hub).drop("n"), "a"))
+
+
 def components(edges: DataFrame, path: str, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a long, b long): (node, component), component the smallest node.
 
     Alternates the large-star and small-star rewrites; each round is an aggregation and a join on node
-    ids, stored in the shared folder, until a round changes nothing.  Nodes without an edge do not
-    appear.  A hub's rows are spread by the join (AQE splits skewed sides) and minima are combined
-    before the shuffle.
+    ids, stored in the shared folder, until a round changes nothing.  Nodes without an edge and edges with a null do not
+    appear; repeated edges count once.  Hubs are joined by :func:`_with_least`, and minima are combined before the shuffle.
     """
-    spark = edges.sparkSession
+    marks = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     current = stored(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), f"{path}/e0"
     )
+    mark = current.agg(*marks).first()
     # a: node, b: a smaller node of its component.
     for i in range(1, most_rounds):
+        if not mark[0]:
+            break
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = (
-            both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        )  # larger neighbours to the minimum
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.where("b > a"), least, 2 * mark[0])
+        large = large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()  # larger neighbours to the minimum
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, low, mark[0]).select(
             F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")
         ).select("x.a", "x.b").where("a != b").distinct()
-        following = stored(small, f"{path}/e{i}")
-        mark = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
-        if following.agg(*mark).first() == current.agg(*mark).first():
-            current = following
+        current, before = stored(small, f"{path}/e{i}"), mark
+        mark = current.agg(*marks).first()
+        if mark == before:
             break
-        current = following
     else:
         raise RuntimeError("components did not settle")
     roots = current.select(F.col("b").alias("node")).distinct()
