@@ -1,12 +1,16 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-A shingle is five lower-cased words; its weight is how often it occurs times the mean inverse document frequency of its
-words.  Document frequencies are counted over all documents in ``BUCKETS`` hashed buckets, so what the driver holds and
-the tasks receive has one size for every corpus.  Texts of equal words form a class first and only its smallest doc_id
-goes on.  Documents that agree in all samples of a band meet in a bucket.  Buckets are compared in tiles of about ``TILE`` documents a
-side, one tile pair a group, so one of any size is spread over tasks; no pair is listed, a tile returns for each
-document the smallest one its links lead to.  Links are pairs whose weighted Jaccard similarity, computed from the texts,
-is ``LEAST`` or more; classes are their connected components.
+A shingle is five lower-cased words; its weight is how often it occurs times its inverse document frequency.  Frequencies are
+counted over all texts that differ, in a sketch of two rows of ``WIDTH`` places, so what the driver holds and the tasks receive
+has one size for every corpus.  Its resolution is a share of the documents, and so is the least frequency, ``RARE``: a rarer
+shingle weighs as if it were in that share.
+
+Texts of equal words form a class first and only its smallest doc_id goes on.  Documents that agree in all samples of a band
+meet in a bucket.  Every member is first compared with its bucket's smallest document, which costs one comparison a
+member; what these links join is settled.  Only members of a bucket that are still in different classes are then compared with
+each other, in tiles of about ``TILE`` documents a side, one tile pair a group.  So copies by the thousand cost one comparison
+each, and every pair that meets is either in one class already or compared.  Links are pairs whose weighted Jaccard
+similarity is ``LEAST`` or more; classes are their connected components.
 """
 
 from __future__ import annotations
@@ -19,17 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, free_name, slices, stored, work_dir
+from tidemark.llm.common import components, free_name, map_batches, slices, stored, work_dir
 from tidemark.llm.substrings import hashes as word_hashes
 from tidemark.llm.substrings import spans
 
 SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 11, 3
-BUCKETS = 1 << 18
-TABLE = 1 << 12
+WIDTH = 1 << 17
+RARE = 0.01
 TILE = 128
 COLUMNS = 8192
+AT_ONCE = 1 << 15
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -38,133 +43,171 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, digest) of every row, and a last row of each task with its texts by word bucket in ``counts``."""
+    """(doc_id, n_words, digest) of every row; no digest where there is no word."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        split = [words_of(t) for t in batch["text"].to_pylist()]
+        digests = [hashlib.md5(b" ".join(w)).hexdigest() if w else None for w in split]
+        return pa.record_batch([batch["doc_id"], pa.array(map(len, split), pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "digest"])
+
+    return map_batches(docs, run, "doc_id long, n_words long, digest string")
+
+
+def counted(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, occurrences) of the distinct shingles."""
+    h = word_hashes(words)
+    if len(h) < SHINGLE:
+        return np.empty(0, np.uint64), np.empty(0, np.int32)
+    found, times = np.unique(spans(h, SHINGLE), return_counts=True)
+    return found, times.astype(np.int32)
+
+
+def places(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the sketch counts each shingle: a place of each row."""
+    shift = np.uint64(64 - WIDTH.bit_length() + 1)
+    rows = (shingles * np.uint64(m) for m in (0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25))
+    return tuple((r >> shift).astype(np.int64) + i * WIDTH for i, r in enumerate(rows))
+
+
+def _shingles(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, n) of every row, packed, and a last row of each task with its part of the sketch in ``counts``."""
+    names = ["doc_id", "h", "n", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, total, texts = ["doc_id", "n_words", "digest", "counts"], np.zeros(BUCKETS, np.int64), 0
+        total, texts = np.zeros(2 * WIDTH, np.int64), 0
         for batch in batches:
-            n, digests = [], []
-            for text in batch["text"].to_pylist():
-                words = words_of(text)
-                n.append(len(words))
-                digests.append(hashlib.md5(b" ".join(words)).hexdigest() if words else None)
-                if words:
-                    texts += 1
-                    total[np.unique((word_hashes(words) & np.uint64(BUCKETS - 1)).view(np.int64))] += 1
-            yield pa.record_batch([batch["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.nulls(len(n), pa.binary())], names)
+            for part in slices(batch):
+                found = [counted(words_of(t)) for t in part["text"].to_pylist()]
+                texts += len(found)
+                for row in places(np.concatenate([h for h, _ in found])):
+                    total += np.bincount(row, minlength=2 * WIDTH)
+                cols = [pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1)]
+                yield pa.record_batch([part["doc_id"], *cols, pa.nulls(len(found), pa.binary())], names)
         used = np.flatnonzero(total)
-        counts = np.stack([np.append(used, -1), np.append(total[used], texts)]).tobytes()
-        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([counts], pa.binary())], names)
+        sketch = np.stack([np.append(used, -1), np.append(total[used], texts)]).astype("<i4").tobytes()
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([sketch], pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, digest string, counts binary")
+    return docs.mapInArrow(run, "doc_id long, h binary, n binary, counts binary")
 
 
-def word_weights(profiles: DataFrame) -> np.ndarray:
-    """Smoothed inverse document frequency by word bucket, over all texts; BUCKETS floats whatever the corpus size."""
+def sketch_weights(shingled: DataFrame) -> np.ndarray:
+    """Inverse document frequency by place of the sketch, over all texts; 2 * WIDTH floats whatever the corpus size.
+
+    What other shingles add to a place on average is taken off; a shingle's weight is the larger of its two places'.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch["counts"].to_pylist():
-                bucket, n = np.frombuffer(blob, np.int64).reshape(2, -1)
-                yield pa.record_batch([pa.array(bucket), pa.array(n)], ["bucket", "n"])
+                place, n = np.frombuffer(blob, "<i4").reshape(2, -1)
+                yield pa.record_batch([pa.array(place), pa.array(n.astype(np.int64))], ["place", "n"])
 
-    parts = profiles.where("counts is not null").select("counts").mapInArrow(run, "bucket long, n long")
-    rows = parts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    bucket, n = rows["bucket"].to_numpy(), rows["n"].to_numpy()
-    count = np.zeros(BUCKETS, np.int64)
-    count[bucket[bucket >= 0]] = n[bucket >= 0]
-    total = int(n[bucket < 0].sum())
-    return (np.log((1 + total) / (1 + count)) + 1).astype(np.float32)
+    parts = shingled.where("counts is not null").select("counts").mapInArrow(run, "place int, n long")
+    rows = parts.groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    place, n = rows["place"].to_numpy(), rows["n"].to_numpy()
+    count = np.zeros(2 * WIDTH)
+    count[place[place >= 0]] = n[place >= 0]
+    texts = max(int(n[place < 0].sum()), 1)
+    noise = (count[:WIDTH].sum() - count) / (WIDTH - 1)
+    share = np.clip((count - noise) / texts, RARE, 1)
+    return (1 - np.log(share)).astype(np.float32)
 
 
-def counted(words: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes ascending, weight of one, occurrences) of the distinct shingles."""
-    h = word_hashes(words)
-    if len(h) < SHINGLE:
-        return np.empty(0, np.uint64), np.empty(0), np.empty(0, np.int64)
-    run = np.concatenate([[0.0], np.cumsum(idf[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], dtype=np.float64)])
-    mean = np.round((run[SHINGLE:] - run[:-SHINGLE]) / SHINGLE, 6)
-    found, at, times = np.unique(spans(h, SHINGLE), return_index=True, return_counts=True)
-    return found, mean[at], times
+def weights_of(shingles: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Inverse document frequency of each shingle."""
+    first, second = places(shingles)
+    return np.maximum(idf[first], idf[second])
 
 
-def shingles(words: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes ascending, TF-IDF weights) of the distinct shingles."""
-    found, weight, times = counted(words, idf)
-    return found, weight * times
+def unpacked(h: bytes, n: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes ascending, weight of one, occurrences) of a document's shingles."""
+    found = np.frombuffer(h, np.uint64)
+    return found, weights_of(found, idf), np.frombuffer(n, np.int32)
 
 
 class Sampler:
     """Consistent weighted samples: r and c from Gamma(2, 1) and b uniform, by shingle hash and sample number.
 
-    They are read from tables of TABLE draws a sample; shingles that meet in an entry are told apart by their hash.
+    Each sample hashes a shingle anew, and separate bits of that hash draw r, b (12 bits each) and c (16 bits, since the least c decides most)
+    by quantile; so all shingles of a document have draws of their own, however long it is.
     """
 
     def __init__(self, samples: int = BANDS * ROWS, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.r = rng.gamma(2, 1, (samples, TABLE)).astype(np.float32).ravel()
-        self.one_by_r = 1 / self.r
-        self.log_c = np.log(rng.gamma(2, 1, (samples, TABLE))).astype(np.float32).ravel()
-        self.b = rng.random((samples, TABLE)).astype(np.float32).ravel()
-        self.first = (np.arange(samples) * TABLE)[:, None]
+        self.r = self.gamma(12)
+        self.log_c = np.log(self.gamma(16)).astype(np.float32)
+        self.b = ((np.arange(1 << 12) + 0.5) / (1 << 12)).astype(np.float32)
         self.mix = rng.integers(1, 1 << 63, samples, np.uint64) | np.uint64(1)
         self.salt = rng.integers(1, 1 << 63, samples, np.uint64) | np.uint64(1)
 
-    def _least(self, hashes: np.ndarray, log_w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(value, index, level) of the least draw of each sample."""
-        at = ((hashes[None, :] * self.mix[:, None]) >> np.uint64(52)).astype(np.int64) + self.first
-        b = self.b[at]
-        t = np.floor(log_w[None, :] * self.one_by_r[at] + b)
-        value = self.log_c[at] - self.r[at] * (t - b + 1)
-        i = value.argmin(1)
-        rows = np.arange(len(i))
-        return value[rows, i], i, t[rows, i]
-
-    def keys(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """One key a band: equal keys mean equal (shingle, level) samples in all its rows."""
+    @staticmethod
+    def gamma(bits: int) -> np.ndarray:
+        """Quantiles of Gamma(2, 1) at the middles of 2 ** bits equal shares: the roots of 1 - (1 + x) exp(-x) = u."""
+        u = (np.arange(1 << bits) + 0.5) / (1 << bits)
+        low, high = np.zeros_like(u), np.full_like(u, 60.0)
+        for _ in range(60):
+            x = (low + high) / 2
+            under = 1 - (1 + x) * np.exp(-x) < u
+            low, high = np.where(under, x, low), np.where(under, high, x)
+        return ((low + high) / 2).astype(np.float32)
+
+    def samples(self, shingles: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place of the least draw, its level) by document, one sample after the other; documents lie end to end, none empty."""
         log_w = np.log(weights).astype(np.float32)
-        value, i, t = self._least(hashes[:2048], log_w[:2048])
-        for s in range(2048, len(hashes), 2048):
-            other, j, u = self._least(hashes[s : s + 2048], log_w[s : s + 2048])
-            less = other < value
-            value, i, t = np.where(less, other, value), np.where(less, j + s, i), np.where(less, u, t)
-        out = hashes[i] + (t.astype(np.int64) & 0xFFFF).astype(np.uint64)
-        out *= self.salt
-        out ^= out >> np.uint64(32)
-        band = out.reshape(BANDS, ROWS)
-        key = band[:, 0]
-        for j in range(1, ROWS):
-            key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + band[:, j]
-        return key.view(np.int64)
-
-
-def _samples(docs: DataFrame, idf) -> DataFrame:
+        first = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        for mix in self.mix:
+            x = shingles * mix
+            x ^= x >> np.uint64(31)
+            x *= mix
+            c = self.log_c[(x >> np.uint64(48)).astype(np.int64)]
+            r = self.r[((x >> np.uint64(36)) & np.uint64(0xFFF)).astype(np.int64)]
+            b = self.b[((x >> np.uint64(24)) & np.uint64(0xFFF)).astype(np.int64)]
+            t = np.floor(log_w / r + b)
+            value = c - r * (t - b + 1)
+            at = np.flatnonzero(value == np.minimum.reduceat(value, first)[owner])[::-1]
+            least = np.empty(len(sizes), np.int64)
+            least[owner[at]] = at  # of equal values the first
+            yield least, t[least].astype(np.int64)
+
+    def keys(self, shingles: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(documents, BANDS): equal keys mean equal (shingle, level) samples in all rows of a band."""
+        out = np.empty((len(sizes), BANDS), np.uint64)
+        for k, (at, level) in enumerate(self.samples(shingles, weights, sizes)):
+            said = (shingles[at] + (level & 0xFFFF).astype(np.uint64)) * self.salt[k]
+            said ^= said >> np.uint64(32)
+            band = k // ROWS
+            out[:, band] = (out[:, band] ^ (out[:, band] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + said if k % ROWS else said
+        return out.view(np.int64)
+
+
+def _samples(shingled: DataFrame, idf) -> DataFrame:
     """(doc_id, band, key): a row a band of each document with a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, weights = Sampler(), idf.value
         for batch in batches:
-            for part in slices(batch):
-                ids, keys = [], []
-                for key, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    h, w = shingles(words_of(text), weights)
-                    if len(h):
-                        ids.append(key)
-                        keys.append(sampler.keys(h, w))
-                if ids:
-                    cols = [np.repeat(np.array(ids, np.int64), BANDS), np.tile(np.arange(BANDS, dtype=np.int32), len(ids)), np.concatenate(keys)]
-                    yield pa.record_batch([pa.array(c) for c in cols], ["doc_id", "band", "key"])
+            ids, packed, sizes = batch["doc_id"].to_numpy(), batch["h"].to_pylist(), np.array([len(h) // 8 for h in batch["h"].to_pylist()], np.int64)
+            start = 0
+            while start < len(ids):
+                end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), AT_ONCE, "right")))
+                h = np.frombuffer(b"".join(packed[start:end]), np.uint64)
+                n = np.frombuffer(b"".join(batch["n"].slice(start, end - start).to_pylist()), np.int32)
+                keys = sampler.keys(h, weights_of(h, weights) * n, sizes[start:end])
+                cols = [np.repeat(ids[start:end], BANDS), np.tile(np.arange(BANDS, dtype=np.int32), end - start), keys.ravel()]
+                yield pa.record_batch([pa.array(c) for c in cols], ["doc_id", "band", "key"])
+                start = end
 
-    return docs.mapInArrow(run, "doc_id long, band int, key long")
+    return shingled.where("counts is null").select("doc_id", "h", "n").mapInArrow(run, "doc_id long, band int, key long")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two shingle sets."""
-    total = a[1].sum() + b[1].sum()
+    """Weighted Jaccard similarity of two shingle sets (hashes, weights)."""
+    total = a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64)
     if not total:
         return 0.0
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = np.minimum(a[1][i], b[1][j]).sum()
+    common = np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64)
     return float(common / (total - common))
 
 
@@ -193,31 +236,40 @@ def _common(a: list, b: list) -> np.ndarray:
     return out
 
 
-def _tile_links(tile: pa.Table, idf: np.ndarray) -> pa.Table:
-    """(a, b): for each document of a tile pair with a link there, the smallest document its links there lead to."""
-    ids, side, own = tile["doc_id"].to_numpy(), tile["side"].to_numpy(), tile["i"][0] == tile["j"][0]
-    sets = [counted(words_of(t), idf) for t in tile["text"].to_pylist()]
-    total = np.array([w @ n for _, w, n in sets])
-    a, b = (np.arange(len(ids)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    x = y = np.empty(0, np.int64)
-    if len(a) and len(b):
-        common = _common([sets[i] for i in a], [sets[i] for i in b])
-        alike = common / (total[a][:, None] + total[b][None, :] - common)
-        for i, j in zip(*np.nonzero(np.abs(alike - LEAST) < 1e-4), strict=True):  # sums in single precision do not decide
-            alike[i, j] = similarity(*((h, w * n) for h, w, n in (sets[a[i]], sets[b[j]])))
-        x, y = np.nonzero(alike >= LEAST)
-        x, y = a[x], b[y]
-        x, y = x[ids[x] != ids[y]], y[ids[x] != ids[y]]
-    nodes = np.unique(np.concatenate([ids[x], ids[y]]))
-    x, y = np.searchsorted(nodes, ids[x]), np.searchsorted(nodes, ids[y])
-    root, low = None, np.arange(len(nodes))
-    while root is None or (low != root).any():
-        root = low
-        low = root.copy()
-        np.minimum.at(low, x, root[y])
-        np.minimum.at(low, y, root[x])
-        low = low[low]
-    return pa.table({"a": pa.array(nodes, pa.int64()), "b": pa.array(nodes[root], pa.int64())})
+def alike(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in ``a``, in ``b``) of the pairs of shingle sets with a similarity of LEAST or more."""
+    if not a or not b:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    total_a, total_b = (np.array([w.astype(np.float64) @ n for _, w, n in side]) for side in (a, b))
+    common = _common(a, b)
+    found = common / (total_a[:, None] + total_b[None, :] - common)
+    for i, j in zip(*np.nonzero(np.abs(found - LEAST) < 1e-4), strict=True):  # sums in single precision do not decide
+        found[i, j] = similarity(*((h, w * n) for h, w, n in (a[i], b[j])))
+    return np.nonzero(found >= LEAST)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    apart = a != b
+    return pa.table({"a": pa.array(a[apart], pa.int64()), "b": pa.array(b[apart], pa.int64())})
+
+
+def _star_links(group: pa.Table, idf: np.ndarray) -> pa.Table:
+    """(a, b): the members of a group that are like its head, and the head."""
+    ids, head = group["doc_id"].to_numpy(), group["rep"].to_numpy()
+    sets = [unpacked(h, n, idf) for h, n in zip(group["h"].to_pylist(), group["n"].to_pylist(), strict=True)]
+    heads, others = np.flatnonzero(ids == head), np.flatnonzero(ids != head)
+    x, y = alike([sets[i] for i in others], [sets[i] for i in heads])
+    return _pairs(ids[others[x]], ids[heads[y]])
+
+
+def _cross_links(tile: pa.Table, idf: np.ndarray) -> pa.Table:
+    """(a, b): the labels of the pairs of a tile that are alike and have different labels; each pair of labels once."""
+    side, label = tile["side"].to_numpy(), tile["label"].to_numpy()
+    sets = [unpacked(h, n, idf) for h, n in zip(tile["h"].to_pylist(), tile["n"].to_pylist(), strict=True)]
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    x, y = alike([sets[i] for i in a], [sets[i] for i in b])
+    found = np.unique(np.stack([label[a[x]], label[b[y]]], 1), axis=0)
+    return _pairs(found[:, 0], found[:, 1])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -225,42 +277,62 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     ``class_id`` is the smallest doc_id of the class; ``kept`` tells that document.  Texts of one to four words are
     alike only when their words are equal.  A null, empty or blank text is a class of its own, and so is a row
-    without doc_id, whose class_id is null.  Rows that repeat a doc_id count as one document.  An empty table
-    gives no rows.  Other columns are not read.
+    without doc_id, whose class_id is null.  Rows that repeat a doc_id count as one document, with all its texts.  Texts
+    of any length are read whole.  An empty table gives no rows.  Other columns are not read.
     """
     spark, path = docs.sparkSession, work_dir(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    counted_rows = stored(_profiles(docs), f"{path}/profiles")
-    profiles = counted_rows.where("counts is null").drop("counts")
+    profiles = stored(_profiles(docs), f"{path}/profiles")
     least = profiles.where("doc_id is not null and digest is not null").groupBy("digest").agg(
         F.min("doc_id").alias("first"), F.max("n_words").alias("n_words")
     )
     firsts = stored(least, f"{path}/firsts")
-    idf = spark.sparkContext.broadcast(word_weights(counted_rows))
     long = firsts.where(F.col("n_words") >= SHINGLE).select(F.col("first").alias("doc_id"))
-    samples = stored(_samples(docs.join(long, "doc_id", "left_semi"), idf), f"{path}/samples")
+    once = docs.join(long, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    shingled = stored(_shingles(once), f"{path}/shingles")
+    idf = spark.sparkContext.broadcast(sketch_weights(shingled))
+    samples = stored(_samples(shingled, idf), f"{path}/samples")
+    sets = shingled.where("counts is null").select("doc_id", "h", "n")
     # Buckets of the same documents count once.
     buckets = samples.groupBy("band", "key").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("top"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("mark")
     )
     buckets = buckets.where("low < top").groupBy("n", "low", "top", "mark").agg(F.min(F.struct("band", "key")).alias("at"))
-    buckets = stored(buckets.select("at.band", "at.key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), f"{path}/buckets")
-    members = stored(samples.join(buckets, ["band", "key"]), f"{path}/members")
-    involved = stored(members.select("doc_id").distinct(), f"{path}/involved")
-    texts = stored(docs.join(involved, "doc_id").dropDuplicates(["doc_id"]), f"{path}/texts")
-    tile = F.pmod(F.xxhash64("doc_id"), F.col("tiles").cast("long")).cast("int")
-    pairs = members.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    pairs = pairs.select(
-        "band", "key", "doc_id", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side")
-    )
-
-    def links_of(tile: pa.Table) -> pa.Table:
-        return _tile_links(tile, idf.value)
-
-    links = pairs.join(texts, "doc_id").groupBy("band", "key", "i", "j").applyInArrow(links_of, "a long, b long")
-    links = stored(links.where("a != b").distinct(), f"{path}/links")
-    whole = stored(components(links, f"{path}/parts"), f"{path}/whole")
-    classes = firsts.join(whole, F.col("first") == F.col("node"), "left").select("digest", F.coalesce("component", "first").alias("class_id"))
+    buckets = buckets.select("at.band", "at.key", "low", "n")
+    salts = buckets.groupBy("low").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("salts"))
+    buckets = stored(buckets.join(salts, "low"), f"{path}/buckets")
+    members = stored(samples.join(buckets.select("band", "key", "low", "salts"), ["band", "key"]), f"{path}/members")
+
+    def star_links(group: pa.Table) -> pa.Table:
+        return _star_links(group, idf.value)
+
+    salt = F.pmod(F.xxhash64("doc_id"), F.col("salts").cast("long")).cast("int").alias("salt")
+    to_low = members.where("doc_id != low").select(F.col("low").alias("rep"), salt, "doc_id").distinct()
+    heads = buckets.select(F.col("low").alias("rep"), "salts").distinct().select("rep", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    stars = to_low.unionByName(heads.withColumn("doc_id", F.col("rep"))).join(sets, "doc_id")
+    links = stored(stars.groupBy("rep", "salt").applyInArrow(star_links, "a long, b long").distinct(), f"{path}/links")
+    settled = stored(components(links, f"{path}/parts"), f"{path}/settled").select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+
+    labelled = members.select("band", "key", "doc_id").join(settled, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    labelled = stored(labelled, f"{path}/labelled")
+    each = labelled.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
+    mixed = each.groupBy("band", "key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    mixed = stored(mixed.select("band", "key", F.col("main.label").alias("main"), tiles(F.col("all") - F.col("main.n")).alias("rows"), tiles(F.col("all")).alias("cols")), f"{path}/mixed")
+    apart = labelled.join(mixed, ["band", "key"])
+    dealt = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = apart.where("label != main").select("band", "key", "doc_id", "label", F.lit(0).alias("side"), dealt("rows", 1).alias("i"), every("cols").alias("j"))
+    right = apart.select("band", "key", "doc_id", "label", F.lit(1).alias("side"), dealt("cols", 2).alias("j"), every("rows").alias("i"))
+
+    def cross_links(tile: pa.Table) -> pa.Table:
+        return _cross_links(tile, idf.value)
+
+    crossed = left.unionByName(right).join(sets, "doc_id").groupBy("band", "key", "i", "j").applyInArrow(cross_links, "a long, b long")
+    bridges = stored(crossed.distinct(), f"{path}/bridges")
+    joined = stored(components(bridges, f"{path}/wholes"), f"{path}/whole")
+    classes = firsts.join(settled, F.col("first") == F.col("doc_id"), "left").select("digest", F.coalesce("label", "first").alias("label"))
+    classes = classes.join(joined, F.col("label") == F.col("node"), "left").select("digest", F.coalesce("component", "label").alias("class_id"))
     return profiles.join(classes, "digest", "left").select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
@@ -269,7 +341,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the kept document of their class, with all their columns."""
+    """The rows of ``docs`` that are the kept document of their class, with all their columns.
+
+    Rows that repeat a kept doc_id all stay, as do rows without text or doc_id; an empty table gives no rows.
+    """
     own = free_name(docs, "kept_id")
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(own)).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept[own]), "left_semi")
