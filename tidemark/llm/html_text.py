@@ -1,9 +1,10 @@
 """HTML extraction: flat text blocks classified by a decision tree on word counts and link density.
 
-A page becomes a flat list of blocks: the text between block-level tags.  Each has its number of words, its link density
-(share of words inside links), the same two of the blocks before and after it, and three facts of its place: inside
-an element that holds the article, inside one that holds something else (menus, forms, adverts, comments ...), and
-whether it is a heading.  A small tree, grown from the labelled table below, says which blocks are main text.
+A page becomes a flat list of blocks: the text between block-level tags.  Elements only cut: what stands
+in menus, footers, forms, scripts, hidden elements and the like is no text of the article, and where a page marks its article,
+nothing outside it is.  Each block left has its number of words, its link density (share of words inside links), and the same two
+of the blocks before and after it.  A tree grown from a labelled table below says from these six figures which blocks are
+main text; there is one for pages that mark their article, where only lists of links are in doubt, and one for pages that do not.
 """
 
 from __future__ import annotations
@@ -19,65 +20,90 @@ from tidemark.llm.common import map_batches
 
 # Element names by their role.
 INLINE = set(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr td th "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mspace semantics".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = "script style noscript template textarea title svg iframe object select button canvas audio video math head".split()
+UNREAD = "script style noscript template textarea title svg iframe object select button canvas audio video head annotation".split()
 APART = set("nav footer aside form dialog menu fieldset".split())
 ARTICLE = set("article main".split())
-# Words of class, id and role attributes, cut at blanks, hyphens and underscores.
+# Words of class, id and role attributes.  These set apart wherever they stand, alone, as the last part of a name (post-comments),
+# or as its first part before one of PARTS (comments-area).
 APART_WORDS = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices "
-    "alert disclaimer paywall menu nav navbar navigation sidebar side rail aside widget widgets comment comments commentlist disqus reply replies "
-    "respond share sharing social related recommended newsletter subscribe subscription breadcrumb breadcrumbs pagination pager footer login signup "
-    "popup modal overlay toolbar search complementary contentinfo".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies gdpr paywall menu nav navbar navigation sidebar aside comment "
+    "comments commentlist disqus newsletter breadcrumb breadcrumbs pagination pager footer login signup popup modal contentinfo complementary".split()
 )
-TOP_WORDS = set("header masthead topbar site-header".split())
-ARTICLE_WORDS = set("article post entry story content main body".split())
+PARTS = set(
+    "area bar block body bottom box container content count form frame head header inner item items left link links list main menu nav notice overlay panel right section slot "
+    "text thread top unit widget widgets wrap wrapper banner consent message message-box modal popup".split()
+)
+# These set apart only as a whole name outside an article, where they may be a topic.
+OUTER_WORDS = set("alert banner consent disclaimer header masthead notice notices overlay promotion rail related recommended replies respond search share sharing side social subscribe subscription toolbar topbar widget".split())
+ARTICLE_WORDS = set("article post entry story content main body text".split())
 
 TAGS = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S
 )
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-CUT = re.compile(r"[\s_-]+")
-
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "apart", "heading")
-#: The labelled table: FEATURES, then 1 for main text.
-LABELLED = (
-    # paragraphs of articles, long and short
-    (85, 0.00, 9, 0.0, 64, 0.02, 1, 0, 0, 1), (64, 0.02, 85, 0.0, 70, 0.0, 1, 0, 0, 1), (1, 0.00, 70, 0.0, 55, 0.0, 1, 0, 0, 1),
-    (3, 0.00, 1, 0.0, 6, 0.0, 1, 0, 0, 1), (12, 0.00, 0, 0.0, 8, 0.0, 1, 0, 0, 1), (6, 0.00, 40, 0.0, 0, 0.0, 1, 0, 0, 1),
-    (22, 0.35, 60, 0.0, 48, 0.0, 1, 0, 0, 1), (4, 1.00, 40, 0.0, 52, 0.0, 1, 0, 0, 1), (2, 1.00, 2, 1.0, 2, 1.0, 1, 0, 0, 1),
-    (140, 0.01, 30, 0.0, 90, 0.0, 1, 0, 0, 1), (17, 0.60, 20, 0.0, 33, 0.1, 1, 0, 0, 1), (1, 0.00, 1, 0.0, 1, 0.0, 1, 0, 0, 1),
-    # headings of articles
-    (8, 0.00, 4, 1.0, 85, 0.0, 1, 0, 1, 1), (2, 0.00, 60, 0.0, 44, 0.0, 1, 0, 1, 1), (1, 0.00, 0, 0.0, 2, 0.0, 1, 0, 1, 1),
-    # apart, inside or outside an article: menus, adverts, forms, comments, footers
-    (1, 1.00, 0, 0.0, 1, 1.0, 0, 1, 0, 0), (1, 1.00, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (3, 1.00, 2, 1.0, 2, 1.0, 0, 1, 0, 0),
-    (9, 0.00, 1, 1.0, 8, 0.0, 0, 1, 0, 0), (30, 0.00, 1, 1.0, 9, 0.0, 0, 1, 0, 0), (55, 0.00, 12, 0.0, 60, 0.0, 0, 1, 0, 0),
-    (7, 0.00, 60, 0.0, 0, 0.0, 0, 1, 0, 0), (14, 0.30, 80, 0.0, 0, 0.0, 0, 1, 0, 0), (120, 0.00, 40, 0.0, 70, 0.0, 0, 1, 0, 0),
-    (25, 0.00, 80, 0.0, 70, 0.0, 1, 1, 0, 0), (60, 0.00, 20, 0.0, 35, 0.0, 1, 1, 0, 0), (3, 1.00, 70, 0.0, 3, 1.0, 1, 1, 0, 0),
-    (110, 0.02, 70, 0.0, 90, 0.0, 1, 1, 0, 0), (2, 0.00, 90, 0.0, 40, 0.0, 1, 1, 1, 0), (4, 0.00, 0, 0.0, 20, 0.0, 0, 1, 1, 0),
-    # pages whose elements say nothing: text is long and linked little, or stands between such blocks
-    (70, 0.02, 8, 0.0, 55, 0.0, 0, 0, 0, 1), (55, 0.00, 70, 0.0, 90, 0.1, 0, 0, 0, 1), (38, 0.05, 6, 0.0, 41, 0.0, 0, 0, 0, 1),
-    (24, 0.00, 45, 0.0, 30, 0.0, 0, 0, 0, 1), (11, 0.00, 60, 0.0, 48, 0.0, 0, 0, 0, 1), (18, 0.10, 33, 0.0, 25, 0.0, 0, 0, 0, 1),
-    (29, 0.00, 3, 1.0, 3, 1.0, 0, 0, 0, 1), (16, 0.00, 2, 1.0, 40, 0.0, 0, 0, 0, 1), (6, 0.00, 2, 1.0, 62, 0.0, 0, 0, 1, 1),
-    (4, 0.00, 50, 0.0, 45, 0.0, 0, 0, 1, 1), (9, 0.00, 0, 0.0, 35, 0.0, 0, 0, 1, 1), (5, 0.00, 44, 0.0, 38, 0.0, 0, 0, 0, 1),
-    (3, 0.00, 1, 1.0, 2, 1.0, 0, 0, 0, 0), (2, 1.00, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (1, 1.00, 0, 0.0, 40, 0.0, 0, 0, 0, 0),
-    (12, 0.90, 6, 1.0, 14, 0.8, 0, 0, 0, 0), (33, 0.80, 20, 0.9, 22, 0.9, 0, 0, 0, 0), (4, 0.50, 3, 1.0, 6, 0.5, 0, 0, 0, 0),
-    (3, 0.00, 3, 1.0, 4, 1.0, 0, 0, 1, 0), (6, 0.00, 2, 0.5, 3, 0.0, 0, 0, 0, 0), (7, 0.00, 3, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (2, 0.00, 0, 0.0, 3, 0.0, 0, 0, 0, 0), (8, 0.40, 60, 0.0, 4, 1.0, 0, 0, 0, 0), (5, 1.00, 70, 0.0, 60, 0.0, 0, 0, 0, 0),
+ATTRIBUTES = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NONE_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+CUT = re.compile(r"[-_]+")
+
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after")
+#: The labelled tables: FEATURES, then 1 for main text.  Blocks inside a marked article: 16 of ``pages``, the others of laid-out articles with links in
+#: and between paragraphs and with lists of related links; and blocks of laid-out pages that mark nothing, with menus, notices and footers in plain ``div``.
+MARKED = (
+    (198, 0.00, 57, 0.00, 30, 0.00, 1), (113, 0.00, 117, 0.00, 30, 0.00, 1), (72, 0.00, 61, 0.00, 120, 0.00, 1), (3, 0.00, 11, 0.00, 23, 0.00, 1), (59, 0.00, 50, 0.00, 15, 0.00, 1),
+    (1, 0.00, 1, 0.00, 37, 0.00, 1), (22, 0.00, 51, 0.00, 0, 0.00, 1), (30, 0.00, 33, 0.00, 45, 0.00, 1), (38, 0.00, 3, 0.00, 36, 0.00, 1), (11, 0.00, 38, 0.00, 3, 0.00, 1),
+    (15, 0.00, 27, 0.00, 46, 0.00, 1), (7, 0.00, 7, 0.00, 3, 0.00, 1), (1, 0.00, 45, 0.00, 30, 0.00, 1), (1, 0.00, 2, 0.00, 15, 0.00, 1), (1, 0.00, 41, 0.00, 91, 0.00, 1),
+    (1, 0.00, 46, 0.00, 76, 0.00, 1), (4, 0.75, 7, 0.00, 3, 0.67, 1), (43, 0.07, 33, 0.00, 5, 0.80, 1), (2, 1.00, 43, 0.07, 45, 0.00, 1), (1, 1.00, 25, 0.04, 41, 0.00, 1),
+    (34, 0.09, 34, 0.03, 35, 0.03, 1), (45, 0.11, 5, 0.00, 20, 0.25, 1), (50, 0.06, 2, 0.00, 91, 0.00, 1), (22, 0.09, 29, 0.00, 34, 0.03, 1), (3, 0.67, 4, 0.75, 98, 0.00, 1),
+    (5, 0.40, 9, 0.00, 27, 0.00, 1), (35, 0.03, 3, 0.00, 1, 1.00, 1), (31, 0.13, 7, 0.00, 3, 0.67, 1), (1, 1.00, 25, 0.16, 31, 0.00, 1), (37, 0.08, 2, 0.00, 25, 0.16, 1),
+    (28, 0.07, 6, 0.00, 3, 0.00, 1), (1, 1.00, 35, 0.03, 21, 0.00, 1), (25, 0.20, 94, 0.00, 17, 0.12, 1), (25, 0.08, 37, 0.03, 0, 0.00, 1), (5, 0.60, 4, 0.00, 4, 0.75, 1),
+    (37, 0.03, 25, 0.12, 25, 0.08, 1), (3, 0.33, 95, 0.00, 30, 0.00, 1), (21, 0.10, 2, 0.00, 13, 0.23, 1), (30, 0.13, 32, 0.00, 4, 0.00, 1), (34, 0.03, 22, 0.09, 11, 0.18, 1),
+    (3, 0.67, 71, 0.00, 1, 1.00, 1), (45, 0.00, 2, 1.00, 0, 0.00, 1), (88, 0.00, 43, 0.00, 1, 1.00, 1), (92, 0.00, 85, 0.00, 2, 1.00, 1), (88, 0.00, 102, 0.00, 2, 1.00, 1),
+    (24, 0.04, 12, 0.17, 1, 1.00, 1), (5, 0.00, 24, 0.04, 1, 1.00, 1), (34, 0.00, 6, 0.83, 0, 0.00, 1), (3, 0.00, 2, 1.00, 0, 0.00, 1), (24, 0.00, 1, 1.00, 28, 0.04, 1),
+    (41, 0.00, 1, 1.00, 0, 0.00, 1), (48, 0.02, 92, 0.00, 1, 1.00, 1), (50, 0.00, 2, 1.00, 119, 0.00, 1), (64, 0.00, 21, 0.00, 2, 1.00, 1), (27, 0.00, 5, 0.40, 2, 1.00, 1),
+    (33, 0.09, 11, 0.18, 2, 1.00, 1), (35, 0.00, 1, 1.00, 0, 0.00, 1), (35, 0.03, 3, 0.00, 1, 1.00, 1), (26, 0.00, 2, 1.00, 78, 0.00, 1), (17, 0.12, 13, 0.23, 3, 1.00, 1),
+    (1, 1.00, 25, 0.04, 41, 0.00, 1), (1, 1.00, 5, 0.00, 16, 0.00, 1), (1, 1.00, 35, 0.03, 21, 0.00, 1), (2, 1.00, 88, 0.00, 50, 0.00, 1), (3, 1.00, 5, 0.80, 4, 0.75, 0),
+    (2, 1.00, 1, 1.00, 3, 0.67, 0), (1, 1.00, 2, 1.00, 3, 1.00, 0), (1, 1.00, 3, 0.67, 34, 0.00, 0), (6, 0.83, 2, 1.00, 42, 0.00, 0), (2, 0.50, 1, 1.00, 5, 0.80, 0),
+    (1, 1.00, 48, 0.02, 2, 1.00, 0), (3, 1.00, 1, 1.00, 5, 0.80, 0), (3, 1.00, 1, 1.00, 4, 0.75, 0), (1, 1.00, 3, 0.67, 3, 1.00, 0), (3, 0.67, 1, 1.00, 3, 1.00, 0),
+    (1, 1.00, 1, 1.00, 1, 1.00, 0), (1, 1.00, 35, 0.03, 4, 0.75, 0), (3, 1.00, 4, 0.00, 1, 1.00, 0), (2, 1.00, 1, 1.00, 3, 0.00, 0), (3, 1.00, 1, 1.00, 1, 1.00, 0),
+)
+UNMARKED = (
+    (3, 1.00, 0, 0.00, 2, 1.00, 0), (3, 1.00, 0, 0.00, 1, 1.00, 0), (1, 1.00, 6, 0.83, 5, 0.20, 0), (8, 0.50, 7, 0.71, 0, 0.00, 0), (2, 1.00, 3, 0.00, 15, 0.07, 0),
+    (1, 1.00, 3, 1.00, 4, 0.75, 0), (4, 0.00, 2, 1.00, 3, 0.67, 0), (2, 1.00, 1, 1.00, 3, 0.00, 0), (4, 0.75, 6, 0.83, 7, 0.43, 0), (1, 1.00, 3, 1.00, 1, 1.00, 0),
+    (9, 0.33, 8, 0.75, 2, 1.00, 0), (2, 1.00, 1, 1.00, 1, 1.00, 0), (1, 1.00, 2, 1.00, 2, 1.00, 0), (5, 0.80, 5, 0.80, 10, 0.60, 0), (1, 1.00, 0, 0.00, 2, 1.00, 0),
+    (1, 1.00, 0, 0.00, 2, 1.00, 0), (2, 1.00, 4, 0.75, 7, 0.14, 0), (1, 1.00, 2, 1.00, 3, 1.00, 0), (5, 0.00, 1, 1.00, 3, 0.00, 0), (2, 0.00, 3, 1.00, 4, 0.75, 0),
+    (4, 0.00, 3, 1.00, 3, 0.67, 0), (8, 0.75, 3, 1.00, 4, 0.75, 0), (1, 1.00, 11, 0.18, 7, 0.00, 0), (7, 0.71, 1, 1.00, 7, 0.43, 0), (3, 1.00, 0, 0.00, 3, 1.00, 0),
+    (3, 1.00, 2, 1.00, 3, 1.00, 0), (3, 1.00, 3, 1.00, 2, 0.00, 0), (5, 0.80, 6, 0.83, 3, 0.67, 0), (1, 1.00, 3, 1.00, 12, 0.08, 0), (3, 1.00, 3, 1.00, 4, 0.50, 0),
+    (7, 0.71, 45, 0.00, 5, 0.60, 0), (2, 1.00, 1, 1.00, 3, 1.00, 0), (3, 1.00, 1, 1.00, 5, 0.60, 0), (3, 0.00, 3, 1.00, 8, 0.75, 0), (2, 1.00, 1, 1.00, 3, 1.00, 0),
+    (7, 0.71, 4, 0.75, 2, 0.50, 0), (6, 0.67, 1, 1.00, 7, 0.00, 0), (1, 1.00, 9, 0.22, 9, 0.00, 0), (5, 0.80, 4, 0.75, 4, 0.00, 0), (5, 0.80, 8, 0.75, 5, 0.80, 0),
+    (2, 1.00, 0, 0.00, 3, 1.00, 0), (15, 0.07, 2, 1.00, 2, 1.00, 0), (5, 0.80, 4, 0.75, 5, 0.80, 0), (4, 0.75, 4, 0.00, 4, 0.75, 0), (5, 0.60, 54, 0.00, 6, 0.67, 0),
+    (1, 1.00, 1, 1.00, 1, 1.00, 0), (2, 1.00, 1, 1.00, 1, 1.00, 0), (7, 0.43, 3, 0.67, 0, 0.00, 0), (2, 1.00, 1, 1.00, 2, 1.00, 0), (4, 0.00, 3, 0.67, 2, 0.50, 0),
+    (2, 1.00, 1, 1.00, 6, 0.67, 0), (3, 0.00, 2, 1.00, 4, 0.75, 0), (1, 1.00, 3, 1.00, 3, 1.00, 0), (1, 1.00, 2, 1.00, 5, 0.00, 0), (2, 1.00, 2, 1.00, 1, 1.00, 0),
+    (3, 1.00, 1, 1.00, 1, 1.00, 0), (15, 0.00, 3, 0.00, 8, 0.75, 1), (4, 0.00, 93, 0.00, 60, 0.00, 1), (20, 0.00, 36, 0.03, 54, 0.00, 1), (64, 0.00, 113, 0.00, 45, 0.00, 1),
+    (107, 0.00, 112, 0.00, 40, 0.03, 1), (1, 0.00, 32, 0.09, 45, 0.00, 1), (45, 0.00, 78, 0.00, 4, 0.75, 1), (16, 0.00, 2, 0.00, 4, 0.75, 1), (42, 0.07, 56, 0.00, 101, 0.00, 1),
+    (6, 0.00, 3, 0.67, 2, 0.00, 1), (16, 0.00, 2, 0.00, 4, 0.75, 1), (46, 0.02, 5, 0.00, 4, 0.00, 1), (35, 0.03, 4, 0.00, 2, 1.00, 1), (49, 0.00, 116, 0.00, 102, 0.00, 1),
+    (52, 0.02, 2, 0.00, 96, 0.00, 1), (56, 0.00, 42, 0.00, 1, 1.00, 1), (21, 0.00, 1, 0.00, 4, 0.75, 1), (9, 0.00, 2, 1.00, 95, 0.00, 1), (33, 0.09, 6, 0.00, 28, 0.07, 1),
+    (65, 0.00, 18, 0.00, 54, 0.00, 1), (5, 0.00, 66, 0.00, 71, 0.00, 1), (22, 0.00, 26, 0.04, 39, 0.05, 1), (18, 0.00, 37, 0.00, 1, 1.00, 1), (2, 1.00, 35, 0.03, 26, 0.04, 1),
+    (24, 0.00, 102, 0.00, 7, 0.71, 1), (71, 0.00, 116, 0.00, 50, 0.00, 1), (2, 0.00, 3, 0.00, 41, 0.07, 1), (30, 0.10, 52, 0.00, 5, 0.00, 1), (6, 0.00, 2, 1.00, 4, 0.00, 1),
+    (2, 0.00, 5, 0.00, 51, 0.02, 1), (4, 0.00, 5, 0.00, 35, 0.00, 1), (78, 0.00, 1, 1.00, 45, 0.00, 1), (19, 0.00, 87, 0.00, 6, 0.67, 1), (101, 0.00, 47, 0.02, 3, 0.00, 1),
+    (5, 0.00, 45, 0.00, 108, 0.00, 1), (4, 0.00, 46, 0.02, 3, 0.00, 1), (5, 0.00, 107, 0.00, 100, 0.00, 1), (107, 0.00, 8, 0.00, 5, 0.00, 1), (42, 0.00, 43, 0.00, 56, 0.00, 1),
+    (113, 0.00, 108, 0.00, 85, 0.00, 1), (2, 0.00, 9, 0.00, 45, 0.00, 1), (15, 0.00, 1, 0.00, 6, 0.67, 1), (3, 0.00, 2, 1.00, 4, 0.00, 1), (104, 0.00, 23, 0.00, 63, 0.00, 1),
+    (19, 0.00, 1, 0.00, 1, 1.00, 1), (4, 0.00, 46, 0.07, 102, 0.00, 1), (52, 0.00, 28, 0.07, 30, 0.10, 1), (39, 0.00, 1, 0.00, 33, 0.00, 1), (40, 0.00, 25, 0.12, 4, 0.75, 1),
+    (56, 0.00, 32, 0.09, 40, 0.00, 1), (45, 0.00, 64, 0.00, 5, 0.00, 1), (111, 0.00, 51, 0.02, 108, 0.00, 1), (45, 0.00, 71, 0.00, 5, 0.00, 1), (48, 0.00, 76, 0.00, 1, 0.00, 1),
+    (72, 0.00, 5, 0.00, 1, 0.00, 1), (96, 0.00, 52, 0.02, 3, 0.00, 1),
 )
 
 
-def grow(rows: tuple, depth: int = 6):
-    """A classification tree by Gini impurity: (feature, limit, tree up to the limit, tree above it), or a label."""
+def grow(rows: tuple, used: tuple[int, ...] = tuple(range(len(FEATURES))), depth: int = 6):
+    """A classification tree by Gini impurity on the features ``used``: (feature, limit, tree up to the limit, tree above it), or a label."""
     ones = sum(r[-1] for r in rows)
     label = int(2 * ones >= len(rows))
     if depth == 0 or ones in (0, len(rows)):
         return label
     best = None
-    for f in range(len(FEATURES)):
+    for f in used:
         values = sorted({r[f] for r in rows})
         for low, high in zip(values, values[1:], strict=False):
             limit = (low + high) / 2
@@ -89,43 +115,65 @@ def grow(rows: tuple, depth: int = 6):
     if best is None:
         return label
     _, f, limit = best
-    left, right = (grow(tuple(r for r in rows if (r[f] <= limit) == side), depth - 1) for side in (True, False))
-    return (f, limit, left, right)
+    left, right = (grow(tuple(r for r in rows if (r[f] <= limit) == side), used, depth - 1) for side in (True, False))
+    return left if left == right else (f, limit, left, right)
 
 
-@lru_cache(maxsize=1)
-def tree():
-    return grow(LABELLED)
+@lru_cache(maxsize=2)
+def tree(marked: bool):
+    return grow(MARKED if marked else UNMARKED)
 
 
-def is_main(features: tuple) -> int:
-    node = tree()
+def is_main(features: tuple, node) -> int:
+    """The label of the leaf of a tree that ``features`` lead to."""
     while type(node) is tuple:
         node = node[2] if features[node[0]] <= node[1] else node[3]
     return node
 
 
-def _place(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """(holds the article, is apart) of an element that opens."""
-    apart, article = name in APART or (name == "header" and not in_article), name in ARTICLE
-    if attributes and "=" in attributes:
-        for m in NAMES.finditer(attributes):
-            words = set(CUT.split((m[1] or m[2] or m[3] or "").lower()))
-            apart = apart or bool(words & APART_WORDS) or (not in_article and bool(words & TOP_WORDS))
-            article = article or (name not in ("body", "html") and bool(words & ARTICLE_WORDS))
-    if attributes and HIDDEN.search(attributes):
-        apart = True
-    return article and not apart, apart and name not in ("body", "html", "article", "main")
+@lru_cache(maxsize=64)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])", re.I)
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes by lower-cased name; of repeated ones the first counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTES.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _hidden(found: dict[str, str]) -> bool:
+    return "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(NONE_SHOWN.search(found.get("style", "")))
 
 
-def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
-    """(text, words, link density, in article, apart, heading) of each block of a page, in page order."""
+def _place(name: str, attributes: str, in_article: bool) -> tuple[int, bool]:
+    """(2 for an element that holds the article, 1 for one whose names say so, else 0; is apart) of an element that opens."""
+    apart, article = name in APART or (name == "header" and not in_article), 2 * (name in ARTICLE)
+    if attributes and not attributes.isspace():
+        found = _attributes(attributes)
+        for token in " ".join(found.get(k, "") for k in ("class", "id", "role")).lower().split():
+            parts = [x for x in CUT.split(token) if x]
+            if not parts:
+                continue
+            named = parts[-1] in APART_WORDS or (parts[0] in APART_WORDS and set(parts[1:]) <= PARTS)
+            apart = apart or named or (not in_article and (token in OUTER_WORDS or (parts[0] in ("site", "page", "top") and parts[-1] in OUTER_WORDS)))
+            article = max(article, int(name not in ("body", "html") and set(parts) <= ARTICLE_WORDS))
+        article = 2 if found.get("role", "").lower() in ARTICLE else article
+        apart = apart or _hidden(found)
+    apart = apart and name not in ("body", "html", "article", "main")
+    return 0 if apart else article, apart
+
+
+def blocks(html: str) -> list[tuple[str, int, float, int, bool]]:
+    """(text, words, link density, article level, apart) of each block of a page, in page order."""
     out: list[tuple] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # name, in article, apart
-    in_link = heading = False
-    at, end, lower = 0, len(html), None
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, article level, apart
+    in_link = False
+    at, end = 0, len(html)
 
     def close() -> None:
         nonlocal text, linked
@@ -133,7 +181,7 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             words = "".join(text).split()
             if words:
                 inside = len("".join(linked).split()) if linked else 0
-                out.append((" ".join(words), len(words), min(1.0, inside / len(words)), stack[-1][1], stack[-1][2], heading))
+                out.append((" ".join(words), len(words), min(1.0, inside / len(words)), stack[-1][1], stack[-1][2]))
             text, linked = [], []
 
     def add(piece: str) -> None:
@@ -156,10 +204,11 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if name in UNREAD and not closing and not attributes.endswith("/"):
-            lower = lower or html.lower()
-            stop = lower.find(f"</{name}", at)
-            if stop >= 0 or name in ("script", "style", "textarea"):
-                at = end if stop < 0 else stop
+            stop = _end_of(name).search(html, at)
+            if stop or name in ("script", "style", "textarea"):
+                at = stop.start() if stop else end
+            continue
+        if name in UNREAD and name != "head":
             continue
         if name in INLINE:
             if name in ("br", "td", "th"):
@@ -168,17 +217,13 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
                     linked.append(" ")
             elif name == "a":
                 in_link = not closing
-            elif not closing and name == "span" and attributes and HIDDEN.search(attributes):
-                stop = html.find("</span", at)
-                at = at if stop < 0 else stop
+            elif not closing and name == "span" and attributes and _hidden(_attributes(attributes)):
+                stop = _end_of("span").search(html, at)
+                at = stop.start() if stop else at
             continue
         close()
         in_link = in_link and name not in ("p", "div", "li", "article", "section")
-        if name[0] == "h" and len(name) == 2 and name[1] in "123456":
-            heading = not closing
-            continue
-        heading = False
-        if name in VOID:
+        if name in VOID or (name[0] == "h" and len(name) == 2 and name[1] in "123456" and (closing or not attributes)):
             continue
         if closing:
             for i in range(len(stack) - 1, 0, -1):
@@ -191,31 +236,42 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool, bool]]:
             if stack[-1][0] == "p" or (stack[-1][0] == name and name in ("li", "dd", "dt", "tr", "option")):
                 stack.pop()
             if not attributes.endswith("/"):
-                article, apart = _place(name, attributes, stack[-1][1])
-                stack.append((name, stack[-1][1] or article, stack[-1][2] or apart))
+                article, apart = _place(name, attributes, stack[-1][1] > 0)
+                stack.append((name, max(stack[-1][1], article), stack[-1][2] or apart))
     close()
     return out
 
 
+def features_of(found: list[tuple]) -> list[tuple]:
+    """FEATURES of each block."""
+    sides = [(0, 0.0), *(b[1:3] for b in found), (0, 0.0)]
+    return [(*sides[i + 1], *sides[i], *sides[i + 2]) for i in range(len(found))]
+
+
+def eligible(found: list[tuple]) -> list[tuple]:
+    """The blocks that elements do not cut."""
+    found = [b for b in found if not b[4]]
+    level = max((b[3] for b in found), default=0)
+    if level == 1 and 2 * sum(b[1] for b in found if b[3]) < sum(b[1] for b in found):
+        level = 0  # only names say so, and most text is elsewhere
+    return [b for b in found if b[3] >= level]
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: its main blocks joined by two line feeds; empty for null."""
     if not html:
         return ""
-    found = blocks(html)
-    kept = []
-    for i, (text, words, links, article, apart, heading) in enumerate(found):
-        before = found[i - 1][1:3] if i else (0, 0.0)
-        after = found[i + 1][1:3] if i + 1 < len(found) else (0, 0.0)
-        if is_main((words, links, *before, *after, article, apart, heading)):
-            kept.append(text)
-    return "\n\n".join(kept)
+    found = eligible(blocks(html))
+    node = tree(any(b[3] == 2 for b in found))
+    return "\n\n".join(b[0] for b, f in zip(found, features_of(found), strict=True) if is_main(f, node))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html).
 
     A null or empty page has empty text.  Unclosed tags, comments and quotes end where HTML ends them or at the end of the
-    page.  Repeated rows are extracted each; null ids and urls are carried.  Other columns are not read.
+    page; a page of any length is read whole.  Repeated rows are extracted each; null ids and urls are carried; an empty table gives no
+    rows.  Other columns are not read.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
