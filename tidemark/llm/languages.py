@@ -3,8 +3,9 @@
 A model scores words, each between start and end marks, by 5-grams of its letters in lower case; contexts do not cross
 words, so each distinct word is scored once in a batch.  For each order the hashes of the n-grams seen lie sorted in
 one array, beside their interpolated log probabilities and, for contexts, the back-off weights.  A text goes to
-the language of least cross-entropy a character; a text whose cross-entropy lies further above what its language
-shows than calibration allows is rejected.
+the language of least cross-entropy a character.  Labelled documents that were not counted calibrate the rejection: their deviations
+from their language's mean give a variance within a text, which falls with its length, and one between texts, which does not; a
+text is rejected beyond every calibration document and beyond the limit that the tail of their deviations sets for ``FALSE_REJECTS``.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ START, END = "\x02", "\x03"
 LETTERS = re.compile(r"[^\W\d_]+")
 UNIFORM = 1 / 4096
 UNKNOWN = "und"
-#: A rejected text has at least so many times the mean cross-entropy of its language.
-MARGIN = 1.8
+#: Share of texts of a known language that may be rejected, by an exponential tail beyond the farthest tenth of the calibration documents.
+FALSE_REJECTS = 1e-9
 MOST_WORDS = 300_000
 FIT_DOCS = 3000
 CALIBRATION_DOCS = 500
@@ -114,13 +115,35 @@ class Model:
 
 @dataclass
 class Languages:
-    """The models of all learned languages and what calibration found for each."""
+    """The models of all learned languages, the mean cross-entropy of each, and the calibrated rejection."""
 
     names: list[str]
     models: list[Model]
     mean: np.ndarray
-    spread: np.ndarray
-    limit: float = 0.0
+    within: float = 2.0
+    between: float = 0.01
+    limit: float = 20.0
+
+    def far(self, entropy: np.ndarray, n: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """How many standard deviations the cross-entropy of texts of ``n`` characters lies above their language's mean."""
+        return (entropy - self.mean[language]) / np.sqrt(self.within / np.maximum(n, 1) + self.between)
+
+    def calibrate(self, entropy: np.ndarray, n: np.ndarray, language: np.ndarray) -> None:
+        """Set means, variances and limit from labelled texts that were not counted; without any the defaults stay."""
+        for i in range(len(self.names)):
+            if (language == i).any():
+                self.mean[i] = np.average(entropy[language == i], weights=n[language == i])
+        if len(n) < 2:
+            return
+        off, weight = (entropy - self.mean[language]) ** 2 * n, 1 / n**2
+        for _ in range(8):  # off is within + between * n on average; its error grows likewise
+            a, b = np.stack([np.ones(len(n)), n], 1), weight[:, None]
+            self.within, self.between = np.maximum(np.linalg.lstsq((a * b).T @ a, (a * b).T @ off, rcond=None)[0], [1e-3, 1e-6]).tolist()
+            weight = 1 / (self.within + self.between * n) ** 2
+        far = np.sort(self.far(entropy, n, language))
+        edge = float(np.quantile(far, 0.9))
+        excess = float(np.mean(np.append(far[far > edge] - edge, 0.0)[: max((far > edge).sum(), 1)]))
+        self.limit = max(float(far[-1]), edge + excess * float(np.log(0.1 / FALSE_REJECTS)))
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Rows (characters with the end mark, log probability under each language)."""
@@ -172,8 +195,7 @@ def judge(languages: Languages, sums: np.ndarray) -> tuple[list[str], np.ndarray
     total = sums[np.arange(len(n)), best + 1]
     score = np.where(n > 0, 1 / np.exp(np.minimum(sums[:, 1:] - total[:, None], 0)).sum(1), 0.0)
     entropy = -total / np.maximum(n, 1)
-    far = (entropy - languages.mean[best]) * np.sqrt(np.maximum(n, 1)) / languages.spread[best]
-    rejected = (n == 0) | ((far > languages.limit) & (entropy > MARGIN * languages.mean[best]))
+    rejected = (n == 0) | (languages.far(entropy, n, best) > languages.limit)
     return [languages.names[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)], score, entropy, rejected
 
 
@@ -219,7 +241,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, calibration_docs: int = CALIB
     usable = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null and doc_id is not null").where("crc32(cast(doc_id as string)) % 5 != 0")
     per = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per:
-        return Languages([], [], np.zeros(0), np.ones(0))
+        return Languages([], [], np.zeros(0))
     rank = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit((fit_docs + calibration_docs) / n)) for k, n in per.items()))
     picked = usable.withColumn("at", rank / F.least(share, F.lit(1.0))).where("at < 1")
@@ -228,7 +250,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, calibration_docs: int = CALIB
     rows = rows.sort_values(["lang", "gram"])
     names = sorted(k for k in per if (rows["lang"] == k).any())
     models = [Model.fit(*(rows.loc[rows["lang"] == k, c].tolist() for c in ("gram", "n"))) for k in names]
-    languages = Languages(names, models, np.ones(len(names)), np.ones(len(names)))
+    languages = Languages(names, models, np.ones(len(names)))
     if not names:
         return languages
     shared = Shared(docs.sparkSession.sparkContext.broadcast(languages))
@@ -242,15 +264,8 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, calibration_docs: int = CALIB
     languages_index = {k: i for i, k in enumerate(names)}
     found = map_batches(picked.where(F.col("at") >= edge).select("text", "lang"), measure, "own long, n double, entropy double").toPandas()
     found = found[(found["own"] >= 0) & (found["n"] > 0)]
-    far = []
-    for i in range(len(names)):
-        mine = found[found["own"] == i]
-        if len(mine):
-            languages.mean[i] = np.average(mine["entropy"], weights=mine["n"])
-            off = (mine["entropy"] - languages.mean[i]) * np.sqrt(mine["n"])
-            languages.spread[i] = max(float(np.sqrt((off**2).mean())), 1e-3)
-            far += (off / languages.spread[i]).tolist()
-    languages.limit = 1.5 * float(np.quantile(far, 0.999)) if far else 6.0
+    found = found.sort_values(["own", "n", "entropy"])  # any order of tasks gives one limit
+    languages.calibrate(found["entropy"].to_numpy(), found["n"].to_numpy(), found["own"].to_numpy())
     return languages
 
 
@@ -258,7 +273,8 @@ def identify(docs: DataFrame, languages: Languages) -> DataFrame:
     """(doc_id, lang_pred, score, cross_entropy, rejected) of every row of ``docs`` (doc_id, text).
 
     A null text or one without a letter is ``und`` with score 0 and rejected; so is every text where no language
-    was learned.  Ties go to the language first by name.  Repeated rows are judged each; a null doc_id is carried.
+    was learned.  Ties go to the language first by name.  Texts of any length are read whole.  Repeated rows are judged each; a null
+    doc_id is carried; an empty table gives no rows.
     """
     shared = Shared(docs.sparkSession.sparkContext.broadcast(languages))
 
@@ -273,7 +289,11 @@ def identify(docs: DataFrame, languages: Languages) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, languages: Languages) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns unchanged."""
+    """The rows of ``docs`` that are not rejected, with all their columns unchanged.
+
+    Null texts and texts without a letter go; repeated rows and rows without doc_id are judged by their text like any other; an empty table
+    gives no rows.
+    """
     shared = Shared(docs.sparkSession.sparkContext.broadcast(languages))
 
     def known(texts: list[str | None]) -> list[bool]:
