@@ -28,8 +28,9 @@ class Bands:
 
     ``whole``: (bytes up to, least, most); short texts cannot shrink far, long ones shrink more, so the
     limits follow the length.  Each lower limit lies between the measured ratios of random letters and digits and
-    those of clean text of that length; from 1,536 bytes on also above random lower-case letters.  ``chunk`` bounds each full chunk of ``chunk_bytes``; a text is rejected
-    when more than ``chunk_share`` of its chunks lie outside.
+    those of clean text of that length; from 1,536 bytes on also above random lower-case letters.  A text is cut into chunks of
+    ``chunk_bytes``; full ones are bounded by ``chunk``, the last by the limits of its own length, and a text is rejected when
+    chunks with more than ``chunk_share`` of its bytes lie outside.
     """
 
     whole: tuple[tuple[float, float, float], ...] = (
@@ -54,6 +55,10 @@ class Bands:
     chunk_share: float = 0.34
     level: int = 3
 
+    def of(self, size: int) -> tuple[float, float]:
+        """(least, most) for a text of ``size`` bytes."""
+        return next(x[1:] for x in self.whole if size < x[0])
+
 
 def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     """Words inside some ``width``-word window whose words occur at two or more places of ``words``."""
@@ -97,15 +102,15 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def in_band(text: str, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple[bool, float, float]:
-    """(accepted, ratio of the whole text, share of full chunks outside their band)."""
-    raw = text.encode("utf-8", "surrogatepass")
+    """(accepted, ratio of the whole text, share of its bytes in chunks outside their limits)."""
+    raw, size, off = text.encode("utf-8", "surrogatepass"), bands.chunk_bytes, 0
     ratio = len(raw) / len(packer.compress(raw))
-    _, least, most = next(x for x in bands.whole if len(raw) < x[0])
-    size = bands.chunk_bytes
-    full = range(0, len(raw) - size + 1, size)
-    off = sum(not bands.chunk[0] <= size / len(packer.compress(raw[i : i + size])) <= bands.chunk[1] for i in full)
-    share = off / len(full) if full else 0.0
-    return least <= ratio <= most and share <= bands.chunk_share, ratio, share
+    for start in range(0, len(raw), size):
+        chunk = raw[start : start + size]
+        least, most = bands.chunk if len(chunk) == size else bands.of(len(chunk))
+        off += 0 if least <= len(chunk) / len(packer.compress(chunk)) <= most else len(chunk)
+    least, most = bands.of(len(raw))
+    return least <= ratio <= most and off <= bands.chunk_share * len(raw), ratio, off / len(raw)
 
 
 def _judge(texts: list[str | None], bands: Bands) -> list[tuple]:
@@ -123,7 +128,8 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): counts, ``base_failed``, ``kept``, ratio and chunk share.
 
     Null and empty texts have zero words, so they fail the base rules; ratios are 0 for texts that
-    fail.  Repeated rows are judged each; a null doc_id is carried.  Other columns are not read.
+    fail.  A text of any length is measured and compressed whole.  A ratio at a limit is inside.  Repeated rows are judged each; a null doc_id is
+    carried; an empty table gives no rows.  Other columns are not read.
     """
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -141,6 +147,9 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns unchanged."""
+    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns unchanged.
+
+    Null and empty texts go; repeated rows and rows without doc_id are judged by their text like any other; an empty table gives no rows.
+    """
 
     return texts_where(docs, "text", lambda texts: [x[6] for x in _judge(texts, bands)])
