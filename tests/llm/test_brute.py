@@ -61,6 +61,69 @@ def test_op2_held_out_accuracy(spark):
     assert not any(r.rejected for r in got if r.cross_entropy < 2.5)
 
 
+def plain_kneser_ney(words):
+    """log P(next | context) of interpolated Kneser-Ney over padded words, with dictionaries and recursion."""
+    S, E, N = languages.START, languages.END, languages.ORDER
+    raw = Counter()
+    for w, n in words.items():
+        s = S * (N - 1) + w + E
+        for i in range(len(w) + 1):
+            raw[s[i : i + N]] += n
+    levels = {N: raw}
+    for k in range(N - 1, 0, -1):
+        first, total = Counter(g[1:] for g in levels[k + 1]), Counter()
+        for g, n in raw.items():
+            total[g[N - k :]] += n
+        levels[k] = {g: total[g] if g[0] == S else n for g, n in first.items()}
+    cut = {}
+    for k, level in levels.items():
+        one, two = (sum(n == x for n in level.values()) for x in (1, 2))
+        cut[k] = one / (one + 2 * two) if one and two else 0.5
+
+    def p(context, c):
+        k = len(context) + 1
+        below = p(context[1:], c) if k > 1 else languages.UNIFORM
+        after = {g: n for g, n in levels[k].items() if g[:-1] == context}
+        if not after:
+            return below
+        total = sum(after.values())
+        return max(levels[k].get(context + c, 0) - cut[k], 0) / total + cut[k] * len(after) / total * below
+
+    return lambda w: sum(np.log(p((S * 4 + w + E)[i : i + 4], (w + E)[i])) for i in range(len(w) + 1))
+
+
+def test_op2_against_plain_kneser_ney():
+    rng = np.random.default_rng(3)
+    words = Counter("".join(rng.choice(list("aeinst"), rng.integers(1, 6))) for _ in range(300))
+    counts = Counter()
+    for w, n in words.items():
+        s = "\x02" * 4 + w + "\x03"
+        counts.update({s[i : i + 5]: 0 for i in range(len(w) + 1)})
+        for i in range(len(w) + 1):
+            counts[s[i : i + 5]] += n
+    grams = sorted(counts)
+    models = languages.Languages(["x"], [languages.Model.fit(grams, [counts[g] for g in grams])], np.ones(1))
+    asked, plain = [*list(words)[:40], "stein", "zq", "ssss", "a"], plain_kneser_ney(words)
+    assert np.allclose(models.word_scores(asked)[:, 1], [plain(w) for w in asked], atol=1e-9)
+
+
+ALIEN = (
+    "Litwo, ojczyzno moja, ty jesteś jak zdrowie, ile cię trzeba cenić, ten tylko się dowie, kto cię stracił",
+    "Vaka vanha Väinämöinen itse tuon sanoiksi virkkoi nyt on aika aloittaa laulu vanhoista ajoista",
+    "xqzk wvbn ptrk zzqw kkjh qpwo mznx vbcx qwpo zmxn cbvq wpeo qkzj xwvq zkqj vvxw",
+    "Привет мир это русский текст для проверки языка и он достаточно длинный",
+)
+
+
+def test_op2_rejects_languages_it_has_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    models = languages.fit(docs)
+    scorer = languages.Scorer(models)
+    assert languages.judge(models, scorer.sums(list(ALIEN)))[3].all()
+    known = languages.judge(models, scorer.sums([r.text for r in docs.collect() if r.text]))[3]
+    assert known.mean() < 0.005
+
+
 def test_kneser_ney_is_a_distribution():
     counts = Counter()
     for w in ("abba", "abab", "bab", "aab"):
@@ -237,6 +300,17 @@ def test_bands_tell_junk():
     assert (keep(prose), keep(noise), keep(repeated)) == (True, False, False)
 
 
+def test_last_chunks_count():
+    import base64
+
+    rng = np.random.default_rng(4)
+    prose = " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(600))[:2048]
+    noise = " ".join(base64.b85encode(rng.bytes(12)).decode() for _ in range(110))[:1500]
+    bands, packer = quality_rules.Bands(chunk_share=0.34), __import__("zstandard").ZstdCompressor(level=3)
+    assert quality_rules.in_band(prose, bands, packer)[2] == 0.0
+    assert abs(quality_rules.in_band(prose + noise, bands, packer)[2] - 1500 / 3548) < 1e-9
+
+
 def _noise(rng, letters, n):
     """``n`` random letters in words, 20 words at least."""
     s, width = "".join(rng.choice(list(letters), n)), max(1, min(6, n // 22 - 1))
@@ -375,7 +449,7 @@ def test_op10_classes(spark):
     rng, long, extra = np.random.default_rng(8), [t for _, t in docs if len(t.split()) > 120], []
     for i in range(600):
         words = (long[0] if i < 300 else long[i % 40]).split()
-        for at in rng.integers(0, len(words), 1 + int(len(words) * 0.025)):
+        for at in rng.integers(0, len(words), 1 + int(len(words) * 0.004)):
             words[at] = f"w{rng.integers(0, 50)}"
         extra.append((100_000 + i, " ".join(words)))
     frame = frame.unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
