@@ -93,8 +93,10 @@ def test_text_functions(spark):
     assert tuple(df.first()) == (["cafe", "is", "open", "now", "42"], "ex.org", "ex.org/a", "password = ***, ok", "fr", "D-1")
 
 
-def test_osa_counts_a_swap_once():
-    assert (search.osa("ab", "ba"), search.osa("kitten", "sitting"), search.osa("", "abc")) == (1, 3, 3)
+def test_one_slip(spark):
+    pairs = [("ab", "ba"), ("form", "from"), ("kitten", "kittens"), ("kitten", "mitten"), ("a", "a"), ("kitten", "sitting"), ("abcd", "badc"), ("", "abc")]
+    df = spark.createDataFrame(pairs, "a string, b string").select(search.one_slip(F.col("a"), F.col("b")).alias("d"))
+    assert [r.d for r in df.collect()] == [1, 1, 1, 1, 0, None, None, None]
 
 
 def test_pieces_cover_the_text():

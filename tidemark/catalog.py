@@ -449,12 +449,12 @@ def text_mention(spark, sf_dir):
 
 
 @query(
-    """WITH m AS (SELECT DISTINCT l_linenumber AS n, l_partkey AS m FROM lineitem WHERE l_partkey <= 400), s AS (SELECT n, count(*) AS s FROM m GROUP BY 1),
+    """WITH m AS (SELECT DISTINCT l_linenumber AS n, l_partkey AS m FROM lineitem), s AS (SELECT n, count(*) AS s FROM m GROUP BY 1),
        p AS (SELECT x.n AS a, y.n AS b, count(*) AS common FROM m x JOIN m y ON x.m = y.m AND x.n < y.n GROUP BY 1, 2)
        SELECT a, b, common, round(common / (sa.s + sb.s - common), 6) AS jaccard FROM p JOIN s sa ON sa.n = a JOIN s sb ON sb.n = b WHERE round(common / (sa.s + sb.s - common), 6) >= 0.3"""
 )
 def shared_members(spark, sf_dir):
-    return entities.set_likeness(table(spark, sf_dir, "lineitem").where("l_partkey <= 400"), "l_linenumber", "l_partkey", 0.3)
+    return entities.set_likeness(table(spark, sf_dir, "lineitem"), "l_linenumber", "l_partkey", 0.3)
 
 
 @query("SELECT o_orderpriority, count(*) AS n_lines, count(DISTINCT o_orderkey) AS n_orders, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS cents FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")

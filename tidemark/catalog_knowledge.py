@@ -69,15 +69,17 @@ def name_keys(spark, sf_dir):
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS node FROM lineitem WHERE l_orderkey IN (SELECT DISTINCT l_orderkey FROM lineitem ORDER BY 1 LIMIT 3))
-       SELECT node, count(DISTINCT o) AS origins, 1 AS farthest FROM e GROUP BY 1 HAVING count(DISTINCT o) = 1"""
+    """SELECT node, count(*) AS origins, 2 AS farthest FROM (SELECT DISTINCT c_nationkey, s_suppkey AS node FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
+         WHERE c_nationkey IN (1, 2, 3)) GROUP BY 1 HAVING count(*) = 3"""
 )
 def common_reach(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    start = lines.select(F.concat(F.lit("o"), "l_orderkey").alias("node"), "l_orderkey").distinct().orderBy("l_orderkey").limit(3).select("node")
-    edges = lines.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.col("l_partkey").cast("string").alias("dst")).distinct()
-    found = entities.reach(edges, start, 1).where("hops > 0")
-    return entities.common_reach(found, 1).select(F.col("node").cast("long").alias("node"), "origins", "farthest")
+    """Suppliers whom the customers of all three nations have ordered from, two hops away by the orders."""
+    c, o, li = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
+    ordered = c.join(o, F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"))
+    edges = ordered.unionByName(li.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct())
+    start = spark.createDataFrame([("n1",), ("n2",), ("n3",)], "node string")
+    found = entities.common_reach(entities.reach(edges, start, 2).where("hops = 2"), 3)
+    return found.select(F.substring("node", 2, 20).cast("long").alias("node"), "origins", "farthest")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import fold
+from tidemark.operators.scratch import kept
 
 #: Words of a name that tell an environment or a version.
 ENVIRONMENTS = "prod|production|preprod|dev|test|uat|qa|staging|int"
@@ -69,8 +70,8 @@ def verdict(a: Column, b: Column) -> Column:
 def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component) of undirected ``edges`` (a, b): the smallest node reachable.
 
-    Minimum labels spread along the edges and jump to the label of their label; rounds are checkpointed in the
-    folder of spark.checkpoint.dir where one is set.  Labels that have not settled after ``most_rounds`` are an error.
+    Minimum labels spread along the edges and jump to the label of their label; each round is a table in the
+    shared folder.  Labels that have not settled after ``most_rounds`` are an error.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"))
@@ -79,7 +80,7 @@ def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         low = labels.join(near, "a").select("a", F.least("label", "near").alias("label"))
         jump = low.select(F.col("a").alias("label"), F.col("label").alias("further"))
         following = low.join(jump, "label", "left").select("a", F.least("label", F.coalesce("further", "label")).alias("label"), F.col("a").alias("was")).drop("was")
-        following = cut(following)
+        following = kept(following)
         moved = following.join(labels.withColumnRenamed("label", "old"), "a").where("label != old").limit(1).count()
         labels = following
         if not moved:
@@ -89,17 +90,6 @@ def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the shared folder; without one it is cached."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.cache()
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(origin, node, hops): nodes reachable from each origin along src -> dst in at most ``depth`` hops, by the shortest way."""
     found = start.select(F.col("node").alias("origin"), "node", F.lit(0).alias("hops"))
@@ -145,7 +135,7 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     labels = both.select("a").distinct().withColumn("label", F.col("a"))
     for _ in range(rounds):
         around = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("w").alias("w"))
-        labels = cut(around.groupBy("a").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("label")))
+        labels = kept(around.groupBy("a").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("label")))
     return labels.select(F.col("a").alias("node"), "label")
 
 

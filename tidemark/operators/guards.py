@@ -10,6 +10,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.search import one_slip, shortened
+
 TOKEN = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|[A-Za-z_][\w.]*|\d+(?:\.\d+)?|<>|<=|>=|!=|[^\s\w]")
 #: Words that begin a clause.
 CLAUSES = ("select", "from", "where", "group", "having", "order", "limit", "union")
@@ -151,14 +153,30 @@ def findings(df: DataFrame, sql: str) -> DataFrame:
 
 
 def unknown_values(conditions: DataFrame, values: DataFrame) -> DataFrame:
-    """(field, value) of conditions that the field does not hold, with its nearest value by spelling in another case or distance."""
-    missing = conditions.join(values, ["field", "value"], "left_anti")
-    near = missing.join(values.withColumnRenamed("value", "other"), "field").withColumn("d", F.levenshtein(F.lower("value"), F.lower("other")))
+    """(field, value, nearest, distance) of conditions (field, value) that the field does not hold.
+
+    ``nearest`` is the listed value that differs in case alone (distance 0) or by one slip, the first by name of equals; null where there is
+    none.  Both sides are joined by what stays of a value with one letter less, so a field with many values is no cross product.
+    """
+    low = lambda c: F.trim(F.lower(F.col(c)))
+    missing = conditions.distinct().join(values, ["field", "value"], "left_anti")
+    asked = missing.select("field", "value", F.explode(shortened(low("value"))).alias("form"))
+    known = values.distinct().select("field", F.col("value").alias("other"), F.explode(shortened(low("value"))).alias("form"))
+    near = asked.join(known, ["field", "form"]).select("field", "value", "other").distinct().withColumn("d", one_slip(low("value"), low("other"))).where("d is not null")
     best = near.groupBy("field", "value").agg(F.min_by("other", F.struct("d", "other")).alias("nearest"), F.min("d").alias("distance"))
-    return best
+    return missing.join(best, ["field", "value"], "left").select("field", "value", "nearest", "distance")
 
 
 def unsupported_numbers(said: DataFrame, known: DataFrame, tolerance: float = 0.005) -> DataFrame:
-    """Numbers of an answer (answer_id, x) that no known value (answer_id, v) supports within ``tolerance``."""
+    """Numbers of an answer (answer_id, x) that no known value (answer_id, v) supports within ``tolerance``.
+
+    Values are dealt into steps as wide as the tolerance by their logarithm; near ones are in the same or the next step, so an answer with
+    many numbers is an equi-join.
+    """
+    step = lambda c: F.when(F.abs(c) < 1e-9, F.lit(0)).otherwise(F.floor(F.log(F.abs(F.col(c))) / F.log(F.lit(1 + 2 * tolerance)))).cast("long")
+    sign = lambda c: F.when(F.abs(c) < 1e-9, 0).otherwise(F.signum(c)).cast("int")
+    left = said.select("answer_id", "x", sign("x").alias("sign"), F.explode(F.array(*(step("x") + i for i in (-1, 0, 1)))).alias("step"))
+    right = known.select("answer_id", "v", sign("v").alias("sign"), step("v").alias("step")).distinct()
     near = F.abs(F.col("x") - F.col("v")) <= tolerance * F.greatest(F.abs("x"), F.abs("v"), F.lit(1e-9))
-    return said.join(known, (said["answer_id"] == known["answer_id"]) & near, "left_anti")
+    held = left.join(right, ["answer_id", "sign", "step"]).where(near).select("answer_id", "x").distinct()
+    return said.join(held, ["answer_id", "x"], "left_anti")

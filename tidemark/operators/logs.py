@@ -11,6 +11,7 @@ HIGH = 2.0
 NOISE = 3.0
 GONE_SHARE = 0.75
 VALUE_HIGH, VALUE_FEW = 2.0, 2.5
+SEVERITY = {"trace": 0, "debug": 1, "info": 2, "warning": 3, "error": 4, "fatal": 5}
 #: Patterns of the parts of a message that vary, masked in this order.
 MASKS = (
     (r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?", "#"),
@@ -46,6 +47,11 @@ def level(message: Column) -> Column:
     )
 
 
+def severity(level_col: Column) -> Column:
+    """The rank of a level: fatal highest, what is not known as info."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in SEVERITY.items() for x in pair)), F.lower(level_col)), F.lit(SEVERITY["info"]))
+
+
 def longest_piece(template_col: Column) -> Column:
     """The longest literal piece of a template, if it has 12 characters."""
     pieces = F.split(template_col, r"#|'<value>'|<name>")
@@ -56,7 +62,7 @@ def longest_piece(template_col: Column) -> Column:
 def judge(counts: DataFrame, windows: int) -> DataFrame:
     """(template, level, k, n) -> a verdict a template; windows 1 .. ``windows`` are the earlier ones, without rows they count 0."""
     per = counts.groupBy("template").agg(
-        F.max("level").alias("level"), F.sum(F.when(F.col("k") == 0, F.col("n")).otherwise(0)).alias("now"),
+        F.max_by("level", severity(F.col("level"))).alias("level"), F.sum(F.when(F.col("k") == 0, F.col("n")).otherwise(0)).alias("now"),
         F.collect_list(F.when(F.col("k") > 0, F.col("n"))).alias("seen"),
     )
     # At most ``windows`` counts a template: padded with zeros, the middle of the sorted list is the median.

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scratch import kept
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,7 +59,7 @@ def page_rows(df: DataFrame, order: list[str], budget: int) -> DataFrame:
     The running size is exact: totals of earlier ranges are added to the running sum inside each range.
     """
     sized = df.withColumn("row_bytes", F.octet_length(F.to_json(F.struct(*df.columns))))
-    ranged = sized.repartitionByRange(*order).withColumn("range_id", F.spark_partition_id())
+    ranged = kept(sized.repartitionByRange(*order).withColumn("range_id", F.spark_partition_id()))  # once: another run may cut the ranges elsewhere
     inside = ranged.withColumn("run", F.sum("row_bytes").over(Window.partitionBy("range_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     totals = ranged.groupBy("range_id").agg(F.sum("row_bytes").alias("range_bytes"))
     before = totals.select("range_id", (F.sum("range_bytes").over(Window.orderBy("range_id")) - F.col("range_bytes")).alias("before"))
