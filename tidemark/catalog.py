@@ -470,9 +470,10 @@ def active_in_window(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import tidemark.catalog_knowledge  # noqa: F401  these register the rest
+    import tidemark.catalog_text  # noqa: F401  these register the rest
+    import tidemark.catalog_analysis  # noqa: F401
+    import tidemark.catalog_knowledge  # noqa: F401
     import tidemark.catalog_more  # noqa: F401
-    import tidemark.catalog_text  # noqa: F401
 
     return dict(QUERIES)
 

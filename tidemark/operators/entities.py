@@ -165,3 +165,72 @@ def set_likeness(pods: DataFrame, name: str, member: str, least: float) -> DataF
     x, y = sizes.select(F.col("n").alias("a"), F.col("s").alias("sa")), sizes.select(F.col("n").alias("b"), F.col("s").alias("sb"))
     score = F.col("common") / (F.col("sa") + F.col("sb") - F.col("common"))
     return both.join(x, "a").join(y, "b").select("a", "b", "common", F.round(score, 6).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
+def within_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
+    """(origin, node, hops): nodes near each origin along edges in either direction."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return reach(both, start, hops)
+
+
+def chains(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """(direction, path): simple paths of at most ``depth`` edges from each start node, forward and back."""
+    out = None
+    for direction, src, dst in (("forward", "src", "dst"), ("back", "dst", "src")):
+        steps = edges.select(F.col(src).alias("at"), F.col(dst).alias("to")).distinct()
+        live = start.select(F.array("node").alias("path"), F.col("node").alias("at"))
+        for _ in range(depth):
+            live = live.join(steps, "at").where(~F.array_contains("path", F.col("to"))).select(F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at"))
+            part = live.select(F.lit(direction).alias("direction"), "path")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def alias_groups(names: DataFrame, name: str, aliases: list[str]) -> DataFrame:
+    """(name, group): names and their aliases that one inventory row or a chain of rows holds together; the group is its first name."""
+    edges = [names.select(F.col(name).alias("a"), F.col(a).alias("b")).where("a is not null and b is not null") for a in aliases]
+    whole = edges[0]
+    for e in edges[1:]:
+        whole = whole.unionByName(e)
+    return connected(whole.distinct()).select(F.col("node").alias("name"), F.col("component").alias("group"))
+
+
+def name_groups(names: DataFrame, name: str) -> DataFrame:
+    """(name, group, canonical): names of one core whose numbers agree; names with different numbers are never one thing.
+
+    ``canonical`` is the name most rows have, the shortest of equals, the first by text of those.
+    """
+    keyed = names.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n")).withColumn("core", name_keys(F.col("name"))["core"])
+    keyed = keyed.withColumn("group", F.concat_ws("#", "core", F.array_join(F.regexp_extract_all("name", F.lit("([0-9]+)"), 1), ".")))
+    best = keyed.groupBy("group").agg(F.min_by("name", F.struct(-F.col("n"), F.length("name"), "name")).alias("canonical"))
+    return keyed.join(best, "group").select("name", "group", "canonical")
+
+
+def relations(fields: dict[str, DataFrame], names: dict[str, DataFrame], least: float = 0.5) -> DataFrame:
+    """(field, target, share): fields of which ``least`` of the distinct values name a row of a target, by columns of one value each."""
+    long = lambda frames, label: _stacked(frames, label).where("v is not null").distinct()
+    f, t = long(fields, "field"), long(names, "target")
+    sizes = f.groupBy("field").agg(F.count("*").alias("size"))
+    held = f.join(t, "v").groupBy("field", "target").agg(F.count("*").alias("held"))
+    share = F.round(F.col("held") / F.col("size"), 6)
+    return held.join(F.broadcast(sizes), "field").select("field", "target", share.alias("share")).where(F.col("share") >= least)  # sizes: a row a field
+
+
+def _stacked(frames: dict[str, DataFrame], label: str) -> DataFrame:
+    out = None
+    for name, df in frames.items():
+        part = df.select(F.lit(name).alias(label), F.col(df.columns[0]).cast("string").alias("v"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def category_fields(fields: dict[str, DataFrame], category: DataFrame, least: int = 3, of_category: float = 0.5, of_field: float = 0.6) -> DataFrame:
+    """(field, held, of_category, of_field): fields that hold enough of a category's values, which are enough of their own."""
+    f = _stacked(fields, "field").where("v is not null").distinct()
+    c = category.select(F.col(category.columns[0]).cast("string").alias("v")).distinct()
+    size = c.agg(F.count("*").alias("values"))
+    per = f.join(c.withColumn("in", F.lit(1)), "v", "left").groupBy("field").agg(F.count("in").alias("held"), F.count("*").alias("own"))
+    per = per.join(F.broadcast(size), how="cross")  # one row
+    return per.select(
+        "field", "held", F.round(F.col("held") / F.col("values"), 6).alias("of_category"), F.round(F.col("held") / F.col("own"), 6).alias("of_field")
+    ).where((F.col("held") >= least) & (F.col("of_category") >= of_category) & (F.col("of_field") >= of_field))

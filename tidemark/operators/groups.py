@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # When a value stands out.
@@ -11,6 +11,9 @@ LEAST_COUNT = 5
 COUNT_NOISE = 3.0
 NOISE = 3.0
 FLOOR, FLOOR_SHARE = 3.0, 0.02
+BAND = (1.3, 0.77)
+STEADY_DAYS, STEADY_SHARE = 5, 0.1
+LEAST_MEAN = 3
 NONE = "(none)"
 
 
@@ -105,3 +108,90 @@ def replaced(now: DataFrame, before: DataFrame, value: str, close: float = 0.25)
     off = F.abs(F.col("n_new") - F.col("n_old"))
     fit = near.where(off <= close * F.greatest("n_new", "n_old"))
     return fit.groupBy("new", "n_new").agg(F.min_by("old", F.struct(off, "old")).alias("old"))
+
+
+def filled_windows(tagged: DataFrame, wanted: int) -> DataFrame:
+    """(k, n, place): the nearest ``wanted`` earlier windows that hold rows, empty ones passed over; place 1 is the nearest."""
+    per = tagged.where("k > 0").groupBy("k").agg(F.count("*").alias("n"))
+    return per.withColumn("place", F.row_number().over(Window.orderBy("k"))).where(F.col("place") <= wanted)  # a row a window
+
+
+def summarize(cells: DataFrame, windows: DataFrame) -> DataFrame:
+    """What became of each value of each field: appeared, gone, off, moved or usual.
+
+    Counts: ``usual`` is the median of the earlier windows in ``windows`` (k), a missing value counting 0.  A change of fewer than FLOOR rows
+    or FLOOR_SHARE of all rows is none.  A value is off beyond BAND if it also leaves NOISE times its spread and, unless its counts
+    are steady, what counts differ by from day to day.  Means: moved beyond BAND, where now and three earlier windows have LEAST_MEAN rows.
+    """
+    found = _against_usual(cells, windows)
+    total = found.where("field = ''").select(F.greatest("now", "usual").alias("all"))
+    x = found.join(F.broadcast(total), how="cross")  # one row
+    off = F.abs(F.col("now") - F.col("usual"))
+    floor = F.greatest(F.lit(FLOOR), FLOOR_SHARE * F.col("all"))
+    steady = (F.col("windows") >= STEADY_DAYS) & (F.col("mad") <= STEADY_SHARE * F.col("usual"))
+    beyond = lambda r: (r >= BAND[0]) | (r <= BAND[1])
+    counts = beyond(F.col("now") / F.col("usual")) & (off >= floor) & (off > NOISE * F.col("mad")) & (steady | (off > COUNT_NOISE * F.sqrt(F.greatest("usual", F.lit(1.0)))))
+    means = (F.col("now") >= LEAST_MEAN) & (F.col("m_windows") >= 3) & beyond(F.col("m_now") / F.col("m_usual"))
+    what = (
+        F.when((F.col("usual") == 0) & (F.col("now") >= LEAST_COUNT), "appeared").when((F.col("now") == 0) & (F.col("usual") >= floor), "gone")
+        .when((F.col("usual") > 0) & counts, "off").when(F.coalesce(means, F.lit(False)), "moved").otherwise("usual")
+    )
+    return x.select("field", "value", "now", "usual", "m_now", "m_usual", F.coalesce(steady, F.lit(False)).alias("steady"), what.alias("what"))
+
+
+def _against_usual(cells: DataFrame, windows: DataFrame) -> DataFrame:
+    """Counts and means of each value now, the medians of their earlier windows, and the median deviation of counts."""
+    values = cells.select("field", "value").distinct()
+    grid = values.join(F.broadcast(windows.select("k")), how="cross")  # windows: a few rows by construction
+    full = grid.join(cells.select("k", "field", "value", "n", "m"), ["k", "field", "value"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("double"))
+    earlier = F.col("k") > 0
+    middle = full.groupBy("field", "value").agg(
+        F.coalesce(F.max(F.when(~earlier, F.col("n"))), F.lit(0.0)).alias("now"), F.median(F.when(earlier, F.col("n"))).alias("usual"), F.count_if(earlier).alias("windows"),
+        F.max(F.when(~earlier, F.col("m"))).alias("m_now"), F.median(F.when(earlier & (F.col("n") >= LEAST_MEAN), F.col("m"))).alias("m_usual"),
+        F.count_if(earlier & (F.col("n") >= LEAST_MEAN)).alias("m_windows"),
+    )
+    spread = full.where(earlier).join(middle.select("field", "value", "usual"), ["field", "value"]).groupBy("field", "value").agg(F.median(F.abs(F.col("n") - F.col("usual"))).alias("mad"))
+    return middle.join(spread, ["field", "value"], "left")
+
+
+def rank_fields(found: DataFrame) -> DataFrame:
+    """Fields by how well their unusual values explain the change: coverage, then purity, then the fewest values.
+
+    ``purity`` is the share of a field's absolute changes that its unusual values hold.
+    """
+    held = F.when(F.col("unusual"), F.abs(F.col("now") - F.col("usual")))
+    purity = found.where("field != ''").groupBy("field").agg((F.sum(held) / F.sum(F.abs(F.col("now") - F.col("usual")))).alias("purity"))
+    per = localize(found).join(purity, "field").where("n_unusual > 0")
+    order = Window.orderBy(F.desc("coverage"), F.desc("purity"), "n_unusual", "field")  # a row a field
+    return per.select("field", "n_unusual", "coverage", "purity", F.row_number().over(order).alias("place"))
+
+
+def others(tagged: DataFrame, scope, value: str) -> DataFrame:
+    """Values found in the scope now, with the rows outside it that share them: now and the median of earlier windows."""
+    inside = tagged.where((F.col("k") == 0) & scope).select(value).distinct()
+    per = tagged.where(~scope).join(inside, value, "left_semi").groupBy(value, "k").agg(F.count("*").cast("double").alias("n"))
+    windows = tagged.select("k").distinct()
+    full = inside.join(F.broadcast(windows), how="cross").join(per, [value, "k"], "left").withColumn("n", F.coalesce("n", F.lit(0.0)))  # a few windows
+    return full.groupBy(value).agg(F.max(F.when(F.col("k") == 0, F.col("n"))).alias("now"), F.median(F.when(F.col("k") > 0, F.col("n"))).alias("usual"))
+
+
+def survey(tagged: DataFrame, fields: list[str], measures: dict) -> DataFrame:
+    """(measure, field, value, now, usual, ratio, off, place): every measure of every value now and usually, the farthest first.
+
+    ``measures`` are aggregates by name; ``usual`` is the median of the earlier windows that have the value.  A measure is off beyond BAND.
+    """
+    parts = [F.struct(F.lit("").alias("field"), F.lit("").alias("value"))]
+    parts += [F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit(NONE)).alias("value")) for f in fields]
+    cells = tagged.withColumn("p", F.explode(F.array(*parts))).groupBy("k", F.col("p.field").alias("field"), F.col("p.value").alias("value"))
+    wide = cells.agg(*(m.cast("double").alias(name) for name, m in measures.items()))
+    long = wide.unpivot(["k", "field", "value"], list(measures), "measure", "v")
+    per = long.groupBy("measure", "field", "value").agg(F.max(F.when(F.col("k") == 0, F.col("v"))).alias("now"), F.median(F.when(F.col("k") > 0, F.col("v"))).alias("usual"))
+    ratio = F.round(F.when(F.col("usual") != 0, F.col("now") / F.col("usual")), 6)
+    per = per.withColumn("ratio", ratio).withColumn("off", F.coalesce((F.col("ratio") >= BAND[0]) | (F.col("ratio") <= BAND[1]), F.lit(False)))
+    far = F.desc(F.round(F.abs(F.log("ratio")), 6))
+    return per.where("off").withColumn("place", F.row_number().over(Window.partitionBy("measure").orderBy(far, "field", "value")))
+
+
+def moved(column: str, limit: str, days_back) -> Column:
+    """``column`` before the day ``limit``, moved back with the window a row is in."""
+    return F.col(column) < F.lit(limit).cast("timestamp_ntz") - F.make_dt_interval(days_back)

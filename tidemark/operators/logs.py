@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # When a template's count is told.
@@ -11,6 +11,9 @@ HIGH = 2.0
 NOISE = 3.0
 GONE_SHARE = 0.75
 VALUE_HIGH, VALUE_FEW = 2.0, 2.5
+HELD = 0.8
+#: Words of a line that state what one part does with another.
+KINDS = {"waits for": "waits", "calls": "calls", "reads from": "reads", "writes to": "writes", "depends on": "depends"}
 SEVERITY = {"trace": 0, "debug": 1, "info": 2, "warning": 3, "error": 4, "fatal": 5}
 #: Patterns of the parts of a message that vary, masked in this order.
 MASKS = (
@@ -94,3 +97,43 @@ def numbers_moved(lines: DataFrame) -> DataFrame:
     bar = F.when(F.col("days") >= F.greatest(F.lit(2), F.floor(F.col("last") / 2)), VALUE_HIGH).otherwise(VALUE_FEW)
     r = F.col("now") / F.col("usual")
     return both.where("now > 0 and usual > 0").where((r >= bar) | (r <= 1 / bar)).select("template", "place", "now", "usual", r.alias("ratio"), "days")
+
+
+def written_back(lines: DataFrame) -> DataFrame:
+    """(template, place, name, share): quoted names that HELD of a template's lines have in the same place, and that it may be told with."""
+    total = lines.groupBy("template").agg(F.count("*").alias("lines"))
+    names = lines.select("template", F.posexplode(F.regexp_extract_all("message", F.lit("'([^']*)'"), 1)).alias("place", "name"))
+    per = names.groupBy("template", "place", "name").agg(F.count("*").alias("n")).join(total, "template")
+    return per.where(F.col("n") >= HELD * F.col("lines")).select("template", "place", "name", F.round(F.col("n") / F.col("lines"), 6).alias("share"))
+
+
+def origins(lines: DataFrame, fields: list[str], most: int = 4) -> DataFrame:
+    """(template, field, n_values, top, coverage): where a template's lines come from, by the ``most`` values of each field."""
+    parts = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]
+    long = lines.select("template", F.explode(F.array(*parts)).alias("p")).where("p.value is not null")
+    per = long.groupBy("template", F.col("p.field").alias("field"), F.col("p.value").alias("value")).agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("template", "field").orderBy(F.desc("n"), "value"))
+    per = per.withColumn("rank", rank)
+    top = F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", "value"))))  # ``most`` values a field
+    return per.groupBy("template", "field").agg(
+        F.count("*").alias("n_values"), F.array_join(F.transform(top, lambda x: x["value"]), ", ").alias("top"),
+        F.round(F.sum(F.when(F.col("rank") <= most, F.col("n"))) / F.sum("n"), 6).alias("coverage"),
+    )
+
+
+def survey(judged: DataFrame, most: int = 12) -> DataFrame:
+    """The ``most`` findings to tell first: what is not as usual, by severity, then lines; the same wording counts once, at its highest level."""
+    told = judged.where("verdict != 'as usual'").withColumn("severity", severity(F.col("level")))
+    order = Window.orderBy(F.desc("severity"), F.desc("now"), "template")
+    return told.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("place", "template", "level", "now", "usual", "verdict")
+
+
+def stated_links(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """(src, kind, dst, n): what lines say that one part does with another, for parts in ``names`` (name); words decide the kind."""
+    pattern = r"(?i)([a-z0-9_-]+) (" + "|".join(KINDS) + r") ([a-z0-9_-]+)"
+    part = lambda i: F.regexp_extract("message", pattern, i)
+    said = lines.select(*(F.lower(part(i)).alias(c) for i, c in ((1, "src"), (2, "said"), (3, "dst")))).where("src != ''")
+    kinds = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
+    known = names.select(F.lower("name").alias("name")).distinct()
+    both = said.join(known.withColumnRenamed("name", "src"), "src", "left_semi").join(known.withColumnRenamed("name", "dst"), "dst", "left_semi")
+    return both.groupBy("src", F.element_at(kinds, F.col("said")).alias("kind"), "dst").agg(F.count("*").alias("n"))

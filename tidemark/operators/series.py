@@ -161,3 +161,31 @@ def day_scan(df: DataFrame, labels: list[str], time: str, last_day: str, weeks:
     off = F.abs(F.col("w0") - usual) >= F.greatest(F.lit(3.0), 2 * F.sqrt(usual))
     what = F.when((F.col("w0") == 0) & (usual > 0) & off, "gone").when(off & (F.col("w0") > usual), "above").when(off, "below").otherwise("usual")
     return per.select(*labels, F.col("w0").alias("now"), usual.alias("usual"), what.alias("reading"))
+
+
+def health(tagged: DataFrame, labels: list[str], value: str, threshold: float, band: float = 0.05) -> DataFrame:
+    """(labels, now, usual, verdict): the share of samples within ``threshold`` now and as the median of the same windows before."""
+    per = tagged.groupBy(*labels, "k").agg((F.count_if(F.col(value) <= threshold) / F.count("*")).alias("level"))
+    both = per.groupBy(*labels).agg(F.max(F.when(F.col("k") == 0, F.col("level"))).alias("now"), F.median(F.when(F.col("k") > 0, F.col("level"))).alias("usual"))
+    what = F.when(F.col("now").isNull(), "silent").when(F.col("usual").isNull(), "unknown").when(F.col("now") < F.col("usual") - band, "worse").when(F.col("now") > F.col("usual") + band, "better").otherwise("usual")
+    return both.withColumn("verdict", what)
+
+
+def quantile_over_time(df: DataFrame, labels: list[str], time: str, value: str, seconds: int, q: float) -> DataFrame:
+    """Mean and q-quantile of the ``seconds`` up to each sample."""
+    w = Window.partitionBy(*labels).orderBy("__at").rangeBetween(-seconds * 1_000_000, 0)
+    at = df.withColumn("__at", F.unix_micros(F.col(time).cast("timestamp")))
+    return at.select("*", F.avg(value).over(w).alias("avg_over"), F.percentile(value, F.lit(q)).over(w).alias("quantile_over")).drop("__at")
+
+
+def stale(df: DataFrame, labels: list[str], time: str, last_day: str, most: int = 20) -> DataFrame:
+    """(labels, n, last_seen, stale, place): the ``most`` series with most rows, and whether their data stopped before ``last_day``."""
+    per = df.groupBy(*labels).agg(F.count("*").alias("n"), F.max(F.to_date(time)).alias("last_seen"))
+    top = per.orderBy(F.desc("n"), *labels).limit(most)
+    return top.withColumn("stale", F.col("last_seen") < F.lit(last_day).cast("date")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), *labels)))
+
+
+def top_series(df: DataFrame, metric: str, series: str, value: str, n: int) -> DataFrame:
+    """(metric, series, total, place): the ``n`` series of each metric with the largest total magnitude."""
+    per = df.groupBy(metric, series).agg(F.round(F.sum(F.abs(F.col(value))), 4).alias("total"))
+    return first_of_each(per, [metric], [F.desc("total"), F.asc(series)], n).withColumnRenamed("rn", "place")

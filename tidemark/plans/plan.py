@@ -7,21 +7,30 @@ semi-join, or an anti-join where the values are excluded, and nothing is collect
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, replace
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # The grammar.
 COMPARISONS = ("=", "!=", ">", ">=", "<", "<=", "in", "not in", "like", "not like", "is null", "is not null")
-FUNCTIONS = ("count", "count_distinct", "sum", "avg", "min", "max", "share")
+FUNCTIONS = ("count", "count_distinct", "sum", "avg", "min", "max", "share", "formula")
 BUCKETS = ("minute", "5 minutes", "15 minutes", "hour", "day", "week", "month")
 #: Seconds or bytes in a unit.
 UNITS = {
     "time": {"us": 1e-6, "ms": 1e-3, "s": 1.0, "min": 60.0, "h": 3600.0, "d": 86400.0},
     "size": {"b": 1.0, "kb": 1024.0, "mb": 1024.0**2, "gb": 1024.0**3, "tb": 1024.0**4},
 }
-MOST_ROWS = 1000
+#: What the last part of a column's name says of its unit.
+SUFFIXES = {"us": "us", "ms": "ms", "s": "s", "sec": "s", "seconds": "s", "min": "min", "minutes": "min", "hours": "h", "days": "d", "bytes": "b", "kb": "kb", "mb": "mb", "gb": "gb"}
+#: Measures by formula: a column named ``field`` or, with none, the rows; the share of rows that hold is in percent.
+FORMULAS = {
+    "busy_pct": lambda field, kept: F.lit(100.0) - F.avg(F.when(kept, F.col(field))),
+    "availability_pct": lambda field, kept: F.lit(100.0) * F.count_if(kept & (F.coalesce(F.col(field), F.lit(0)) == 0)).cast("double") / F.count_if(kept),
+}
 
 
 @dataclass(frozen=True)
@@ -46,6 +55,7 @@ class Measure:
     field: str | None = None
     where: tuple[Cond, ...] = ()
     unit: tuple[str, str] | None = None
+    formula: str | None = None
 
 
 @dataclass(frozen=True)
@@ -76,6 +86,38 @@ def factor(source: str, target: str) -> float:
     raise ValueError(f"no conversion from {source} to {target}")
 
 
+def unit_of(column: str, known: dict[str, str] | None = None) -> str | None:
+    """The unit of a column: as stated in ``known``, else by the last part of its name, else none."""
+    return (known or {}).get(column) or SUFFIXES.get(column.lower().rsplit("_", 1)[-1])
+
+
+def day_periods(conds: tuple[Cond, ...], schema: StructType) -> tuple[Cond, ...]:
+    """Equality of a time column with a day, as the period from that day's begin to the next day's."""
+    out: list[Cond] = []
+    for c in conds:
+        timed = c.field in schema.names and schema[c.field].dataType.typeName().startswith("timestamp")
+        if timed and c.op == "=" and isinstance(c.value, str) and re.fullmatch(r"\d{4}-\d{2}-\d{2}", c.value):
+            out += [Cond(c.field, ">=", c.value), Cond(c.field, "<", (date.fromisoformat(c.value) + timedelta(days=1)).isoformat())]
+        else:
+            out.append(c)
+    return tuple(out)
+
+
+def typed(conds: tuple[Cond, ...], schema: StructType) -> tuple[Cond, ...]:
+    """Conditions whose literals have their column's type, so that "37" meets a number as 37; patterns stay text."""
+
+    def cast(c: Cond, v):
+        return F.lit(v).cast(schema[c.field].dataType) if isinstance(v, str) and c.field in schema.names and schema[c.field].dataType.typeName() != "string" else v
+
+    done = []
+    for c in conds:
+        if c.op in ("like", "not like", "is null", "is not null") or isinstance(c.value, StepColumn):
+            done.append(c)
+        else:
+            done.append(replace(c, value=[cast(c, v) for v in c.value] if isinstance(c.value, (list, tuple)) else cast(c, c.value)))
+    return tuple(done)
+
+
 def validate(plan: Plan, columns: dict[str, list[str]]) -> list[str]:
     """What is wrong with a plan, in words; empty if it can run."""
     errors, seen = [], []
@@ -107,6 +149,8 @@ def validate(plan: Plan, columns: dict[str, list[str]]) -> list[str]:
                 errors.append(f"{s.name}: {m.function} needs a column")
             elif m.function == "share" and not m.where:
                 errors.append(f"{s.name}: a share needs a condition")
+            if m.function == "formula" and m.formula not in FORMULAS:
+                errors.append(f"{s.name}: no formula {m.formula}")
         if s.order and s.order not in {m.label for m in s.measures} | set(s.by) | {"bucket"}:
             errors.append(f"{s.name}: no order {s.order}")
         seen.append(s.name)
@@ -148,7 +192,9 @@ def bucket_of(time: str, bucket: str) -> Column:
 
 def measure(m: Measure) -> Column:
     kept = all_of(m.where)
-    if m.function == "share":
+    if m.function == "formula":
+        out = FORMULAS[m.formula](m.field, kept)
+    elif m.function == "share":
         out = F.lit(100.0) * F.count_if(kept).cast("double") / F.count("*")
     elif m.function == "count":
         out = F.count_if(kept) if m.where else F.count("*")
@@ -170,21 +216,22 @@ def compile_step(step: Step, df: DataFrame, done: dict[str, DataFrame] | None =
             df = df.join(values, F.col(c.field) == F.col("__value"), how)
         else:
             plain.append(c)
-    df = df.where(all_of(tuple(plain)))
+    schema = df.schema
+    df = df.where(all_of(typed(day_periods(tuple(plain), schema), schema)))
     if step.period:
         start, end = (F.lit(x).cast("timestamp_ntz") for x in step.period)
         df = df.where((F.col(step.time_field) >= start) & (F.col(step.time_field) < end))
     keys = [F.col(c) for c in step.by]
     if step.bucket:
         keys = [bucket_of(step.time_field, step.bucket).alias("bucket"), *keys]
-    out = df.groupBy(*keys).agg(*map(measure, step.measures))
+    out = df.groupBy(*keys).agg(*(measure(replace(m, where=typed(day_periods(m.where, schema), schema))) for m in step.measures))
     rest = [F.col(c) for c in (["bucket"] if step.bucket else []) + list(step.by)]
     if step.order:
         first = F.col(step.order).asc() if step.ascending else F.col(step.order).desc()
         out = out.orderBy(first, *rest)
     elif step.bucket:
         out = out.orderBy(*rest)
-    return out.limit(step.limit or MOST_ROWS) if (step.limit or step.order or step.bucket) else out
+    return out.limit(step.limit) if step.limit else out
 
 
 def run_plan(plan: Plan, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
