@@ -98,11 +98,15 @@ class Encoder:
         return np.array(ids, self.kind).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        found = self.tokenizer.model.tokenize("".join(map(self.shown.__getitem__, piece.encode())))
+        raw = piece.encode()
+        # Printable ASCII stands for itself, but for the blank.
+        said = piece.replace(" ", self.shown[32]) if raw.isascii() and piece.isprintable() else "".join(map(self.shown.__getitem__, raw))
+        found = self.tokenizer.model.tokenize(said)
         return self.pack[len(found)](*[t.id for t in found]) if len(found) < 16 else self._pack([t.id for t in found])
 
     def _cut(self, cut: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, PIECES.findall(cut if cut[:1] == "\n" else " " + cut)))
+        found = PIECES.findall(cut if cut[:1] == "\n" else " " + cut)
+        return self._piece(found[0]) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))  # one piece is kept once, as the cut
 
     def _text(self, text: str | None) -> bytes:
         if not text:
