@@ -26,6 +26,8 @@ TOKENS = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 REPEAT = DIM - 1
 #: At most about so many labelled rows are fitted, chosen by a hash of doc_id.
 FIT_ROWS = 12_000
+#: Of those, as many as hold about so many characters.
+FIT_CHARS = 100_000_000
 #: Tokens in fewer fitted texts get no weight.
 LEAST_TEXTS = 5
 STEPS = 150
@@ -112,17 +114,21 @@ def learn(rows: list[np.ndarray], values: list[np.ndarray], ratings: np.ndarray,
     return Ordinal(weights, np.cumsum(np.concatenate([p[m : m + 1], np.exp(p[m + 1 :])])))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, top: int, fit_rows: int = FIT_ROWS) -> Ordinal:
+def fit(docs: DataFrame, ratings: DataFrame, top: int, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Ordinal:
     """The model of ``ratings`` (doc_id, rating 0 .. top) on the texts of ``docs``.
 
-    ``fit_rows`` bounds the rated rows that are fitted; null texts and ratings are left out.  Without a rated row all
-    weights are zero.
+    ``fit_rows`` bounds the rated rows that are fitted and ``fit_chars`` their text, which is what the driver gathers; both are chosen by a hash of
+    doc_id.  Null texts and ratings are left out; a doc_id rated twice is fitted with each rating, and so is each of its texts.  Without a
+    rated row all weights are zero.
     """
     rated = ratings.where("rating is not null and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("rating").cast("int"))
     share = fit_rows / max(rated.count(), 1)
     picked = rated.where(F.pmod(F.xxhash64(F.lit(3), "__id"), F.lit(1 << 40)) < int(share * (1 << 40)))
     # ``picked`` holds about ``fit_rows`` short rows at most, whatever the corpus size: that bound makes it safe to broadcast.
-    chosen = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("text", "rating")
+    chosen = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("__id", "text", "rating")
+
+    chars = chosen.agg(F.sum(F.length("text"))).first()[0] or 1
+    chosen = chosen.where(F.pmod(F.xxhash64(F.lit(4), "__id"), F.lit(1 << 40)) < int(min(1.0, fit_chars / chars) * (1 << 40)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +146,8 @@ def fit(docs: DataFrame, ratings: DataFrame, top: int, fit_rows: int = FIT_ROWS)
 def rate(docs: DataFrame, model: Ordinal, least_tail: float = 0.5) -> DataFrame:
     """(doc_id, expected_grade, tail_probability, kept) of every row of ``docs`` (doc_id, text).
 
-    ``kept`` where the tail probability is ``least_tail`` or more.  A null or empty text scores 0.  Repeated rows are
+    ``kept`` where the tail probability is ``least_tail`` or more, so a tie with the limit is kept.  A null or empty text scores 0; texts of any
+    length are read whole.  Repeated rows are
     rated each; a null doc_id is carried; an empty table gives no rows.  Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
