@@ -339,8 +339,9 @@ def compile_lexicon(docs: DataFrame, path: str, size: int = LEXICON) -> bytes:
 def encode_texts(docs: DataFrame, vocabulary: str | None = None, size: int = LEXICON) -> DataFrame:
     """(doc_id, ids, decoded): packed uint32 ids of every text and the text decoded from them.
 
-    Null and empty texts have no ids and decode to the empty string.  Repeated rows are encoded each; a null doc_id
-    is carried; an empty table gives no rows.  Other columns are not read.
+    Null and empty texts have no ids and decode to the empty string; texts of any length are encoded whole.  Words as frequent as each other
+    enter the lexicon in the order of their text, which no id depends on.  Repeated rows are encoded each; a null doc_id is carried; an
+    empty table gives no rows.  Other columns are not read.
     """
     path = vocabulary or vocabulary_path()
     data = compile_lexicon(docs, path, size)
