@@ -37,13 +37,23 @@ def changes(df: DataFrame, labels: list[str], time: str, value: str) -> DataFram
     return marked.groupBy(*labels).agg(F.count_if("c").alias("n_changes"), F.count_if("r").alias("n_resets"), F.count("*").alias("n_samples"))
 
 
+def _behind(df: DataFrame, labels: list[str], time: str, seconds: int, columns: dict) -> DataFrame:
+    """``df`` with ``columns`` (name: function of a window) over the ``seconds`` up to each row.
+
+    Time is cut into chunks of a day or of ``seconds``, and every row also goes to the next chunk as what lies behind it: a series of any
+    length is spread over tasks.
+    """
+    size = max(86_400, seconds) * 1_000_000
+    at = df.withColumn("__at", F.unix_micros(F.col(time).cast("timestamp"))).withColumn("__own", F.floor(F.col("__at") / size))
+    both = at.withColumn("__chunk", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+    w = Window.partitionBy(*labels, "__chunk").orderBy("__at").rangeBetween(-seconds * 1_000_000, 0)
+    found = both.select("*", *(f(w).alias(name) for name, f in columns.items()))
+    return found.where(F.col("__chunk").eqNullSafe(F.col("__own"))).drop("__at", "__own", "__chunk")
+
+
 def over_time(df: DataFrame, labels: list[str], time: str, value: str, seconds: int) -> DataFrame:
     """Average, least and largest value of the ``seconds`` up to each sample."""
-    at = F.unix_micros(F.col(time).cast("timestamp"))
-    w = Window.partitionBy(*labels).orderBy("__at").rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumn("__at", at).select(
-        "*", F.avg(value).over(w).alias("avg_over"), F.min(value).over(w).alias("min_over"), F.max(value).over(w).alias("max_over")
-    ).drop("__at")
+    return _behind(df, labels, time, seconds, {name: lambda w, f=f: f(value).over(w) for name, f in (("avg_over", F.avg), ("min_over", F.min), ("max_over", F.max))})
 
 
 def histogram_quantile(df: DataFrame, by: list[str], le: str, count: str, q: float) -> DataFrame:
@@ -61,15 +71,32 @@ def histogram_quantile(df: DataFrame, by: list[str], le: str, count: str, q: flo
 
 
 def breaches(df: DataFrame, labels: list[str], time: str, value: str, threshold: float, step: int, least: int, above: bool = True) -> DataFrame:
-    """Runs of samples beyond ``threshold``, at most ``step`` seconds apart, that last ``least`` seconds; one row a run."""
+    """Runs of samples beyond ``threshold``, at most ``step`` seconds apart, that last ``least`` seconds; one row a run.
+
+    Runs are found inside chunks of time, so a series of any length is spread over tasks; then those that touch a chunk's edge are joined
+    with the next chunk's first, which handles runs only.
+    """
     bad = F.col(value) > threshold if above else F.col(value) < threshold
     at = F.unix_micros(F.col(time).cast("timestamp"))
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*labels, F.col(time).alias("at_time"), F.col(value).alias("v"), at.alias("at"), bad.alias("bad"))
-    w = Window.partitionBy(*labels).orderBy("at")
-    opens = F.col("bad") & (~F.coalesce(F.lag("bad").over(w), F.lit(False)) | (F.col("at") - F.lag("at").over(w) > step * 1_000_000))
-    runs = rows.withColumn("opens", opens).withColumn("run", F.sum(F.col("opens").cast("int")).over(w)).where("bad")
-    worst = F.max("v") if above else F.min("v")
-    found = runs.groupBy(*labels, "run").agg(F.min("at_time").alias("from_time"), F.max("at_time").alias("to_time"), F.count("*").alias("n_samples"), worst.alias("worst"), ((F.max("at") - F.min("at")) / 1e6 + step).cast("long").alias("seconds"))
+    rows = rows.withColumn("chunk", F.floor(F.col("at") / (max(86_400, 2 * step) * 1_000_000)))
+    w = Window.partitionBy(*labels, "chunk").orderBy("at")
+    far = lambda before: F.col("at") - before > step * 1_000_000
+    opens = F.col("bad") & (~F.coalesce(F.lag("bad").over(w), F.lit(False)) | far(F.lag("at").over(w)))
+    runs = rows.select("*", opens.alias("opens"), F.lag("at").over(w).isNull().alias("first"), F.lead("at").over(w).isNull().alias("last"))
+    runs = runs.withColumn("run", F.sum(F.col("opens").cast("int")).over(w)).where("bad")
+    worst = F.max if above else F.min
+    parts = runs.groupBy(*labels, "chunk", "run").agg(
+        F.min("at").alias("begin"), F.max("at").alias("end"), F.min("at_time").alias("from_time"), F.max("at_time").alias("to_time"),
+        F.count("*").alias("n_samples"), worst("v").alias("worst"), F.max("first").alias("first"), F.max("last").alias("last"),
+    )
+    order = Window.partitionBy(*labels).orderBy("begin")
+    goes_on = F.col("first") & F.coalesce(F.lag("last").over(order), F.lit(False)) & (F.col("begin") - F.lag("end").over(order) <= step * 1_000_000)
+    whole = parts.withColumn("begins", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("run", F.sum("begins").over(order))
+    found = whole.groupBy(*labels, "run").agg(
+        F.min("from_time").alias("from_time"), F.max("to_time").alias("to_time"), F.sum("n_samples").alias("n_samples"), worst("worst").alias("worst"),
+        ((F.max("end") - F.min("begin")) / 1e6 + step).cast("long").alias("seconds"),
+    )
     return found.where(F.col("seconds") >= least).drop("run")
 
 
@@ -113,12 +140,21 @@ def days_ratio(per_window: DataFrame, labels: list[str], value: str) -> DataFram
     return found.select("*", ratio.alias("ratio"), F.coalesce((ratio < BAND[0]) | (ratio > BAND[1]), F.lit(False)).alias("unusual"))
 
 
-def downsample(df: DataFrame, labels: list[str], time: str, points: int) -> DataFrame:
-    """At most about ``points`` samples of each series, evenly by rank, and always its last."""
+def downsample(df: DataFrame, labels: list[str], time: str, points: int, chunks: int = 256) -> DataFrame:
+    """At most about ``points`` samples of each series, evenly by rank (``rn``), and always its last.
+
+    Ranks are counted in ``chunks`` equal parts of a series' span, which are spread over tasks, behind the sizes of the parts before.
+    """
+    at = F.col(time).cast("double") if df.schema[time].dataType.typeName() not in ("timestamp", "timestamp_ntz", "date") else F.unix_micros(F.col(time).cast("timestamp")).cast("double")
+    spans = df.groupBy(*labels).agg(F.min(at).alias("__low"), F.max(at).alias("__high"))
+    part = F.floor((at - F.col("__low")) / F.greatest(F.col("__high") - F.col("__low"), F.lit(1e-9)) * (chunks - 1))
+    placed = df.join(spans, labels).withColumn("__part", part).drop("__low", "__high")
+    sizes = placed.groupBy(*labels, "__part").agg(F.count("*").alias("__size"))
     w = Window.partitionBy(*labels)
-    ranked = df.withColumn("rn", F.row_number().over(w.orderBy(time))).withColumn("n", F.count("*").over(w))
-    every = F.ceil(F.col("n") / points)
-    return ranked.where(((F.col("rn") - 1) % every == 0) | (F.col("rn") == F.col("n"))).drop("n")
+    before = sizes.select(*labels, "__part", (F.sum("__size").over(w.orderBy("__part")) - F.col("__size")).alias("__before"), F.sum("__size").over(w).alias("__n"))
+    ranked = placed.join(before, [*labels, "__part"]).withColumn("rn", F.row_number().over(Window.partitionBy(*labels, "__part").orderBy(time)) + F.col("__before"))
+    every = F.ceil(F.col("__n") / points)
+    return ranked.where(((F.col("rn") - 1) % every == 0) | (F.col("rn") == F.col("__n"))).drop("__part", "__before", "__n")
 
 
 def first_of_each(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
@@ -173,9 +209,7 @@ def health(tagged: DataFrame, labels: list[str], value: str, threshold: float, b
 
 def quantile_over_time(df: DataFrame, labels: list[str], time: str, value: str, seconds: int, q: float) -> DataFrame:
     """Mean and q-quantile of the ``seconds`` up to each sample."""
-    w = Window.partitionBy(*labels).orderBy("__at").rangeBetween(-seconds * 1_000_000, 0)
-    at = df.withColumn("__at", F.unix_micros(F.col(time).cast("timestamp")))
-    return at.select("*", F.avg(value).over(w).alias("avg_over"), F.percentile(value, F.lit(q)).over(w).alias("quantile_over")).drop("__at")
+    return _behind(df, labels, time, seconds, {"avg_over": lambda w: F.avg(value).over(w), "quantile_over": lambda w: F.percentile(value, F.lit(q)).over(w)})
 
 
 def stale(df: DataFrame, labels: list[str], time: str, last_day: str, most: int = 20) -> DataFrame:
