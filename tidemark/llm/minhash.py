@@ -69,29 +69,26 @@ def places(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple((r >> shift).astype(np.int64) + i * WIDTH for i, r in enumerate(rows))
 
 
-def _shingles(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, n) of every row, packed, and a last row of each task with its part of the sketch in ``counts``."""
-    names = ["doc_id", "h", "n", "counts"]
+def _sketch(docs: DataFrame) -> DataFrame:
+    """(counts): a row a task with its part of the sketch, the number of its texts last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, texts = np.zeros(2 * WIDTH, np.int64), 0
         for batch in batches:
             for part in slices(batch):
-                found = [counted(words_of(t)) for t in part["text"].to_pylist()]
+                found = [counted(words_of(t))[0] for t in part["text"].to_pylist()]
                 texts += len(found)
-                for row in places(np.concatenate([h for h, _ in found])):
+                for row in places(np.concatenate(found)):
                     total += np.bincount(row, minlength=2 * WIDTH)
-                cols = [pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1)]
-                yield pa.record_batch([part["doc_id"], *cols, pa.nulls(len(found), pa.binary())], names)
         used = np.flatnonzero(total)
         sketch = np.stack([np.append(used, -1), np.append(total[used], texts)]).astype("<i4").tobytes()
-        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([sketch], pa.binary())], names)
+        yield pa.record_batch([pa.array([sketch], pa.binary())], ["counts"])
 
-    return docs.mapInArrow(run, "doc_id long, h binary, n binary, counts binary")
+    return docs.select("text").mapInArrow(run, "counts binary")
 
 
-def sketch_weights(shingled: DataFrame) -> np.ndarray:
-    """Inverse document frequency by place of the sketch, over all texts; 2 * WIDTH floats whatever the corpus size.
+def sketch_weights(docs: DataFrame) -> np.ndarray:
+    """Inverse document frequency by place of the sketch, over all texts of ``docs``; 2 * WIDTH floats whatever the corpus size.
 
     What other shingles add to a place on average is taken off; a shingle's weight is the larger of its two places'.
     """
@@ -102,7 +99,7 @@ def sketch_weights(shingled: DataFrame) -> np.ndarray:
                 place, n = np.frombuffer(blob, "<i4").reshape(2, -1)
                 yield pa.record_batch([pa.array(place), pa.array(n.astype(np.int64))], ["place", "n"])
 
-    parts = shingled.where("counts is not null").select("counts").mapInArrow(run, "place int, n long")
+    parts = _sketch(docs).mapInArrow(run, "place int, n long")
     rows = parts.groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     place, n = rows["place"].to_numpy(), rows["n"].to_numpy()
     count = np.zeros(2 * WIDTH)
@@ -119,10 +116,10 @@ def weights_of(shingles: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.maximum(idf[first], idf[second])
 
 
-def unpacked(h: bytes, n: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes ascending, weight of one, occurrences) of a document's shingles."""
-    found = np.frombuffer(h, np.uint64)
-    return found, weights_of(found, idf), np.frombuffer(n, np.int32)
+def weighed(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes ascending, weight of one, occurrences) of a text's shingles."""
+    found, times = counted(words_of(text))
+    return found, weights_of(found, idf), times
 
 
 class Sampler:
@@ -181,24 +178,34 @@ class Sampler:
         return out.view(np.int64)
 
 
-def _samples(shingled: DataFrame, idf) -> DataFrame:
-    """(doc_id, band, key): a row a band of each document with a shingle."""
+def _samples(docs: DataFrame, idf) -> DataFrame:
+    """(doc_id, band, key): a row a band of each document with a shingle; documents are sampled together, about AT_ONCE shingles at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, weights = Sampler(), idf.value
-        for batch in batches:
-            ids, packed, sizes = batch["doc_id"].to_numpy(), batch["h"].to_pylist(), np.array([len(h) // 8 for h in batch["h"].to_pylist()], np.int64)
-            start = 0
-            while start < len(ids):
-                end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), AT_ONCE, "right")))
-                h = np.frombuffer(b"".join(packed[start:end]), np.uint64)
-                n = np.frombuffer(b"".join(batch["n"].slice(start, end - start).to_pylist()), np.int32)
-                keys = sampler.keys(h, weights_of(h, weights) * n, sizes[start:end])
-                cols = [np.repeat(ids[start:end], BANDS), np.tile(np.arange(BANDS, dtype=np.int32), end - start), keys.ravel()]
-                yield pa.record_batch([pa.array(c) for c in cols], ["doc_id", "band", "key"])
-                start = end
 
-    return shingled.where("counts is null").select("doc_id", "h", "n").mapInArrow(run, "doc_id long, band int, key long")
+        def drawn(ids: list[int], found: list) -> pa.RecordBatch:
+            h, w = np.concatenate([x[0] for x in found]), np.concatenate([x[1] * x[2] for x in found])
+            keys = sampler.keys(h, w, np.array([len(x[0]) for x in found]))
+            cols = [np.repeat(np.array(ids, np.int64), BANDS), np.tile(np.arange(BANDS, dtype=np.int32), len(ids)), keys.ravel()]
+            return pa.record_batch([pa.array(c) for c in cols], ["doc_id", "band", "key"])
+
+        for batch in batches:
+            for part in slices(batch):
+                ids, found, held = [], [], 0
+                for key, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    x = weighed(text, weights)
+                    if len(x[0]):
+                        ids.append(key)
+                        found.append(x)
+                        held += len(x[0])
+                    if held >= AT_ONCE:
+                        yield drawn(ids, found)
+                        ids, found, held = [], [], 0
+                if ids:
+                    yield drawn(ids, found)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, band int, key long")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -256,7 +263,7 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
 def _star_links(group: pa.Table, idf: np.ndarray) -> pa.Table:
     """(a, b): the members of a group that are like its head, and the head."""
     ids, head = group["doc_id"].to_numpy(), group["rep"].to_numpy()
-    sets = [unpacked(h, n, idf) for h, n in zip(group["h"].to_pylist(), group["n"].to_pylist(), strict=True)]
+    sets = [weighed(t, idf) for t in group["text"].to_pylist()]
     heads, others = np.flatnonzero(ids == head), np.flatnonzero(ids != head)
     x, y = alike([sets[i] for i in others], [sets[i] for i in heads])
     return _pairs(ids[others[x]], ids[heads[y]])
@@ -265,7 +272,7 @@ def _star_links(group: pa.Table, idf: np.ndarray) -> pa.Table:
 def _cross_links(tile: pa.Table, idf: np.ndarray) -> pa.Table:
     """(a, b): the labels of the pairs of a tile that are alike and have different labels; each pair of labels once."""
     side, label = tile["side"].to_numpy(), tile["label"].to_numpy()
-    sets = [unpacked(h, n, idf) for h, n in zip(tile["h"].to_pylist(), tile["n"].to_pylist(), strict=True)]
+    sets = [weighed(t, idf) for t in tile["text"].to_pylist()]
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     x, y = alike([sets[i] for i in a], [sets[i] for i in b])
     found = np.unique(np.stack([label[a[x]], label[b[y]]], 1), axis=0)
@@ -288,11 +295,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     firsts = stored(least, f"{path}/firsts")
     long = firsts.where(F.col("n_words") >= SHINGLE).select(F.col("first").alias("doc_id"))
-    once = docs.join(long, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    shingled = stored(_shingles(once), f"{path}/shingles")
-    idf = spark.sparkContext.broadcast(sketch_weights(shingled))
-    samples = stored(_samples(shingled, idf), f"{path}/samples")
-    sets = shingled.where("counts is null").select("doc_id", "h", "n")
+    once = stored(docs.join(long, "doc_id", "left_semi"), f"{path}/once")
+    idf = spark.sparkContext.broadcast(sketch_weights(once))
+    samples = stored(_samples(once, idf), f"{path}/samples")
     # Buckets of the same documents count once.
     buckets = samples.groupBy("band", "key").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("top"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("mark")
@@ -302,6 +307,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     salts = buckets.groupBy("low").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("salts"))
     buckets = stored(buckets.join(salts, "low"), f"{path}/buckets")
     members = stored(samples.join(buckets.select("band", "key", "low", "salts"), ["band", "key"]), f"{path}/members")
+    involved = stored(members.select("doc_id").distinct(), f"{path}/involved")
+    texts = stored(once.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), f"{path}/texts")
 
     def star_links(group: pa.Table) -> pa.Table:
         return _star_links(group, idf.value)
@@ -309,7 +316,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64("doc_id"), F.col("salts").cast("long")).cast("int").alias("salt")
     to_low = members.where("doc_id != low").select(F.col("low").alias("rep"), salt, "doc_id").distinct()
     heads = buckets.select(F.col("low").alias("rep"), "salts").distinct().select("rep", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    stars = to_low.unionByName(heads.withColumn("doc_id", F.col("rep"))).join(sets, "doc_id")
+    stars = to_low.unionByName(heads.withColumn("doc_id", F.col("rep"))).join(texts, "doc_id")
     links = stored(stars.groupBy("rep", "salt").applyInArrow(star_links, "a long, b long").distinct(), f"{path}/links")
     settled = stored(components(links, f"{path}/parts"), f"{path}/settled").select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
 
@@ -328,7 +335,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def cross_links(tile: pa.Table) -> pa.Table:
         return _cross_links(tile, idf.value)
 
-    crossed = left.unionByName(right).join(sets, "doc_id").groupBy("band", "key", "i", "j").applyInArrow(cross_links, "a long, b long")
+    crossed = left.unionByName(right).join(texts, "doc_id").groupBy("band", "key", "i", "j").applyInArrow(cross_links, "a long, b long")
     bridges = stored(crossed.distinct(), f"{path}/bridges")
     joined = stored(components(bridges, f"{path}/wholes"), f"{path}/whole")
     classes = firsts.join(settled, F.col("first") == F.col("doc_id"), "left").select("digest", F.coalesce("label", "first").alias("label"))
