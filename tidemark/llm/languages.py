@@ -5,7 +5,7 @@ words, so each distinct word is scored once in a batch.  For each order the hash
 one array, beside their interpolated log probabilities and, for contexts, the back-off weights.  A text goes to
 the language of least cross-entropy a character.  Labelled documents that were not counted calibrate the rejection: their deviations
 from their language's mean give a variance within a text, which falls with its length, and one between texts, which does not; a
-text is rejected beyond every calibration document and beyond the limit that the tail of their deviations sets for ``FALSE_REJECTS``.
+text is rejected beyond the limit that the tail of their deviations sets for ``FALSE_REJECTS``.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 UNIFORM = 1 / 4096
 UNKNOWN = "und"
 #: Share of texts of a known language that may be rejected, by an exponential tail beyond the farthest tenth of the calibration documents.
-FALSE_REJECTS = 1e-9
+FALSE_REJECTS = 1e-6
 MOST_WORDS = 300_000
 FIT_DOCS = 3000
 CALIBRATION_DOCS = 500
@@ -135,15 +135,17 @@ class Languages:
                 self.mean[i] = np.average(entropy[language == i], weights=n[language == i])
         if len(n) < 2:
             return
-        off, weight = (entropy - self.mean[language]) ** 2 * n, 1 / n**2
-        for _ in range(8):  # off is within + between * n on average; its error grows likewise
-            a, b = np.stack([np.ones(len(n)), n], 1), weight[:, None]
-            self.within, self.between = np.maximum(np.linalg.lstsq((a * b).T @ a, (a * b).T @ off, rcond=None)[0], [1e-3, 1e-6]).tolist()
-            weight = 1 / (self.within + self.between * n) ** 2
+        off = (entropy - self.mean[language]) ** 2 * n  # within + between * n on average, with an error that grows likewise
+        for _ in range(8):
+            odd = off / (self.within + self.between * n)
+            usual = odd <= np.quantile(odd, 0.99)  # texts in two languages do not widen what is usual
+            a, b = np.stack([np.ones(len(n)), n], 1)[usual], (1 / (self.within + self.between * n) ** 2)[usual, None]
+            found = np.linalg.lstsq((a * b).T @ a, (a * b).T @ off[usual], rcond=None)[0]
+            self.within, self.between = np.maximum(found, [1e-3, 1e-6]).tolist()
         far = np.sort(self.far(entropy, n, language))
         edge = float(np.quantile(far, 0.9))
         excess = float(np.mean(np.append(far[far > edge] - edge, 0.0)[: max((far > edge).sum(), 1)]))
-        self.limit = max(float(far[-1]), edge + excess * float(np.log(0.1 / FALSE_REJECTS)))
+        self.limit = edge + excess * float(np.log(0.1 / FALSE_REJECTS))
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Rows (characters with the end mark, log probability under each language)."""
