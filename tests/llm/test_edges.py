@@ -76,6 +76,36 @@ def test_near_dedup_keeps_one_of_each_and_all_that_have_no_text(nasty):
     assert sorted(repr(r.doc_id) for r in minhash.one_of_each(nasty).select("doc_id").collect()) == sorted(map(repr, [1, 2, 3, 4, 6, None, 9, 10]))
 
 
+def test_rows_that_share_a_doc_id_but_not_their_text(spark):
+    """Each row is shortened by what smaller doc_ids hold, not by its twin; near-dedup takes them as one document."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(120)) for w in "abc")
+    rows = [(1, a), (2, b + " " + a), (2, a), (2, b), (3, b + " x " + c), (3, c), (4, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.repeated_words(df).collect())
+    assert cut == [(1, 120, 0), (2, 120, 0), (2, 120, 120), (2, 240, 120), (3, 120, 0), (3, 241, 120), (4, 120, 120)]
+    out = sorted((r.doc_id, r.text) for r in substrings.without_repeats(df).collect())
+    assert out == sorted([(1, a), (2, b), (2, ""), (2, b), (3, "x " + c), (3, c), (4, "")])
+    classes = sorted((r.doc_id, r.class_id) for r in minhash.near_duplicates(df).collect())
+    assert classes == [(1, 1), (2, 1), (2, 1), (2, 1), (3, 3), (3, 3), (4, 3)]
+
+
+def test_one_very_long_document(spark):
+    """A text of 400,000 words and another that holds 30,000 of them."""
+    whole = [f"w{(i * i) % 99_991}" for i in range(400_000)]
+    df = spark.createDataFrame([(1, " ".join(whole)), (2, "start " + " ".join(whole[100_000:130_000]) + " end")], "doc_id long, text string")
+    cut = {r.doc_id: r for r in substrings.repeated_words(df).collect()}
+    assert cut[1].n_removed == 0 and cut[2].n_removed == 30_000 and cut[2].kept_sha256 == hashlib.sha256(b"start end").hexdigest()
+    assert {r.class_id for r in minhash.near_duplicates(df).collect()} == {1, 2}
+
+
+def test_clashing_columns_of_the_same_type(spark):
+    vs = spark.createDataFrame([(1, [1.0, 0.0], 5, 6), (2, [1.0, 0.001], 7, 8)], "vec_id long, embedding array<double>, uid long, n long")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_vectors(vs).collect()) == [(1, 1, 1), (2, 1, 1)]
+    ps = spark.createDataFrame([(1, "u", "<article><p>x</p></article>", "other", 9)], "page_id long, url string, html string, text string, n_chars long")
+    assert [(r.text, r.n_chars) for r in html_text.extract(ps).collect()] == [("x", 1)]
+    assert embeddings.near_vectors(spark.createDataFrame([(1, [float(i % 7) for i in range(20_000)]), (2, [float(i % 7) for i in range(20_000)])], "vec_id long, embedding array<double>")).where("n_links = 1").count() == 2
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     vs = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, 0.0, 0.0]), (9, [0.0, 1.0]), (None, [1.0, 0.0]), (10, []), (11, [1e200, 1e190])]
