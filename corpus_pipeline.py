@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 one's docs.  All but the last return the columns of documents.
+
+Null, empty and blank texts go in the first stage.  Rows that repeat, rows that share a doc_id but not their text, and rows without
+doc_id are each judged by their own text; near-dedup keeps all rows of a doc_id it keeps.  Texts of any length are read whole, columns
+that a stage does not know are carried, and an empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
