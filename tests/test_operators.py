@@ -217,3 +217,32 @@ def test_alike_misses_no_pair(spark):
     for least in (0.3, 0.6, 1.0):
         want = {(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
         assert {(r.a, r.b) for r in search.alike(df, "id", F.col("text"), least).collect()} == want and want
+
+
+def test_strong_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 1), (7, 7)], "src long, dst long")
+    assert {r.node: r.component for r in entities.strong_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7}
+
+
+def test_runs_cross_midnight(spark):
+    df = spark.sql("select 'x' s, timestamp_ntz'2024-01-01 22:30:00' + make_interval(0,0,0,0,0,0,1800 * id) ts, cast(if(id in (1,2,3,4,5,9), 5, 1) as double) v from range(100)")
+    found = series.breaches(df, ["s"], "ts", "v", 3.0, 1800, 3600).orderBy("from_time").collect()
+    assert [(r.n_samples, r.seconds) for r in found] == [(5, 9000)]
+
+
+def test_closest_columns(spark):
+    asked, columns = spark.createDataFrame([("order key",)], "asked string"), spark.createDataFrame([("o_orderkey",), ("orderkey",), ("custkey",)], "column string")
+    assert rows(search.closest_columns(asked, columns)) == [("order key", "o_orderkey", 0.9), ("order key", "orderkey", 1.0)]
+
+
+def test_pieces_fit_and_cover():
+    text = "One sentence. " * 50 + "\n\n" + "word " * 400 + "x" * 3000
+    for size, overlap in ((100, 20), (1200, 150)):
+        cut = search.pieces(text, size, overlap)
+        assert all(0 < len(p) <= size for p in cut) and all(p in text for p in cut)
+        at = 0
+        for p in cut:  # nothing but blanks between a piece and what came before it
+            start = text.find(p, max(0, at - overlap - 1))
+            assert start <= at or not text[at:start].strip()
+            at = max(at, start + len(p))
+        assert not text[at:].strip()

@@ -485,3 +485,87 @@ def number_texts(spark, sf_dir):
 @query(f"SELECT doc_id, translate(text, '{answers.MARKS}', '{answers.PLAIN.replace(chr(39), chr(39) * 2)}') AS plain FROM documents")
 def plain_signs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", answers.plain_signs(F.col("text")).alias("plain"))
+
+
+# Structure
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_suppkey <> l_partkey), n AS (SELECT a AS node FROM e UNION SELECT b FROM e), r(a, b) AS (SELECT node, node FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+       SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1"""
+)
+def strong_components(spark, sf_dir):
+    """Nodes that reach each other along all lines, taken as edges from the supplier's key to the part's."""
+    return entities.strong_components(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")))
+
+
+@query(
+    """WITH m AS (SELECT DISTINCT lower(split_part(text, ' ', 3)) AS name FROM benchmark), w AS (SELECT doc_id, source, n_chars, unnest(list_distinct(string_split_regex(lower(text), '[^a-z]+'))) AS name FROM documents),
+       p AS (SELECT name, source, count(*) AS n, max(n_chars) AS last FROM w JOIN m USING (name) WHERE name <> '' GROUP BY 1, 2)
+       SELECT name, arg_min(source, (-n, source)) AS own_space, sum(n)::BIGINT AS n_pages, count(*) AS n_spaces, max(last) AS last_change FROM p GROUP BY 1"""
+)
+def parts_index(spark, sf_dir):
+    """Which source writes most about a word, who else does, and the largest text (in place of the latest change)."""
+    docs = table(spark, sf_dir, "documents")
+    names = table(spark, sf_dir, "benchmark").select(F.lower(F.split_part("text", F.lit(" "), F.lit(3))).alias("name")).distinct().where("name != ''")
+    said = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("name")).join(names, "name")
+    return entities.parts_index(said, docs, "doc_id", "source", "n_chars")
+
+
+def _column_names(spark, sf_dir):
+    return [(f"{t}.{c}",) for t in ("orders", "lineitem", "customer", "part", "supplier") for c in table(spark, sf_dir, t).columns]
+
+
+_WANTED = ("orderkey", "cust_key", "l_ship_date", "O_ORDERSTATUS", "retail price", "suppkey")
+
+
+@query()
+def closest_columns(spark, sf_dir):
+    """Columns of the tables for names as somebody wrote them (their list is no table of the oracle's)."""
+    asked = spark.createDataFrame([(w,) for w in _WANTED], "asked string")
+    return search.closest_columns(asked, spark.createDataFrame(_column_names(spark, sf_dir), "column string"), 0.3)
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, list_distinct({_terms_sql('text')}) AS ts FROM conversations), l AS (SELECT conv_id, turn, len(list_intersect(ts, lag(ts) OVER w)) AS overlap FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        o AS (SELECT conv_id, turn, coalesce(overlap, 0)::INT AS overlap, coalesce(overlap < 2, TRUE) AS opens FROM l) SELECT *, sum(opens::INT) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS subject FROM o"""
+)
+def message_subjects(spark, sf_dir):
+    """Where a conversation turns to another subject."""
+    return search.subjects(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("text"))
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, list_distinct({_terms_sql('text')}) AS ts FROM conversations), w AS (SELECT conv_id, turn, unnest(ts) AS term FROM t)
+        SELECT a.conv_id, a.turn, b.turn AS other, count(*) AS hits FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.term = b.term AND a.turn <> b.turn GROUP BY 1, 2, 3"""
+)
+def own_chat_hits(spark, sf_dir):
+    """What else was said in the same conversation about a turn's words; other conversations are never looked at."""
+    w = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
+    pairs = w.join(w.withColumnRenamed("turn", "other"), ["conv_id", "term"]).where("turn != other")
+    return pairs.groupBy("conv_id", "turn", "other").agg(F.count("*").alias("hits"))
+
+
+def _learned_sql(rounds: int) -> str:
+    sql = """WITH l AS (SELECT doc_id, n_chars / 10000.0::DOUBLE AS size, len(string_split(text, chr(10))) / 10.0::DOUBLE AS lines, quality, source FROM documents JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)),
+     r AS (SELECT *, row_number() OVER (PARTITION BY source, quality ORDER BY doc_id) AS rn FROM l), p AS (SELECT g.size - b.size AS size, g.lines - b.lines AS lines FROM r g JOIN r b ON g.source = b.source AND g.rn = b.rn WHERE g.quality = 1 AND b.quality = 0), w0 AS (SELECT 1.0::DOUBLE AS size, 1.0::DOUBLE AS lines)"""
+    for i in range(rounds):
+        step = ", ".join(f"least(3.0, greatest(0.0, any_value(w.{f}) + 0.05 * coalesce(avg(p.{f} / (1 + exp(p.size * w.size + p.lines * w.lines))), 0) - 0.02 * (any_value(w.{f}) - 1)))::DOUBLE AS {f}" for f in ("size", "lines"))
+        sql += f", w{i + 1} AS (SELECT {step} FROM p, w{i} w)"
+    return sql + f" SELECT 'size' AS feature, round(size, 6) AS weight FROM w{rounds} UNION ALL SELECT 'lines', round(lines, 6) FROM w{rounds}"
+
+
+@query(_learned_sql(4))
+def preference_weights(spark, sf_dir):
+    """Weights of two features learned from pairs of a good and a poor document of one source."""
+    from pyspark.sql import Window
+
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    docs = table(spark, sf_dir, "documents").join(labels, "doc_id").select(
+        "doc_id", "source", "quality", (F.col("n_chars") / 10000.0).alias("size"), (F.size(F.split("text", "\n")) / 10.0).alias("lines")
+    )
+    ranked = docs.withColumn("rn", F.row_number().over(Window.partitionBy("source", "quality").orderBy("doc_id")))
+    good, poor = ranked.where("quality = 1"), ranked.where("quality = 0").select("source", "rn", F.col("size").alias("s"), F.col("lines").alias("l"))
+    pairs = good.join(poor, ["source", "rn"]).select((F.col("size") - F.col("s")).alias("size"), (F.col("lines") - F.col("l")).alias("lines"))
+    found = search.learn_preferences(kept(pairs), ["size", "lines"])
+    return spark.createDataFrame([(f, round(w, 6)) for f, w in found.items()], "feature string, weight double")

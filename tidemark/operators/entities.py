@@ -234,3 +234,56 @@ def category_fields(fields: dict[str, DataFrame], category: DataFrame, least: in
     return per.select(
         "field", "held", F.round(F.col("held") / F.col("values"), 6).alias("of_category"), F.round(F.col("held") / F.col("own"), 6).alias("of_field")
     ).where((F.col("held") >= least) & (F.col("of_category") >= of_category) & (F.col("of_field") >= of_field))
+
+
+def strong_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """(node, component): nodes that reach each other along src -> dst, the component named by its smallest node.
+
+    Colour by colour: the smallest node that reaches a node is its colour; a colour's name, walked backwards inside the colour, reaches one
+    whole component, which is settled and leaves the graph.  Every walk is a loop of joins whose rounds are stored.
+    """
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    live, done = kept(edges.select("src", "dst").where("src != dst").distinct()), None
+    left = kept(nodes)
+    for _ in range(most_rounds):
+        if not left.limit(1).count():
+            break
+        colour = _spread(left.select("node", F.col("node").alias("colour")), live, most_rounds)
+        inside = live.join(colour.toDF("src", "cs"), "src").join(colour.toDF("dst", "cd"), "dst").where("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        found = colour.where("node = colour").select("node", "colour")
+        front = found
+        for _ in range(most_rounds * 20):
+            front = kept(front.toDF("src", "colour").join(inside, "src").select(F.col("dst").alias("node"), "colour").distinct().join(found, "node", "left_anti"))
+            if not front.limit(1).count():
+                break
+            found = kept(found.unionByName(front))
+        part = found.select("node", F.col("colour").alias("component"))
+        done = part if done is None else done.unionByName(part)
+        left = kept(left.join(found, "node", "left_anti"))
+        live = kept(live.join(left.toDF("src"), "src", "left_semi").join(left.toDF("dst"), "dst", "left_semi"))
+    else:
+        raise RuntimeError("components did not settle")
+    return done if done is not None else nodes.withColumn("component", F.col("node"))
+
+
+def _spread(colours: DataFrame, edges: DataFrame, most_rounds: int) -> DataFrame:
+    """(node, colour): the smallest colour that reaches each node along the edges."""
+    for _ in range(most_rounds * 20):
+        came = edges.join(colours.toDF("src", "came"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("came").alias("came"))
+        following = kept(colours.join(came, "node", "left").select("node", F.least("colour", F.coalesce("came", "colour")).alias("colour"), (F.col("came") < F.col("colour")).alias("moved")))
+        colours = following.select("node", "colour")
+        if not following.where("moved").limit(1).count():
+            return colours
+    raise RuntimeError("colours did not settle")
+
+
+def parts_index(mentions: DataFrame, pages: DataFrame, page: str, space: str, changed: str) -> DataFrame:
+    """(name, own_space, n_pages, n_spaces, last_change) of every name with a mention (name, page).
+
+    ``own_space`` is the space with most pages about it, the first by name of equals; pages are (page, space, changed).
+    """
+    on = mentions.select("name", page).distinct().join(pages.select(page, space, changed), page)
+    per = on.groupBy("name", space).agg(F.count("*").alias("n"), F.max(changed).alias("last"))
+    return per.groupBy("name").agg(
+        F.min_by(space, F.struct(-F.col("n"), F.col(space))).alias("own_space"), F.sum("n").alias("n_pages"), F.count("*").alias("n_spaces"), F.max("last").alias("last_change")
+    )

@@ -82,3 +82,9 @@ def restore(spark: SparkSession, path: str, names: list[str] | None = None) -> d
 
     rows = spark.read.schema("name string, schema string").json(f"{path}/manifest").collect()  # one row a table
     return {r["name"]: spark.read.schema(StructType.fromJson(json.loads(r["schema"]))).json(f"{path}/{r['name']}") for r in rows if not names or r["name"] in names}
+
+
+def write_vectors(vectors: DataFrame, key: str, vector: str, path: str) -> None:
+    """Vectors as Parquet of single-precision arrays, one row a key; of several vectors of a key the greatest is kept."""
+    one = vectors.where(F.col(vector).isNotNull()).groupBy(key).agg(F.max(F.col(vector).cast("array<float>")).alias(vector))
+    one.write.mode("overwrite").parquet(path)
