@@ -519,9 +519,16 @@ def _column_names(spark, sf_dir):
 _WANTED = ("orderkey", "cust_key", "l_ship_date", "O_ORDERSTATUS", "retail price", "suppkey")
 
 
-@query()
+_PLAIN = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT table_name || '.' || column_name AS "column" FROM information_schema.columns WHERE table_name IN ('orders', 'lineitem', 'customer', 'part', 'supplier')),
+        p AS (SELECT asked, "column", {_PLAIN.format('asked')} AS x, {_PLAIN.format('"column"')} AS y FROM (VALUES {', '.join(f"('{w}')" for w in _WANTED)}) w(asked), c), t AS (SELECT *, {_TRI.format('x')} AS a, {_TRI.format('y')} AS b FROM p),
+        s AS (SELECT asked, "column", CASE WHEN x = y THEN 1.0 WHEN contains(x, y) OR contains(y, x) THEN 0.9 ELSE round(len(list_intersect(a, b)) / len(list_distinct(a || b)), 6) END::DOUBLE AS score FROM t WHERE len(list_intersect(a, b)) > 0) SELECT * FROM s WHERE score >= 0.3"""
+)
 def closest_columns(spark, sf_dir):
-    """Columns of the tables for names as somebody wrote them (their list is no table of the oracle's)."""
+    """Columns of the tables for names as somebody wrote them."""
     asked = spark.createDataFrame([(w,) for w in _WANTED], "asked string")
     return search.closest_columns(asked, spark.createDataFrame(_column_names(spark, sf_dir), "column string"), 0.3)
 

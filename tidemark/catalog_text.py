@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import entities, guards, logs, measures, search, series
 from tidemark.operators.scratch import kept
-from tidemark.registry import query
+from tidemark.registry import SQL, query
 from tidemark.sources.tables import page_rows, table
 from tidemark.streaming import windows
 
@@ -249,7 +249,7 @@ def block_members(spark, sf_dir):
     return entities.name_members(table(spark, sf_dir, "part"), "p_partkey", "p_name")
 
 
-@query()
+@query(SQL["block_pairs"])
 def block_pairs_all(spark, sf_dir):
     """The same under the name it had beside a filtered block_pairs."""
     return _block_pairs(spark, sf_dir)
