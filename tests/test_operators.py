@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from tidemark.functions import text as T
 from tidemark.operators import entities, groups, guards, logs, search, series
-from tidemark.plans.plan import Cond, Measure, Plan, Step, StepColumn, condition, factor, run_plan, validate
+from tidemark.plans.plan import Cond, Measure, Plan, Step, StepColumn, all_of, condition, factor, run_plan, validate
 from tidemark.sources import tables
 
 
@@ -246,3 +246,31 @@ def test_pieces_fit_and_cover():
             assert start <= at or not text[at:start].strip()
             at = max(at, start + len(p))
         assert not text[at:].strip()
+
+
+def test_day_periods_and_typed_literals(spark):
+    from tidemark.plans.plan import day_periods, ruled, typed, unit_of
+
+    df = spark.sql("select * from values (1, timestamp_ntz'2024-03-05 00:00:00', '07'), (2, timestamp_ntz'2024-03-05 23:59:59', '7'), (3, timestamp_ntz'2024-03-06 00:00:00', '7') t(n, at, s)")
+    pick = lambda *c: [r.n for r in df.where(all_of(typed(day_periods(c, df.schema), df.schema))).orderBy("n").collect()]
+    assert pick(Cond("at", "=", "2024-03-05")) == [1, 2] and pick(Cond("n", "in", ["01", "3"])) == [1, 3] and pick(Cond("s", "=", "7")) == [2, 3]
+    assert (unit_of("took_ms"), unit_of("size", {"size": "mb"}), unit_of("count")) == ("ms", "mb", None)
+    step = ruled(Step("q", "t", (Measure("n", "count"),)), {"t": {"x": Cond("n", ">", 1), "y": Cond("n", "<", 9)}}, ("y",))
+    assert [c.op for c in step.where] == [">"]
+
+
+def test_plans_cut_only_at_their_limit(spark):
+    df = spark.range(3000).selectExpr("id k")
+    step = Step("q1", "t", (Measure("n", "count"),), ("k",), order="n")
+    assert run_plan(Plan((step,)), {"t": df})["q1"].count() == 3000
+
+
+def test_severity_beats_the_alphabet(spark):
+    counts = spark.createDataFrame([("x", "warning", 0, 9), ("x", "fatal", 0, 1), ("x", "info", 1, 1)], "template string, level string, k int, n long")
+    assert logs.judge(counts, 3).first().level == "fatal"
+
+
+def test_values_in_longer_values_are_covered(spark):
+    values = spark.createDataFrame([("c", "York"), ("c", "New York"), ("s", "Open")], "field string, value string")
+    asked = spark.createDataFrame([(1, "open orders of New York"), (2, "york only")], "id int, q string")
+    assert rows(search.value_places(asked, "id", F.col("q"), values).select("id", "value")) == [(1, "New York"), (1, "Open"), (2, "York")]

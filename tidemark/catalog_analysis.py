@@ -576,3 +576,92 @@ def preference_weights(spark, sf_dir):
     pairs = good.join(poor, ["source", "rn"]).select((F.col("size") - F.col("s")).alias("size"), (F.col("lines") - F.col("l")).alias("lines"))
     found = search.learn_preferences(kept(pairs), ["size", "lines"])
     return spark.createDataFrame([(f, round(w, 6)) for f, w in found.items()], "feature string, weight double")
+
+
+# More of the plans, series and texts
+
+RULES = {"orders": {"no pending": Cond("o_orderstatus", "!=", "P"), "large": Cond("o_totalprice", ">", 1000)}}
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderstatus <> 'P' GROUP BY 1")
+def plan_rules(spark, sf_dir):
+    """Conditions that hold by rule, one of them lifted by the question."""
+    from tidemark.plans.plan import ruled
+
+    step = Step("q1", "orders", (Measure("n", "count"),), ("o_orderpriority",), (Cond("o_orderdate", ">=", "1996-01-01"),))
+    return _plan(spark, sf_dir, ruled(step, RULES, ("large",)))
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT 'c_mktsegment' AS field, CASE WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) || 'x' ELSE lower(c_mktsegment) END AS value FROM customer), k AS (SELECT lower(c_mktsegment) AS key, min(c_mktsegment) AS listed FROM customer GROUP BY 1)
+       SELECT field, value, listed FROM a LEFT JOIN k ON key = value"""
+)
+def listed_values(spark, sf_dir):
+    """Values in another case as their field lists them; unknown ones stay without."""
+    customer = table(spark, sf_dir, "customer")
+    low = F.lower("c_mktsegment")
+    asked = F.when(F.col("c_custkey") % 5 == 0, F.concat(low, F.lit("x"))).otherwise(low)
+    return search.listed_case(customer.select(F.lit("c_mktsegment").alias("field"), asked.alias("value")), customer.select(F.lit("c_mktsegment").alias("field"), F.col("c_mktsegment").alias("value")))
+
+
+@query(
+    f"WITH {_INDEX}, r AS (SELECT term FROM idx GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5), t AS (SELECT term, doc_id FROM idx JOIN r USING (term)) SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM t x JOIN t y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) >= 2"
+)
+def related_pages(spark, sf_dir):
+    """Documents that share two rare terms."""
+    return search.related(kept(_index(spark, sf_dir)), "doc_id")
+
+
+@query(
+    """WITH m AS (SELECT DISTINCT x.event_type AS a, y.event_type AS b, x.event_id FROM events x JOIN events y ON x.user_id = y.user_id AND x.event_type <> y.event_type AND abs(epoch_us(x.ts) - epoch_us(y.ts)) <= 600000000), t AS (SELECT event_type AS a, count(*) AS n FROM events GROUP BY 1)
+       SELECT a, b, round(count(*) / any_value(n), 6) AS share, round(count(*) / any_value(n), 6) >= 0.8 AS same FROM m JOIN t USING (a) GROUP BY 1, 2"""
+)
+def same_event_kinds(spark, sf_dir):
+    """Kinds of events that happen together."""
+    return entities.same_event_kinds(table(spark, sf_dir, "events"), "event_type", ["user_id"], "ts", "event_id", 600_000_000)
+
+
+@query(
+    """WITH c AS (SELECT user_id, event_id, (event_id * 7919) % 1000 / 1.0::DOUBLE AS v FROM events), g AS (SELECT user_id, event_id, v, CASE WHEN lag(v) OVER w IS NULL THEN 0 WHEN v < lag(v) OVER w THEN v ELSE v - lag(v) OVER w END AS increase FROM c WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+       p AS (SELECT user_id, count(*) AS n, min(v) AS least, max(v) AS most, round(avg(v), 6) AS mean, sum(increase) AS total, (max(event_id) - min(event_id)) / 1.0::DOUBLE AS seconds FROM g GROUP BY 1)
+       SELECT *, CASE WHEN seconds > 0 THEN round(total / seconds, 6) END AS rate FROM p"""
+)
+def metric_profiles(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("user_id", F.timestamp_seconds("event_id").alias("at"), ((F.col("event_id") * 7919) % 1000).cast("double").alias("v"))
+    return series.metric_profile(df, ["user_id"], "at", "v").withColumns({"mean": F.round("mean", 6), "rate": F.round("rate", 6)})
+
+
+@query("SELECT ts::DATE AS day, event_type, count(*) AS n, round(quantile_cont(value, 0.95), 6) AS p95, round(count(*) FILTER (WHERE value > 90) / count(*), 6) AS failed_share FROM events GROUP BY 1, 2")
+def latency_by_day(spark, sf_dir):
+    found = series.latencies(table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), ["day", "event_type"], "value", F.col("value") > 90)
+    return found.withColumns({"p95": F.round("p95", 6), "failed_share": F.round("failed_share", 6)})
+
+
+@query(
+    "WITH " + _BACK.format(start="2024-01-20 06:00:00", end="2024-01-20 18:00:00", size=86400, n=7) + """, p AS (SELECT event_type, k, max(value) AS n FROM cells GROUP BY 1, 2), a AS (SELECT event_type, max(n) FILTER (WHERE k = 0) AS now, median(n) FILTER (WHERE k > 0) AS usual FROM p GROUP BY 1)
+     SELECT *, CASE WHEN usual <> 0 THEN now / usual END AS ratio, coalesce(now / usual < 0.77 OR now / usual > 1.3, FALSE) AS unusual FROM a"""
+)
+def usual_days_highest(spark, sf_dir):
+    """The highest value now and the median of the highest of the same hours of seven earlier days."""
+    per = _back(spark, sf_dir, "2024-01-20 06:00:00", "2024-01-20 18:00:00", "day", 7).groupBy("event_type", "k").agg(F.max("value").alias("n"))
+    return series.days_ratio(per, ["event_type"], "n")
+
+
+@query("SELECT user_id, count(*) AS calls, round(count(*) FILTER (WHERE value < 20) / count(*), 6) AS cached, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1 ORDER BY calls DESC, user_id LIMIT 10")
+def usage_top(spark, sf_dir):
+    """The ten users with most calls: how many were answered from what was there, and their nearest-rank p95."""
+    per = table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.count("*").alias("calls"), F.round(F.count_if(F.col("value") < 20) / F.count("*"), 6).alias("cached"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95")
+    )
+    return per.orderBy(F.desc("calls"), "user_id").limit(10)
+
+
+@query(
+    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY source, md5(coalesce(text, '')) ORDER BY doc_id) AS copy FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM o WHERE copy = 1)
+       SELECT doc_id, source, n_chars FROM r WHERE rn <= 2 ORDER BY n_chars DESC, doc_id LIMIT 15"""
+)
+def cap_per_page_once(spark, sf_dir):
+    """At most two texts a source among the fifteen largest, copies counted once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.md5(F.coalesce("text", F.lit(""))).alias("text_id"))
+    once = docs.groupBy("source", "text_id").agg(F.min_by(F.struct("doc_id", "n_chars"), "doc_id").alias("d")).select("source", "d.doc_id", "d.n_chars")
+    return search.per_page(once.select("doc_id", "source", "n_chars"), "source", [F.desc("n_chars"), F.asc("doc_id")], 2, 15)

@@ -287,3 +287,13 @@ def parts_index(mentions: DataFrame, pages: DataFrame, page: str, space: str, ch
     return per.groupBy("name").agg(
         F.min_by(space, F.struct(-F.col("n"), F.col(space))).alias("own_space"), F.sum("n").alias("n_pages"), F.count("*").alias("n_spaces"), F.max("last").alias("last_change")
     )
+
+
+def same_event_kinds(events: DataFrame, kind: str, keys: list[str], time: str, row: str, micros: int, least: float = 0.8) -> DataFrame:
+    """(a, b, share, same): for kinds of events (a != b) the share of a's rows with a row of b at the same keys and moment; same from ``least`` on."""
+    one = lambda side: events.select(*keys, time, F.col(kind).alias(side), F.col(row).alias(f"row_{side}"))
+    met = same_moment(one("a"), one("b"), keys, time, micros).where("a != b").select("a", "b", "row_a").distinct()
+    total = events.groupBy(F.col(kind).alias("a")).agg(F.count("*").alias("rows"))
+    per = met.groupBy("a", "b").agg(F.count("*").alias("n")).join(F.broadcast(total), "a")  # a row a kind
+    share = F.round(F.col("n") / F.col("rows"), 6)
+    return per.select("a", "b", share.alias("share"), (share >= least).alias("same"))

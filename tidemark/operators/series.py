@@ -223,3 +223,19 @@ def top_series(df: DataFrame, metric: str, series: str, value: str, n: int) -> D
     """(metric, series, total, place): the ``n`` series of each metric with the largest total magnitude."""
     per = df.groupBy(metric, series).agg(F.round(F.sum(F.abs(F.col(value))), 4).alias("total"))
     return first_of_each(per, [metric], [F.desc("total"), F.asc(series)], n).withColumnRenamed("rn", "place")
+
+
+def metric_profile(df: DataFrame, labels: list[str], time: str, value: str) -> DataFrame:
+    """(labels, n, least, most, mean, total, seconds, rate): what a counter did: its values, its growth over restarts, and that a second."""
+    grown = increase(df, labels, time, value)
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    per = grown.groupBy(*labels).agg(
+        F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.sum("increase").alias("total"),
+        ((F.max(at) - F.min(at)) / 1e6).alias("seconds"),
+    )
+    return per.withColumn("rate", F.when(F.col("seconds") > 0, F.col("total") / F.col("seconds")))
+
+
+def latencies(df: DataFrame, by: list[str], value: str, failed) -> DataFrame:
+    """(by, n, p95, failed_share): exact 95th percentile and share of failures of each group."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(value, F.lit(0.95)).alias("p95"), (F.count_if(failed) / F.count("*")).alias("failed_share"))

@@ -243,3 +243,9 @@ def run_plan(plan: Plan, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     for step in plan.steps:
         done[step.name] = compile_step(step, tables[step.table], done)
     return done
+
+
+def ruled(step: Step, rules: dict[str, dict[str, Cond]], lifted: tuple[str, ...] = ()) -> Step:
+    """A step with the conditions that hold for its table by rule (table -> name -> condition), but for those the question lifts by name."""
+    more = tuple(c for name, c in rules.get(step.table, {}).items() if name not in lifted)
+    return replace(step, where=(*step.where, *more))
