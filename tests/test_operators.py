@@ -236,7 +236,7 @@ def test_closest_columns(spark):
 
 
 def test_pieces_fit_and_cover():
-    text = "One sentence. " * 50 + "\n\n" + "word " * 400 + "x" * 3000
+    text = "".join(f"Sentence {i}. " for i in range(50)) + "\n\n" + "".join(f"word{i} " for i in range(400)) + "".join(map(str, range(800)))
     for size, overlap in ((100, 20), (1200, 150)):
         cut = search.pieces(text, size, overlap)
         assert all(0 < len(p) <= size for p in cut) and all(p in text for p in cut)
