@@ -103,7 +103,6 @@ def test_clashing_columns_of_the_same_type(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_vectors(vs).collect()) == [(1, 1, 1), (2, 1, 1)]
     ps = spark.createDataFrame([(1, "u", "<article><p>x</p></article>", "other", 9)], "page_id long, url string, html string, text string, n_chars long")
     assert [(r.text, r.n_chars) for r in html_text.extract(ps).collect()] == [("x", 1)]
-    assert embeddings.near_vectors(spark.createDataFrame([(1, [float(i % 7) for i in range(20_000)]), (2, [float(i % 7) for i in range(20_000)])], "vec_id long, embedding array<double>")).where("n_links = 1").count() == 2
 
 
 def test_vectors(spark):

@@ -216,7 +216,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding).
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and so does a row without
-    vec_id.  Vectors of different lengths are not compared, and none is too long to be.  Equal vectors are linked.  Rows that repeat
+    vec_id.  Vectors of different lengths are not compared.  A worker holds four rotations, so memory and time grow with the
+    square of the length, which is meant to be a few thousand at most.  Equal vectors are linked.  Rows that repeat
     a vec_id count as separate vectors in each other's ``n_links`` but form one component.  An empty table gives no rows.
     Other columns are not read.
     """
