@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import languages, ordinal
+from tidemark.llm import languages, oracle, ordinal
+from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.embeddings import near_vectors
+from tidemark.llm.filter_audit import interactions
 from tidemark.llm.html_text import extract
 from tidemark.llm.lexicon import encode_texts
+from tidemark.llm.manifest import document_leaves, manifest
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import quality_rules
@@ -74,22 +78,27 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions(_docs(spark, sf_dir).select("doc_id", "source", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(_docs(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    return manifest(document_leaves(_docs(spark, sf_dir), F.when(F.expr("crc32(cast(doc_id as string)) % 5 = 0"), lowered))).drop("n_steps")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
-SQL = {
-    "op9_substring_dedup": r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50),
-windows AS (SELECT doc_id, s, md5(array_to_string(w[s : s + 49], ' ')) AS k FROM starts),
-least AS (SELECT k, min(doc_id) AS low FROM windows GROUP BY k),
-gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM windows JOIN least USING (k) WHERE low < doc_id),
-words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
-kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
-FROM d LEFT JOIN kept USING (doc_id)""",
-}
+SQL = {"op9_substring_dedup": oracle.OP9, "op11_filter_audit": oracle.OP11, "op12_winnowing": oracle.OP12, "op13_merkle_manifest": oracle.OP13}
 
 
 def oracle_sql() -> dict[str, str]:
