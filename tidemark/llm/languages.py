@@ -11,6 +11,7 @@ text is rejected beyond the limit that the tail of their deviations sets for ``F
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -25,7 +26,8 @@ from tidemark.llm.common import held, map_batches, slices, texts_where
 
 ORDER = 5
 START, END = "\x02", "\x03"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters of Unicode's classes L: word characters but for digits, the underscore and other numbers, such as fractions and numerals.
+LETTERS = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]+")
 UNIFORM = 1 / 4096
 UNKNOWN = "und"
 #: Share of texts of a known language that may be rejected, by an exponential tail beyond the farthest tenth of the calibration documents.
@@ -205,8 +207,9 @@ def _gram_counts(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter[str]] = defaultdict(Counter)
         for batch in batches:
-            for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
-                words[lang].update(LETTERS.findall(text.lower()))
+            for part in slices(batch):
+                for text, lang in zip(part["text"].to_pylist(), part["lang"].to_pylist(), strict=True):
+                    words[lang].update(LETTERS.findall(text.lower()))
         for lang, counts in words.items():
             grams: Counter[str] = Counter()
             for w, n in counts.items():

@@ -1,9 +1,11 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-A shingle is five lower-cased words; its weight is how often it occurs times its inverse document frequency.  Frequencies are
-counted over all texts that differ, in a sketch of two rows of ``WIDTH`` places, so what the driver holds and the tasks receive
-has one size for every corpus.  Its resolution is a share of the documents, and so is the least frequency, ``RARE``: a rarer
-shingle weighs as if it were in that share.
+A shingle is five lower-cased words; its weight is how often it occurs times its inverse document frequency.  Documents are counted
+by class, so that a thousand near copies make their common shingles no more frequent than one text does: plain min-hashes of
+the shingles, three to a label, put copies under a common label, and a document counts as one over the documents of its
+largest label.  Frequencies are summed in a sketch of two rows of ``WIDTH`` places, so what the driver holds and the tasks receive has one
+size for every corpus.  What stands out of the sketch's own noise is a frequency; any other shingle is rare and weighs as if one
+class held it.
 
 Texts of equal words form a class first and only its smallest doc_id goes on.  Documents that agree in all samples of a band
 meet in a bucket.  Every member is first compared with its bucket's smallest document, which costs one comparison a
@@ -31,7 +33,10 @@ SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 11, 3
 WIDTH = 1 << 17
-RARE = 0.01
+#: Labels of a document when classes are counted, and plain min-hashes of a label.
+LABELS, LABEL_ROWS = 4, 3
+#: Standard deviations of the sketch's places from which a frequency is told from noise.
+CLEAR = 4.0
 TILE = 128
 COLUMNS = 8192
 AT_ONCE = 1 << 15
@@ -42,15 +47,57 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
+def labels_of(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(documents, LABELS) of documents whose shingles lie end to end, none empty: texts with a Jaccard similarity of s share one with s ** LABEL_ROWS."""
+    rng, first = np.random.default_rng(11), np.cumsum(sizes) - sizes
+    out = np.zeros((len(sizes), LABELS), np.uint64)
+    for k in range(LABELS * LABEL_ROWS):
+        mix = rng.integers(1, 1 << 63, dtype=np.uint64) | np.uint64(1)
+        x = shingles * mix
+        x ^= x >> np.uint64(31)
+        x *= mix
+        least = np.minimum.reduceat(x ^ (x >> np.uint64(29)), first)
+        band = k // LABEL_ROWS
+        out[:, band] = (out[:, band] ^ (out[:, band] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + least
+    return out.view(np.int64)
+
+
 def _profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, digest) of every row; no digest where there is no word."""
+    """(doc_id, n_words, digest, labels) of every row; no digest where there is no word, no label where there is no shingle."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        split = [words_of(t) for t in batch["text"].to_pylist()]
-        digests = [hashlib.md5(b" ".join(w)).hexdigest() if w else None for w in split]
-        return pa.record_batch([batch["doc_id"], pa.array(map(len, split), pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "digest"])
-
-    return map_batches(docs, run, "doc_id long, n_words long, digest string")
+        n, digests, labels = [], [], [None] * batch.num_rows
+        places, parts = [], []
+
+        def label() -> None:
+            for i, found in zip(places, labels_of(np.concatenate(parts), np.array([len(x) for x in parts])), strict=True):
+                labels[i] = found
+            places.clear()
+            parts.clear()
+
+        for i, text in enumerate(batch["text"].to_pylist()):
+            words = words_of(text)
+            n.append(len(words))
+            digests.append(hashlib.md5(b" ".join(words)).hexdigest() if words else None)
+            if len(words) >= SHINGLE:
+                places.append(i)
+                parts.append(spans(word_hashes(words), SHINGLE))
+                if sum(map(len, parts)) >= AT_ONCE:
+                    label()
+        if parts:
+            label()
+        cols = [batch["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(labels, pa.list_(pa.int64()))]
+        return pa.record_batch(cols, ["doc_id", "n_words", "digest", "labels"])
+
+    return map_batches(docs, run, "doc_id long, n_words long, digest string, labels array<long>")
+
+
+def _shares(firsts: DataFrame, path: str) -> DataFrame:
+    """(doc_id, share) of ``firsts`` (first, labels): one over the documents of the largest label that a document has."""
+    each = stored(firsts.select(F.col("first").alias("doc_id"), F.posexplode("labels").alias("band", "label")), f"{path}/labels")
+    sizes = stored(each.groupBy("band", "label").agg(F.count("*").alias("n")).where("n > 1"), f"{path}/label-sizes")
+    most = each.join(sizes, ["band", "label"]).groupBy("doc_id").agg(F.max("n").alias("n"))
+    return firsts.select(F.col("first").alias("doc_id")).join(most, "doc_id", "left").select("doc_id", (1 / F.coalesce("n", F.lit(1))).alias("share"))
 
 
 def counted(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,44 +117,49 @@ def places(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
-    """(counts): a row a task with its part of the sketch, the number of its texts last."""
+    """(place, n): the counts of each task by place of the sketch, a document counting as its share; place -1 has the documents' own sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, texts = np.zeros(2 * WIDTH, np.int64), 0
+        total, classes = np.zeros(2 * WIDTH), 0.0
         for batch in batches:
             for part in slices(batch):
                 found = [counted(words_of(t))[0] for t in part["text"].to_pylist()]
-                texts += len(found)
+                share = part["share"].to_numpy()
+                classes += share.sum()
+                each = np.repeat(share, list(map(len, found)))
                 for row in places(np.concatenate(found)):
-                    total += np.bincount(row, minlength=2 * WIDTH)
+                    total += np.bincount(row, each, minlength=2 * WIDTH)
         used = np.flatnonzero(total)
-        sketch = np.stack([np.append(used, -1), np.append(total[used], texts)]).astype("<i4").tobytes()
-        yield pa.record_batch([pa.array([sketch], pa.binary())], ["counts"])
+        yield pa.record_batch([pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(total[used], classes))], ["place", "n"])
 
-    return docs.select("text").mapInArrow(run, "counts binary")
+    return docs.select("text", "share").mapInArrow(run, "place int, n double")
 
 
-def sketch_weights(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequency by place of the sketch, over all texts of ``docs``; 2 * WIDTH floats whatever the corpus size.
+def idf_of(count: np.ndarray, classes: float) -> np.ndarray:
+    """Inverse frequency by place of the sketch: 1 + ln(classes / frequency), where a place within its row's noise has frequency one.
 
-    What other shingles add to a place on average is taken off; a shingle's weight is the larger of its two places'.
+    What rare shingles add to a place on average, the row's median, is taken off; the noise is measured by the median deviation.
     """
+    out = np.empty(2 * WIDTH, np.float32)
+    for row in (slice(0, WIDTH), slice(WIDTH, 2 * WIDTH)):
+        usual = np.median(count[row])
+        noise = 1.4826 * np.median(np.abs(count[row] - usual))
+        above = count[row] - usual
+        frequency = np.clip(np.where(above > CLEAR * noise, above, 1.0), 1.0, max(classes, 1.0))
+        out[row] = 1 + np.log(max(classes, 1.0) / frequency)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch["counts"].to_pylist():
-                place, n = np.frombuffer(blob, "<i4").reshape(2, -1)
-                yield pa.record_batch([pa.array(place), pa.array(n.astype(np.int64))], ["place", "n"])
 
-    parts = _sketch(docs).mapInArrow(run, "place int, n long")
-    rows = parts.groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+def sketch_weights(docs: DataFrame) -> np.ndarray:
+    """Inverse document frequency by place of the sketch, over all texts of ``docs`` (text, share); 2 * WIDTH floats whatever the corpus size.
+
+    A shingle's weight is the larger of its two places', as only what meets it in both can hide it.
+    """
+    rows = _sketch(docs).groupBy("place").agg(F.sum(F.round("n", 9).cast("decimal(28,9)")).cast("double").alias("n")).toArrow()
     place, n = rows["place"].to_numpy(), rows["n"].to_numpy()
     count = np.zeros(2 * WIDTH)
     count[place[place >= 0]] = n[place >= 0]
-    texts = max(int(n[place < 0].sum()), 1)
-    noise = (count[:WIDTH].sum() - count) / (WIDTH - 1)
-    share = np.clip((count - noise) / texts, RARE, 1)
-    return (1 - np.log(share)).astype(np.float32)
+    return idf_of(count, float(n[place < 0].sum()))
 
 
 def weights_of(shingles: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -291,11 +343,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     profiles = stored(_profiles(docs), f"{path}/profiles")
     least = profiles.where("doc_id is not null and digest is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("first"), F.max("n_words").alias("n_words")
+        F.min("doc_id").alias("first"), F.max("n_words").alias("n_words"), F.first("labels").alias("labels")
     )
     firsts = stored(least, f"{path}/firsts")
-    long = firsts.where(F.col("n_words") >= SHINGLE).select(F.col("first").alias("doc_id"))
-    once = stored(docs.join(long, "doc_id", "left_semi"), f"{path}/once")
+    long = stored(_shares(firsts.where(F.col("n_words") >= SHINGLE), path).groupBy("doc_id").agg(F.max("share").alias("share")), f"{path}/long")
+    once = stored(docs.join(long, "doc_id"), f"{path}/once")
     idf = spark.sparkContext.broadcast(sketch_weights(once))
     samples = stored(_samples(once, idf), f"{path}/samples")
     # Buckets of the same documents count once.
