@@ -3,7 +3,7 @@
 Duplicates are found by partition refinement.  Texts are split by their number of code points, then each class by the hash of
 one block of the text after the other; a class of one goes at once, so later blocks are only looked at where copies are still
 possible.  Blocks grow by four (1 KB, 4 KB, 16 KB, ...), which bounds the rounds by the logarithm of the longest text.  What survives
-is compared as full text with the smallest doc_id of its class, in salted groups, and members that differ from it (hashes that
+is compared as full text with the smallest doc_id of its class, in salted groups (a bitmap of fixed size keeps other texts out of that shuffle), and members that differ from it (hashes that
 collide) form a class again; so hashes never decide.  All ids but the smallest of equal texts are marked.
 
 The five marks of a document are one mask.  Documents are counted by part, mask and label, and all orders and steps are read off
@@ -28,6 +28,7 @@ SIGNS = b"#$%&*|"
 CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 FIRST_BLOCK, GROWTH = 1024, 4
 GROUP = 64
+PLACES = 1 << 24
 ROW = ["doc_id", "mark"]
 
 
@@ -83,6 +84,15 @@ def refined(rows: DataFrame, path: str) -> DataFrame:
     return current.select("key", *ROW)
 
 
+def _possible(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``mark`` has the place of a member's in a bitmap of ``PLACES`` bits, which is what is broadcast at any size."""
+    place = F.pmod("mark", F.lit(PLACES).cast("long"))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    bits = members.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    held = F.expr(f"shiftright(_bits, cast(pmod(mark, {PLACES}L) & 63 as int)) & 1") == 1
+    return docs.join(F.broadcast(bits), (word == F.col("_word")) & held, "left_semi")
+
+
 def later_copies(docs: DataFrame, rows: DataFrame, path: str) -> DataFrame:
     """(doc_id, mark) of the rows whose text a smaller doc_id has; ``docs`` (doc_id, mark, text) are the texts of ``rows``."""
     alike = stored(refined(rows, path).distinct(), f"{path}/alike0")
@@ -92,7 +102,8 @@ def later_copies(docs: DataFrame, rows: DataFrame, path: str) -> DataFrame:
         classes = stored(classes, f"{path}/classes{again}")
         salt = F.pmod(F.xxhash64(*ROW), F.col("salts").cast("long")).cast("int").alias("salt")
         members = stored(alike.join(classes, "key").select("key", *ROW, salt, "low"), f"{path}/members{again}")
-        texts = stored(docs.join(members, ROW), f"{path}/texts{again}")
+        # Texts that cannot be copies stay where they are; the others are dealt out in the same way at every size.
+        texts = stored(_possible(docs, members).join(members.hint("merge"), ROW), f"{path}/texts{again}")
         low = texts.where("low.doc_id = doc_id and low.mark = mark").dropDuplicates(["key"]).select("key", F.col("text").alias("first"))
         low = low.join(classes, "key").select("key", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         met = texts.join(stored(low, f"{path}/low{again}"), ["key", "salt"])
