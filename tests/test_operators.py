@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import collections
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from tidemark.functions import text as T
 from tidemark.operators import entities, groups, guards, logs, search, series
-from tidemark.plans.plan import Cond, Measure, Plan, Step, StepColumn, all_of, condition, factor, run_plan, validate
+from tidemark.plans.plan import Cond, Counter, Measure, Plan, Step, StepColumn, all_of, condition, factor, run_plan, validate
 from tidemark.sources import tables
 
 
@@ -66,6 +67,48 @@ def test_counter_restarts(spark):
     assert [r.increase for r in series.increase(df, ["s"], "t", "v").orderBy("t").collect()] == [0.0, 4.0, 2.0]
 
 
+def test_counters_are_stitched_at_the_edges_of_chunks(spark):
+    """Restarts, gaps of many chunks and null labels, against the samples in order; chunks of 10 s."""
+    rng, rows_ = random.Random(3), []
+    for label in ("a", "b", None):
+        t = 0
+        for _ in range(80):
+            t += rng.choice([1, 1, 9, 10, 11, 45])
+            rows_.append((label, t, float(rng.choice([0, 1, 5, 5, 30]) if t % 10 else 0)))  # the counter begins anew where a chunk does
+    df = spark.createDataFrame(rows_, "s string, t long, v double").select("s", F.timestamp_seconds("t").alias("at"), "t", "v")
+    want, last = {}, {}
+    for s, t, v in rows_:
+        before = last.get(s)
+        want[s, t] = (0.0, None) if before is None else (v if v < before[1] else v - before[1], (v if v < before[1] else v - before[1]) / (t - before[0]))
+        last[s] = (t, v)
+    got = {(r.s, r.t): (r.increase, r.rate) for r in series.increase(df, ["s"], "at", "v", chunk=10).collect()}
+    assert got == want
+    period = ("1970-01-01 00:03:00", "1970-01-01 00:05:00")
+    inside = {(r.s, r.t): (r.increase, r.rate) for r in series.increase_within(df.withColumn("at", F.col("at").cast("timestamp_ntz")), ["s"], "at", "v", period, chunk=10).collect()}
+    assert inside == {k: x for k, x in want.items() if 180 <= k[1] < 300} and len(inside) > 20
+    changes = {r.s: (r.n_changes, r.n_resets) for r in series.changes(df, ["s"], "at", "v", chunk=10).collect()}
+    for s in ("a", "b", None):
+        v = [x[2] for x in rows_ if x[0] == s]
+        assert changes[s] == (sum(x != y for x, y in zip(v, v[1:], strict=False)), sum(y < x for x, y in zip(v, v[1:], strict=False)))
+
+
+def test_counter_measures_of_plans(spark):
+    """A label's condition leaves whole series, so increases do not change; a value's condition drops samples after they are measured."""
+    rows_ = [("get", "200", t, float(10 * t)) for t in range(1, 7)] + [("get", "500", t, float(t if t < 4 else t - 3)) for t in range(1, 7)]
+    df = spark.createDataFrame(rows_, "verb string, code string, t long, value double").select("verb", "code", F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts"), "value")
+    counter = Counter(("verb", "code"))
+    ms = (Measure("grown", "increase"), Measure("failed", "share", where=(Cond("code", "=", "500"),)), Measure("up", "formula", formula="availability_pct"))
+    run = lambda step: run_plan(Plan((step,)), {"t": df})["q1"].collect()
+    (row,) = run(Step("q1", "t", ms, ("verb",), time_field="ts", counter=counter))
+    assert (row.grown, round(row.failed, 6), round(row.up, 6)) == (55.0, round(500 / 55, 6), round(100 - 500 / 55, 6))
+    (row,) = run(Step("q1", "t", ms[:1], (), (Cond("code", "=", "500"), Cond("value", ">", 1.5)), time_field="ts", counter=counter))
+    assert row.grown == 4.0  # 1, 2 and 3 grow by 1; after the restart 2 and 3 do
+    (row,) = run(Step("q1", "t", ms[:1], (), (Cond("code", "=", "200"),), time_field="ts", period=("1970-01-01 00:00:03", "1970-01-01 00:00:05"), counter=counter))
+    assert row.grown == 20.0  # the first sample of the period is measured from the one before it
+    errors = " ".join(validate(Plan((Step("q1", "t", (Measure("x", "rate"), Measure("y", "quantile", q=1.5))),)), {"t": ["a"]}))
+    assert "rate needs a counter" in errors and "q between 0 and 1" in errors
+
+
 def test_verdict_needs_three_windows(spark):
     df = spark.createDataFrame([("a", 0, 10.0), ("a", 1, 5.0), ("b", 0, 30.0), ("b", 1, 10.0), ("b", 2, 11.0), ("b", 3, 9.0)], "s string, k int, v double")
     assert {r.s: r.verdict for r in series.weeks_verdict(df, ["s"], "v").collect()} == {"a": "unknown", "b": "high"}
@@ -153,7 +196,7 @@ def test_graph_queries_see_all_lines(spark):
     from tidemark import catalog
 
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()
-    edges = Counter((f"o{r.l_orderkey}", f"p{r.l_partkey}") for r in lines)
+    edges = collections.Counter((f"o{r.l_orderkey}", f"p{r.l_partkey}") for r in lines)
     up = {n: n for e in edges for n in e}
 
     def root(n):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog import _BACK, _CUBE, _back, _compared, _plan
@@ -9,7 +10,7 @@ from tidemark.catalog_text import _BM25, _INDEX, _Q, _SHAPE, _TRI, _TWO, _asked,
 from tidemark.functions import text as T
 from tidemark.operators import answers, entities, groups, logs, search, series
 from tidemark.operators.scratch import kept
-from tidemark.plans.plan import Cond, Measure, Step, unit_of
+from tidemark.plans.plan import Cond, Counter, Measure, Plan, Step, run_plan, unit_of
 from tidemark.registry import query
 from tidemark.sources.tables import table
 
@@ -29,11 +30,67 @@ def plan_day_equality(spark, sf_dir):
     return _plan(spark, sf_dir, Step("q1", "orders", ms, ("o_orderpriority",), (Cond("o_orderdate", "=", "1997-03-05"),)))
 
 
-@query("SELECT l_returnflag, round(100.0::DOUBLE * count(*) FILTER (WHERE coalesce(l_tax, 0) = 0) / count(*), 6) AS available, round(100.0::DOUBLE - avg(l_quantity), 6) AS busy FROM lineitem GROUP BY 1")
+#: A counter a user and event type that grows by event and begins anew now and then, with the labels of a CPU and of a web server.
+_COUNTER = """c AS (SELECT user_id, event_type, event_id, ts, CASE event_type WHEN 'view' THEN 'idle' ELSE event_type END AS mode, ((user_id % 4 + 2) * 100)::INT::VARCHAR AS code,
+  ((event_id * 7919) % 1000)::DOUBLE AS value FROM events),
+l AS (SELECT *, lag(value) OVER w AS before, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap FROM c WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, value)),
+s AS (SELECT *, CASE WHEN before IS NULL THEN 0 WHEN value < before THEN value ELSE value - before END AS increase FROM l),
+g AS (SELECT *, CASE WHEN gap > 0 THEN increase / (gap / 1e6) END AS rate FROM s)"""
+_OF_EVENTS = Counter(("user_id", "event_type"))
+
+
+def _counter(spark, sf_dir):
+    df = table(spark, sf_dir, "events")
+    mode = F.when(F.col("event_type") == "view", "idle").otherwise(F.col("event_type"))
+    code = ((F.col("user_id") % 4 + 2) * 100).cast("int").cast("string")
+    return df.select("user_id", "event_type", "ts", mode.alias("mode"), code.alias("code"), ((F.col("event_id") * 7919) % 1000).cast("double").alias("value"))
+
+
+@query("WITH " + _COUNTER + """ SELECT user_id % 10 AS team, round(100 * sum(rate) FILTER (mode <> 'idle') / sum(rate), 6) AS busy,
+       round(100 - 100 * coalesce(sum(increase) FILTER (code LIKE '5%'), 0) / sum(increase), 6) AS available FROM g GROUP BY 1""")
 def plan_formulas(spark, sf_dir):
-    ms = (Measure("available", "formula", "l_tax", formula="availability_pct"), Measure("busy", "formula", "l_quantity", formula="busy_pct"))
-    found = _plan(spark, sf_dir, Step("q1", "lineitem", ms, ("l_returnflag",)))
-    return found.select("l_returnflag", F.round("available", 6).alias("available"), F.round("busy", 6).alias("busy"))
+    """Both surveyed formulas over the rates and increases of a counter."""
+    df = _counter(spark, sf_dir).withColumn("team", F.col("user_id") % 10)
+    ms = (Measure("busy", "formula", formula="cpu_busy_pct"), Measure("available", "formula", formula="availability_pct"))
+    found = run_plan(Plan((Step("q1", "t", ms, ("team",), time_field="ts", counter=_OF_EVENTS),)), {"t": df})["q1"]
+    return found.select("team", F.round("busy", 6).alias("busy"), F.round("available", 6).alias("available"))
+
+
+@query("WITH " + _COUNTER + """ SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, mode, sum(increase) AS grown, round(sum(rate), 6) AS rate, round(100 * sum(increase) FILTER (code = '500') / sum(increase), 6) AS failing,
+       max(value) FILTER (value < 900) AS top FROM g WHERE code IN ('300', '400', '500') AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' AND value <> 13 GROUP BY 1, 2""")
+def plan_counter_measures(spark, sf_dir):
+    """Increase, rate and a share over increases, by day of a period: a label's condition chooses series, a value's chooses samples."""
+    ms = (
+        Measure("grown", "increase"), Measure("rate", "rate"), Measure("failing", "share", where=(Cond("code", "=", "500"),)),
+        Measure("top", "max", "value", where=(Cond("value", "<", 900),)),
+    )
+    counter = Counter(("user_id", "event_type", "code"))
+    where = (Cond("code", "in", ["300", "400", "500"]), Cond("value", "!=", 13))
+    step = Step("q1", "t", ms, ("mode",), where, time_field="ts", period=("2024-01-10", "2024-01-20"), bucket="day", counter=counter)
+    found = run_plan(Plan((step,)), {"t": _counter(spark, sf_dir)})["q1"]
+    return found.withColumns({c: F.round(c, 6) for c in ("rate", "failing")})
+
+
+@query(
+    """WITH le AS (SELECT unnest(['10', '25', '50', '75', '100', '+Inf']) AS le, unnest([10, 25, 50, 75, 100, 1e300]) AS top),
+       d AS (SELECT event_type, le, date_trunc('day', ts)::TIMESTAMP AS day, count(*) FILTER (value <= top) AS n FROM events, le GROUP BY ALL),
+       c AS (SELECT event_type, le, day, sum(n) OVER (PARTITION BY event_type, le ORDER BY day)::DOUBLE AS value FROM d),
+       r AS (SELECT event_type, le, day, (value - lag(value) OVER w) / (epoch(day) - epoch(lag(day) OVER w)) AS rate FROM c WINDOW w AS (PARTITION BY event_type, le ORDER BY day)),
+       h AS (SELECT event_type, CASE le WHEN '+Inf' THEN 'Infinity' ELSE le END::DOUBLE AS le, sum(rate) AS n FROM r WHERE day >= TIMESTAMP '2024-01-05' AND day < TIMESTAMP '2024-01-25' GROUP BY 1, 2),
+       w AS (SELECT *, coalesce(lag(le) OVER p, 0) AS low, coalesce(lag(n) OVER p, 0) AS below, max(n) OVER (PARTITION BY event_type) AS total FROM h WINDOW p AS (PARTITION BY event_type ORDER BY le)),
+       f AS (SELECT q, event_type, arg_min({'low': low, 'le': le, 'below': below, 'n': n, 'total': total}, le) AS b FROM w, (SELECT unnest([0.5, 0.9]) AS q) WHERE n >= q * total GROUP BY 1, 2),
+       v AS (SELECT q, event_type, round(CASE WHEN b.le = 'Infinity' THEN b.low ELSE b.low + (b.le - b.low) * ((q * b.total - b.below) / (b.n - b.below)) END, 6) AS v FROM f)
+       SELECT event_type, max(v) FILTER (q = 0.5) AS middle, max(v) FILTER (q = 0.9) * 1000 AS high FROM v GROUP BY 1"""
+)
+def plan_counter_quantile(spark, sf_dir):
+    """Quantiles of a histogram kept as counters, one a bound: rates summed by bound, one quantile in another unit."""
+    bounds = F.inline(F.array(*(F.struct(F.lit(x).alias("le"), F.lit(float(x.replace("+Inf", "inf"))).alias("top")) for x in ("10", "25", "50", "75", "100", "+Inf"))))
+    days = table(spark, sf_dir, "events").select("event_type", "value", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("at"), bounds)
+    days = days.groupBy("event_type", "le", "at").agg(F.count_if(F.col("value") <= F.col("top")).alias("n"))
+    df = days.select("event_type", "le", "at", F.sum("n").over(Window.partitionBy("event_type", "le").orderBy("at")).cast("double").alias("value"))
+    ms = (Measure("middle", "quantile", q=0.5), Measure("high", "quantile", q=0.9, unit=("s", "ms")))
+    step = Step("q1", "t", ms, ("event_type",), time_field="at", period=("2024-01-05", "2024-01-25"), counter=Counter(("event_type", "le")))
+    return run_plan(Plan((step,)), {"t": df})["q1"].select("event_type", F.round("middle", 6).alias("middle"), (F.round(F.col("high") / 1000, 6) * 1000).alias("high"))
 
 
 @query("SELECT event_type, round(max(value) / 1000, 9) AS longest_s FROM events GROUP BY 1")

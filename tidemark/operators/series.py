@@ -5,7 +5,9 @@ A series is the rows of one combination of label columns; nothing gathers a seri
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # When a value differs from its usual.
@@ -21,19 +23,62 @@ def _over(labels: list[str], time: str) -> Window:
     return Window.partitionBy(*labels).orderBy(time)
 
 
-def increase(df: DataFrame, labels: list[str], time: str, value: str) -> DataFrame:
+def _micros(time: str, df: DataFrame) -> Column:
+    """A time column as microseconds; a number counts as such."""
+    kind = df.schema[time].dataType.typeName()
+    return F.unix_micros(F.col(time).cast("timestamp")) if kind in ("timestamp", "timestamp_ntz", "date", "string") else F.col(time).cast("long")
+
+
+def join_same(left: DataFrame, right: DataFrame, columns: list[str], how: str = "left") -> DataFrame:
+    """``left`` joined with the other columns of ``right`` on ``columns``, null with null."""
+    names = {c: f"__of_{c}" for c in columns}
+    right = right.select(*(F.col(c).alias(names.get(c, c)) for c in right.columns))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()), F.lit(True))
+    return left.join(right, same, how).drop(*names.values())
+
+
+def with_before(df: DataFrame, labels: list[str], time: str, value: str, chunk: int = 86_400) -> DataFrame:
+    """``df`` with ``__before`` and ``__before_at``: value and time (microseconds) of the sample before, in order of time, then value.
+
+    Samples are looked at inside chunks of ``chunk`` seconds, so that a series of any length is spread over tasks; what stands before the
+    first sample of a chunk is the last one of the series' chunk before, found among one row a series and chunk.
+    """
+    rows = df.withColumn("__at", _micros(time, df)).withColumn("__chunk", F.floor(F.col("__at") / (chunk * 1_000_000)))
+    sample = F.struct(F.col("__at").alias("at"), F.col(value).alias("v"))
+    ends = rows.groupBy(*labels, "__chunk").agg(F.max(sample).alias("last"))
+    ends = ends.select(*labels, "__chunk", F.lag("last").over(_over(labels, "__chunk")).alias("__edge"))
+    keys = [*labels, "__chunk"]
+    edged = join_same(rows, ends, keys)
+    w = Window.partitionBy(*keys).orderBy("__at", value)
+    found = edged.withColumn("__prior", F.coalesce(F.lag(sample).over(w), F.col("__edge")))
+    return found.select(*df.columns, "__at", F.col("__prior.v").alias("__before"), F.col("__prior.at").alias("__before_at"))
+
+
+def increase(df: DataFrame, labels: list[str], time: str, value: str, chunk: int = 86_400) -> DataFrame:
     """``increase`` and ``rate`` (a second) since the sample before; a smaller value means the counter began anew."""
-    w = _over(labels, time)
-    before = F.lag(value).over(w)
+    found, before = with_before(df, labels, time, value, chunk), F.col("__before")
     grown = F.when(before.isNull(), F.lit(0.0)).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
-    seconds = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(w).cast("timestamp"))) / 1e6
-    return df.withColumn("increase", grown).withColumn("rate", F.when(seconds > 0, grown / seconds))
+    seconds = (F.col("__at") - F.col("__before_at")) / 1e6
+    return found.select(*df.columns, grown.alias("increase"), F.when(seconds > 0, grown / seconds).alias("rate"))
+
+
+def increase_within(df: DataFrame, labels: list[str], time: str, value: str, period: tuple[str, str] | None, chunk: int = 86_400) -> DataFrame:
+    """:func:`increase` of the samples of ``period``, the first of each series measured from its last sample before it.
+
+    Of what lies before the period only one row a series is kept, by an aggregation that combines before it shuffles.
+    """
+    if period is None:
+        return increase(df, labels, time, value, chunk)
+    start, end = (F.lit(x).cast("timestamp_ntz") for x in period)
+    inside = df.where((F.col(time) >= start) & (F.col(time) < end))
+    earlier = df.where(F.col(time) < start).groupBy(*labels).agg(F.max_by(F.struct(*df.columns), F.struct(time, value)).alias("__row"))
+    return increase(inside.unionByName(earlier.select("__row.*")), labels, time, value, chunk).where(F.col(time) >= start)
 
 
-def changes(df: DataFrame, labels: list[str], time: str, value: str) -> DataFrame:
+def changes(df: DataFrame, labels: list[str], time: str, value: str, chunk: int = 86_400) -> DataFrame:
     """How often each series changed and fell."""
-    before = F.lag(value).over(_over(labels, time))
-    marked = df.select(*labels, (F.col(value) != before).alias("c"), (F.col(value) < before).alias("r"))
+    marked = with_before(df, labels, time, value, chunk)
+    marked = marked.select(*labels, (F.col(value) != F.col("__before")).alias("c"), (F.col(value) < F.col("__before")).alias("r"))
     return marked.groupBy(*labels).agg(F.count_if("c").alias("n_changes"), F.count_if("r").alias("n_resets"), F.count("*").alias("n_samples"))
 
 
@@ -57,7 +102,7 @@ def over_time(df: DataFrame, labels: list[str], time: str, value: str, seconds:
 
 
 def histogram_quantile(df: DataFrame, by: list[str], le: str, count: str, q: float) -> DataFrame:
-    """The q-quantile of cumulative buckets (``le`` upper bound, ``count`` up to it), linear inside the bucket."""
+    """The q-quantile of cumulative buckets (``le`` upper bound, ``count`` up to it), linear inside the bucket; the last bound in the open one."""
     w = Window.partitionBy(*by).orderBy(le)
     total = F.max(count).over(Window.partitionBy(*by))
     marked = df.select(
@@ -67,7 +112,8 @@ def histogram_quantile(df: DataFrame, by: list[str], le: str, count: str, q: flo
     reached = marked.where((F.col("n") >= q * F.col("total")) & (F.col("total") > 0))
     first = reached.groupBy(*by).agg(F.min_by(F.struct("low", "le", "below", "n", "total"), "le").alias("b"))
     inside = (F.lit(q) * F.col("b.total") - F.col("b.below")) / (F.col("b.n") - F.col("b.below"))
-    return first.select(*by, F.when(F.col("b.n") == F.col("b.below"), F.col("b.le")).otherwise(F.col("b.low") + (F.col("b.le") - F.col("b.low")) * inside).alias("quantile"))
+    between = F.when(F.col("b.n") == F.col("b.below"), F.col("b.le")).otherwise(F.col("b.low") + (F.col("b.le") - F.col("b.low")) * inside)
+    return first.select(*by, F.when(F.col("b.le") == float("inf"), F.col("b.low")).otherwise(between).alias("quantile"))
 
 
 def breaches(df: DataFrame, labels: list[str], time: str, value: str, threshold: float, step: int, least: int, above: bool = True) -> DataFrame:

@@ -15,9 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.operators.series import histogram_quantile, increase_within, join_same
+
 # The grammar.
 COMPARISONS = ("=", "!=", ">", ">=", "<", "<=", "in", "not in", "like", "not like", "is null", "is not null")
-FUNCTIONS = ("count", "count_distinct", "sum", "avg", "min", "max", "share", "formula")
+FUNCTIONS = ("count", "count_distinct", "sum", "avg", "min", "max", "share", "formula", "increase", "rate", "quantile")
+#: Functions of the samples of counters.
+OF_COUNTERS = ("increase", "rate", "quantile")
 BUCKETS = ("minute", "5 minutes", "15 minutes", "hour", "day", "week", "month")
 #: Seconds or bytes in a unit.
 UNITS = {
@@ -26,10 +30,14 @@ UNITS = {
 }
 #: What the last part of a column's name says of its unit.
 SUFFIXES = {"us": "us", "ms": "ms", "s": "s", "sec": "s", "seconds": "s", "min": "min", "minutes": "min", "hours": "h", "days": "d", "bytes": "b", "kb": "kb", "mb": "mb", "gb": "gb"}
-#: Measures by formula: a column named ``field`` or, with none, the rows; the share of rows that hold is in percent.
+#: Measures by formula over the samples of a counter, and the label that ``field`` names where it is not given.
 FORMULAS = {
-    "busy_pct": lambda field, kept: F.lit(100.0) - F.avg(F.when(kept, F.col(field))),
-    "availability_pct": lambda field, kept: F.lit(100.0) * F.count_if(kept & (F.coalesce(F.col(field), F.lit(0)) == 0)).cast("double") / F.count_if(kept),
+    "cpu_busy_pct": ("mode", lambda label, kept: F.lit(100.0) * F.sum(F.when(kept & (F.col(label) != "idle"), F.col("rate"))) / F.sum(F.when(kept, F.col("rate")))),
+    "availability_pct": (
+        "code",
+        lambda label, kept: F.lit(100.0)
+        - F.lit(100.0) * F.coalesce(F.sum(F.when(kept & F.col(label).like("5%"), F.col("increase"))), F.lit(0.0)) / F.sum(F.when(kept, F.col("increase"))),
+    ),
 }
 
 
@@ -56,6 +64,16 @@ class Measure:
     where: tuple[Cond, ...] = ()
     unit: tuple[str, str] | None = None
     formula: str | None = None
+    q: float | None = None
+
+
+@dataclass(frozen=True)
+class Counter:
+    """What makes a table one of counter samples: the labels that name a series, the column that counts, and the label of a histogram's bounds."""
+
+    labels: tuple[str, ...]
+    value: str = "value"
+    le: str = "le"
 
 
 @dataclass(frozen=True)
@@ -71,6 +89,7 @@ class Step:
     order: str | None = None
     ascending: bool = False
     limit: int | None = None
+    counter: Counter | None = None
 
 
 @dataclass(frozen=True)
@@ -145,12 +164,24 @@ def validate(plan: Plan, columns: dict[str, list[str]]) -> list[str]:
         for m in s.measures:
             if m.function not in FUNCTIONS:
                 errors.append(f"{s.name}: no function {m.function}")
-            elif m.function not in ("count", "share") and not m.field:
+            elif m.function not in ("count", "share", "formula", *OF_COUNTERS) and not m.field:
                 errors.append(f"{s.name}: {m.function} needs a column")
             elif m.function == "share" and not m.where:
                 errors.append(f"{s.name}: a share needs a condition")
             if m.function == "formula" and m.formula not in FORMULAS:
                 errors.append(f"{s.name}: no formula {m.formula}")
+            elif m.function in (*OF_COUNTERS, "formula") and not s.counter:
+                errors.append(f"{s.name}: {m.function} needs a counter")
+            elif m.function == "formula" and (m.field or FORMULAS[m.formula][0]) not in have:
+                errors.append(f"{s.name}: {m.formula} needs a label {m.field or FORMULAS[m.formula][0]}")
+            if m.function == "quantile" and not (m.q and 0 < m.q < 1):
+                errors.append(f"{s.name}: a quantile needs q between 0 and 1")
+            elif m.function == "quantile" and s.counter and s.counter.le not in have:
+                errors.append(f"{s.name}: a quantile needs a label {s.counter.le}")
+        if s.counter:
+            errors += [f"{s.name}: no column {f}" for f in (*s.counter.labels, s.counter.value) if f not in have]
+            if s.time_field not in have:
+                errors.append(f"{s.name}: a counter needs a time field")
         if s.order and s.order not in {m.label for m in s.measures} | set(s.by) | {"bucket"}:
             errors.append(f"{s.name}: no order {s.order}")
         seen.append(s.name)
@@ -190,47 +221,83 @@ def bucket_of(time: str, bucket: str) -> Column:
     return F.date_trunc(bucket, time).cast("timestamp_ntz")
 
 
-def measure(m: Measure) -> Column:
+def measure(m: Measure, counter: Counter | None = None) -> Column:
     kept = all_of(m.where)
+    filtered = lambda name: F.when(kept, F.col(name)) if m.where else F.col(name)
     if m.function == "formula":
-        out = FORMULAS[m.formula](m.field, kept)
+        label, formula = FORMULAS[m.formula]
+        out = formula(m.field or label, kept)
+    elif m.function == "share" and counter:
+        out = F.lit(100.0) * F.sum(filtered("increase")) / F.sum("increase")
+    elif m.function == "share" and m.field:
+        out = F.lit(100.0) * F.avg(filtered(m.field)) / F.avg(m.field)
     elif m.function == "share":
         out = F.lit(100.0) * F.count_if(kept).cast("double") / F.count("*")
+    elif m.function in ("increase", "rate"):
+        out = F.sum(filtered(m.function))
     elif m.function == "count":
         out = F.count_if(kept) if m.where else F.count("*")
     else:
-        value = F.when(kept, F.col(m.field)) if m.where else F.col(m.field)
-        out = {"count_distinct": F.countDistinct, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[m.function](value)
-    if m.unit:
-        out = out * factor(*m.unit)
-    return out.alias(m.label)
+        out = {"count_distinct": F.countDistinct, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[m.function](filtered(m.field))
+    return _in_unit(m, out).alias(m.label)
 
 
-def compile_step(step: Step, df: DataFrame, done: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The DataFrame of one step over its table; ``done`` are the earlier steps by name."""
+def _in_unit(m: Measure, out: Column) -> Column:
+    return out * factor(*m.unit) if m.unit else out
+
+
+def _quantile(m: Measure, df: DataFrame, keys: list[str], counter: Counter) -> DataFrame:
+    """A quantile measure by ``keys``: rates summed by bound, then the quantile inside the bucket."""
+    rates = df.where(all_of(m.where)) if m.where else df
+    rates = rates.groupBy(*keys, F.col(counter.le).cast("double").alias("__le")).agg(F.sum("rate").alias("__n"))
+    found = histogram_quantile(rates.where("__le is not null and __n is not null"), keys, "__le", "__n", m.q)
+    return found.select(*keys, _in_unit(m, F.col("quantile")).alias(m.label))
+
+
+def _filtered(conds: tuple[Cond, ...], df: DataFrame, done: dict[str, DataFrame]) -> DataFrame:
+    """``df`` where all conditions hold; those that take their values from a step are semi-joins and anti-joins."""
     plain = []
-    for c in step.where:
+    for c in conds:
         if isinstance(c.value, StepColumn):
-            values = (done or {})[c.value.step].select(F.col(c.value.column).alias("__value")).where("__value is not null")
+            values = done[c.value.step].select(F.col(c.value.column).alias("__value")).where("__value is not null")
             how = "left_anti" if c.op in ("!=", "not in") else "left_semi"
             df = df.join(values, F.col(c.field) == F.col("__value"), how)
         else:
             plain.append(c)
+    return df.where(all_of(typed(day_periods(tuple(plain), df.schema), df.schema)))
+
+
+def compile_step(step: Step, df: DataFrame, done: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The DataFrame of one step over its table; ``done`` are the earlier steps by name.
+
+    Over a counter it has two levels: conditions on labels choose series, the increase and rate of each sample are found in its
+    series, over restarts and from the sample before the period on, and then other conditions and measures see them as columns.
+    """
+    rest, counter = step.where, step.counter
+    if counter:
+        of_series = tuple(c for c in step.where if c.field in counter.labels)
+        rest = tuple(c for c in step.where if c.field not in counter.labels)
+        df = increase_within(_filtered(of_series, df, done or {}), list(counter.labels), step.time_field, counter.value, step.period)
+    df = _filtered(rest, df, done or {})
     schema = df.schema
-    df = df.where(all_of(typed(day_periods(tuple(plain), schema), schema)))
-    if step.period:
+    if step.period and not counter:
         start, end = (F.lit(x).cast("timestamp_ntz") for x in step.period)
         df = df.where((F.col(step.time_field) >= start) & (F.col(step.time_field) < end))
-    keys = [F.col(c) for c in step.by]
+    keys = list(step.by)
     if step.bucket:
-        keys = [bucket_of(step.time_field, step.bucket).alias("bucket"), *keys]
-    out = df.groupBy(*keys).agg(*(measure(replace(m, where=typed(day_periods(m.where, schema), schema))) for m in step.measures))
-    rest = [F.col(c) for c in (["bucket"] if step.bucket else []) + list(step.by)]
+        df, keys = df.withColumn("bucket", bucket_of(step.time_field, step.bucket)), ["bucket", *keys]
+    measures = [replace(m, where=typed(day_periods(m.where, schema), schema)) for m in step.measures]
+    plain = [measure(m, counter) for m in measures if m.function != "quantile"]
+    out = df.groupBy(*keys).agg(*(plain or [F.count("*").alias("__n")]))
+    for m in measures:
+        if m.function == "quantile":
+            out = join_same(out, _quantile(m, df, keys, counter), keys)
+    out = out.select(*keys, *(m.label for m in measures))
     if step.order:
         first = F.col(step.order).asc() if step.ascending else F.col(step.order).desc()
-        out = out.orderBy(first, *rest)
+        out = out.orderBy(first, *keys)
     elif step.bucket:
-        out = out.orderBy(*rest)
+        out = out.orderBy(*keys)
     return out.limit(step.limit) if step.limit else out
 
 
