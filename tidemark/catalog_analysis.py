@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import _BACK, _CUBE, _back, _compared, _plan
 from tidemark.catalog_text import _BM25, _INDEX, _Q, _SHAPE, _TRI, _TWO, _asked, _depends, _index, _lines, _lists, _terms_sql
 from tidemark.functions import text as T
-from tidemark.operators import answers, entities, groups, logs, search, series
+from tidemark.operators import answers, entities, graphs, groups, logs, search, series
 from tidemark.operators.scratch import kept
 from tidemark.plans.plan import Cond, Counter, Measure, Plan, Step, run_plan, unit_of
 from tidemark.registry import query
@@ -553,7 +553,7 @@ def plain_signs(spark, sf_dir):
 )
 def strong_components(spark, sf_dir):
     """Nodes that reach each other along all lines, taken as edges from the supplier's key to the part's."""
-    return entities.strong_components(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")))
+    return graphs.strong_components(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")))
 
 
 @query(

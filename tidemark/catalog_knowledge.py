@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog_text import _terms_sql
 from tidemark.functions import text as T
-from tidemark.operators import entities, groups, search, series
+from tidemark.operators import entities, graphs, groups, search, series
 from tidemark.registry import query
 from tidemark.sources.tables import table, visible
 
@@ -78,7 +78,7 @@ def common_reach(spark, sf_dir):
     ordered = c.join(o, F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"))
     edges = ordered.unionByName(li.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct())
     start = spark.createDataFrame([("n1",), ("n2",), ("n3",)], "node string")
-    found = entities.common_reach(entities.reach(edges, start, 2).where("hops = 2"), 3)
+    found = entities.common_reach(graphs.reach(edges, start, 2).where("hops = 2"), 3)
     return found.select(F.substring("node", 2, 20).cast("long").alias("node"), "origins", "farthest")
 
 

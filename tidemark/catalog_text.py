@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import entities, guards, logs, measures, search, series
+from tidemark.operators import entities, graphs, guards, logs, measures, search, series
 from tidemark.operators.scratch import kept
 from tidemark.registry import SQL, query
 from tidemark.sources.tables import page_rows, table
@@ -291,7 +291,7 @@ def _depends(spark, sf_dir):
 def impact_reach(spark, sf_dir):
     edges = _depends(spark, sf_dir)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return entities.reach(back, spark.createDataFrame([("r1",)], "node string"), 3)
+    return graphs.reach(back, spark.createDataFrame([("r1",)], "node string"), 3)
 
 
 @query(

@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import fold
-from tidemark.operators.scratch import kept
+from tidemark.operators.graphs import groups_apart, reach
+from tidemark.operators.scratch import kept as stored
 
 #: Words of a name that tell an environment or a version.
 ENVIRONMENTS = "prod|production|preprod|dev|test|uat|qa|staging|int"
+#: Letters from which one slip is a typo, and how sure a verdict is; "doubt" joins nothing.
+TYPO_LETTERS = 7
+STRENGTH = {"strong": 1, "noenv": 2, "typo": 3}
 #: Names in a tile of a block.
 TILE = 1000
 
@@ -56,7 +60,7 @@ def candidate_pairs(names: DataFrame, key: str, name: str) -> DataFrame:
 def verdict(a: Column, b: Column) -> Column:
     """What two names are to each other: strong, noenv, typo, doubt or none."""
     x, y = name_keys(a), name_keys(b)
-    close = (F.levenshtein(x["compact"], y["compact"]) == 1) & (F.least(F.length(x["compact"]), F.length(y["compact"])) >= 6)
+    close = (F.levenshtein(x["compact"], y["compact"]) == 1) & (F.least(F.length(x["compact"]), F.length(y["compact"])) >= TYPO_LETTERS)
     digits = F.regexp_replace(x["compact"], "[^0-9]", "") == F.regexp_replace(y["compact"], "[^0-9]", "")
     return (
         F.when(x["compact"] == y["compact"], "strong")
@@ -73,14 +77,14 @@ def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     Minimum labels spread along the edges and jump to the label of their label; each round is a table in the
     shared folder.  Labels that have not settled after ``most_rounds`` are an error.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")))
     for _ in range(most_rounds):
         near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         low = labels.join(near, "a").select("a", F.least("label", "near").alias("label"))
         jump = low.select(F.col("a").alias("label"), F.col("label").alias("further"))
         following = low.join(jump, "label", "left").select("a", F.least("label", F.coalesce("further", "label")).alias("label"), F.col("a").alias("was")).drop("was")
-        following = kept(following)
+        following = stored(following)
         moved = following.join(labels.withColumnRenamed("label", "old"), "a").where("label != old").limit(1).count()
         labels = following
         if not moved:
@@ -90,24 +94,14 @@ def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
 
 
-def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(origin, node, hops): nodes reachable from each origin along src -> dst in at most ``depth`` hops, by the shortest way."""
-    found = start.select(F.col("node").alias("origin"), "node", F.lit(0).alias("hops"))
-    front = found
-    for i in range(1, depth + 1):
-        step = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("origin", F.col("dst").alias("node")).distinct()
-        front = step.join(found, ["origin", "node"], "left_anti").withColumn("hops", F.lit(i))
-        found = found.unionByName(front)
-    return found
-
-
 def paths(edges: DataFrame, src, dst, depth: int) -> DataFrame:
     """Simple paths from ``src`` to ``dst`` of at most ``depth`` hops: (path, hops), shortest first."""
+    edges = stored(edges.select("src", "dst"))
     live = edges.where(F.col("src") == src).select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"))
     done = live.where(F.col("at") == dst)
     for _ in range(depth - 1):
         grown = live.where(F.col("at") != dst).join(edges, F.col("at") == F.col("src"))
-        live = grown.where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"))
+        live = stored(grown.where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at")))
         done = done.unionByName(live.where(F.col("at") == dst))
     return done.select("path", (F.size("path") - 1).alias("hops")).orderBy("hops", "path")
 
@@ -131,11 +125,11 @@ def majority_parent(votes: DataFrame, child: str, parent: str) -> DataFrame:
 
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """Label propagation on weighted undirected ``edges`` (a, b, w): every node takes the label of most weight around it, ties to the least."""
-    both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    both = stored(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
     labels = both.select("a").distinct().withColumn("label", F.col("a"))
     for _ in range(rounds):
         around = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("w").alias("w"))
-        labels = kept(around.groupBy("a").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("label")))
+        labels = stored(around.groupBy("a").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("label")))
     return labels.select(F.col("a").alias("node"), "label")
 
 
@@ -177,10 +171,10 @@ def chains(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(direction, path): simple paths of at most ``depth`` edges from each start node, forward and back."""
     out = None
     for direction, src, dst in (("forward", "src", "dst"), ("back", "dst", "src")):
-        steps = edges.select(F.col(src).alias("at"), F.col(dst).alias("to")).distinct()
+        steps = stored(edges.select(F.col(src).alias("at"), F.col(dst).alias("to")).distinct())
         live = start.select(F.array("node").alias("path"), F.col("node").alias("at"))
         for _ in range(depth):
-            live = live.join(steps, "at").where(~F.array_contains("path", F.col("to"))).select(F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at"))
+            live = stored(live.join(steps, "at").where(~F.array_contains("path", F.col("to"))).select(F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at")))
             part = live.select(F.lit(direction).alias("direction"), "path")
             out = part if out is None else out.unionByName(part)
     return out
@@ -206,6 +200,37 @@ def name_groups(names: DataFrame, name: str) -> DataFrame:
     return keyed.join(best, "group").select("name", "group", "canonical")
 
 
+def extensions(names: DataFrame) -> DataFrame:
+    """(a, b) of ``names`` (id, name): b's name is a's and one word more, where two names or more extend a's so: a whole and a part of it."""
+    written = names.select("id", name_keys(F.col("name"))["written"].alias("w")).where("w != ''")
+    longer = written.where("instr(w, ' ') > 0").select(F.col("id").alias("b"), F.expr("substring_index(w, ' ', size(split(w, ' ')) - 1)").alias("w"), F.expr("substring_index(w, ' ', -1)").alias("last"))
+    longer = longer.where(~F.col("last").rlike(rf"^({ENVIRONMENTS}|v?[0-9]+)$"))
+    stems = longer.groupBy("w").agg(F.countDistinct("last").alias("n")).where("n > 1").select("w")
+    return written.select(F.col("id").alias("a"), "w").join(longer.join(stems, "w", "left_semi"), "w").select("a", "b")
+
+
+def entity_groups(names: DataFrame) -> DataFrame:
+    """(id, group) of ``names`` (id, name, whole): rows that are one thing.
+
+    Names of equal keys are one row first (:func:`name_members`) where their wholes agree.  Pairs of a block that a verdict joins merge,
+    the surest first; never a part and its whole, parts of different wholes, or a name and one that extends it among others.
+    """
+    keys = F.array_sort(_block_keys("name"))
+    keyed = stored(names.select("id", "name", "whole", F.when(F.size(keys) > 0, F.to_json(F.struct(keys.alias("k"), "whole"))).alias("same")))
+    least = stored(keyed.where("same is not null").groupBy("same").agg(F.min("id").alias("standing")))
+    keyed = stored(keyed.join(least, "same", "left").select("id", "name", "whole", F.coalesce("standing", "id").alias("standing")))
+    few = stored(keyed.where("id = standing").select("id", "name", "whole"))
+    named = few.select("id", "name")
+    pairs = candidate_pairs(named, "id", "name").join(named.toDF("a", "na"), "a").join(named.toDF("b", "nb"), "b")
+    what = verdict(F.col("na"), F.col("nb"))
+    rank = F.coalesce(*(F.when(what == k, F.lit(v)) for k, v in STRENGTH.items()))
+    pairs = pairs.select("a", "b", rank.alias("rank")).where("rank is not null")
+    parts = keyed.where("whole is not null").select(F.col("standing").alias("a"), F.col("whole").alias("id")).join(keyed.select("id", F.col("standing").alias("b")), "id").select("a", "b")
+    apart = parts.unionByName(extensions(named)).where("a != b")
+    groups = groups_apart(few.select(F.col("id").alias("node"), "whole"), pairs, apart, ("whole",), connected)
+    return keyed.select("id", "standing").join(groups.toDF("standing", "group"), "standing").select("id", "group")
+
+
 def relations(fields: dict[str, DataFrame], names: dict[str, DataFrame], least: float = 0.5) -> DataFrame:
     """(field, target, share): fields of which ``least`` of the distinct values name a row of a target, by columns of one value each."""
     long = lambda frames, label: _stacked(frames, label).where("v is not null").distinct()
@@ -236,47 +261,6 @@ def category_fields(fields: dict[str, DataFrame], category: DataFrame, least: in
     ).where((F.col("held") >= least) & (F.col("of_category") >= of_category) & (F.col("of_field") >= of_field))
 
 
-def strong_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, component): nodes that reach each other along src -> dst, the component named by its smallest node.
-
-    Colour by colour: the smallest node that reaches a node is its colour; a colour's name, walked backwards inside the colour, reaches one
-    whole component, which is settled and leaves the graph.  Every walk is a loop of joins whose rounds are stored.
-    """
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    live, done = kept(edges.select("src", "dst").where("src != dst").distinct()), None
-    left = kept(nodes)
-    for _ in range(most_rounds):
-        if not left.limit(1).count():
-            break
-        colour = _spread(left.select("node", F.col("node").alias("colour")), live, most_rounds)
-        inside = live.join(colour.toDF("src", "cs"), "src").join(colour.toDF("dst", "cd"), "dst").where("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        found = colour.where("node = colour").select("node", "colour")
-        front = found
-        for _ in range(most_rounds * 20):
-            front = kept(front.toDF("src", "colour").join(inside, "src").select(F.col("dst").alias("node"), "colour").distinct().join(found, "node", "left_anti"))
-            if not front.limit(1).count():
-                break
-            found = kept(found.unionByName(front))
-        part = found.select("node", F.col("colour").alias("component"))
-        done = part if done is None else done.unionByName(part)
-        left = kept(left.join(found, "node", "left_anti"))
-        live = kept(live.join(left.toDF("src"), "src", "left_semi").join(left.toDF("dst"), "dst", "left_semi"))
-    else:
-        raise RuntimeError("components did not settle")
-    return done if done is not None else nodes.withColumn("component", F.col("node"))
-
-
-def _spread(colours: DataFrame, edges: DataFrame, most_rounds: int) -> DataFrame:
-    """(node, colour): the smallest colour that reaches each node along the edges."""
-    for _ in range(most_rounds * 20):
-        came = edges.join(colours.toDF("src", "came"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("came").alias("came"))
-        following = kept(colours.join(came, "node", "left").select("node", F.least("colour", F.coalesce("came", "colour")).alias("colour"), (F.col("came") < F.col("colour")).alias("moved")))
-        colours = following.select("node", "colour")
-        if not following.where("moved").limit(1).count():
-            return colours
-    raise RuntimeError("colours did not settle")
-
-
 def parts_index(mentions: DataFrame, pages: DataFrame, page: str, space: str, changed: str) -> DataFrame:
     """(name, own_space, n_pages, n_spaces, last_change) of every name with a mention (name, page).
 
