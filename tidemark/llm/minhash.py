@@ -34,7 +34,7 @@ LEAST = 0.8
 BANDS, ROWS = 11, 3
 WIDTH = 1 << 17
 #: Labels of a document when classes are counted, and plain min-hashes of a label.
-LABELS, LABEL_ROWS = 4, 3
+LABELS, LABEL_ROWS = 3, 3
 #: Standard deviations of the sketch's places from which a frequency is told from noise.
 CLEAR = 4.0
 TILE = 128
@@ -204,7 +204,7 @@ class Sampler:
         """(place of the least draw, its level) by document, one sample after the other; documents lie end to end, none empty."""
         log_w = np.log(weights).astype(np.float32)
         first = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(shingles))
         for mix in self.mix:
             x = shingles * mix
             x ^= x >> np.uint64(31)
@@ -214,9 +214,9 @@ class Sampler:
             b = self.b[((x >> np.uint64(24)) & np.uint64(0xFFF)).astype(np.int64)]
             t = np.floor(log_w / r + b)
             value = c - r * (t - b + 1)
-            at = np.flatnonzero(value == np.minimum.reduceat(value, first)[owner])[::-1]
-            least = np.empty(len(sizes), np.int64)
-            least[owner[at]] = at  # of equal values the first
+            order = value.view(np.int32)
+            order = order ^ ((order >> 31) & np.int32(0x7FFFFFFF))  # integers in the order of the values
+            least = np.minimum.reduceat((order.astype(np.int64) << 32) | place, first) & 0xFFFFFFFF  # of equal values the first
             yield least, t[least].astype(np.int64)
 
     def keys(self, shingles: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -347,7 +347,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     firsts = stored(least, f"{path}/firsts")
     long = stored(_shares(firsts.where(F.col("n_words") >= SHINGLE), path).groupBy("doc_id").agg(F.max("share").alias("share")), f"{path}/long")
-    once = stored(docs.join(long, "doc_id"), f"{path}/once")
+    once = stored(docs.join(long.hint("merge"), "doc_id"), f"{path}/once")  # texts are dealt out alike at every size
     idf = spark.sparkContext.broadcast(sketch_weights(once))
     samples = stored(_samples(once, idf), f"{path}/samples")
     # Buckets of the same documents count once.
