@@ -512,3 +512,16 @@ def test_sampling_agrees_with_weighted_jaccard(size, share):
     same = np.mean([a[0][i[0]] == b[0][j[0]] and t[0] == u[0] for (i, t), (j, u) in both])
     by_a, by_b = np.argsort(a[0]), np.argsort(b[0])
     assert abs(same - minhash.similarity((a[0][by_a], a[1][by_a]), (b[0][by_b], b[1][by_b]))) < 0.075  # three standard errors of 400 samples
+
+
+def test_op2_letters_are_unicode_letters(spark):
+    """Fractions, raised digits and numerals are numbers: a text of them alone has no letter and is undetermined."""
+    import sys
+    import unicodedata
+
+    wrong = [c for c in map(chr, range(sys.maxunicode + 1)) if c == c.lower() and (languages.letter_runs(c) == [c]) != unicodedata.category(c).startswith("L")]
+    assert not wrong
+    assert languages.letter_runs("A²b x_y9z ½ Ⅷ 五") == ["a", "b", "x", "y", "z", "五"]
+    docs = spark.createDataFrame([(i, "der die das", "de") for i in range(20)] + [(100, "½ ² Ⅷ", None), (101, "１２", None), (102, "die", None)], "doc_id long, text string, lang string")
+    got = by_id(languages.identify(docs, languages.fit(docs)))
+    assert [got[i].lang_pred for i in (100, 101, 102)] == ["und", "und", "de"] and got[100].rejected

@@ -11,7 +11,6 @@ text is rejected beyond the limit that the tail of their deviations sets for ``F
 from __future__ import annotations
 
 import re
-import sys
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -26,8 +25,7 @@ from tidemark.llm.common import held, map_batches, slices, texts_where
 
 ORDER = 5
 START, END = "\x02", "\x03"
-#: Characters of Unicode's classes L: word characters but for digits, the underscore and other numbers, such as fractions and numerals.
-LETTERS = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]+")
+WORDS = re.compile(r"[^\W\d_]+")
 UNIFORM = 1 / 4096
 UNKNOWN = "und"
 #: Share of texts of a known language that may be rejected, by an exponential tail beyond the farthest tenth of the calibration documents.
@@ -38,6 +36,14 @@ CALIBRATION_DOCS = 500
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def letter_runs(text: str | None) -> list[str]:
+    """The runs of letters (Unicode's classes L) of a text in lower case; fractions, numerals and other numbers that words may hold are none."""
+    runs = WORDS.findall((text or "").lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [part for run in runs for part in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 def hashes(chars: np.ndarray) -> np.ndarray:
     """Hash of each row of code points."""
     h = np.full(len(chars), np.uint64(chars.shape[1]))
@@ -170,7 +176,7 @@ class Scorer:
 
     def sums(self, texts: list[str | None]) -> np.ndarray:
         """For each text the sums over its words; a zero row where there is no letter."""
-        split = [LETTERS.findall((t or "").lower()) for t in texts]
+        split = list(map(letter_runs, texts))
         new = set().union(*split) - self.row.keys()
         if len(self.row) + len(new) > MOST_WORDS:
             self.row.clear()
@@ -209,7 +215,7 @@ def _gram_counts(sample: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 for text, lang in zip(part["text"].to_pylist(), part["lang"].to_pylist(), strict=True):
-                    words[lang].update(LETTERS.findall(text.lower()))
+                    words[lang].update(letter_runs(text))
         for lang, counts in words.items():
             grams: Counter[str] = Counter()
             for w, n in counts.items():
