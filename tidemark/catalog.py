@@ -165,7 +165,7 @@ _CUBE = "WITH " + _BACK.format(start="2024-01-20", end="2024-01-21", size=86400,
  mid AS (SELECT field, value, coalesce(max(n) FILTER (WHERE k = 0), 0) AS now, median(n) FILTER (WHERE k > 0) AS usual, count(*) FILTER (WHERE k > 0) AS windows FROM full_ GROUP BY 1, 2),
  spread AS (SELECT f.field, f.value, median(abs(n - usual)) AS mad FROM full_ f JOIN mid USING (field, value) WHERE k > 0 GROUP BY 1, 2),
  found AS (SELECT field, value, now, usual, CASE WHEN usual > 0 THEN now / usual END AS ratio,
-   coalesce((now / nullif(usual, 0) >= 1.5 OR now / nullif(usual, 0) <= 0.67) AND abs(now - usual) >= 5 AND abs(now - usual) > 3 * sqrt(greatest(usual, 1))
+   coalesce((now / nullif(usual, 0) >= 1.3 OR now / nullif(usual, 0) <= 0.77) AND abs(now - usual) >= 5 AND abs(now - usual) > 3 * sqrt(greatest(usual, 1))
      AND abs(now - usual) > 3 * CASE WHEN windows >= 3 THEN coalesce(mad, 0) ELSE 0 END, FALSE) AS unusual, usual = 0 AND now > 0 AS appeared
    FROM mid LEFT JOIN spread USING (field, value))"""
 
@@ -377,9 +377,10 @@ def fanout_probe(spark, sf_dir):
     return profiles.repeated_keys(table(spark, sf_dir, "lineitem"), "l_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '1997-01-01')")
 def anti_gone(spark, sf_dir):
-    seen = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order since 1997."""
+    seen = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderdate >= timestamp_ntz'1997-01-01'").select(F.col("o_custkey").alias("c_custkey"))
     return profiles.gone(table(spark, sf_dir, "customer").select("c_custkey"), seen, "c_custkey")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.catalog import _BACK, _CUBE, _back, _compared, _plan
+from tidemark.catalog import _BACK, _CUBE, _back, _plan
 from tidemark.catalog_text import _BM25, _INDEX, _Q, _SHAPE, _TRI, _TWO, _asked, _depends, _index, _lines, _lists, _terms_sql
 from tidemark.functions import text as T
 from tidemark.operators import answers, entities, graphs, groups, logs, search, series
@@ -141,13 +141,26 @@ def group_summary(spark, sf_dir):
     return found.withColumns({"m_now": F.round("m_now", 6), "m_usual": F.round("m_usual", 6)})
 
 
+#: The errors of the day five times over, so that something stands out at every size.
+_EV = "ev AS (SELECT * FROM events UNION ALL SELECT e.* FROM events e, (SELECT unnest(range(4))) WHERE event_type = 'error' AND ts::DATE = DATE '2024-01-20')"
+
+
+def _with_errors(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    again = events.where((F.col("event_type") == "error") & (F.to_date("ts") == F.lit("2024-01-20").cast("date")))
+    return events.unionByName(again.select("*", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i")).drop("i"))
+
+
 @query(
-    _CUBE + """, l AS (SELECT field, count(*) FILTER (WHERE unusual) AS n_unusual, sum(now - usual) FILTER (WHERE unusual) / (SELECT nullif(now - usual, 0) FROM found WHERE field = '') AS coverage,
+    _CUBE.replace("FROM events)", "FROM ev)").replace("WITH ", f"WITH {_EV}, ", 1)
+    + """, l AS (SELECT field, count(*) FILTER (WHERE unusual) AS n_unusual, sum(now - usual) FILTER (WHERE unusual) / (SELECT nullif(now - usual, 0) FROM found WHERE field = '') AS coverage,
        sum(abs(now - usual)) FILTER (WHERE unusual) / sum(abs(now - usual)) AS purity FROM found WHERE field <> '' GROUP BY 1)
      SELECT *, row_number() OVER (ORDER BY coverage DESC, purity DESC, n_unusual, field) AS place FROM l WHERE n_unusual > 0"""
 )
 def rank_localizing(spark, sf_dir):
-    return groups.rank_fields(_compared(spark, sf_dir))
+    """Fields by how well their values hold a planted rise of errors."""
+    tagged = series.windows_back(_with_errors(spark, sf_dir), "ts", "2024-01-20", "2024-01-21", "day", 8)
+    return groups.rank_fields(groups.compare(groups.cube(tagged, ["event_type", "user_id"]), tagged.select("k").distinct()))
 
 
 @query(
@@ -257,14 +270,16 @@ def log_origins(spark, sf_dir):
 def _log_survey_sql() -> str:
     from tidemark.registry import SQL
 
-    return f"""WITH v AS ({SQL['log_verdicts']}), r AS (SELECT *, row_number() OVER (ORDER BY CASE level WHEN 'error' THEN 4 ELSE 2 END DESC, now DESC, template) AS place FROM v WHERE verdict <> 'as usual')
+    judged = SQL["log_verdicts"].replace("FROM events)", "FROM ev)")
+    return f"""WITH {_EV}, v AS ({judged}), r AS (SELECT *, row_number() OVER (ORDER BY CASE level WHEN 'error' THEN 4 ELSE 2 END DESC, now DESC, template) AS place FROM v WHERE verdict <> 'as usual')
        SELECT place, template, level, now, usual, verdict FROM r WHERE place <= 12"""
 
 
 @query(_log_survey_sql())
 def log_survey(spark, sf_dir):
+    """What to tell of the lines of a day with a planted rise of errors."""
     k = F.datediff(F.lit("2024-01-20").cast("date"), F.to_date("ts"))
-    lines = _lines(spark, sf_dir).withColumn("k", k).where("k between 0 and 7")
+    lines = _lines(spark, sf_dir, _with_errors(spark, sf_dir)).withColumn("k", k).where("k between 0 and 7")
     counts = lines.groupBy(logs.template(F.col("message")).alias("template"), logs.level(F.col("message")).alias("level"), "k").agg(F.count("*").alias("n"))
     return logs.survey(logs.judge(counts, 7))
 
@@ -363,7 +378,7 @@ def values_left_out(spark, sf_dir):
 
 @query(
     f"""WITH n AS (SELECT DISTINCT p_name AS name, {_TRI.format('p_name')} AS a FROM part), t AS (SELECT DISTINCT unnest(string_split(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' ')) AS token FROM part), k AS (SELECT token, {_TRI.format('token')} AS b FROM t WHERE token <> ''),
-        s AS (SELECT token, name, round(len(list_intersect(a, b)) / len(list_distinct(a || b)), 6) AS score FROM n, k), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, name) AS rn FROM s WHERE score >= 0.3) SELECT token, name, score, rn FROM r WHERE rn <= 3"""
+        s AS (SELECT token, name, round(len(list_intersect(a, b)) / len(list_distinct(a || b)), 6) AS score FROM n, k), r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, name) AS rn FROM s WHERE score >= 0.5) SELECT token, name, score, rn FROM r WHERE rn <= 3"""
 )
 def names_per_token(spark, sf_dir):
     """The three names most like each word of any name."""

@@ -51,12 +51,14 @@ def benchmark_overlap(spark, sf_dir):
 
 
 @query(
-    f"""WITH s AS (SELECT conv_id * 1000 + turn AS id, list_distinct({_terms_sql('text')}) AS ts FROM conversations WHERE role = 'user'),
+    f"""WITH a AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = 'user'),
+       s AS (SELECT id, list_distinct({_terms_sql('text')}) AS ts FROM (SELECT * FROM a UNION ALL SELECT -1 - id, text || ' quickly' FROM a)),
        p AS (SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.ts, y.ts)) / len(list_distinct(list_concat(x.ts, y.ts))), 6) AS jaccard FROM s x JOIN s y ON x.id < y.id AND len(list_intersect(x.ts, y.ts)) > 0) SELECT * FROM p WHERE jaccard >= 0.6"""
 )
 def alike_questions(spark, sf_dir):
-    """Conversation turns of the user that say nearly the same."""
+    """Conversation turns of the user that say nearly the same, among them a planted variant of each."""
     asked = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    asked = asked.unionByName(asked.select((-1 - F.col("id")).alias("id"), F.concat("text", F.lit(" quickly")).alias("text")))
     return search.alike(asked, "id", F.col("text"), 0.6)
 
 
@@ -129,3 +131,41 @@ def threshold_step(spark, sf_dir):
     steps = F.array(*(F.lit(x) for x in (0.0, 300.0, 900.0, 1500.0)))
     reached = F.array_max(F.filter(steps, lambda s: s <= F.col("p_retailprice")))
     return table(spark, sf_dir, "part").select("p_partkey", reached.alias("reached")).where("reached is not null")
+
+
+def _spelt(spark, sf_dir):
+    """Part names and three spellings of each, a whole for some: (id, name, whole)."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    written = F.array(
+        F.struct(F.lit(0).alias("i"), F.col("p_name").alias("name")), F.struct(F.lit(1).alias("i"), F.upper(F.regexp_replace("p_name", " ", "-")).alias("name")),
+        F.struct(F.lit(2).alias("i"), F.concat("p_name", F.lit(" prod")).alias("name")), F.struct(F.lit(3).alias("i"), F.concat(F.lit("dev-"), F.regexp_replace("p_name", " ", "_")).alias("name")),
+    )
+    each = part.select("p_partkey", "p_size", F.inline(written))
+    whole = F.when(F.col("i") == 2, F.col("p_size").cast("long") * 4 + 4)
+    return each.select((F.col("p_partkey") * 4 + F.col("i")).alias("id"), "name", whole.alias("whole"))
+
+
+@query()
+def entity_groups(spark, sf_dir):
+    """Spellings of all part names as groups that are one thing, parts of different wholes kept apart (no SQL: merges depend on their order)."""
+    return entities.entity_groups(_spelt(spark, sf_dir))
+
+
+@query(
+    """WITH RECURSIVE l AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, 1 AS cost FROM customer UNION ALL SELECT 'n' || n_nationkey, 'n' || (n_nationkey + 7) % 25, 1 FROM nation UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 0 FROM nation
+         UNION ALL SELECT 'r' || r_regionkey, 'n' || r_regionkey, 1 FROM region),
+       p(path, cur, hops, ends) AS (SELECT [s], s, 0, FALSE FROM (SELECT 'c' || c_custkey AS s FROM customer)
+         UNION ALL SELECT list_append(path, dst), dst, hops + cost, cost = 1 AND hops + cost >= 3 FROM p JOIN l ON src = cur WHERE NOT ends AND NOT list_contains(path, dst)),
+       stuck AS (SELECT path, hops FROM p WHERE NOT ends AND len(path) > 1 AND NOT EXISTS (SELECT 1 FROM l WHERE src = cur AND NOT list_contains(path, dst)))
+       SELECT array_to_string(path, '>') AS path, hops FROM p WHERE ends UNION ALL SELECT array_to_string(path, '>'), hops FROM stuck"""
+)
+def chains_with_free_hops(spark, sf_dir):
+    """Chains of three hops from every customer over nations that feed each other; being part of a region costs no hop."""
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))
+    start = customer.select(name("c", "c_custkey").alias("node"))
+    links = customer.select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst"))
+    links = links.unionByName(nation.select(name("n", "n_nationkey").alias("src"), name("n", (F.col("n_nationkey") + 7) % 25).alias("dst")))
+    links = links.unionByName(table(spark, sf_dir, "region").select(name("r", "r_regionkey").alias("src"), name("n", "r_regionkey").alias("dst")))
+    wholes = nation.select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst"))
+    return graphs.chains(links, start, 3, wholes).select(F.array_join("path", ">").alias("path"), "hops")

@@ -248,7 +248,7 @@ def _common_sql(lang: str) -> str:
     return f"len({_WORDS.format(', '.join(repr(w) for w in T.COMMON[lang]))})"
 
 
-@query(f"SELECT doc_id, CASE WHEN {_common_sql('fr')} > {_common_sql('en')} THEN 'fr' ELSE 'en' END AS language FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, CASE WHEN greatest({_common_sql('fr')}, {_common_sql('en')}) < 2 THEN 'unclear' WHEN {_common_sql('fr')} > {_common_sql('en')} THEN 'fr' ELSE 'en' END AS language FROM documents WHERE text IS NOT NULL")
 def language_by_words(spark, sf_dir):
-    """en or fr, by whose common words a text has more of."""
+    """en or fr, by whose common words a text has more of; unclear below two."""
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.language(F.col("text")).alias("language"))

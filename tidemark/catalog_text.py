@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import entities, graphs, guards, logs, measures, search, series
+from tidemark.operators import entities, graphs, guards, logs, measures, search, series, vectors
 from tidemark.operators.scratch import kept
 from tidemark.registry import SQL, query
 from tidemark.sources.tables import page_rows, table
@@ -66,18 +66,33 @@ def cosine_topk(spark, sf_dir):
     return _near(spark, sf_dir, 10).withColumn("rn", F.col("rn").cast("long"))
 
 
+@query()
+def vector_index_topk(spark, sf_dir):
+    """About the ten nearest of each query vector through the stored index (no SQL: tests hold its recall against cosine_topk)."""
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return vectors.search(vectors.build(v, "vec_id", "embedding"), asked, 10).withColumnRenamed("key", "vec_id")
+
+
 @query(f"WITH {_NEAR}, t AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM near WHERE rn <= 10) SELECT query_id, vec_id, score FROM t WHERE score >= greatest(0.35, best - 0.2)")
 def meaning_floor(spark, sf_dir):
     return search.with_floor(_near(spark, sf_dir, 10)).select("query_id", "vec_id", "score")
 
 
 @query(
-    f"""WITH {_NEAR}, n AS (SELECT query_id, label, round(sum(score), 6) AS votes FROM near JOIN embeddings USING (vec_id) WHERE rn <= 200 AND score >= 0.72 GROUP BY 1, 2)
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings UNION ALL SELECT -1 - vec_id, [embedding[1]::DOUBLE * 2] || embedding[2:]::DOUBLE[], label FROM embeddings),
+       near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM
+         (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_cosine_similarity(v.e, q.e), 6) AS score FROM v JOIN v q ON q.vec_id >= 0 AND q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id)),
+       n AS (SELECT query_id, label, round(sum(score), 6) AS votes FROM near WHERE rn <= 200 AND score >= 0.72 GROUP BY 1, 2)
         SELECT query_id, label, votes, round(votes / max(votes) OVER (PARTITION BY query_id), 6) AS scaled FROM n"""
 )
 def neighbours_vote(spark, sf_dir):
-    owners = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    return search.votes(_near(spark, sf_dir, 200), owners, "vec_id", "label")
+    """Owners of the vectors near a query's, over all vectors and a planted near copy of each, as unlike ones lie below the floor."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    moved = F.concat(F.array(F.col("embedding")[0] * 2), F.slice("embedding", 2, F.size("embedding") - 1))
+    v = v.unionByName(v.select((-1 - F.col("vec_id")).alias("vec_id"), moved.alias("embedding"), "label"))
+    asked = v.where("vec_id >= 0 and vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return search.votes(search.nearest(v, "vec_id", "embedding", asked, 200), v.select("vec_id", "label"), "vec_id", "label")
 
 
 _TWO = f"""{_BM25}, a AS (SELECT query_id, doc_id, score, rn FROM top WHERE rn <= 20), b AS (SELECT query_id, doc_id, tf2 AS score, row_number() OVER (PARTITION BY query_id ORDER BY tf2 DESC, doc_id) AS rn FROM
@@ -184,11 +199,11 @@ _MSG = "CASE WHEN event_type = 'error' THEN 'request 0x' || to_hex(event_id) ||
 _SHAPE = "rtrim(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '\\b0x[0-9a-fA-F]+\\b', '#', 'g'), '''[^'']*''', '''<value>''', 'g'), '[0-9]+(\\.[0-9]+)?', '#', 'g'), '\\s+', ' ', 'g')), ' .,;:')"
 
 
-def _lines(spark, sf_dir):
+def _lines(spark, sf_dir, events=None):
     ms = F.round("value", 1).cast("string")
     failed = F.concat(F.lit("request 0x"), F.hex("event_id"), F.lit(" failed after "), ms, F.lit(" ms for 'user"), F.col("user_id").cast("string"), F.lit("'"))
     said = F.when(F.col("event_type") == "error", failed).otherwise(F.concat("event_type", F.lit(" done in "), ms, F.lit(" ms")))
-    return table(spark, sf_dir, "events").select("ts", said.alias("message"))
+    return (table(spark, sf_dir, "events") if events is None else events).select("ts", said.alias("message"))
 
 
 @query(f"SELECT template, count(*) AS n FROM (SELECT {_SHAPE} AS template FROM (SELECT {_MSG} AS m FROM events)) GROUP BY 1")
@@ -225,6 +240,36 @@ def numbers_moved(spark, sf_dir):
     return logs.numbers_moved(lines.select("k", message.alias("message")).withColumn("template", logs.template(F.col("message"))))
 
 
+_NAMED = """CASE event_type WHEN 'error' THEN 'lost srv-' || user_id || ', db_' || user_id % 7 || ' and POOL_A after ' || event_id || 'ms.' WHEN 'view' THEN 'app.core.V' || user_id || '/x9'
+  WHEN 'click' THEN 're-run of out-of-memory job at 2024-01-02 03:04:05 on host' || event_id ELSE event_type || ': node-' || user_id % 5 || '; node-' || user_id % 3 || ' took 1.5e-3 and 4GB (' || event_id || ')' END"""
+_IS_NAME = "(regexp_matches({0}, '[A-Za-z]') AND NOT regexp_matches({0}, '^[+-]?[0-9]+([.,][0-9]+)?[A-Za-z%]{{1,5}}$') AND NOT regexp_matches({0}, '^[a-z]+(-[a-z]+)+$') AND regexp_matches({0}, '[0-9_#]|[A-Za-z0-9][.-][A-Za-z0-9]'))"
+_CORE = "regexp_extract(x, '^[.-]*(.*?)[.-]*$', 1)"
+_TIDY = r"rtrim(trim(regexp_replace({0}, '\s+', ' ', 'g')), ' .,;:')"
+_PLAIN = r"regexp_replace(x, '[0-9]+(\.[0-9]+)?', '#', 'g')"
+
+
+@query(
+    rf"""WITH m AS (SELECT regexp_replace({_NAMED}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(\.[0-9]+)?', '#', 'g') AS m FROM events),
+       t AS (SELECT regexp_extract_all(m, '[A-Za-z0-9_.#-]+|[^A-Za-z0-9_.#-]+') AS ts FROM m),
+       k AS (SELECT regexp_replace(array_to_string(list_transform(ts, lambda x: CASE WHEN {_IS_NAME.format(_CORE)} THEN regexp_extract(x, '^([.-]*)', 1) || '<name>' || regexp_extract(x, '([.-]*)$', 1) ELSE {_PLAIN} END), ''),
+           '<name>((\s*[,;/&+]\s*|\s+(and|or)\s+)<name>)+', '<name>', 'g') AS masked,
+         array_to_string(list_transform(ts, lambda x: CASE WHEN {_IS_NAME.format(_CORE)} THEN x ELSE {_PLAIN} END), '') AS said, list_transform(list_filter(ts, lambda x: {_IS_NAME.format(_CORE)}), lambda x: {_CORE}) AS names FROM t),
+       s AS (SELECT *, regexp_matches(regexp_replace(masked, '<name>|.<value>.', ' ', 'g'), '[A-Za-z]{{3,}}') AS says FROM k)
+       SELECT CASE WHEN says THEN {_TIDY.format('masked')} ELSE {_TIDY.format('said')} END AS pattern, count(*) AS n, CAST(sum(CASE WHEN says THEN len(names) ELSE 0 END) AS BIGINT) AS n_names FROM s GROUP BY 1"""
+)
+def log_patterns(spark, sf_dir):
+    """Patterns of lines with identifiers, lists of them, joined words, units, and lines of names alone."""
+    user, event = (F.col(c).cast("string") for c in ("user_id", "event_id"))
+    said = (
+        F.when(F.col("event_type") == "error", F.concat(F.lit("lost srv-"), user, F.lit(", db_"), (F.col("user_id") % 7).cast("string"), F.lit(" and POOL_A after "), event, F.lit("ms.")))
+        .when(F.col("event_type") == "view", F.concat(F.lit("app.core.V"), user, F.lit("/x9")))
+        .when(F.col("event_type") == "click", F.concat(F.lit("re-run of out-of-memory job at 2024-01-02 03:04:05 on host"), event))
+        .otherwise(F.concat("event_type", F.lit(": node-"), (F.col("user_id") % 5).cast("string"), F.lit("; node-"), (F.col("user_id") % 3).cast("string"), F.lit(" took 1.5e-3 and 4GB ("), event, F.lit(")")))
+    )
+    lines = table(spark, sf_dir, "events").select(logs.shape(said).alias("s"))
+    return lines.groupBy("s.pattern").agg(F.count("*").alias("n"), F.sum(F.size("s.names")).alias("n_names"))
+
+
 # Names and graphs
 
 
@@ -271,6 +316,12 @@ def connected_components(spark, sf_dir):
     return entities.connected(_depends(spark, sf_dir).toDF("a", "b").unionByName(supplier))
 
 
+@query()
+def louvain_communities(spark, sf_dir):
+    """Communities by modularity over the orders and parts of all lines, until nothing moves (no SQL: tests hold it against sequential moves)."""
+    return graphs.louvain(_edges(spark, sf_dir).groupBy("a", "b").agg(F.count("*").alias("w")))
+
+
 @query()
 def connected_components_all(spark, sf_dir):
     """Components of the graph of all lines."""
@@ -335,7 +386,7 @@ def communities(spark, sf_dir):
 # Use
 
 
-@query("SELECT doc_id, count(*) AS n, sum(quality)::BIGINT AS n_helpful, round((sum(quality) + 1) / (count(*) + 2), 6) AS score, least(1.0::DOUBLE, count(*) / 10) AS weight FROM (SELECT doc_id % 20 AS doc_id, doc_id AS msg, max(quality) AS quality FROM labels GROUP BY 1, 2) GROUP BY 1")
+@query("SELECT doc_id, count(*) AS n, sum(quality)::BIGINT AS n_helpful, round((sum(quality) + 1) / (count(*) + 2), 6) AS score, least(1.0::DOUBLE, count(*) / 5) AS weight FROM (SELECT doc_id % 20 AS doc_id, doc_id AS msg, max(quality) AS quality FROM labels GROUP BY 1, 2) GROUP BY 1")
 def usefulness_laplace(spark, sf_dir):
     given = table(spark, sf_dir, "labels").select((F.col("doc_id") % 20).alias("ref"), "doc_id", "quality")
     return measures.usefulness(given, "ref", "doc_id", "quality").withColumnRenamed("ref", "doc_id")

@@ -96,9 +96,10 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 
 
 def language(c: Column) -> Column:
-    """en or fr by common words, en on a tie."""
+    """en or fr by common words, en on a tie; unclear where neither has two."""
     count = lambda ws: F.size(F.filter(words(c), lambda x: x.isin(*ws)))
-    return F.when(count(COMMON["fr"]) > count(COMMON["en"]), "fr").otherwise("en")
+    fr, en = count(COMMON["fr"]), count(COMMON["en"])
+    return F.when(F.greatest(fr, en) < 2, "unclear").when(fr > en, "fr").otherwise("en")
 
 
 def business_label(day: Column, reference: Column) -> Column:

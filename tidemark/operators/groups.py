@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # When a value stands out.
-HIGH, LOW = 1.5, 0.67
+HIGH, LOW = BAND = (1.3, 0.77)
 LEAST_COUNT = 5
 COUNT_NOISE = 3.0
 NOISE = 3.0
 FLOOR, FLOOR_SHARE = 3.0, 0.02
-BAND = (1.3, 0.77)
 STEADY_DAYS, STEADY_SHARE = 5, 0.1
 LEAST_MEAN = 3
 NONE = "(none)"

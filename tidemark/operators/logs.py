@@ -25,6 +25,8 @@ MASKS = (
     (r"[0-9]+(\.[0-9]+)?", "#"),
     (r"\s+", " "),
 )
+#: A list of names in a masked message.
+LISTED = r"<name>((\s*[,;/&+]\s*|\s+(and|or)\s+)<name>)+"
 
 
 def template(message: Column) -> Column:
@@ -34,6 +36,31 @@ def template(message: Column) -> Column:
     return F.rtrim(F.trim(message), F.lit(" .,;:"))
 
 
+def is_name(token: Column) -> Column:
+    """Whether a token is written as an identifier: letters with digits or underscores, or with dots or dashes inside; no number with its unit, no joined words."""
+    core = F.regexp_extract(token, r"^[.-]*(.*?)[.-]*$", 1)
+    return core.rlike("[A-Za-z]") & ~core.rlike(r"^[+-]?[0-9]+([.,][0-9]+)?[A-Za-z%]{1,5}$") & ~core.rlike("^[a-z]+(-[a-z]+)+$") & core.rlike("[0-9_#]|[A-Za-z0-9][.-][A-Za-z0-9]")
+
+
+def shape(message: Column) -> Column:
+    """(pattern, names) of a message: identifiers masked as <name>, a list of them as one, beside what :func:`template` masks.
+
+    A message that says nothing but names keeps them: they are what it says.
+    """
+    for mask, by in MASKS[:-2]:
+        message = F.regexp_replace(message, mask, by)
+    tokens = F.regexp_extract_all(message, F.lit(r"([A-Za-z0-9_.#-]+|[^A-Za-z0-9_.#-]+)"), 1)
+    ends = lambda x: (F.regexp_extract(x, r"^([.-]*)", 1), F.regexp_extract(x, r"([.-]*)$", 1))
+    plain = lambda x: F.regexp_replace(x, *MASKS[-2])
+    masked = F.array_join(F.transform(tokens, lambda x: F.when(is_name(x), F.concat(ends(x)[0], F.lit("<name>"), ends(x)[1])).otherwise(plain(x))), "")
+    masked = F.regexp_replace(masked, LISTED, "<name>")
+    tidy = lambda c: F.rtrim(F.trim(F.regexp_replace(c, *MASKS[-1])), F.lit(" .,;:"))
+    says = F.regexp_replace(masked, "<name>|'<value>'", " ").rlike("[A-Za-z]{3,}")
+    names = F.transform(F.filter(tokens, is_name), lambda x: F.regexp_extract(x, r"^[.-]*(.*?)[.-]*$", 1))
+    as_written = F.array_join(F.transform(tokens, lambda x: F.when(is_name(x), x).otherwise(plain(x))), "")
+    return F.struct(F.when(says, tidy(masked)).otherwise(tidy(as_written)).alias("pattern"), F.when(says, names).otherwise(F.array().cast("array<string>")).alias("names"))
+
+
 def numbers(message: Column) -> Column:
     return F.regexp_extract_all(message, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), 1)
 

@@ -27,7 +27,7 @@ def usage(df: DataFrame, sets: list[list[str]], value: str) -> DataFrame:
     )
 
 
-def usefulness(given: DataFrame, ref: str, message: str, helpful: str, full: int = 10) -> DataFrame:
+def usefulness(given: DataFrame, ref: str, message: str, helpful: str, full: int = 5) -> DataFrame:
     """Per ref: distinct messages, helpful ones, the Laplace score (h + 1) / (n + 2) and its weight min(1, n / full)."""
     per = given.groupBy(ref, message).agg(F.max(F.col(helpful).cast("int")).alias("h"))
     n, h = F.count("*"), F.sum(F.coalesce("h", F.lit(0)))
