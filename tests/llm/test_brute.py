@@ -302,11 +302,17 @@ def test_op6_counts(spark, docs):
         assert g.base_failed == (len(words) < 20 or 100 * len(covered) > 30 * len(words)) and not (g.base_failed and g.kept)
 
 
+def _prose(rng, n):
+    """``n`` words of a vocabulary, few of them often: a text repeats its words, as random letters do not."""
+    known = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(500)]
+    return " ".join(known[min(int(x), 499)] for x in rng.pareto(0.7, n) * 8)
+
+
 def test_bands_tell_junk():
     import base64
 
     rng, keep = np.random.default_rng(3), lambda t: quality_rules._judge([t], quality_rules.Bands())[0][6]
-    prose = " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(600))
+    prose = _prose(rng, 600)
     noise = " ".join(base64.b85encode(rng.bytes(60)).decode() for _ in range(200))
     repeated = " ".join(w for w in prose.split()[:40] for _ in range(6))
     assert (keep(prose), keep(noise), keep(repeated)) == (True, False, False)
@@ -316,11 +322,11 @@ def test_last_chunks_count():
     import base64
 
     rng = np.random.default_rng(4)
-    prose = " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(600))[:2048]
+    prose = _prose(rng, 600)[:2048]
     noise = " ".join(base64.b85encode(rng.bytes(12)).decode() for _ in range(110))[:1500]
-    bands, packer = quality_rules.Bands(chunk_share=0.34), __import__("zstandard").ZstdCompressor(level=3)
-    assert quality_rules.in_band(prose, bands, packer)[2] == 0.0
-    assert abs(quality_rules.in_band(prose + noise, bands, packer)[2] - 1500 / 3548) < 1e-9
+    bands, packers = quality_rules.Bands(chunk_share=0.34), [__import__("zstandard").ZstdCompressor(level=x) for x in (3, -1)]
+    assert quality_rules.in_band(prose, bands, *packers)[2] == 0.0
+    assert abs(quality_rules.in_band(prose + noise, bands, *packers)[2] - 1500 / 3548) < 1e-9
 
 
 def _noise(rng, letters, n):
@@ -525,3 +531,34 @@ def test_op2_letters_are_unicode_letters(spark):
     docs = spark.createDataFrame([(i, "der die das", "de") for i in range(20)] + [(100, "½ ² Ⅷ", None), (101, "１２", None), (102, "die", None)], "doc_id long, text string, lang string")
     got = by_id(languages.identify(docs, languages.fit(docs)))
     assert [got[i].lang_pred for i in (100, 101, 102)] == ["und", "und", "de"] and got[100].rejected
+
+
+@pytest.mark.parametrize("alphabet", ["0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+@pytest.mark.parametrize("size", [650, 900, 1400, 3000, 8000, 30_000])
+def test_op6_noise_of_any_alphabet_is_rejected(alphabet, size):
+    """Digits and hexadecimal come out like prose at one level; none of them repeats strings."""
+    rng = np.random.default_rng(len(alphabet) + size)
+    for _ in range(20):
+        s, words = "".join(rng.choice(list(alphabet), size)), []
+        while s:
+            k = int(rng.integers(3, 9))
+            words.append(s[:k])
+            s = s[k:]
+        assert not quality_rules._judge([" ".join(words)], quality_rules.Bands())[0][6]
+
+
+def test_op6_second_level_leaves_clean_documents(spark):
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    one = quality_rules.Bands(matched=((float("inf"), 0.0),), matched_chunk=0.0)
+    assert [x[6] for x in quality_rules._judge(docs, quality_rules.Bands())] == [x[6] for x in quality_rules._judge(docs, one)]
+
+
+def test_slices_count_nested_bytes():
+    import pyarrow as pa
+
+    from tidemark.llm.common import row_bytes, slices
+
+    nested = pa.array([[{"w": b"abc", "n": 1}, {"w": b"de", "n": 2}], None, [], [{"w": None, "n": 3}, {"w": b"xyzw", "n": 4}]])
+    assert row_bytes(nested).tolist() == [5, 0, 0, 4] and row_bytes(nested.slice(1)).tolist() == [0, 0, 4]
+    parts = list(slices(pa.record_batch([nested, pa.array(["é", "", None, "x"])], ["a", "b"]), 6))
+    assert [p.num_rows for p in parts] == [1, 3] or [p.num_rows for p in parts] == [1, 2, 1]

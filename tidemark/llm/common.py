@@ -84,12 +84,24 @@ def texts_where(df: DataFrame, column: str, judge: Callable[[list[str | None]],
     return df.where(accepted(F.col(f"`{column}`")))
 
 
+def row_bytes(column: pa.Array) -> np.ndarray:
+    """Bytes of the strings and binaries of each row, those inside lists and structs too."""
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pa.types.is_struct(column.type):
+        return sum((row_bytes(c) for c in column.flatten()), np.zeros(len(column), np.int64))
+    if pa.types.is_list(column.type) and not pa.types.is_primitive(column.type.value_type):
+        ends = np.concatenate([[0], np.cumsum(row_bytes(column.flatten()))])
+        at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
+        return ends[at[1:]] - ends[at[:-1]]
+    return np.zeros(len(column), np.int64)
+
+
 def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of ``batch`` with about ``most_bytes`` in its strings and binaries at most; one row at least."""
-    wide = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
     sizes = np.zeros(batch.num_rows, np.int64)
-    for c in wide:
-        sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    for c in batch.columns:
+        sizes += row_bytes(c)
     start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if i > start and held + n > most_bytes:

@@ -3,6 +3,10 @@
 ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines`` and ``n_repeat_words`` describe the whole text.
 A text that fails the base rules is rejected; any other is compressed, as a whole and in fixed chunks,
 and must lie inside the band of its length: repetitive text compresses too well, random text too badly.
+
+Two levels tell what one cannot.  The first codes letters by their frequency, so digits or hexadecimal noise, of few different
+characters, come out like prose; the second (a fast level) writes letters as they are and gains by repeated strings alone, of which
+noise of any alphabet has none.
 """
 
 from __future__ import annotations
@@ -54,11 +58,18 @@ class Bands:
     chunk: tuple[float, float] = (1.72, 3.6)
     chunk_share: float = 0.34
     level: int = 3
+    #: (bytes up to, least) of ratios at ``matched_level``: above noise of any alphabet, below the least of clean text and of English prose.
+    matched: tuple[tuple[float, float], ...] = ((600, 0.0), (1000, 1.005), (1500, 1.03), (2048, 1.06), (4096, 1.1), (8192, 1.2), (float("inf"), 1.3))
+    matched_chunk: float = 1.1
+    matched_level: int = -1
 
     def of(self, size: int) -> tuple[float, float]:
         """(least, most) for a text of ``size`` bytes."""
         return next(x[1:] for x in self.whole if size < x[0])
 
+    def least_matched(self, size: int) -> float:
+        return next(least for most, least in self.matched if size < most)
+
 
 def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     """Words inside some ``width``-word window whose words occur at two or more places of ``words``."""
@@ -101,25 +112,29 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
     )
 
 
-def in_band(text: str, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple[bool, float, float]:
+def in_band(text: str, bands: Bands, packer: zstandard.ZstdCompressor, matcher: zstandard.ZstdCompressor) -> tuple[bool, float, float]:
     """(accepted, ratio of the whole text, share of its bytes in chunks outside their limits)."""
     raw, size, off = text.encode("utf-8", "surrogatepass"), bands.chunk_bytes, 0
-    ratio = len(raw) / len(packer.compress(raw))
+    of = lambda data, by: len(data) / len(by.compress(data))
+    ratio = of(raw, packer)
     for start in range(0, len(raw), size):
         chunk = raw[start : start + size]
-        least, most = bands.chunk if len(chunk) == size else bands.of(len(chunk))
-        off += 0 if least <= len(chunk) / len(packer.compress(chunk)) <= most else len(chunk)
+        full = len(chunk) == size
+        least, most = bands.chunk if full else bands.of(len(chunk))
+        matched = bands.matched_chunk if full else bands.least_matched(len(chunk))
+        off += 0 if least <= of(chunk, packer) <= most and of(chunk, matcher) >= matched else len(chunk)
     least, most = bands.of(len(raw))
-    return least <= ratio <= most and off <= bands.chunk_share * len(raw), ratio, off / len(raw)
+    inside = least <= ratio <= most and of(raw, matcher) >= bands.least_matched(len(raw))
+    return inside and off <= bands.chunk_share * len(raw), ratio, off / len(raw)
 
 
 def _judge(texts: list[str | None], bands: Bands) -> list[tuple]:
-    packer = zstandard.ZstdCompressor(level=bands.level)
+    packer, matcher = (zstandard.ZstdCompressor(level=x) for x in (bands.level, bands.matched_level))
     out = []
     for text in texts:
         counts = measure(text)
         failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
-        kept, ratio, share = (False, 0.0, 0.0) if failed else in_band(text, bands, packer)
+        kept, ratio, share = (False, 0.0, 0.0) if failed else in_band(text, bands, packer, matcher)
         out.append((*counts, failed, kept, ratio, share))
     return out
 
