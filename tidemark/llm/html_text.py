@@ -1,10 +1,13 @@
 """HTML extraction: flat text blocks classified by a decision tree on word counts and link density.
 
-A page becomes a flat list of blocks: the text between block-level tags.  Elements only cut: what stands
-in menus, footers, forms, scripts, hidden elements and the like is no text of the article, and where a page marks its article,
-nothing outside it is.  Each block left has its number of words, its link density (share of words inside links), and the same two
-of the blocks before and after it.  A tree grown from a labelled table below says from these six figures which blocks are
-main text; there is one for pages that mark their article, where only lists of links are in doubt, and one for pages that do not.
+A page becomes a flat list of blocks, none cut beforehand: the text between block-level tags, from menus and footers as well.  Each has its
+number of words, its link density (share of words inside links), the same two of the blocks before and after it, where it stands
+(outside what the page marks as its article, on a page that marks none, inside) and whether an element or a name sets it
+apart (menu, form, advert, reader comments).  One tree grown from the labelled table below says from these eight figures which
+blocks are main text; scripts, styles, hidden elements and the like are no text at all.
+
+The page is read forwards once: what a search for a tag's or an element's end has found to be missing is remembered, so unclosed tags,
+quotes and elements cost no more than closed ones.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ APART_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies gdpr paywall menu nav navbar navigation sidebar aside comment "
     "comments commentlist disqus newsletter breadcrumb breadcrumbs pagination pager footer login signup popup modal contentinfo complementary".split()
 )
+# Of these, the ones that are a topic as often as a part of the page, when they stand inside an article.
+TOPICS = set("menu nav login signup aside footer comment popup modal pager".split())
 PARTS = set(
     "area bar block body bottom box container content count form frame head header inner item items left link links list main menu nav notice overlay panel right section slot "
     "text thread top unit widget widgets wrap wrapper banner consent message message-box modal popup".split()
@@ -41,16 +46,17 @@ PARTS = set(
 OUTER_WORDS = set("alert banner consent disclaimer header masthead notice notices overlay promotion rail related recommended replies respond search share sharing side social subscribe subscription toolbar topbar widget".split())
 ARTICLE_WORDS = set("article post entry story content main body text".split())
 
-TAGS = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S
-)
+NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+STOPS = re.compile("[>\"']")
 ATTRIBUTES = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NONE_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 CUT = re.compile(r"[-_]+")
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after")
-#: The labelled tables: FEATURES, then 1 for main text.  Blocks inside a marked article: 16 of ``pages``, the others of laid-out articles with links in
-#: and between paragraphs and with lists of related links; and blocks of laid-out pages that mark nothing, with menus, notices and footers in plain ``div``.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "place", "apart")
+OUTSIDE, NOWHERE, INSIDE = 0, 1, 2
+#: The labelled table: the first six FEATURES, then 1 for main text.  Blocks inside a marked article (16 of ``pages``, the others of laid-out articles with
+#: links and lists of links); blocks of laid-out pages that mark nothing, with menus, notices and footers in plain ``div``; blocks outside a marked
+#: article, and blocks that an element or a name sets apart, of ``pages`` and of laid-out pages.
 MARKED = (
     (198, 0.00, 57, 0.00, 30, 0.00, 1), (113, 0.00, 117, 0.00, 30, 0.00, 1), (72, 0.00, 61, 0.00, 120, 0.00, 1), (3, 0.00, 11, 0.00, 23, 0.00, 1), (59, 0.00, 50, 0.00, 15, 0.00, 1),
     (1, 0.00, 1, 0.00, 37, 0.00, 1), (22, 0.00, 51, 0.00, 0, 0.00, 1), (30, 0.00, 33, 0.00, 45, 0.00, 1), (38, 0.00, 3, 0.00, 36, 0.00, 1), (11, 0.00, 38, 0.00, 3, 0.00, 1),
@@ -64,10 +70,9 @@ MARKED = (
     (24, 0.04, 12, 0.17, 1, 1.00, 1), (5, 0.00, 24, 0.04, 1, 1.00, 1), (34, 0.00, 6, 0.83, 0, 0.00, 1), (3, 0.00, 2, 1.00, 0, 0.00, 1), (24, 0.00, 1, 1.00, 28, 0.04, 1),
     (41, 0.00, 1, 1.00, 0, 0.00, 1), (48, 0.02, 92, 0.00, 1, 1.00, 1), (50, 0.00, 2, 1.00, 119, 0.00, 1), (64, 0.00, 21, 0.00, 2, 1.00, 1), (27, 0.00, 5, 0.40, 2, 1.00, 1),
     (33, 0.09, 11, 0.18, 2, 1.00, 1), (35, 0.00, 1, 1.00, 0, 0.00, 1), (35, 0.03, 3, 0.00, 1, 1.00, 1), (26, 0.00, 2, 1.00, 78, 0.00, 1), (17, 0.12, 13, 0.23, 3, 1.00, 1),
-    (1, 1.00, 25, 0.04, 41, 0.00, 1), (1, 1.00, 5, 0.00, 16, 0.00, 1), (1, 1.00, 35, 0.03, 21, 0.00, 1), (2, 1.00, 88, 0.00, 50, 0.00, 1), (3, 1.00, 5, 0.80, 4, 0.75, 0),
-    (2, 1.00, 1, 1.00, 3, 0.67, 0), (1, 1.00, 2, 1.00, 3, 1.00, 0), (1, 1.00, 3, 0.67, 34, 0.00, 0), (6, 0.83, 2, 1.00, 42, 0.00, 0), (2, 0.50, 1, 1.00, 5, 0.80, 0),
-    (1, 1.00, 48, 0.02, 2, 1.00, 0), (3, 1.00, 1, 1.00, 5, 0.80, 0), (3, 1.00, 1, 1.00, 4, 0.75, 0), (1, 1.00, 3, 0.67, 3, 1.00, 0), (3, 0.67, 1, 1.00, 3, 1.00, 0),
-    (1, 1.00, 1, 1.00, 1, 1.00, 0), (1, 1.00, 35, 0.03, 4, 0.75, 0), (3, 1.00, 4, 0.00, 1, 1.00, 0), (2, 1.00, 1, 1.00, 3, 0.00, 0), (3, 1.00, 1, 1.00, 1, 1.00, 0),
+    (1, 1.00, 25, 0.04, 41, 0.00, 1), (1, 1.00, 5, 0.00, 16, 0.00, 1), (1, 1.00, 35, 0.03, 21, 0.00, 1), (2, 1.00, 88, 0.00, 50, 0.00, 1), (3, 1.00, 40, 0.00, 1, 1.00, 1),
+    (1, 1.00, 22, 0.00, 1, 1.00, 1), (1, 1.00, 1, 1.00, 1, 1.00, 1), (1, 1.00, 1, 1.00, 18, 0.00, 1), (2, 1.00, 3, 1.00, 0, 0.00, 1), (2, 1.00, 1, 0.00, 30, 0.00, 1),
+    (2, 1.00, 2, 1.00, 2, 1.00, 1),
 )
 UNMARKED = (
     (3, 1.00, 0, 0.00, 2, 1.00, 0), (3, 1.00, 0, 0.00, 1, 1.00, 0), (1, 1.00, 6, 0.83, 5, 0.20, 0), (8, 0.50, 7, 0.71, 0, 0.00, 0), (2, 1.00, 3, 0.00, 15, 0.07, 0),
@@ -93,6 +98,17 @@ UNMARKED = (
     (19, 0.00, 1, 0.00, 1, 1.00, 1), (4, 0.00, 46, 0.07, 102, 0.00, 1), (52, 0.00, 28, 0.07, 30, 0.10, 1), (39, 0.00, 1, 0.00, 33, 0.00, 1), (40, 0.00, 25, 0.12, 4, 0.75, 1),
     (56, 0.00, 32, 0.09, 40, 0.00, 1), (45, 0.00, 64, 0.00, 5, 0.00, 1), (111, 0.00, 51, 0.02, 108, 0.00, 1), (45, 0.00, 71, 0.00, 5, 0.00, 1), (48, 0.00, 76, 0.00, 1, 0.00, 1),
     (72, 0.00, 5, 0.00, 1, 0.00, 1), (96, 0.00, 52, 0.02, 3, 0.00, 1),
+    (9, 0.89, 0, 0.00, 0, 0.00, 1), (3, 1.00, 0, 0.00, 0, 0.00, 1), (40, 0.30, 0, 0.00, 0, 0.00, 1), (1, 0.00, 0, 0.00, 0, 0.00, 1), (120, 0.02, 0, 0.00, 0, 0.00, 1), (6, 0.50, 0, 0.00, 0, 0.00, 1),
+)
+BESIDE = (
+    (1, 1.00, 0, 0.00, 1, 1.00, 0), (1, 1.00, 1, 1.00, 1, 1.00, 0), (1, 1.00, 1, 1.00, 9, 0.00, 0), (2, 1.00, 2, 1.00, 14, 0.00, 0), (9, 0.00, 1, 1.00, 8, 0.00, 0),
+    (12, 0.00, 2, 1.00, 3, 0.00, 0), (7, 0.00, 44, 0.00, 0, 0.00, 0), (22, 0.00, 60, 0.00, 10, 0.00, 0), (11, 0.00, 20, 0.00, 0, 0.00, 0), (5, 0.40, 90, 0.00, 2, 1.00, 0),
+    (2, 0.00, 1, 1.00, 17, 0.00, 0), (17, 0.00, 2, 0.00, 13, 0.00, 0), (35, 0.06, 17, 0.00, 0, 0.00, 0), (3, 1.00, 31, 0.00, 3, 1.00, 0), (60, 0.00, 2, 0.00, 45, 0.00, 0),
+    (4, 0.75, 6, 0.00, 40, 0.00, 0), (110, 0.00, 3, 0.00, 2, 0.00, 0), (8, 0.00, 0, 0.00, 1, 1.00, 0), (1, 0.00, 0, 0.00, 0, 0.00, 0), (15, 0.00, 0, 0.00, 0, 0.00, 0),
+)
+TABLE = (
+    *((*r[:6], INSIDE, 0, r[6]) for r in MARKED), *((*r[:6], NOWHERE, 0, r[6]) for r in UNMARKED), *((*r[:6], OUTSIDE, 0, r[6]) for r in BESIDE),
+    *((*r[:6], place, 1, r[6]) for r in BESIDE for place in (OUTSIDE, NOWHERE, INSIDE)),
 )
 
 
@@ -119,9 +135,9 @@ def grow(rows: tuple, used: tuple[int, ...] = tuple(range(len(FEATURES))), depth
     return left if left == right else (f, limit, left, right)
 
 
-@lru_cache(maxsize=2)
-def tree(marked: bool):
-    return grow(MARKED if marked else UNMARKED)
+@lru_cache(maxsize=1)
+def tree():
+    return grow(TABLE)
 
 
 def is_main(features: tuple, node) -> int:
@@ -157,7 +173,9 @@ def _place(name: str, attributes: str, in_article: bool) -> tuple[int, bool]:
             parts = [x for x in CUT.split(token) if x]
             if not parts:
                 continue
-            named = parts[-1] in APART_WORDS or (parts[0] in APART_WORDS and set(parts[1:]) <= PARTS)
+            words = APART_WORDS - TOPICS if in_article else APART_WORDS
+            named = (parts[-1] in words and (len(parts) == 1 or parts[-1] != "comment")) or (parts[0] in words and set(parts[1:]) <= PARTS)
+            named = named or token == "comment"
             apart = apart or named or (not in_article and (token in OUTER_WORDS or (parts[0] in ("site", "page", "top") and parts[-1] in OUTER_WORDS)))
             article = max(article, int(name not in ("body", "html") and set(parts) <= ARTICLE_WORDS))
         article = 2 if found.get("role", "").lower() in ARTICLE else article
@@ -166,6 +184,55 @@ def _place(name: str, attributes: str, in_article: bool) -> tuple[int, bool]:
     return 0 if apart else article, apart
 
 
+class Tags:
+    """The tags of a page, forwards; what is known to be missing from a place on is not sought again."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, {c: html.rfind(c) for c in ">\"'"}
+        self.no_end: set[str] = set()
+        self.no_close: set[int] = set()  # quotes from which no tag ends outside quotes
+
+    def end_of(self, name: str, at: int) -> int | None:
+        """Where the next closing tag of ``name`` stands."""
+        if name in self.no_end:
+            return None
+        found = _end_of(name).search(self.html, at)
+        if found is None:
+            self.no_end.add(name)
+        return None if found is None else found.start()
+
+    def _close(self, at: int) -> int:
+        """The ``>`` that ends a tag: the first outside quotes, or where quotes do not close the first of all."""
+        pos, passed = at, []
+        while (m := STOPS.search(self.html, pos)) is not None:
+            if m[0] == ">":
+                return m.start()
+            passed.append(m.start())
+            pos = 0 if m.start() in self.no_close or m.start() >= self.last[m[0]] else self.html.find(m[0], m.end()) + 1
+            if not pos:
+                break
+        self.no_close.update(passed)
+        return self.html.find(">", at)
+
+    def after(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, lower-cased name, closes, attributes) of the next tag, comment or declaration (no name) from ``at`` on."""
+        html = self.html
+        while (start := html.find("<", at)) >= 0 and (start < self.last[">"] or html.startswith("<!--", start)):
+            if html.startswith("<!--", start):
+                end = -1 if "-->" in self.no_end else html.find("-->", start + 4)
+                if end < 0:
+                    self.no_end.add("-->")
+                return start, len(html) if end < 0 else end + 3, "", False, ""
+            m = NAME.match(html, start + 1)
+            if m is not None:
+                end = self._close(m.end())
+                return start, end + 1, m[1].lower(), html[start + 1] == "/", html[m.end() : end]
+            if html[start + 1 : start + 2] in ("!", "?", "/"):
+                return start, html.find(">", start) + 1, "", False, ""
+            at = start + 1
+        return None
+
+
 def blocks(html: str) -> list[tuple[str, int, float, int, bool]]:
     """(text, words, link density, article level, apart) of each block of a page, in page order."""
     out: list[tuple] = []
@@ -191,22 +258,22 @@ def blocks(html: str) -> list[tuple[str, int, float, int, bool]]:
         if in_link:
             linked.append(piece)
 
+    tags = Tags(html)
     while at < end:
-        m = TAGS.search(html, at)
-        if m is None:
+        found = tags.after(at)
+        if found is None:
             add(html[at:])
             break
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        start, at_next, name, closing, attributes = found
+        if start > at:
+            add(html[at:start])
+        at = at_next
         if not name:
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if name in UNREAD and not closing and not attributes.endswith("/"):
-            stop = _end_of(name).search(html, at)
-            if stop or name in ("script", "style", "textarea"):
-                at = stop.start() if stop else end
+            stop = tags.end_of(name, at)
+            if stop is not None or name in ("script", "style", "textarea"):
+                at = end if stop is None else stop
             continue
         if name in UNREAD and name != "head":
             continue
@@ -218,8 +285,8 @@ def blocks(html: str) -> list[tuple[str, int, float, int, bool]]:
             elif name == "a":
                 in_link = not closing
             elif not closing and name == "span" and attributes and _hidden(_attributes(attributes)):
-                stop = _end_of("span").search(html, at)
-                at = stop.start() if stop else at
+                stop = tags.end_of("span", at)
+                at = at if stop is None else stop
             continue
         close()
         in_link = in_link and name not in ("p", "div", "li", "article", "section")
@@ -242,27 +309,23 @@ def blocks(html: str) -> list[tuple[str, int, float, int, bool]]:
     return out
 
 
+def places(found: list[tuple]) -> list[int]:
+    """Where each block stands: OUTSIDE or INSIDE what the page marks as its article, NOWHERE on a page that marks none."""
+    level = max((b[3] for b in found if not b[4]), default=0)
+    if level == 1 and 2 * sum(b[1] for b in found if b[3] and not b[4]) < sum(b[1] for b in found if not b[4]):
+        level = 0  # only names say so, and most text is elsewhere
+    return [NOWHERE if not level else INSIDE if b[3] >= level else OUTSIDE for b in found]
+
+
 def features_of(found: list[tuple]) -> list[tuple]:
     """FEATURES of each block."""
     sides = [(0, 0.0), *(b[1:3] for b in found), (0, 0.0)]
-    return [(*sides[i + 1], *sides[i], *sides[i + 2]) for i in range(len(found))]
-
-
-def eligible(found: list[tuple]) -> list[tuple]:
-    """The blocks that elements do not cut."""
-    found = [b for b in found if not b[4]]
-    level = max((b[3] for b in found), default=0)
-    if level == 1 and 2 * sum(b[1] for b in found if b[3]) < sum(b[1] for b in found):
-        level = 0  # only names say so, and most text is elsewhere
-    return [b for b in found if b[3] >= level]
+    return [(*sides[i + 1], *sides[i], *sides[i + 2], place, int(b[4])) for i, (b, place) in enumerate(zip(found, places(found), strict=True))]
 
 
 def main_text(html: str | None) -> str:
     """The main text of a page: its main blocks joined by two line feeds; empty for null."""
-    if not html:
-        return ""
-    found = eligible(blocks(html))
-    node = tree(any(b[3] == 2 for b in found))
+    found, node = blocks(html or ""), tree()
     return "\n\n".join(b[0] for b, f in zip(found, features_of(found), strict=True) if is_main(f, node))
 
 
