@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog_text import _terms_sql
 from tidemark.functions import text as T
-from tidemark.operators import entities, graphs, groups, search, series
+from tidemark.operators import candidates, entities, graphs, groups, names, search, series, sketches, spelling, subjects
+from tidemark.operators.scratch import folder_of, kept
 from tidemark.registry import query
 from tidemark.sources.tables import table, visible
+from tidemark.streaming import stateful
 
 
 @query(
@@ -169,3 +173,111 @@ def chains_with_free_hops(spark, sf_dir):
     links = links.unionByName(table(spark, sf_dir, "region").select(name("r", "r_regionkey").alias("src"), name("n", "r_regionkey").alias("dst")))
     wholes = nation.select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst"))
     return graphs.chains(links, start, 3, wholes).select(F.array_join("path", ">").alias("path"), "hops")
+
+
+def _said_names(spark, sf_dir):
+    """Every three words that follow each other in a benchmark item, and every word that begins one: names to look for."""
+    words = table(spark, sf_dir, "benchmark").select(names.atoms(F.col("text")).alias("w")).where(F.size("w") > 2)
+    threes = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("name"))
+    return threes.unionByName(words.select(F.col("w")[0].alias("name"))).distinct()
+
+
+@query()
+def names_in_documents(spark, sf_dir):
+    """The names that documents hold, the longest first, none over another (no SQL: tests hold it against a plain walk)."""
+    return names.names_in(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), _said_names(spark, sf_dir))
+
+
+@query()
+def conversation_subjects(spark, sf_dir):
+    """The subject of every message: its terms as words, the tables it names and its numbers and capitals as values (no SQL: a fold with state)."""
+    said = table(spark, sf_dir, "conversations")
+    spelled = names.atoms(F.col("text"))
+    values = F.filter(spelled, lambda w: w.rlike("[0-9]") | w.rlike("^[A-Z][A-Z_]+$"))
+    tables_ = F.filter(F.transform(spelled, F.lower), lambda w: w.isin("orders", "lineitem", "customer", "part", "supplier", "events"))
+    rows = said.select("conv_id", "turn", T.terms(F.col("text")).alias("words"), tables_.alias("tables"), values.alias("values"))
+    return subjects.subjects(rows, "conv_id", "turn")
+
+
+@query()
+def daily_sketches(spark, sf_dir):
+    """Profiles of a ten-day window of every event type from stored day sketches: quantiles and distinct users within their bounds (no SQL: estimates)."""
+    store = kept(sketches.daily(table(spark, sf_dir, "events"), ["event_type"], "ts", "value", "user_id"))
+    found = sketches.window(store, ["event_type"], "2024-01-10", "2024-01-19")
+    usual = sketches.median_of_days(store, ["event_type"], "2024-01-10", "2024-01-19", 0.95)
+    found = found.select("event_type", "n", "filled", "mean", "least", "most", sketches.quantile("quantiles", 0.95).alias("p95"), F.round(sketches.distinct("members")).cast("long").alias("users"))
+    return found.join(usual, "event_type")
+
+
+@query(
+    """WITH d AS (SELECT ts::DATE AS day, event_type, count(*) AS n, count(value) AS filled, min(value) AS least, max(value) AS most FROM events GROUP BY 1, 2)
+       SELECT event_type, sum(n)::BIGINT AS n, sum(filled)::BIGINT AS filled, min(least) AS least, max(most) AS most FROM d WHERE day BETWEEN DATE '2024-01-10' AND DATE '2024-01-19' GROUP BY 1"""
+)
+def window_profile(spark, sf_dir):
+    """What of a window's profile is exact, through the same stored days: those before the fifteenth first, then only what was missing."""
+    events = table(spark, sf_dir, "events")
+    store = kept(sketches.daily(events.where("ts < timestamp_ntz'2024-01-15'"), ["event_type"], "ts", "value", "user_id"))
+    store = store.unionByName(kept(sketches.extended(store, events, ["event_type"], "ts", "value", "user_id")))
+    return sketches.window(store, ["event_type"], "2024-01-10", "2024-01-19").select("event_type", "n", "filled", "least", "most")
+
+
+_SOURCES = """h AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+       near AS (SELECT q.vec_id AS query_id, v.vec_id, v.label::VARCHAR AS candidate, round(list_cosine_similarity(v.e, q.e), 6) AS score FROM h q JOIN h v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
+       top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM near),
+       few AS (SELECT * FROM top WHERE rn <= 20),
+       f AS (SELECT query_id, candidate, 'rank' AS feature, 1.0::DOUBLE / rn AS value FROM few UNION ALL SELECT query_id, candidate, 'score', CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END FROM few
+         UNION ALL SELECT query_id, candidate, 'votes', count(*) / 20.0::DOUBLE FROM few GROUP BY 1, 2)"""
+
+
+@query(
+    f"""WITH {_SOURCES}, w AS (SELECT query_id, candidate, coalesce(max(value) FILTER (feature = 'rank'), 0) AS rank, coalesce(max(value) FILTER (feature = 'score'), 0) AS score, coalesce(max(value) FILTER (feature = 'votes'), 0) AS votes FROM f GROUP BY 1, 2)
+       SELECT query_id, candidate, round(rank, 6) AS rank, round(score, 6) AS score, round(votes, 6) AS votes FROM w"""
+)
+def candidate_features(spark, sf_dir):
+    """A row a query vector and label near it: the best place, the best share of the best score, and the share of neighbours, in one aggregation."""
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    hits = search.nearest(v, "vec_id", "embedding", asked, 20).join(v.select("vec_id", F.col("label").cast("string").alias("candidate")), "vec_id")
+    hits = kept(hits.select("query_id", "candidate", "score", "rn"))
+    votes = hits.groupBy("query_id", "candidate").agg((F.count("*") / 20.0).alias("value"))
+    wide = candidates.features({"rank": candidates.by_rank(hits), "score": candidates.by_score(hits), "votes": votes})
+    return wide.select("query_id", "candidate", *(F.round(c, 6).alias(c) for c in ("rank", "score", "votes")))
+
+
+_CLOSED = """rows_ AS (SELECT user_id, event_type, ts, any_value(value) AS v, epoch_us(ts) AS us FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY user_id, event_type, ts HAVING count(*) = 1),
+ e AS (SELECT *, v > 60 AS bad FROM rows_), m AS (SELECT (max(epoch_us(ts)) - 60000000) // 1000 * 1000 AS mark FROM events),
+ o AS (SELECT *, bad AND (NOT coalesce(lag(bad) OVER w, FALSE) OR us - lag(us) OVER w > 86400000000) AS opens, coalesce(lead(us) OVER w, 9000000000000000000) AS following FROM e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY us)),
+ r AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id, event_type ORDER BY us) AS run FROM o),
+ f AS (SELECT user_id, event_type, min(ts) AS from_time, max(ts) AS to_time, count(*) AS n_samples, max(v) AS worst, max(us) AS last, arg_max(following, us) AS following, (max(us) - min(us)) // 1000000 + 86400 AS seconds FROM r WHERE bad GROUP BY user_id, event_type, run)"""
+
+
+@query(
+    f"""WITH {_CLOSED} SELECT user_id, event_type, from_time, to_time, n_samples, worst, seconds FROM f, m WHERE seconds >= 100000 AND last <= mark AND (last + 86400000000 < mark OR following <= mark)"""
+)
+def stream_breaches(spark, sf_dir):
+    """Runs beyond a threshold as a stream with state of its own closes them, over all events; runs still open at the end are not told."""
+    events = table(spark, sf_dir, "events")
+    once = events.groupBy("user_id", "event_type", "ts").agg(F.count("*").alias("n"), F.first("value").alias("value"))
+    rows = kept(once.where("n = 1").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value"))
+    path = rows.inputFiles()[0].rsplit("/", 1)[0]
+    stream = stateful.prepared(spark).readStream.schema(rows.schema).parquet(path)
+    found = stateful.open_runs(stream, ["user_id", "event_type"], "ts", "value", 60.0, 86_400, 100_000, "60 seconds")
+    out = f"{folder_of(spark)}/tidemark-{uuid.uuid4().hex}"
+    run = found.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/runs")
+    run.awaitTermination()
+    closed = spark.read.schema(found.schema).parquet(f"{out}/runs")
+    return closed.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("from_time", "to_time")})
+
+
+@query()
+def spelling_readings(spark, sf_dir):
+    """What every benchmark item with planted slips is read as, by the words of all documents (no SQL: tests hold each kind of reading)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 1).alias("w"))
+    docs = kept(docs)
+    vocab = docs.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("n_docs"))
+    pairs = docs.where("size(w) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("a"), F.element_at("w", i + 1).alias("b")))).alias("p"))
+    pairs = pairs.select("p.a", "p.b").distinct()
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.split(F.lower("text"), "[^a-z]+")).alias("place", "word")).where("word != ''")
+    slip = F.concat(F.substring("word", 1, 2), F.substring("word", 4, 1), F.substring("word", 3, 1), F.expr("substring(word, 5)"))
+    asked = asked.withColumn("word", F.when(F.length("word") > 6, slip).otherwise(F.col("word")))
+    return spelling.readings(asked, vocab, pairs, T.STOP)

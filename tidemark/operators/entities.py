@@ -59,7 +59,11 @@ def candidate_pairs(names: DataFrame, key: str, name: str) -> DataFrame:
 
 def verdict(a: Column, b: Column) -> Column:
     """What two names are to each other: strong, noenv, typo, doubt or none."""
-    x, y = name_keys(a), name_keys(b)
+    return verdict_of(name_keys(a), name_keys(b))
+
+
+def verdict_of(x: Column, y: Column) -> Column:
+    """:func:`verdict` from the keys of both names, where they are at hand."""
     close = (F.levenshtein(x["compact"], y["compact"]) == 1) & (F.least(F.length(x["compact"]), F.length(y["compact"])) >= TYPO_LETTERS)
     digits = F.regexp_replace(x["compact"], "[^0-9]", "") == F.regexp_replace(y["compact"], "[^0-9]", "")
     return (
@@ -221,10 +225,11 @@ def entity_groups(names: DataFrame) -> DataFrame:
     keyed = stored(keyed.join(least, "same", "left").select("id", "name", "whole", F.coalesce("standing", "id").alias("standing")))
     few = stored(keyed.where("id = standing").select("id", "name", "whole"))
     named = few.select("id", "name")
-    pairs = candidate_pairs(named, "id", "name").join(named.toDF("a", "na"), "a").join(named.toDF("b", "nb"), "b")
-    what = verdict(F.col("na"), F.col("nb"))
-    rank = F.coalesce(*(F.when(what == k, F.lit(v)) for k, v in STRENGTH.items()))
-    pairs = pairs.select("a", "b", rank.alias("rank")).where("rank is not null")
+    spelled = stored(named.select("id", name_keys(F.col("name")).alias("k")))
+    pairs = stored(candidate_pairs(named, "id", "name")).join(spelled.toDF("a", "ka"), "a").join(spelled.toDF("b", "kb"), "b")
+    what = verdict_of(F.col("ka"), F.col("kb"))
+    rank = F.element_at(F.create_map(*(F.lit(v) for pair in STRENGTH.items() for v in pair)), F.col("what"))
+    pairs = pairs.select("a", "b", what.alias("what")).select("a", "b", rank.alias("rank")).where("rank is not null")
     parts = keyed.where("whole is not null").select(F.col("standing").alias("a"), F.col("whole").alias("id")).join(keyed.select("id", F.col("standing").alias("b")), "id").select("a", "b")
     apart = parts.unionByName(extensions(named)).where("a != b")
     groups = groups_apart(few.select(F.col("id").alias("node"), "whole"), pairs, apart, ("whole",), connected)

@@ -74,6 +74,7 @@ class Runs(StatefulProcessor):
             for at, v in zip(times.tolist(), frame[self.value].tolist(), strict=True):
                 if v == v and at > seen and not self.waiting.containsKey((at,)):
                     self.waiting.updateValue((at,), (v,))
+                    self.handle.registerTimer(at // 1000 + 1)
                     self.handle.registerTimer((at + self.step) // 1000 + 1)
         yield from self._frames(self._upto(key, mark))
 
