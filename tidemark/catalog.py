@@ -475,6 +475,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import tidemark.catalog_analysis  # noqa: F401
     import tidemark.catalog_knowledge  # noqa: F401
     import tidemark.catalog_more  # noqa: F401
+    import tidemark.catalog_records  # noqa: F401
 
     return dict(QUERIES)
 

@@ -102,6 +102,35 @@ def language(c: Column) -> Column:
     return F.when(F.greatest(fr, en) < 2, "unclear").when(fr > en, "fr").otherwise("en")
 
 
+#: Words that name a period, in English and French, in the order in which they are looked for.
+PERIODS = (
+    ("yesterday", r"\b(yesterday|hier)\b"), ("today", r"\b(today|aujourd'hui)\b"), ("last week", r"\b(last week|semaine derni[eè]re)\b"), ("this week", r"\b(this week|cette semaine)\b"),
+    ("last month", r"\b(last month|mois dernier)\b"), ("this month", r"\b(this month|ce mois)\b"), ("weekend", r"\b(weekend|week-end)\b"),
+)
+
+
+def named_period(c: Column, reference: Column) -> Column:
+    """(first, until) days, the last not included, of the period that a text names, seen from the day ``reference``; null where it names none.
+
+    A written day (2024-01-31) comes first, then the last N days, then PERIODS; weeks begin on Monday, and the weekend is the last one that began.
+    """
+    low = F.lower(c)
+    day = F.regexp_extract(low, r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b", 1).try_cast("date")
+    count = F.regexp_extract(low, r"\b(?:last|past) ([0-9]{1,3}) days\b", 1)
+    count = F.when(count != "", count).otherwise(F.regexp_extract(low, r"\b([0-9]{1,3}) derniers jours\b", 1))
+    monday, month = F.date_trunc("week", reference).cast("date"), F.date_trunc("month", reference).cast("date")
+    saturday = F.date_sub(reference, F.pmod(F.weekday(reference) - 5, F.lit(7)))
+    spans = {
+        "yesterday": (F.date_sub(reference, 1), reference), "today": (reference, F.date_add(reference, 1)), "last week": (F.date_sub(monday, 7), monday), "this week": (monday, F.date_add(monday, 7)),
+        "last month": (F.add_months(month, -1), month), "this month": (month, F.add_months(month, 1)), "weekend": (saturday, F.date_add(saturday, 2)),
+    }
+    span = lambda a, b: F.struct(a.alias("first"), b.alias("until"))
+    found = F.when(day.isNotNull(), span(day, F.date_add(day, 1))).when(count != "", span(F.date_sub(reference, count.try_cast("int") - 1), F.date_add(reference, 1)))
+    for name, pattern in PERIODS:
+        found = found.when(low.rlike(pattern), span(*spans[name]))
+    return found
+
+
 def business_label(day: Column, reference: Column) -> Column:
     """D, D-1, ... in weekdays from ``day`` back from ``reference``; null on weekends and later days."""
     weekday = lambda d: F.weekday(d)  # noqa: E731  Monday 0

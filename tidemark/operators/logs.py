@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.entities import same_moment
+from tidemark.operators.names import atoms, names_in
+
 # When a template's count is told.
 NEW_LINES, NEW_ERRORS = 5, 2
 HIGH = 2.0
@@ -14,6 +17,12 @@ VALUE_HIGH, VALUE_FEW = 2.0, 2.5
 HELD = 0.8
 #: Words of a line that state what one part does with another.
 KINDS = {"waits for": "waits", "calls": "calls", "reads from": "reads", "writes to": "writes", "depends on": "depends"}
+#: Words between two parts, and what they say the first does with the second.
+VERBS = {
+    **dict.fromkeys(("waits", "waiting", "awaits", "blocked"), "waits"), **dict.fromkeys(("calls", "calling", "called", "invokes", "requests"), "calls"),
+    **dict.fromkeys(("reads", "reading", "loads", "fetches", "queries"), "reads"), **dict.fromkeys(("writes", "writing", "stores", "saves"), "writes"),
+    **dict.fromkeys(("sends", "sending", "publishes", "forwards"), "sends"), **dict.fromkeys(("depends", "needs", "requires"), "depends"), **dict.fromkeys(("starts", "triggers", "launches"), "triggers"),
+}
 SEVERITY = {"trace": 0, "debug": 1, "info": 2, "warning": 3, "error": 4, "fatal": 5}
 #: Patterns of the parts of a message that vary, masked in this order.
 MASKS = (
@@ -155,6 +164,34 @@ def survey(judged: DataFrame, most: int = 12) -> DataFrame:
     return told.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("place", "template", "level", "now", "usual", "verdict")
 
 
+def same_lines(a: DataFrame, b: DataFrame, keys: list[str], time: str, row: str, micros: int = 2_000_000, least: float = HELD) -> DataFrame:
+    """(keys, n_lines, found, share, same): the lines of ``a`` (keys, time, row, message) whose longest clean piece a line of ``b`` has, at the same keys and
+    at most ``micros`` apart; from ``least`` of them on both tables tell the same events.  Lines without a piece of 12 characters do not count."""
+    pieces = a.select(*keys, time, row, longest_piece(template(F.col("message"))).alias("piece")).where("piece is not null")
+    met = same_moment(pieces, b.select(*keys, time, F.col("message").alias("other")), keys, time, micros)
+    found = met.where(F.contains(template(F.col("other")), F.col("piece"))).select(*keys, row).distinct().groupBy(*keys).agg(F.count("*").alias("found"))
+    both = pieces.groupBy(*keys).agg(F.count("*").alias("n_lines")).join(found, keys, "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return both.withColumn("share", F.round(F.col("found") / F.col("n_lines"), 6)).withColumn("same", F.col("share") >= least)
+
+
+def stated(lines: DataFrame, line: str, day: str, message: str, names: DataFrame, most: int = 4) -> DataFrame:
+    """(src, kind, dst, n_lines, n_days): what lines say that one known part does with the next, every statement of a line.
+
+    Parts are the names (name) that a line holds (:func:`tidemark.operators.names.names_in`); the kind is read from the at most ``most`` words between
+    two of them: the first that VERBS know.  A statement that a line makes twice counts once.
+    """
+    words = lines.select(F.col(line).alias("line"), F.col(day).alias("day"), atoms(F.col(message)).alias("ws"))
+    held = names_in(lines.select(F.col(line).alias("line"), F.col(message).alias("m")), "line", F.col("m"), names)
+    w = Window.partitionBy("line").orderBy("place")
+    pairs = held.select("line", F.col("name").alias("src"), (F.col("place") + F.col("n_words")).alias("at"), F.lead("place").over(w).alias("to"), F.lead("name").over(w).alias("dst"))
+    pairs = pairs.where(F.col("dst").isNotNull() & (F.col("dst") != F.col("src")) & F.col("to").isNotNull() & (F.col("to") > F.col("at")) & (F.col("to") - F.col("at") <= most))
+    verbs = F.create_map(*(F.lit(x) for pair in VERBS.items() for x in pair))
+    between = F.transform(F.slice("ws", F.col("at") + 1, F.col("to") - F.col("at")), F.lower)
+    kinds = F.filter(F.transform(between, lambda x: F.element_at(verbs, x)), lambda k: k.isNotNull())
+    said = pairs.join(words, "line").select("line", "day", "src", "dst", F.get(kinds, F.lit(0)).alias("kind")).where("kind is not null").distinct()
+    return said.groupBy("src", "kind", "dst").agg(F.count("*").alias("n_lines"), F.countDistinct("day").alias("n_days"))
+
+
 def stated_links(lines: DataFrame, names: DataFrame) -> DataFrame:
     """(src, kind, dst, n): what lines say that one part does with another, for parts in ``names`` (name); words decide the kind."""
     pattern = r"(?i)([a-z0-9_-]+) (" + "|".join(KINDS) + r") ([a-z0-9_-]+)"

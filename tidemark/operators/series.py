@@ -230,6 +230,23 @@ def recurrence(found: DataFrame, labels: list[str], time: str, days: int) -> Dat
     return per.withColumn("usual", F.lit(days >= 3) & (F.col("days_on") >= RECURS * days))
 
 
+def recurring_runs(df: DataFrame, labels: list[str], time: str, value: str, threshold: float, step: int, least: int, start: str, end: str, days: int = 7) -> DataFrame:
+    """(labels, n_runs, worst, seconds, days_on, days_seen, verdict) of the series with runs beyond ``threshold`` in [start, end).
+
+    The same clock window of each of ``days`` earlier days is moved onto the first and cut into runs in the same scan.  Days on which a series
+    has no sample do not count; with 3 that do, runs on RECURS of them are usual, on fewer they are not.
+    """
+    tagged = windows_back(df, time, start, end, "day", days)
+    moved = tagged.withColumn(time, (F.col(time) + F.make_dt_interval(F.col("k"))).cast(df.schema[time].dataType))
+    runs = breaches(moved, [*labels, "k"], time, value, threshold, step, least)
+    now = runs.where("k = 0").groupBy(*labels).agg(F.count("*").alias("n_runs"), F.max("worst").alias("worst"), F.sum("seconds").alias("seconds"))
+    on = runs.where("k > 0").groupBy(*labels).agg(F.countDistinct("k").alias("days_on"))
+    seen = tagged.where((F.col("k") > 0) & F.col(value).isNotNull()).groupBy(*labels).agg(F.countDistinct("k").alias("days_seen"))
+    both = join_same(join_same(now, on, labels), seen, labels).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("days_on", "days_seen")})
+    usual = F.when(F.col("days_seen") < 3, "unknown").when(F.col("days_on") >= RECURS * F.col("days_seen"), "usual").otherwise("not usual")
+    return both.withColumn("verdict", usual)
+
+
 def day_scan(df: DataFrame, labels: list[str], time: str, last_day: str, weeks: int = 4) -> DataFrame:
     """Rows on ``last_day`` of each series against the same weekday of earlier weeks, a series without rows counting 0.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.scratch import kept
@@ -20,6 +20,24 @@ def family_of(name: str) -> str:
     return re.sub(r"[-_.]?\d{4}[-_.]\d{2}(?:[-_.]\d{2})?$|[-_.]\d+$", "-*", name)
 
 
+def family_key(name: Column) -> Column:
+    """:func:`family_of` of a column of names."""
+    return F.regexp_replace(name, r"([-_.]?[0-9]{4}[-_.][0-9]{2}([-_.][0-9]{2})?|[-_.][0-9]+)$", "-*")
+
+
+def family_members(names: DataFrame, name: str, *sums: str) -> DataFrame:
+    """(family, n_members, sums) of tables by ``name``: dated or numbered ones together, one without others of its kind by its own name."""
+    per = names.withColumn("family", family_key(F.col(name))).groupBy("family").agg(F.countDistinct(name).alias("n_members"), F.min(name).alias("only"), *(F.sum(c).alias(c) for c in sums))
+    return per.select(F.when(F.col("n_members") > 1, F.col("family")).otherwise(F.col("only")).alias("family"), "n_members", *sums)
+
+
+def capped(df: DataFrame, order: list, most: int) -> DataFrame:
+    """The first ``most`` rows in ``order``, each told whether there are more (``truncated``); one job, which reads ``most`` + 1 rows a task."""
+    first = df.orderBy(*order).limit(most + 1)
+    whole = Window.partitionBy(F.lit(0))  # at most ``most`` + 1 rows
+    return first.select("*", F.row_number().over(whole.orderBy(*order)).alias("_rn"), (F.count("*").over(whole) > most).alias("truncated")).where(F.col("_rn") <= most).drop("_rn")
+
+
 def families(names: list[str]) -> dict[str, list[str]]:
     """Table names by family; a family of one member keeps the member's own name."""
     found: dict[str, list[str]] = {}
