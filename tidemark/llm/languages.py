@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,9 +63,9 @@ class Model:
     log_backoff: list[np.ndarray] = field(default_factory=list)
 
     @classmethod
-    def fit(cls, grams: list[str], counts: list[int]) -> Model:
+    def fit(cls, grams: list[str], counts: np.ndarray) -> Model:
         """From the counts of all padded ORDER-grams."""
-        chars = np.array([[ord(c) for c in g] for g in grams], np.uint32).reshape(-1, ORDER)
+        chars = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
         raw, levels = np.array(counts, np.float64), []
         for k in range(ORDER, 0, -1):  # adjusted counts of each order, from the order above
             if k == ORDER:
@@ -257,10 +258,13 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, calibration_docs: int = CALIB
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit((fit_docs + calibration_docs) / n)) for k, n in per.items()))
     picked = usable.withColumn("at", rank / F.least(share, F.lit(1.0))).where("at < 1")
     edge = fit_docs / (fit_docs + calibration_docs)
-    rows = _gram_counts(picked.where(F.col("at") < edge)).toPandas()
-    rows = rows.sort_values(["lang", "gram"])
-    names = sorted(k for k in per if (rows["lang"] == k).any())
-    models = [Model.fit(*(rows.loc[rows["lang"] == k, c].tolist() for c in ("gram", "n"))) for k in names]
+    rows = _gram_counts(picked.where(F.col("at") < edge)).toArrow().combine_chunks()
+    names = sorted(k for k in per if k in set(rows["lang"].unique().to_pylist()))
+    models = []
+    for k in names:  # one language's table at a time
+        own = rows.filter(pc.equal(rows["lang"], k)).sort_by("gram")
+        models.append(Model.fit(own["gram"].to_pylist(), own["n"].to_numpy()))
+    del rows
     languages = Languages(names, models, np.ones(len(names)))
     if not names:
         return languages
