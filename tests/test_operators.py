@@ -317,3 +317,26 @@ def test_values_in_longer_values_are_covered(spark):
     values = spark.createDataFrame([("c", "York"), ("c", "New York"), ("s", "Open")], "field string, value string")
     asked = spark.createDataFrame([(1, "open orders of New York"), (2, "york only")], "id int, q string")
     assert rows(search.value_places(asked, "id", F.col("q"), values).select("id", "value")) == [(1, "New York"), (1, "Open"), (2, "York")]
+
+
+def test_measures_that_texts_name():
+    from tidemark.plans.plan import measure_of
+
+    assert measure_of(" Ratio( a , b ) ") == Measure("ratio_a_b", "ratio", "a", under="b")
+    assert measure_of("average(x.y)", "m") == Measure("m", "avg", "x.y") and measure_of("count").function == "count"
+    for text in ("median(x)", "avg", "ratio(a)", "count(x)", "avg(a, b)", "avg(a) + 1", ""):
+        with pytest.raises(ValueError):
+            measure_of(text)
+
+
+def test_runs_recur_over_days_with_data(spark):
+    rows = [("a", f"2024-01-{d:02d} 10:{m:02d}:00", 9.0) for d in (8, 9, 10) for m in (0, 1, 2)] + [("a", f"2024-01-{d:02d} 12:00:00", 1.0) for d in range(4, 11)]
+    rows += [("b", f"2024-01-10 10:{m:02d}:00", 9.0) for m in (0, 1, 2)] + [("b", f"2024-01-0{d} 10:00:00", 1.0) for d in (7, 8)]
+    rows += [("c", f"2024-01-{d:02d} 10:{m:02d}:00", 9.0) for d in (7, 8, 9, 10) for m in (0, 1, 2)]
+    df = spark.createDataFrame(rows, "s string, ts string, v double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    found = series.recurring_runs(df, ["s"], "ts", "v", 5.0, 60, 120, "2024-01-10", "2024-01-11")
+    assert {r.s: (r.n_runs, r.days_on, r.days_seen, r.verdict) for r in found.collect()} == {"a": (1, 2, 6, "not usual"), "b": (1, 0, 2, "unknown"), "c": (1, 3, 3, "usual")}
+
+
+def test_questions_on_structure():
+    assert "depends?" in search.STRUCTURE and "metrics?" in search.FIGURES

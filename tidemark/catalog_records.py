@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.catalog import _BACK
-from tidemark.catalog_text import _terms_sql
+from tidemark.catalog_text import _TWO, _asked, _index, _terms_sql
 from tidemark.functions import text as T
 from tidemark.operators import entities, logs, search, series
-from tidemark.operators.scratch import folder_of
+from tidemark.operators.scratch import folder_of, kept
+from tidemark.plans.plan import Plan, Step, measure_of, run_plan
 from tidemark.registry import query
 from tidemark.sources import tables
 from tidemark.sources.tables import table
@@ -163,3 +164,85 @@ def titled_postings(spark, sf_dir):
     head = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
     index = search.postings(table(spark, sf_dir, "documents").withColumn("head", head), "doc_id", F.col("text"), F.col("head"))
     return index.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("tf"), F.max("length").alias("longest"))
+
+
+@query(
+    """WITH g AS (SELECT DISTINCT p_type AS term, 0 AS k FROM part UNION SELECT DISTINCT 'house ' || p_brand, 1 FROM part), w AS (SELECT term, trim(regexp_replace(lower(term), '[^a-z0-9]+', ' ', 'g')) AS run FROM g), t AS (SELECT term, run, list_distinct(string_split(run, ' ')) AS ws FROM w),
+       n AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM t) GROUP BY 1), rare AS (SELECT term, list(w) AS rs FROM (SELECT term, unnest(ws) AS w FROM t) JOIN n USING (w) WHERE length(w) >= 4 AND n <= 2 GROUP BY 1),
+       q AS (SELECT DISTINCT p_brand || ' in ' || p_type || ' for ' || split_part(p_name, ' ', 1) AS question FROM part), a AS (SELECT question, ' ' || trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) || ' ' AS said FROM q), b AS (SELECT question, said, string_split(trim(said), ' ') AS qs FROM a),
+       s AS (SELECT question, term, CASE WHEN list_has_all(qs, ws) AND contains(said, ' ' || run || ' ') THEN 6.0 + len(ws) WHEN list_has_all(qs, ws) THEN 4.0 + len(ws) WHEN rs IS NOT NULL AND list_has_any(qs, rs) THEN 2.0 END::DOUBLE AS certainty FROM b, t LEFT JOIN rare USING (term)),
+       r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY certainty DESC, term) AS rn FROM s WHERE certainty IS NOT NULL) SELECT question, term, certainty, rn FROM r WHERE rn <= 10"""
+)
+def glossary_ranked(spark, sf_dir):
+    """The glossary's terms that questions hold: as written, by all their words, or by a rare one (a brand's)."""
+    part = table(spark, sf_dir, "part")
+    glossary = part.select(F.col("p_type").alias("term")).unionByName(part.select(F.concat(F.lit("house "), "p_brand").alias("term")))
+    asked = part.select(F.concat("p_brand", F.lit(" in "), "p_type", F.lit(" for "), F.split_part("p_name", F.lit(" "), F.lit(1))).alias("question")).distinct()
+    return search.glossary_ranked(asked, "question", F.col("question"), glossary).withColumn("rn", F.col("rn").cast("long"))
+
+
+@query(
+    f"""WITH {_TWO}, v AS (SELECT DISTINCT term, 1 AS known FROM idx), p AS (SELECT query_id, count(*) AS n_terms, count(*) FILTER (WHERE known IS NULL) AS n_unknown FROM q LEFT JOIN v USING (term) GROUP BY 1), t AS (SELECT query_id, max(score) AS best FROM top WHERE rn <= 10 GROUP BY 1),
+       j AS (SELECT query_id, 2 * n_unknown >= n_terms OR coalesce(best, 0) < 40 AS weak FROM p LEFT JOIN t USING (query_id)),
+       l AS (SELECT query_id, doc_id, 1 / (60::DOUBLE + rn - 1) AS s FROM a UNION ALL SELECT query_id, doc_id, 1 / (60::DOUBLE + rn - 1) FROM bb JOIN j USING (query_id) WHERE weak),
+       f AS (SELECT query_id, doc_id, round(sum(s), 9) AS score FROM l GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM f) SELECT query_id, doc_id, score, rn FROM r WHERE rn <= 10"""
+)
+def second_look(spark, sf_dir):
+    """Searches that are doubted with a second list (documents by plain term counts) fused in by rank."""
+    asked, index = _asked(spark, sf_dir), kept(_index(spark, sf_dir))
+    first = kept(search.bm25(index, "doc_id", asked, 20))
+    count = index.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum("tf").cast("double").alias("score"))
+    second = series.first_of_each(count, ["query_id"], [F.desc("score"), F.asc("doc_id")], 20)
+    judged = search.weak(asked, search.vocabulary(index), first.where("rn <= 10"), 40.0)
+    return search.second_look(first, second, judged, "doc_id", 10).withColumn("rn", F.col("rn").cast("long"))
+
+
+_QUESTIONS = ("what does the gate depend on", "which parts are affected in order", "how many parts are affected", "top rates behind the gate", "what runs on rack 3", "say something")
+
+
+@query(
+    f"""WITH h AS (SELECT vec_id // 20 AS query_id, vec_id % 20 + 1 AS rn, vec_id, ['page', 'metric', 'chart', 'system'][label % 4 + 1] AS kind, {list(_QUESTIONS)}[(vec_id // 20) % 6 + 1] AS question FROM embeddings),
+       o AS (SELECT *, (query_id % 6 IN (0, 1, 4)) AND kind IN ('metric', 'chart') AS after FROM h) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY after::INT, rn)::INT AS rn FROM o"""
+)
+def built_first(spark, sf_dir):
+    """Hits of questions on structure with the objects of the data behind the others, those of other questions as they were."""
+    v = table(spark, sf_dir, "embeddings")
+    hits = v.select(
+        F.floor(F.col("vec_id") / 20).alias("query_id"), (F.col("vec_id") % 20 + 1).alias("rn"), "vec_id",
+        F.element_at(F.array(*map(F.lit, ("page", "metric", "chart", "system"))), (F.col("label") % 4 + 1).cast("int")).alias("kind"),
+        F.element_at(F.array(*map(F.lit, _QUESTIONS)), (F.floor(F.col("vec_id") / 20) % 6 + 1).cast("int")).alias("question"),
+    )
+    return search.built_first(hits, F.col("question"), "kind").select("query_id", "vec_id", "rn")
+
+
+@query(
+    """SELECT l_returnflag, count(*) AS count, round(avg(l_quantity), 6) AS avg_l_quantity, max(l_discount) AS max_l_discount, round(sum(l_extendedprice) / sum(l_quantity), 6) AS ratio_l_extendedprice_l_quantity FROM lineitem GROUP BY 1"""
+)
+def measures_by_name(spark, sf_dir):
+    """Measures as texts name them, in one step of a plan."""
+    ms = tuple(measure_of(t) for t in ("count", "mean(l_quantity)", "MAX( l_discount )", "ratio(l_extendedprice, l_quantity)"))
+    found = run_plan(Plan((Step("q1", "lineitem", ms, ("l_returnflag",)),)), {"lineitem": table(spark, sf_dir, "lineitem")})["q1"]
+    return found.withColumns({c: F.round(c, 6) for c in ("avg_l_quantity", "ratio_l_extendedprice_l_quantity")})
+
+
+@query(
+    """WITH s AS (SELECT event_id, event_id // 4 AS trace, event_id % 4 AS span, event_type AS service, value, epoch_us(ts) AS us FROM events)
+       SELECT p.service AS caller, c.service AS callee, count(*) AS calls, round(avg(c.value), 6) AS mean_duration FROM s c JOIN s p ON p.trace = c.trace AND p.span = c.span - 1
+       WHERE p.service <> c.service AND abs(c.us - p.us) <= 172800000000 GROUP BY 1, 2"""
+)
+def span_calls_in_time(spark, sf_dir):
+    """Calls between services whose spans lie within two days of their parents."""
+    spans = table(spark, sf_dir, "events").select(
+        F.floor(F.col("event_id") / 4).alias("trace_id"), (F.col("event_id") % 4).alias("span_id"), (F.col("event_id") % 4 - 1).alias("parent_id"), F.col("event_type").alias("service"), F.col("value").alias("duration"), "ts"
+    )
+    return entities.span_calls(spans, "ts", 172_800).withColumn("mean_duration", F.round("mean_duration", 6))
+
+
+@query(
+    """WITH RECURSIVE m AS (SELECT DISTINCT l_linenumber AS n, l_partkey AS m FROM lineitem), s AS (SELECT n, count(*) AS s FROM m GROUP BY 1), p AS (SELECT x.n AS a, y.n AS b, count(*) AS common FROM m x JOIN m y ON x.m = y.m AND x.n < y.n GROUP BY 1, 2),
+       e AS (SELECT a, b FROM p JOIN s sa ON sa.n = a JOIN s sb ON sb.n = b WHERE round(common / (sa.s + sb.s - common), 6) >= 0.5), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, g) AS (SELECT n, n FROM s UNION SELECT r.n, u.b FROM r JOIN u ON u.a = r.g)
+       SELECT n::VARCHAR AS name, min(g)::VARCHAR AS "group" FROM r GROUP BY 1"""
+)
+def shared_member_groups(spark, sf_dir):
+    """Line numbers that share half of their parts, as groups."""
+    return entities.shared_member_groups(table(spark, sf_dir, "lineitem"), "l_linenumber", "l_partkey", 0.5)

@@ -137,10 +137,16 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels.select(F.col("a").alias("node"), "label")
 
 
-def span_calls(spans: DataFrame) -> DataFrame:
-    """(caller, callee, calls, mean_duration) from spans (trace_id, span_id, parent_id, service, duration); calls inside a service do not count."""
-    parent = spans.select("trace_id", F.col("span_id").alias("parent_id"), F.col("service").alias("caller"))
-    calls = spans.join(parent, ["trace_id", "parent_id"]).where("caller != service")
+def span_calls(spans: DataFrame, time: str | None = None, within: int = 3600) -> DataFrame:
+    """(caller, callee, calls, mean_duration) from spans (trace_id, span_id, parent_id, service, duration); calls inside a service do not count.
+
+    With ``time`` a span and its parent lie at most ``within`` seconds apart: ids that come again later are other spans.
+    """
+    at = lambda name: [] if time is None else [F.unix_micros(F.col(time).cast("timestamp")).alias(name)]
+    parent = spans.select("trace_id", F.col("span_id").alias("parent_id"), F.col("service").alias("caller"), *at("_parent_at"))
+    calls = spans.select("*", *at("_at")).join(parent, ["trace_id", "parent_id"]).where("caller != service")
+    if time is not None:
+        calls = calls.where(F.abs(F.col("_at") - F.col("_parent_at")) <= within * 1_000_000)
     return calls.groupBy("caller", F.col("service").alias("callee")).agg(F.count("*").alias("calls"), F.avg("duration").alias("mean_duration"))
 
 
@@ -165,6 +171,14 @@ def set_likeness(pods: DataFrame, name: str, member: str, least: float) -> DataF
     return both.join(x, "a").join(y, "b").select("a", "b", "common", F.round(score, 6).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def shared_member_groups(pods: DataFrame, name: str, member: str, least: float) -> DataFrame:
+    """(name, group): names whose member sets are alike (:func:`set_likeness`), directly or through others; a group is named by its first."""
+    alike = set_likeness(pods, name, member, least).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    joined = connected(alike)
+    every = pods.where(F.col(name).isNotNull()).select(F.col(name).cast("string").alias("name")).distinct()
+    return every.join(joined.toDF("name", "component"), "name", "left").select("name", F.coalesce("component", "name").alias("group"))
+
+
 def within_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """(origin, node, hops): nodes near each origin along edges in either direction."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()

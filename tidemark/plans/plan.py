@@ -19,7 +19,9 @@ from tidemark.operators.series import histogram_quantile, increase_within, join_
 
 # The grammar.
 COMPARISONS = ("=", "!=", ">", ">=", "<", "<=", "in", "not in", "like", "not like", "is null", "is not null")
-FUNCTIONS = ("count", "count_distinct", "sum", "avg", "min", "max", "share", "formula", "increase", "rate", "quantile")
+FUNCTIONS = ("count", "count_distinct", "sum", "avg", "min", "max", "share", "formula", "increase", "rate", "quantile", "ratio")
+#: Functions that a measure's text may name, and the names they also go by.
+SAID = {"count": "count", "avg": "avg", "average": "avg", "mean": "avg", "sum": "sum", "max": "max", "min": "min", "ratio": "ratio"}
 #: Functions of the samples of counters.
 OF_COUNTERS = ("increase", "rate", "quantile")
 BUCKETS = ("minute", "5 minutes", "15 minutes", "hour", "day", "week", "month")
@@ -65,6 +67,7 @@ class Measure:
     unit: tuple[str, str] | None = None
     formula: str | None = None
     q: float | None = None
+    under: str | None = None
 
 
 @dataclass(frozen=True)
@@ -158,7 +161,7 @@ def validate(plan: Plan, columns: dict[str, list[str]]) -> list[str]:
                 errors.append(f"{s.name}: no comparison {c.op}")
             if isinstance(c.value, StepColumn) and c.value.step not in seen:
                 errors.append(f"{s.name}: {c.value.step} does not come before")
-        for f in (*s.by, *(c.field for c in s.where), *(m.field for m in s.measures if m.field)):
+        for f in (*s.by, *(c.field for c in s.where), *(f for m in s.measures for f in (m.field, m.under) if f)):
             if f not in have:
                 errors.append(f"{s.name}: no column {f}")
         for m in s.measures:
@@ -174,6 +177,8 @@ def validate(plan: Plan, columns: dict[str, list[str]]) -> list[str]:
                 errors.append(f"{s.name}: {m.function} needs a counter")
             elif m.function == "formula" and (m.field or FORMULAS[m.formula][0]) not in have:
                 errors.append(f"{s.name}: {m.formula} needs a label {m.field or FORMULAS[m.formula][0]}")
+            if m.function == "ratio" and not m.under:
+                errors.append(f"{s.name}: a ratio needs two columns")
             if m.function == "quantile" and not (m.q and 0 < m.q < 1):
                 errors.append(f"{s.name}: a quantile needs q between 0 and 1")
             elif m.function == "quantile" and s.counter and s.counter.le not in have:
@@ -235,6 +240,10 @@ def measure(m: Measure, counter: Counter | None = None) -> Column:
         out = F.lit(100.0) * F.count_if(kept).cast("double") / F.count("*")
     elif m.function in ("increase", "rate"):
         out = F.sum(filtered(m.function))
+    elif m.function == "ratio":  # over the rows that have both
+        both = kept & F.col(m.field).isNotNull() & F.col(m.under).isNotNull()
+        below = F.sum(F.when(both, F.col(m.under)))
+        out = F.when(below != 0, F.sum(F.when(both, F.col(m.field))) / below)
     elif m.function == "count":
         out = F.count_if(kept) if m.where else F.count("*")
     else:
@@ -242,6 +251,16 @@ def measure(m: Measure, counter: Counter | None = None) -> Column:
     return _in_unit(m, out).alias(m.label)
 
 
+def measure_of(text: str, label: str | None = None) -> Measure:
+    """The measure that a text names: ``count``, ``avg(F)``, ``sum(F)``, ``min(F)``, ``max(F)`` or ``ratio(A, B)``; any other, a median among them, is an error."""
+    m = re.fullmatch(r"\s*([a-zA-Z]+)\s*(?:\(\s*([\w@.-]+)?\s*(?:,\s*([\w@.-]+)\s*)?\))?\s*", text)
+    function = SAID.get(m[1].lower()) if m else None
+    fields = [f for f in m.groups()[1:] if f] if m else []
+    if function is None or len(fields) != {"count": 0, "ratio": 2}.get(function, 1):
+        raise ValueError(f"no measure {text.strip()!r}: count, avg(F), sum(F), min(F), max(F) or ratio(A, B)")
+    return Measure(label or "_".join([function, *fields]), function, fields[0] if fields else None, under=fields[1] if len(fields) > 1 else None)
+
+
 def _in_unit(m: Measure, out: Column) -> Column:
     return out * factor(*m.unit) if m.unit else out
 
