@@ -191,3 +191,35 @@ def test_changes_between_windows(spark):
     store = sketches.daily(df, ["s"], "ts", "v").cache()
     one, two = (sketches.window(store, ["s"], d, d) for d in ("2024-01-01", "2024-01-02"))
     assert sorted((r.s, r.before, r.after, r.what) for r in sketches.changed(one, two, ["s"]).collect()) == [("gone", 3, None, "gone"), ("more", 20, 45, "cardinality"), ("new", None, 3, "new")]
+
+
+def test_holders_of_holders(spark):
+    from tidemark.operators import records
+
+    up = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("n", "m"), ("n", "k"), ("z", None)], "node string, holder string")
+    start = spark.createDataFrame([(n,) for n in ("a", "c", "d", "x", "n", "z", "q", "a")], "node string")
+    got = {r.node: (r.lineage, r.depth) for r in records.lineage(start, up).collect()}
+    assert got == {"a": (["d", "c", "b", "a"], 3), "c": (["d", "c"], 1), "d": (["d"], 0), "x": (["y", "x"], 1), "n": (["k", "n"], 1), "z": (["z"], 0), "q": (["q"], 0)}
+
+
+def test_retired_by_silence_or_by_text(spark):
+    from tidemark.operators import records
+
+    seen = spark.sql("select * from values ('a', date'2024-03-01'), ('b', date'2024-01-01'), ('c', date'2024-01-02'), ('d', date'2024-02-28') t(part, day)")
+    said = spark.createDataFrame([("c", "It was decommissioned in May."), ("d", "Est arrêtée."), ("e", "no longer used"), ("a", "not retiredish"), ("b", None)], "part string, text string")
+    assert sorted((r.part, r.why) for r in records.retired(seen, "part", "day", 30, said).collect()) == [("b", "silent"), ("c", "silent and said"), ("d", "said"), ("e", "said")]
+    assert sorted((r.part, r.why) for r in records.retired(seen, "part", "day", 30).collect()) == [("b", "silent"), ("c", "silent")]
+
+
+def test_names_alike_by_their_rarest_trigrams(spark):
+    """The rarest trigrams lose no pair: against all pairs, with parts that every name has."""
+    from tidemark.functions.text import trigram_similarity
+    from tidemark.operators import search
+
+    rng = random.Random(3)
+    known = sorted({"svc-" + "".join(rng.choices("abc", k=rng.randrange(2, 8))) for _ in range(80)})
+    asked = sorted({"svc " + "".join(rng.choices("abc", k=rng.randrange(2, 8))) for _ in range(30)})
+    a, b = (spark.createDataFrame([(x,) for x in xs], f"{c} string") for xs, c in ((asked, "token"), (known, "name")))
+    score = F.round(trigram_similarity(F.col("token"), F.col("name")), 6)
+    want = {tuple(r) for r in a.crossJoin(b).select("token", "name", score.alias("s")).where("s >= 0.5").collect()}
+    assert {(r.token, r.name, r.score) for r in search.similar_per_token(a, b, 1 << 20, 0.5).collect()} == want and len(want) > 100

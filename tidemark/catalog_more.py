@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog_text import _INDEX, _Q, _asked, _index, _terms_sql
 from tidemark.functions import text as T
-from tidemark.operators import search
+from tidemark.operators import logs, records, search
 from tidemark.operators.routing import Route, receivers
 from tidemark.registry import query
 from tidemark.sources.tables import table
@@ -31,11 +31,21 @@ def respelled_values(spark, sf_dir):
 )
 def records_about(spark, sf_dir):
     """Records of every table with a field that names one of the wanted parts."""
-    wanted = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").where("r_regionkey = 3"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey")
-    fields = (("customer", "c_nationkey", "c_custkey"), ("supplier", "s_nationkey", "s_suppkey"))
-    one = lambda t, f, k: table(spark, sf_dir, t).join(wanted, F.col(f) == F.col("n_nationkey"), "left_semi").select(F.lit(t).alias("source"), F.col(k).alias("record"))
-    first, second = (one(*x) for x in fields)
-    return first.unionByName(second)
+    wanted = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").where("r_regionkey = 3"), F.col("n_regionkey") == F.col("r_regionkey"))
+    fields = [("customer", table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey"), ("supplier", table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey")]
+    return records.records_about(fields, wanted.select(F.col("n_nationkey").alias("value"))).select("source", F.col("record").cast("long").alias("record"))
+
+
+@query(
+    r"""WITH s AS (SELECT l_partkey, max(l_shipdate) AS last_seen FROM lineitem GROUP BY 1), n AS (SELECT max(l_shipdate) AS newest FROM lineitem), q AS (SELECT *, last_seen < newest - INTERVAL 60 DAY AS silent FROM s, n),
+        t AS (SELECT p_partkey AS l_partkey, p_partkey % 7 = 0 AS told FROM part UNION ALL SELECT -1, TRUE)
+        SELECT l_partkey, last_seen, CASE WHEN silent AND told THEN 'silent and said' WHEN told THEN 'said' ELSE 'silent' END AS why FROM q FULL JOIN (SELECT * FROM t WHERE told) USING (l_partkey) WHERE coalesce(silent, FALSE) OR coalesce(told, FALSE)"""
+)
+def retired_or_said(spark, sf_dir):
+    """Parts that are silent, that a text says are no more, or both; one is known from its text alone."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_partkey") % 7 == 0, "It was REPLACED BY another.").otherwise("It replaced another; retiredness unknown.").alias("text"))
+    said = part.unionByName(spark.createDataFrame([(-1, "Arrêté, n'est plus utilisé.")], part.schema))
+    return records.retired(table(spark, sf_dir, "lineitem"), "l_partkey", "l_shipdate", 60, said)
 
 
 @query(
@@ -55,9 +65,8 @@ def answer_stats(spark, sf_dir):
 )
 def rank_frames(spark, sf_dir):
     """The latest rows of each third of a window."""
-    third = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 10)
-    w = Window.partitionBy("user_id", "third").orderBy(F.desc("ts"), "event_id")
-    return table(spark, sf_dir, "events").withColumn("third", third).withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("event_id", "user_id", "third", "rn")
+    found = records.frames(table(spark, sf_dir, "events"), ["user_id"], "ts", "2024-01-01", 10, 3, "event_id")
+    return found.select("event_id", "user_id", F.col("frame").alias("third"), "rn")
 
 
 @query(
@@ -68,9 +77,7 @@ def rank_frames(spark, sf_dir):
 def statement_diff(spark, sf_dir):
     """Lines that one of two sources has and the other has not."""
     lines = table(spark, sf_dir, "documents").select("source", F.explode(F.split("text", "\n")).alias("line")).select("source", F.trim("line").alias("line")).where("line != ''")
-    a, b = (lines.where(F.col("source") == s).select("line").distinct() for s in ("src1", "src2"))
-    side = lambda name, x, y: x.join(y, "line", "left_anti").select(F.lit(name).alias("side"), "line")
-    return side("adds", a, b).unionByName(side("leaves out", b, a))
+    return records.sides(lines, "source", "line", "src1", "src2")
 
 
 _FIELDS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
@@ -84,10 +91,7 @@ _FIELDS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
 )
 def unfilled_fields(spark, sf_dir):
     """Which fields can say where a change lies: filled in half the rows, more than one value, not a value a row."""
-    parts = [F.struct(F.lit(c).alias("field"), F.count(c).alias("n"), F.count_distinct(c).alias("n_values")) for c in _FIELDS]
-    rows = table(spark, sf_dir, "orders").agg(F.count("*").alias("rows"), F.array(*parts).alias("x")).select("rows", F.inline("x"))
-    good = (F.col("n") >= 0.5 * F.col("rows")) & (F.col("n_values") > 1) & (F.col("n_values") < 0.5 * F.col("n"))
-    return rows.select("field", F.round(F.col("n") / F.col("rows"), 6).alias("filled"), "n_values", good.alias("localizes"))
+    return records.localizing_fields(table(spark, sf_dir, "orders"), list(_FIELDS))
 
 
 @query(
@@ -95,8 +99,8 @@ def unfilled_fields(spark, sf_dir):
        SELECT CASE WHEN regexp_matches(message, '(?i)\\b(error|fail(ed|ure)?|exception)\\b') THEN 'error' WHEN regexp_matches(message, '(?i)\\b(warn(ing)?|purchase)\\b') THEN 'warning' ELSE 'info' END AS level, count(*) AS n FROM m GROUP BY 1"""
 )
 def level_from_text(spark, sf_dir):
-    message = F.concat("event_type", F.lit(" by user "), F.col("user_id").cast("string"))
-    level = F.when(message.rlike(r"(?i)\b(error|fail(ed|ure)?|exception)\b"), "error").when(message.rlike(r"(?i)\b(warn(ing)?|purchase)\b"), "warning").otherwise("info")
+    message = F.concat("event_type", F.lit(" by user "), F.col("user_id").cast("string"), F.when(F.col("event_type") == "purchase", " warning").otherwise(""))
+    level = logs.level(message)
     return table(spark, sf_dir, "events").groupBy(level.alias("level")).agg(F.count("*").alias("n"))
 
 
@@ -106,9 +110,7 @@ def level_from_text(spark, sf_dir):
 )
 def usual_patterns(spark, sf_dir):
     """Patterns present on most earlier days, with their median lines a day."""
-    rows = table(spark, sf_dir, "events").where("ts >= timestamp_ntz'2024-01-08' and ts < timestamp_ntz'2024-01-15'")
-    days = rows.groupBy("event_type", "user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    return days.groupBy("event_type", "user_id").agg(F.count("*").alias("n_days"), F.median("n").alias("usual")).where("n_days >= 4")
+    return records.usual_counts(table(spark, sf_dir, "events"), ["event_type", "user_id"], "ts", "2024-01-08", "2024-01-15", 4)
 
 
 @query(
@@ -150,18 +152,17 @@ def cooccurrence_links(spark, sf_dir):
 @query("SELECT l_partkey, max(l_shipdate) AS last_seen FROM lineitem GROUP BY 1 HAVING max(l_shipdate) < (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 60 DAY")
 def retired_parts(spark, sf_dir):
     """Parts silent for sixty days before the newest row."""
-    lines = table(spark, sf_dir, "lineitem")
-    newest = lines.agg(F.max("l_shipdate").alias("newest"))
-    seen = lines.groupBy("l_partkey").agg(F.max("l_shipdate").alias("last_seen"))
-    return seen.join(F.broadcast(newest)).where("last_seen < newest - interval 60 days").drop("newest")  # one row
+    return records.retired(table(spark, sf_dir, "lineitem"), "l_partkey", "l_shipdate", 60).drop("why")
 
 
 @query("SELECT c_custkey, r_name || ' > ' || n_name || ' > ' || c_name AS lineage FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def lineage_up(spark, sf_dir):
     """The chain of holders of each customer, outermost first."""
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    chain = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    return chain.select("c_custkey", F.concat_ws(" > ", "r_name", "n_name", "c_name").alias("lineage"))
+    held = lambda df, node, holder: df.select(F.col(node).alias("node"), F.col(holder).alias("holder"))
+    up = held(c.join(n, F.col("c_nationkey") == F.col("n_nationkey")), "c_name", "n_name").unionByName(held(n.join(r, F.col("n_regionkey") == F.col("r_regionkey")), "n_name", "r_name"))
+    found = records.lineage(c.select(F.col("c_name").alias("node")), up)
+    return c.select("c_custkey", F.col("c_name").alias("node")).join(found, "node").select("c_custkey", F.array_join("lineage", " > ").alias("lineage"))
 
 
 ROUTES = Route(
@@ -198,16 +199,14 @@ def derived_lift(spark, sf_dir):
     """Lift of a joined attribute among focus rows."""
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    g = rows.groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("n_all"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_focus"))
-    total = g.agg(F.sum("n_all").alias("n"), F.sum("n_focus").alias("f"))
-    return g.join(F.broadcast(total)).select("region", "n_all", "n_focus", F.round((F.col("n_focus") / F.col("f")) / (F.col("n_all") / F.col("n")), 6).alias("lift"))  # one row
+    found = records.lift_of(rows, ["n_regionkey"], F.col("o_orderpriority") == "1-URGENT")
+    return found.select(F.col("value").cast(n.schema["n_regionkey"].dataType).alias("region"), "n_all", "n_focus", "lift")
 
 
 @query(f"WITH t AS (SELECT role, unnest(list_distinct({_terms_sql('text')})) AS term FROM conversations) SELECT role, term, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(*) >= 3")
 def word_associations(spark, sf_dir):
     """Words and the roles whose turns hold them, three turns at least."""
-    terms = table(spark, sf_dir, "conversations").select("role", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    return terms.groupBy("role", "term").agg(F.count("*").alias("n")).where("n >= 3")
+    return records.associations(table(spark, sf_dir, "conversations"), "role", T.terms(F.col("text")), 3)
 
 
 @query(f"WITH {_INDEX}, v AS (SELECT term, count(*) AS n_docs FROM idx GROUP BY 1) SELECT term, round(0.7::DOUBLE + 0.3::DOUBLE * ln((SELECT count(*) FROM documents) / n_docs) / ln((SELECT count(*) FROM documents)), 6) AS weight FROM v")
@@ -221,9 +220,7 @@ def rarity_weights(spark, sf_dir):
 @query("SELECT date_diff('day', ts::DATE, DATE '2024-01-29') // 7 AS weeks_back, event_type, count(*) AS n FROM events WHERE date_diff('day', ts::DATE, DATE '2024-01-29') IN (0, 7, 14, 21) GROUP BY 1, 2")
 def reference_days(spark, sf_dir):
     """One day beside the same weekday one to three weeks before, in one scan."""
-    back = F.datediff(F.lit("2024-01-29").cast("date"), F.to_date("ts"))
-    rows = table(spark, sf_dir, "events").withColumn("back", back).where(F.col("back").isin(0, 7, 14, 21))
-    return rows.groupBy(F.floor(F.col("back") / 7).alias("weeks_back"), "event_type").agg(F.count("*").alias("n"))
+    return records.same_weekdays(table(spark, sf_dir, "events"), ["event_type"], "ts", "2024-01-29", 3)
 
 
 @query(
