@@ -5,9 +5,10 @@ inner product of the vector with the corner its code names.  Dividing by the fac
 any vector an unbiased estimate of the cosine, with an error that shrinks with the dimension.
 
 Equal vectors are one class with a count.  Vectors that agree on a band of sign bits meet in a bucket (each bit of a band is
-a direction of its own, shared with no other bit or band).  The bands carry codes only: the bits in which two codes
-differ estimate the angle, and a pair out of its confidence bound is dropped.  Only vectors with a pair left are fetched;
-the unbiased estimate with its bound then says which pairs are computed exactly, in double precision.
+a direction of its own, shared with no other bit or band).  The bands carry ids and codes only, so what is shuffled grows with the
+number of bands: the bits in which two codes differ estimate the angle, and a pair out of its confidence bound is dropped.
+Vectors with a pair left get the bits of the earlier bands, which say where a pair meets first; those with a pair that is
+new there are fetched, and the unbiased estimate with its bound says which pairs are computed exactly, in double precision.
 
 Buckets are compared in tiles of at most ``TILE`` vectors a side, one tile pair a group, so a bucket of any size is
 spread over tasks.  A pair that meets in several bands counts in the first.  Pairs are never listed: a tile
@@ -161,9 +162,9 @@ def _matrix(column: pa.ChunkedArray, kind) -> np.ndarray:
 
 
 def _close_codes(tile: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``tile`` of the pairs whose codes are close enough and that meet in this band first."""
+    """Places in ``tile`` of the pairs whose codes are close enough and, where it has ``sides``, that meet in this band first."""
     band, side, own = tile["band"][0].as_py(), tile["side"].to_numpy(), tile["i"][0] == tile["j"][0]
-    code, sides, limit = _matrix(tile["code"], np.uint64), _matrix(tile["sides"], np.uint8), differing_bits(tile["dim"][0].as_py())
+    code, limit = _matrix(tile["code"], np.uint64), differing_bits(tile["dim"][0].as_py())
     a, b = (np.arange(len(side)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     off = np.zeros((len(a), len(b)), np.uint16)
     for w in range(code.shape[1]):
@@ -172,8 +173,10 @@ def _close_codes(tile: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
     i, j = a[i], b[j]
     if own:
         i, j = i[i < j], j[i < j]
-    fresh = np.ones(len(i), bool)
-    for s in range(0, len(i) if band else 0, AT_ONCE):  # a pair counts in the first band where it meets
+    if "sides" not in tile.column_names or not band:
+        return i, j
+    fresh, sides = np.ones(len(i), bool), _matrix(tile["sides"], np.uint8)
+    for s in range(0, len(i), AT_ONCE):  # a pair counts in the first band where it meets
         x = np.unpackbits(sides[i[s : s + AT_ONCE]] ^ sides[j[s : s + AT_ONCE]], axis=1, count=band * bits)
         fresh[s : s + AT_ONCE] = x.reshape(-1, band, bits).any(2).all(1)
     return i[fresh], j[fresh]
@@ -234,13 +237,13 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     met = coded.select("dim", F.posexplode("keys").alias("band", "key"))
     sizes = stored(met.groupBy("dim", "band", "key").agg(F.count("*").alias("size")).where("size > 1"), f"{path}/sizes")
     # A bucket is cut into tiles by a hash of the vector; tile pair (i, j), i <= j, is a group, and a vector goes to each pair of its tile.
-    wide = coded.select("uid", "dim", "code", "sides", F.posexplode("keys").alias("band", "key")).join(sizes, ["dim", "band", "key"])
+    wide = coded.select("uid", "dim", "code", F.posexplode("keys").alias("band", "key")).join(sizes, ["dim", "band", "key"])
     wide = wide.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
     wide = wide.withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles").cast("long")).cast("int"))
     pairs = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     pairs = pairs.select(
         "dim", "band", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
-        (F.col("tile") > F.col("other")).cast("int").alias("side"), "uid", "code", "sides",
+        (F.col("tile") > F.col("other")).cast("int").alias("side"), "uid", "code",
     )
 
     def hopeful(tile: pa.Table) -> pa.Table:
@@ -249,8 +252,11 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     def links_of(tile: pa.Table) -> pa.Table:
         return _tile_links(tile, kind, bits)
 
-    left = pairs.groupBy(*GROUP).applyInArrow(hopeful, "dim int, band int, key int, i int, j int, side int, uid long")
-    left = stored(left, f"{path}/left").join(coded.drop("dim", "keys"), "uid")
+    found = "dim int, band int, key int, i int, j int, side int, uid long"
+    near = stored(pairs.groupBy(*GROUP).applyInArrow(hopeful, found), f"{path}/near")
+    earlier = F.expr(f"substring(sides, 1, int(ceil(band * {bits} / 8)))")  # the bits of the bands before
+    near = near.join(coded.select("uid", "code", "sides"), "uid").select(*GROUP, "side", "uid", "code", earlier.alias("sides"))
+    left = stored(near.groupBy(*GROUP).applyInArrow(hopeful, found), f"{path}/left").join(coded.drop("dim", "keys"), "uid")
     found = stored(left.groupBy(*GROUP).applyInArrow(links_of, "uid long, node long, n long, least long"), f"{path}/found")
     links = found.groupBy("uid").agg(F.sum("n").alias("more"))
     whole = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")), path)

@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries of operators 9 and 11 to 13."""
+"""DuckDB SQL for the queries of operators 4, 9 and 11 to 13."""
 
 from __future__ import annotations
 
@@ -15,6 +15,14 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FRO
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
 
+OP4 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(n, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.n, link.b FROM reach JOIN link ON link.a = reach.c),
+root AS (SELECT n, min(c) AS c FROM reach GROUP BY 1), degree AS (SELECT a, count(*) AS n FROM link GROUP BY 1)
+SELECT vec_id, coalesce(degree.n, 0)::BIGINT AS n_links, c AS component_id, c = vec_id AS kept FROM v JOIN root ON root.n = vec_id LEFT JOIN degree ON a = vec_id"""
+
 OP11 = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 f AS (SELECT doc_id, part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,

@@ -98,7 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
-SQL = {"op9_substring_dedup": oracle.OP9, "op11_filter_audit": oracle.OP11, "op12_winnowing": oracle.OP12, "op13_merkle_manifest": oracle.OP13}
+SQL = {"op4_rotation_codes": oracle.OP4, "op9_substring_dedup": oracle.OP9, "op11_filter_audit": oracle.OP11, "op12_winnowing": oracle.OP12, "op13_merkle_manifest": oracle.OP13}
 
 
 def oracle_sql() -> dict[str, str]:
