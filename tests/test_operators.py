@@ -146,7 +146,18 @@ def test_pieces_cover_the_text():
     text = " ".join(f"word{i}" for i in range(600))
     found = search.pieces(text, 500, 50)
     assert max(map(len, found)) <= 500 and all(w in " ".join(found) for w in text.split())
-    assert search.pieces(None) == [] and search.sections("# A\nx\n```\n# no\n```\n## B\ny")[1] == ("B", "y")
+    assert search.pieces(None) == [] and search.sections("# A\nx\n```\n# no\n```\n## B\ny") == [(("A",), "# A\nx\n```\n# no\n```"), (("A", "B"), "## B\ny")]
+
+
+def test_sections_are_packed():
+    assert search.section_pieces(None) == [] and search.section_pieces("just text") == [("", "just text")]
+    page = "intro\n# A #\n" + "a " * 300 + "\n## B\nbb\n~~~\n## not\n~~~\n# C\n" + "c " * 500 + "\n# D\n" + "d. " * 1200 + "\n### E\ne"
+    found = search.section_pieces(page)
+    assert "intro" in found[0][1] and found[0][0] == " + A + B"
+    assert all(len(p) <= search.SECTION for _, p in found)
+    assert [h for h, _ in found][-1] == "D > E" and sum(h == "D" for h, _ in found) == 2
+    text = "\n".join(p for _, p in found)
+    assert all(x in text for x in ("intro", "## B", "## not", "# C", "### E"))
 
 
 def test_components_and_paths(spark):

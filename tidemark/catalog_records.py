@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from tidemark.catalog import _BACK
 from tidemark.catalog_text import _TWO, _asked, _index, _terms_sql
 from tidemark.functions import text as T
-from tidemark.operators import entities, logs, search, series
+from tidemark.operators import entities, groups, logs, profiles, search, series
 from tidemark.operators.scratch import folder_of, kept
 from tidemark.plans.plan import Plan, Step, measure_of, run_plan
 from tidemark.registry import query
@@ -246,3 +247,118 @@ def span_calls_in_time(spark, sf_dir):
 def shared_member_groups(spark, sf_dir):
     """Line numbers that share half of their parts, as groups."""
     return entities.shared_member_groups(table(spark, sf_dir, "lineitem"), "l_linenumber", "l_partkey", 0.5)
+
+
+@query(
+    """WITH p AS (SELECT user_id, date_diff('day', ts::DATE, DATE '2024-01-29') AS b FROM events), w AS (SELECT user_id, count(*) FILTER (WHERE b = 0) AS w0, list_sort([count(*) FILTER (WHERE b = 7), count(*) FILTER (WHERE b = 14), count(*) FILTER (WHERE b = 21), count(*) FILTER (WHERE b = 28)]) AS l FROM p WHERE b % 7 = 0 AND b BETWEEN 0 AND 28 GROUP BY 1),
+       u AS (SELECT user_id, w0 AS now, (l[2] + l[3]) / 2.0::DOUBLE AS usual FROM w), d AS (SELECT user_id, max(ts)::DATE AS last FROM events GROUP BY 1),
+       r AS (SELECT user_id, now, usual, CASE WHEN last < DATE '2024-01-29' AND usual > 0 THEN 'stale' WHEN abs(now - usual) < greatest(3, 2 * sqrt(usual)) THEN 'usual' WHEN now = 0 AND usual > 0 THEN 'gone' WHEN now > usual THEN 'above' ELSE 'below' END AS finding FROM u JOIN d USING (user_id)),
+       t AS (SELECT *, CASE finding WHEN 'stale' THEN usual ELSE abs(now - usual) END AS weight FROM r WHERE finding <> 'usual'), o AS (SELECT *, row_number() OVER (ORDER BY weight DESC, user_id) AS place FROM t)
+       SELECT user_id, finding, now, usual, weight, place FROM o WHERE place <= 20"""
+)
+def day_findings(spark, sf_dir):
+    """What to tell of a day: users whose rows stopped or left their usual."""
+    return series.findings(table(spark, sf_dir, "events"), ["user_id"], "ts", "2024-01-29").withColumn("place", F.col("place").cast("long"))
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey AS o_orderkey, min(l_shipdate) AS shipped, max(l_shipdate) AS complete FROM lineitem GROUP BY 1), j AS (SELECT o_orderpriority, o_orderdate::TIMESTAMP AS o, shipped::TIMESTAMP AS s, complete::TIMESTAMP AS c FROM orders LEFT JOIN s USING (o_orderkey)),
+       l AS (SELECT o_orderpriority, 'o_orderdate > shipped' AS step, o AS a, s AS b FROM j UNION ALL SELECT o_orderpriority, 'shipped > complete', s, c FROM j),
+       f AS (SELECT *, coalesce(a < TIMESTAMP '1997-06-01', FALSE) AS x, coalesce(b < TIMESTAMP '1997-06-01', FALSE) AS y FROM l),
+       p AS (SELECT o_orderpriority, step, count(*) FILTER (WHERE x AND y) AS reached, avg((epoch_us(b) - epoch_us(a)) / 86400000000) FILTER (WHERE x AND y) AS lapse, count(*) FILTER (WHERE x AND NOT y) AS waiting, avg((epoch_us(TIMESTAMP '1997-06-01') - epoch_us(a)) / 86400000000) FILTER (WHERE x AND NOT y) AS age FROM f GROUP BY 1, 2)
+       SELECT o_orderpriority, step, reached, round(lapse, 4) AS lapse_days, waiting, round(age, 4) AS age_days, round(lapse / sum(lapse) OVER (PARTITION BY o_orderpriority), 4) AS share FROM p"""
+)
+def journey(spark, sf_dir):
+    """The way of orders through two stages: how many passed, how long it took, how many wait and how long."""
+    ship = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("shipped"), F.max("l_shipdate").alias("complete"))
+    df = table(spark, sf_dir, "orders").join(ship, "o_orderkey", "left")
+    return groups.journey(df, ["o_orderpriority"], ["o_orderdate", "shipped", "complete"], "1997-06-01").withColumns({c: F.round(c, 4) for c in ("lapse_days", "age_days", "share")})
+
+
+@query(
+    """WITH a AS (SELECT p_partkey, p_brand AS type, CASE WHEN p_size % 2 = 0 THEN 'kg' END AS unit, p_size AS cardinality, p_partkey % 11 = 0 AS gone FROM part WHERE p_partkey % 7 <> 0),
+       b AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'other' ELSE p_brand END AS type, CASE WHEN p_size % 3 = 0 THEN 'g' WHEN p_size % 2 = 0 THEN 'kg' END AS unit, CASE WHEN p_partkey % 3 = 0 THEN p_size * 3 ELSE p_size + 1 END AS cardinality, p_partkey % 13 = 0 AS gone FROM part WHERE p_partkey % 17 <> 0),
+       j AS (SELECT p_partkey, a.p_partkey IS NOT NULL AS ha, b.p_partkey IS NOT NULL AS hb, coalesce(a.gone, FALSE) AS ga, coalesce(b.gone, FALSE) AS gb, a.type AS ta, b.type AS tb, a.unit AS ua, b.unit AS ub, a.cardinality AS ca, b.cardinality AS cb FROM a FULL JOIN b USING (p_partkey)),
+       k AS (SELECT *, ha AND NOT ga AS la, hb AND NOT gb AS lb FROM j)
+       SELECT p_partkey, 'new' AS change, NULL AS was, tb AS is_now FROM k WHERE NOT ha AND lb UNION ALL SELECT p_partkey, 'gone', ta, NULL FROM k WHERE la AND NOT lb UNION ALL SELECT p_partkey, 'back', NULL, tb FROM k WHERE ga AND lb
+       UNION ALL SELECT p_partkey, 'type', ta, tb FROM k WHERE la AND lb AND ta <> tb UNION ALL SELECT p_partkey, 'unit', ua, ub FROM k WHERE la AND lb AND ua <> ub
+       UNION ALL SELECT p_partkey, 'cardinality', ca::VARCHAR, cb::VARCHAR FROM k WHERE la AND lb AND CASE WHEN least(ca, cb) <= 0 THEN ca <> cb AND greatest(ca, cb) >= 10 ELSE greatest(ca, cb) >= 2 * least(ca, cb) AND abs(ca - cb) >= 10 END"""
+)
+def object_changes(spark, sf_dir):
+    """What became of objects between two learnings, on all parts with planted changes."""
+    part, k, size = table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_size")
+    kg = F.when(size % 2 == 0, "kg")
+    before = part.where(k % 7 != 0).select(k, F.col("p_brand").alias("type"), kg.alias("unit"), size.alias("cardinality"), (k % 11 == 0).alias("gone"))
+    after = part.where(k % 17 != 0).select(
+        k, F.when(k % 5 == 0, "other").otherwise(F.col("p_brand")).alias("type"), F.when(size % 3 == 0, "g").otherwise(kg).alias("unit"),
+        F.when(k % 3 == 0, size * 3).otherwise(size + 1).alias("cardinality"), (k % 13 == 0).alias("gone"),
+    )
+    return profiles.object_changes(before, after, ["p_partkey"])
+
+
+_PLACED = "(SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'service' ELSE 'host' END AS category, CASE p_partkey % 5 WHEN 0 THEN upper(replace(p_name, ' ', '_')) WHEN 1 THEN p_name || 's' ELSE p_name END AS name FROM part)"
+_KEYED = f"k AS (SELECT id, category, replace(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' ', '') AS key FROM {_PLACED})"
+
+
+def _placed(spark, sf_dir):
+    k, name = F.col("p_partkey"), F.col("p_name")
+    spelled = F.when(k % 5 == 0, F.upper(F.regexp_replace(name, " ", "_"))).when(k % 5 == 1, F.concat(name, F.lit("s"))).otherwise(name)
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.when(k % 3 == 0, "service").otherwise("host").alias("category"), spelled.alias("name"))
+
+
+@query(f"WITH {_KEYED} SELECT key, count(*) AS n_values, string_agg(DISTINCT category, ', ' ORDER BY category) AS categories FROM k WHERE key <> '' GROUP BY 1 HAVING count(DISTINCT category) > 1")
+def named_twice(spark, sf_dir):
+    """Names that are values of both categories."""
+    return entities.named_twice(_placed(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_KEYED}, f AS (SELECT category, key, min(id) AS a FROM k WHERE key <> '' GROUP BY 1, 2), s AS (SELECT a, id AS b, 'same letters' AS how FROM k JOIN f USING (category, key) WHERE id <> a),
+       u AS (SELECT category, a, unnest([key || 's', key || 'es', CASE WHEN key LIKE '%y' THEN key[:-2] || 'ies' END]) AS key FROM f WHERE length(key) >= 4 AND NOT regexp_matches(key, '[0-9]$')),
+       l AS (SELECT p_partkey AS a, p_partkey + 1 AS b FROM part UNION SELECT p_partkey + 1, p_partkey FROM part) SELECT DISTINCT * FROM (SELECT * FROM s UNION ALL SELECT a, id, 'plural' FROM u JOIN k USING (category, key)) x ANTI JOIN l USING (a, b)"""
+)
+def written_two_ways(spark, sf_dir):
+    """Values of a category that may be one thing written twice, but for neighbours, which links keep apart."""
+    links = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"))
+    return entities.written_two_ways(_placed(spark, sf_dir), links)
+
+
+@query(
+    """WITH h AS (SELECT s_suppkey, 'WEB' || s_suppkey || '.corp.example:' || (9000 + s_nationkey) AS asked, CASE s_suppkey % 4 WHEN 0 THEN 'web' || s_suppkey WHEN 1 THEN 'web' || s_suppkey || '.corp.example' WHEN 2 THEN 'web' || s_suppkey || '.other.example' ELSE '10.0.0.' || s_suppkey % 250 END AS known FROM supplier)
+       SELECT s_suppkey, lower(asked) || ',web' || s_suppkey || '.corp.example,web' || s_suppkey AS forms, s_suppkey % 4 < 2 AS same FROM h"""
+)
+def host_forms(spark, sf_dir):
+    """The names that hosts go by, and whether another spelling is the same host."""
+    key = F.col("s_suppkey").cast("string")
+    asked = F.concat(F.lit("WEB"), key, F.lit(".corp.example:"), (F.col("s_nationkey") + 9000).cast("string"))
+    web, turn = F.concat(F.lit("web"), key), F.col("s_suppkey") % 4
+    known = F.when(turn == 0, web).when(turn == 1, F.concat(web, F.lit(".corp.example"))).when(turn == 2, F.concat(web, F.lit(".other.example"))).otherwise(F.concat(F.lit("10.0.0."), (F.col("s_suppkey") % 250).cast("string")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(T.host_forms(asked), ",").alias("forms"), T.same_host(asked, known).alias("same"))
+
+
+@query()
+def section_pieces(spark, sf_dir):
+    """Pieces of every conversation written as a page, a heading a turn and role, cut at its sections (cut rules have no SQL form; tests hold them)."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.concat(F.when(F.col("role") == "user", "# ").otherwise("## "), F.col("role"), F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), F.col("text")).alias("s")).alias("x"))
+    pages = said.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), "\n").alias("text"))
+    return search.section_chunks(pages, "conv_id", "text")
+
+
+@query(
+    """WITH c AS (SELECT 'region-' || n_regionkey AS name, 'pattern' AS kind, n_name AS member FROM nation UNION ALL SELECT 'r' || n_regionkey, 'alias', n_name FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 'part-of-' || n_regionkey, 'alias', n_name FROM nation WHERE n_nationkey % 2 = 0
+         UNION ALL SELECT 'stream-1', 'data_stream', n_name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT n_name, 'index', n_name FROM nation),
+       s AS (SELECT name, kind, list_sort(list_distinct(list(member))) AS ms FROM c GROUP BY 1, 2), k AS (SELECT name, CASE WHEN name IN ('region-3', 'FRANCE') THEN 0 ELSE 1 END AS known, CASE kind WHEN 'data_stream' THEN 0 WHEN 'alias' THEN 1 WHEN 'pattern' THEN 2 ELSE 3 END AS r, kind, ms FROM s),
+       b AS (SELECT ms, arg_min(name, (known, r, name)) AS best, count(*) - 1 AS others FROM k GROUP BY 1)
+       SELECT name, kind, len(ms) AS n_members, CASE WHEN name = best THEN others ELSE 0 END AS stands_for, best AS same_as FROM k JOIN b USING (ms)"""
+)
+def one_table_each(spark, sf_dir):
+    """Names of the same tables, and the one that is read for them: patterns, aliases of all or a part of them, a stream, plain tables."""
+    n = table(spark, sf_dir, "nation")
+    key, member = F.col("n_regionkey").cast("string"), F.col("n_name").alias("member")
+    one = lambda df, name, kind: df.select(name.alias("name"), F.lit(kind).alias("kind"), member)
+    parts = (
+        one(n, F.concat(F.lit("region-"), key), "pattern"), one(n.where("n_regionkey <> 2"), F.concat(F.lit("r"), key), "alias"), one(n.where("n_nationkey % 2 = 0"), F.concat(F.lit("part-of-"), key), "alias"),
+        one(n.where("n_regionkey = 1"), F.lit("stream-1"), "data_stream"), one(n, F.col("n_name"), "index"),
+    )
+    known = spark.createDataFrame([("region-3",), ("FRANCE",)], "name string")
+    return tables.one_table_each(reduce(lambda a, b: a.unionByName(b), parts), known)

@@ -73,6 +73,21 @@ def host(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^/@]*@)?([^/:?#]+)", 1))
 
 
+def host_forms(c: Column) -> Column:
+    """The names that a host goes by, in lower case: as written, without port, and its first label; an address has no short one."""
+    full = host(c)
+    low = F.lower(F.regexp_replace(F.trim(c), r"^[a-zA-Z][a-zA-Z0-9+.-]*://|/.*$", ""))
+    first = F.split_part(full, F.lit("."), F.lit(1))
+    short = F.when((F.instr(full, ".") > 0) & first.rlike("[a-z]") & (F.length(first) >= 2), first)
+    return F.array_distinct(F.filter(F.array(low, full, short), lambda x: x.isNotNull() & (x != "")))
+
+
+def same_host(a: Column, b: Column) -> Column:
+    """Whether two names may be one host: they share a form, and if both are full names they are the same one."""
+    both_full = (F.instr(host(a), ".") > 0) & (F.instr(host(b), ".") > 0)
+    return F.when(both_full, host(a) == host(b)).otherwise(F.arrays_overlap(host_forms(a), host_forms(b)))
+
+
 def page_key(c: Column) -> Column:
     """What makes a URL the same page: host and path in lower case, without scheme, www, query, fragment or last slash."""
     bare = F.regexp_replace(F.lower(c), r"^[a-z][a-z0-9+.-]*://(www\.)?", "")

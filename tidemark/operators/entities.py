@@ -179,6 +179,30 @@ def shared_member_groups(pods: DataFrame, name: str, member: str, least: float)
     return every.join(joined.toDF("name", "component"), "name", "left").select("name", F.coalesce("component", "name").alias("group"))
 
 
+def named_twice(values: DataFrame) -> DataFrame:
+    """(key, n_values, categories): names (id, category, name) that are values of two categories or more, by their letters and digits."""
+    key = name_keys(F.col("name"))["compact"].alias("key")
+    per = values.select(key, "category").where("key != ''").groupBy("key").agg(F.count("*").alias("n_values"), F.array_join(F.array_sort(F.collect_set("category")), ", ").alias("categories"), F.count_distinct("category").alias("_n"))
+    return per.where("_n > 1").drop("_n")
+
+
+def written_two_ways(values: DataFrame, links: DataFrame, least: int = 4) -> DataFrame:
+    """(a, b, how): values (id, category, name) of a category that may be one thing written twice: the same letters and digits, or a name and its plural.
+
+    Each of equal names pairs with the first of them.  Values that a link (a, b) joins are two things.  A plural is of a name of ``least``
+    letters that does not end in a digit.
+    """
+    keyed = stored(values.select("id", "category", name_keys(F.col("name"))["compact"].alias("key")).where("key != ''"))
+    first = stored(keyed.groupBy("category", "key").agg(F.min("id").alias("a")))
+    same = keyed.join(first, ["category", "key"]).where("id != a").select("a", F.col("id").alias("b"), F.lit("same letters").alias("how"))
+    k = F.col("key")
+    plurals = F.array(F.concat(k, F.lit("s")), F.concat(k, F.lit("es")), F.when(k.endswith("y"), F.concat(F.expr("left(key, length(key) - 1)"), F.lit("ies"))))
+    single = first.where((F.length("key") >= least) & ~k.rlike("[0-9]$")).select("category", "a", F.explode(plurals).alias("key"))
+    plural = single.join(keyed, ["category", "key"]).select("a", F.col("id").alias("b"), F.lit("plural").alias("how"))
+    joined = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return same.unionByName(plural).join(joined, ["a", "b"], "left_anti").distinct()
+
+
 def within_hops(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """(origin, node, hops): nodes near each origin along edges in either direction."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()

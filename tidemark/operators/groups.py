@@ -76,6 +76,25 @@ def stages(df: DataFrame, by: list[str], first: str, second: str, until: str) ->
     )
 
 
+def journey(df: DataFrame, by: list[str], times: list[str], until: str) -> DataFrame:
+    """(by, step, reached, lapse_days, waiting, age_days, share): each stage of a way through ``times``, from one time to the next.
+
+    ``reached`` rows have both times before ``until``; ``waiting`` ones the first only, for ``age_days`` on average; ``share`` is the step's part of
+    the whole way's mean time.  All steps come from one scan.
+    """
+    end = F.lit(until).cast("timestamp_ntz")
+    days = lambda c: F.unix_micros(c.cast("timestamp")) / 86_400_000_000
+    steps = [F.struct(F.lit(f"{a} > {b}").alias("step"), F.col(a).cast("timestamp_ntz").alias("a"), F.col(b).cast("timestamp_ntz").alias("b")) for a, b in zip(times, times[1:], strict=False)]
+    long = df.select(*by, F.inline(F.array(*steps)))
+    began, ended = F.coalesce(F.col("a") < end, F.lit(False)), F.coalesce(F.col("b") < end, F.lit(False))
+    per = long.groupBy(*by, "step").agg(
+        F.count_if(began & ended).alias("reached"), F.avg(F.when(began & ended, days(F.col("b")) - days(F.col("a")))).alias("lapse_days"),
+        F.count_if(began & ~ended).alias("waiting"), F.avg(F.when(began & ~ended, days(end) - days(F.col("a")))).alias("age_days"),
+    )
+    whole = F.sum("lapse_days").over(Window.partitionBy(*by)) if by else F.sum("lapse_days").over(Window.partitionBy(F.lit(0)))
+    return per.withColumn("share", F.when(whole != 0, F.col("lapse_days") / whole))
+
+
 def ratio(df: DataFrame, by: list[str], over: str, under: str) -> DataFrame:
     """sum(over) / sum(under) on the rows that have both, with their number."""
     both = F.col(over).isNotNull() & F.col(under).isNotNull()

@@ -48,6 +48,31 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "column", "full_outer").select("column", "old", "now", what.alias("change"))
 
 
+def object_changes(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """(key, change, was, is_now): what became of objects (key, type, unit, cardinality, gone) between two learnings, a row a change.
+
+    ``new`` and ``gone``; ``back`` for one that was marked gone; ``type`` and ``unit`` where both say one and they differ; ``cardinality``
+    CHANGE_RATIO-fold and by CHANGE_DIFFERENCE, or to or from none by as many.  An object may change in several ways.
+    """
+    facts = ("type", "unit", "cardinality", "gone")
+    a, b = (df.select(*key, *(F.col(c).alias(f"{side}_{c}") for c in facts), F.lit(True).alias(f"{side}_there")) for side, df in (("a", before), ("b", after)))
+    both = a.join(b, key, "full")
+    there = lambda side: F.coalesce(F.col(f"{side}_there"), F.lit(False)) & ~F.coalesce(F.col(f"{side}_gone"), F.lit(False))
+    old, now = F.col("a_cardinality").cast("double"), F.col("b_cardinality").cast("double")
+    low, high = F.least(old, now), F.greatest(old, now)
+    far = F.when(low <= 0, (old != now) & (high >= CHANGE_DIFFERENCE)).otherwise((high >= CHANGE_RATIO * low) & (high - low >= CHANGE_DIFFERENCE))
+    same = there("a") & there("b")
+    text = lambda c: F.col(c).cast("string")
+    row = lambda what, when, was, now: F.when(when, F.struct(F.lit(what).alias("change"), was.alias("was"), now.alias("is_now")))
+    none = F.lit(None).cast("string")
+    rows = F.array(
+        row("new", F.col("a_there").isNull() & there("b"), none, text("b_type")), row("gone", there("a") & ~there("b"), text("a_type"), none),
+        row("back", F.coalesce(F.col("a_gone"), F.lit(False)) & there("b"), none, text("b_type")), row("type", same & (F.col("a_type") != F.col("b_type")), text("a_type"), text("b_type")),
+        row("unit", same & (F.col("a_unit") != F.col("b_unit")), text("a_unit"), text("b_unit")), row("cardinality", same & far, text("a_cardinality"), text("b_cardinality")),
+    )
+    return both.select(*key, F.inline(F.filter(rows, lambda x: x.isNotNull())))
+
+
 def value_overlap(columns: dict[str, DataFrame]) -> DataFrame:
     """Pairs of columns (each a one-column frame) that share values: likely join keys.
 

@@ -262,6 +262,22 @@ def day_scan(df: DataFrame, labels: list[str], time: str, last_day: str, weeks:
     return per.select(*labels, F.col("w0").alias("now"), usual.alias("usual"), what.alias("reading"))
 
 
+def findings(df: DataFrame, labels: list[str], time: str, last_day: str, weeks: int = 4, most: int = 20) -> DataFrame:
+    """(labels, finding, now, usual, weight, place): what to tell of a chart's day, at most ``most``, the weightiest first.
+
+    ``stale`` series whose rows stopped before the day, by their usual rows; ``gone``, ``above`` and ``below`` by how far they are from usual.
+    """
+    read = day_scan(df, labels, time, last_day, weeks)
+    last = df.groupBy(*labels).agg(F.max(F.to_date(time)).alias("_last"))
+    both = join_same(read, last, labels)
+    stopped = (F.col("_last") < F.lit(last_day).cast("date")) & (F.col("usual") > 0)
+    told = both.withColumn("finding", F.when(stopped, "stale").otherwise(F.col("reading"))).where("finding != 'usual'")
+    told = told.withColumn("weight", F.when(F.col("finding") == "stale", F.col("usual")).otherwise(F.abs(F.col("now") - F.col("usual"))))
+    first = told.orderBy(F.desc("weight"), *labels).limit(most)
+    place = F.row_number().over(Window.orderBy(F.desc("weight"), *labels))  # ``most`` rows
+    return first.select(*labels, "finding", "now", "usual", "weight", place.alias("place"))
+
+
 def health(tagged: DataFrame, labels: list[str], value: str, threshold: float, band: float = 0.05) -> DataFrame:
     """(labels, now, usual, verdict): the share of samples within ``threshold`` now and as the median of the same windows before."""
     per = tagged.groupBy(*labels, "k").agg((F.count_if(F.col(value) <= threshold) / F.count("*")).alias("level"))

@@ -31,6 +31,28 @@ def family_members(names: DataFrame, name: str, *sums: str) -> DataFrame:
     return per.select(F.when(F.col("n_members") > 1, F.col("family")).otherwise(F.col("only")).alias("family"), "n_members", *sums)
 
 
+#: Which of several names of the same tables stands for them.
+PREFERRED = ("data_stream", "alias", "pattern", "index")
+
+
+def one_table_each(containers: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, kind, n_members, stands_for, same_as): every container of ``containers`` (name, kind, member) and the one of the same members that is read in its place.
+
+    Of names with equal members one is kept: a name of ``known`` (name) before others, then by PREFERRED, then by name; ``stands_for`` counts the
+    names that it replaces, and ``same_as`` is the kept name.  Member sets are compared by their sorted digests, combined before the shuffle.
+    """
+    sets = containers.select("name", "kind", "member").distinct().groupBy("name", "kind").agg(
+        F.count("*").alias("n_members"), F.sum(F.xxhash64("member").cast("decimal(38,0)")).alias("_sum"), F.bit_xor(F.xxhash64(F.lit(7), "member")).alias("_mix"), F.min("member").alias("_low"), F.max("member").alias("_top")
+    )
+    listed = known.select("name").distinct().withColumn("_known", F.lit(0))
+    rank = F.coalesce(*(F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(PREFERRED)), F.lit(len(PREFERRED)))
+    same = ["n_members", "_sum", "_mix", "_low", "_top"]
+    ranked = sets.join(listed, "name", "left").withColumn("_rank", F.struct(F.coalesce("_known", F.lit(1)).alias("k"), rank.alias("r"), "name"))
+    kept_of = ranked.groupBy(*same).agg(F.min("_rank").alias("_best"), (F.count("*") - 1).alias("others"))
+    found = ranked.join(kept_of, same)
+    return found.select("name", "kind", "n_members", F.when(F.col("name") == F.col("_best.name"), F.col("others")).otherwise(0).alias("stands_for"), F.col("_best.name").alias("same_as"))
+
+
 def capped(df: DataFrame, order: list, most: int) -> DataFrame:
     """The first ``most`` rows in ``order``, each told whether there are more (``truncated``); one job, which reads ``most`` + 1 rows a task."""
     first = df.orderBy(*order).limit(most + 1)
