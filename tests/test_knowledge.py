@@ -223,3 +223,19 @@ def test_names_alike_by_their_rarest_trigrams(spark):
     score = F.round(trigram_similarity(F.col("token"), F.col("name")), 6)
     want = {tuple(r) for r in a.crossJoin(b).select("token", "name", score.alias("s")).where("s >= 0.5").collect()}
     assert {(r.token, r.name, r.score) for r in search.similar_per_token(a, b, 1 << 20, 0.5).collect()} == want and len(want) > 100
+
+
+def test_resolver_weighs_rare_words(spark):
+    from tidemark.operators import search
+
+    objects = spark.createDataFrame(
+        [(1, ["http", "requests", "total"], ["count", "of", "calls"], ["code"]), (2, ["cpu", "seconds"], ["busy", "requests"], []), (3, ["requesting"], [], ["requests"]), (4, ["zz"], [], [])],
+        "object long, tokens array<string>, words array<string>, labels array<string>",
+    )
+    asked = spark.createDataFrame([(7, "requests"), (7, "http"), (7, "code"), (7, "load")], "query_id long, term string")
+    synonyms = spark.createDataFrame([("load", "cpu"), ("load", "load")], "term string, other string")
+    got = {r.object: r.score for r in search.resolved(objects, asked, synonyms).collect()}
+    assert got == {1: 3 + 3 + 1 + 1 - 0.1, 2: 1 + 2 - 0.1, 3: 1.0}  # "requests" is the start of no word: "requesting" begins alike only
+    weights = spark.createDataFrame([("requests", 0.5), ("cpu", 0.8)], "term string, weight double")
+    got = {r.object: r.score for r in search.resolved(objects, asked, synonyms, weights).collect()}
+    assert got == {1: 1.5 + 3 + 1 + 1 - 0.1, 2: 1 + 1.6 - 0.1, 3: 1.0}

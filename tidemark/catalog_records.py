@@ -362,3 +362,25 @@ def one_table_each(spark, sf_dir):
     )
     known = spark.createDataFrame([("region-3",), ("FRANCE",)], "name string")
     return tables.one_table_each(reduce(lambda a, b: a.unionByName(b), parts), known)
+
+
+_SYNONYMS = (("economy", "hot"), ("small", "red"), ("large", "bolt"), ("brand", "widgets"), ("promo", "gear"), ("part", "rings"), ("standard", "standards"))
+_LOW = "list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
+@query(
+    f"""WITH o AS (SELECT p_partkey AS object, list_distinct({_LOW.format('p_name')}) AS ts, {_LOW.format('p_type')} AS ws, {_LOW.format('p_brand')} AS ls FROM part),
+       q AS (SELECT DISTINCT p_type AS query_id, unnest({_LOW.format("p_type || ' ' || p_brand || ' of part'")}) AS term FROM part), y AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _SYNONYMS)}) v(term, other)),
+       a AS (SELECT query_id, q.term, list(other) FILTER (WHERE other IS NOT NULL) AS alts FROM (SELECT DISTINCT * FROM q) q LEFT JOIN y ON q.term = y.term GROUP BY 1, 2), p AS (SELECT object, query_id, term, coalesce(alts, []) AS alts, ts, ws, ls FROM a, o),
+       k AS (SELECT object, query_id, len(ts) AS n, CASE WHEN list_contains(ts, term) THEN 1 WHEN list_has_any(alts, ts) THEN 2
+           WHEN len(list_filter(ts, lambda t: length(t) >= 4 AND len(list_filter(alts || [term], lambda x: length(x) >= 4 AND (starts_with(t, x) OR starts_with(x, t)))) > 0)) > 0 THEN 3 WHEN list_has_any(alts || [term], ws) THEN 4 ELSE 5 END AS kind, list_contains(ls, term) AS listed FROM p),
+       s AS (SELECT query_id, object, any_value(n) AS n, sum(CASE kind WHEN 1 THEN 3.0 WHEN 2 THEN 2.0 WHEN 3 THEN 1.5 WHEN 4 THEN 1.0 ELSE 0.0 END + CASE WHEN listed THEN 1.0 ELSE 0.0 END) AS total, count(*) FILTER (WHERE kind <= 3) AS matched, count(*) FILTER (WHERE kind < 5 OR listed) AS told FROM k GROUP BY 1, 2)
+       SELECT query_id, object, round((total + CASE WHEN matched >= 2 THEN 1 ELSE 0 END - 0.1 * greatest(0, n - matched))::DOUBLE, 6) AS score FROM s WHERE told > 0"""
+)
+def resolved_objects(spark, sf_dir):
+    """All parts that tell of what is asked, by words, synonyms and starts of their names, descriptions and labels."""
+    part = table(spark, sf_dir, "part")
+    low = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda x: x != "")
+    objects = part.select(F.col("p_partkey").alias("object"), low(F.col("p_name")).alias("tokens"), low(F.col("p_type")).alias("words"), low(F.col("p_brand")).alias("labels"))
+    asked = part.select(F.col("p_type").alias("query_id"), F.explode(low(F.concat_ws(" ", "p_type", "p_brand", F.lit("of part")))).alias("term"))
+    return search.resolved(objects, asked, spark.createDataFrame(list(_SYNONYMS), "term string, other string"))
