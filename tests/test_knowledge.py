@@ -239,3 +239,28 @@ def test_resolver_weighs_rare_words(spark):
     weights = spark.createDataFrame([("requests", 0.5), ("cpu", 0.8)], "term string, weight double")
     got = {r.object: r.score for r in search.resolved(objects, asked, synonyms, weights).collect()}
     assert got == {1: 1.5 + 3 + 1 + 1 - 0.1, 2: 1 + 1.6 - 0.1, 3: 0.9}
+
+
+def test_kinds_of_tables():
+    from tidemark.operators.profiles import kind_of
+
+    kinds = {"spans": ["trace_id", "span_id", "duration"], "alerts": ["alertname", "status"], "logs": ["message", "level", "ts"], "events": ["o_orderdate", "o_custkey"], "inventory": ["name", "owner"]}
+    assert {k: kind_of(v) for k, v in kinds.items()} == {k: k for k in kinds}
+
+
+def test_classes_of_alike_texts(spark):
+    from tidemark.operators import search
+
+    rows = [(3, "orders failed yesterday badly"), (1, "Failed orders, badly yesterday"), (2, "orders failed yesterday"), (5, "nothing alike here"), (6, ""), (7, None), (8, "orders failed yesterday")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    members = {r.id: r.standing for r in search.alike_members(df, "id", F.col("text")).collect()}
+    assert members == {1: 1, 3: 1, 2: 2, 8: 2, 5: 5}
+    assert [tuple(r) for r in search.alike_classes(df, "id", F.col("text"), 0.7).collect()] == [(1, 2, 0.75, 2, 2)]
+
+
+def test_sliding_windows(spark):
+    from tidemark.streaming import windows
+
+    df = spark.createDataFrame([("a", 0), ("a", 70), ("b", 100)], "k string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    got = sorted((r.start.minute * 60 + r.start.second if r.start.year == 1970 else -60, r.k, r.n) for r in windows.sliding(df, "ts", "2 minutes", "1 minute", ["k"]).collect())
+    assert got == [(-60, "a", 1), (0, "a", 2), (0, "b", 1), (60, "a", 1), (60, "b", 1)]

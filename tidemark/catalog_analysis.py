@@ -627,7 +627,7 @@ def own_chat_hits(spark, sf_dir):
 
 def _learned_sql(rounds: int) -> str:
     sql = """WITH l AS (SELECT doc_id, n_chars / 10000.0::DOUBLE AS size, len(string_split(text, chr(10))) / 10.0::DOUBLE AS lines, quality, source FROM documents JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)),
-     r AS (SELECT *, row_number() OVER (PARTITION BY source, quality ORDER BY doc_id) AS rn FROM l), p AS (SELECT g.size - b.size AS size, g.lines - b.lines AS lines FROM r g JOIN r b ON g.source = b.source AND g.rn = b.rn WHERE g.quality = 1 AND b.quality = 0), w0 AS (SELECT 1.0::DOUBLE AS size, 1.0::DOUBLE AS lines)"""
+     r AS (SELECT *, row_number() OVER (PARTITION BY source, quality, doc_id // 256 ORDER BY doc_id) AS rn, doc_id // 256 AS part FROM l), p AS (SELECT g.size - b.size AS size, g.lines - b.lines AS lines FROM r g JOIN r b ON g.source = b.source AND g.part = b.part AND g.rn = b.rn WHERE g.quality = 1 AND b.quality = 0), w0 AS (SELECT 1.0::DOUBLE AS size, 1.0::DOUBLE AS lines)"""
     for i in range(rounds):
         step = ", ".join(f"least(3.0, greatest(0.0, any_value(w.{f}) + 0.05 * coalesce(avg(p.{f} / (1 + exp(p.size * w.size + p.lines * w.lines))), 0) - 0.02 * (any_value(w.{f}) - 1)))::DOUBLE AS {f}" for f in ("size", "lines"))
         sql += f", w{i + 1} AS (SELECT {step} FROM p, w{i} w)"
@@ -636,16 +636,17 @@ def _learned_sql(rounds: int) -> str:
 
 @query(_learned_sql(4))
 def preference_weights(spark, sf_dir):
-    """Weights of two features learned from pairs of a good and a poor document of one source."""
+    """Weights of two features learned from pairs of a good and a poor document of one source and range of 256 ids, which bounds a group."""
     from pyspark.sql import Window
 
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     docs = table(spark, sf_dir, "documents").join(labels, "doc_id").select(
         "doc_id", "source", "quality", (F.col("n_chars") / 10000.0).alias("size"), (F.size(F.split("text", "\n")) / 10.0).alias("lines")
     )
-    ranked = docs.withColumn("rn", F.row_number().over(Window.partitionBy("source", "quality").orderBy("doc_id")))
-    good, poor = ranked.where("quality = 1"), ranked.where("quality = 0").select("source", "rn", F.col("size").alias("s"), F.col("lines").alias("l"))
-    pairs = good.join(poor, ["source", "rn"]).select((F.col("size") - F.col("s")).alias("size"), (F.col("lines") - F.col("l")).alias("lines"))
+    docs = docs.withColumn("part", F.floor(F.col("doc_id") / 256))
+    ranked = docs.withColumn("rn", F.row_number().over(Window.partitionBy("source", "quality", "part").orderBy("doc_id")))
+    good, poor = ranked.where("quality = 1"), ranked.where("quality = 0").select("source", "part", "rn", F.col("size").alias("s"), F.col("lines").alias("l"))
+    pairs = good.join(poor, ["source", "part", "rn"]).select((F.col("size") - F.col("s")).alias("size"), (F.col("lines") - F.col("l")).alias("lines"))
     found = search.learn_preferences(kept(pairs), ["size", "lines"])
     return spark.createDataFrame([(f, round(w, 6)) for f, w in found.items()], "feature string, weight double")
 

@@ -57,13 +57,14 @@ def benchmark_overlap(spark, sf_dir):
 @query(
     f"""WITH a AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = 'user'),
        s AS (SELECT id, list_distinct({_terms_sql('text')}) AS ts FROM (SELECT * FROM a UNION ALL SELECT -1 - id, text || ' quickly' FROM a)),
-       p AS (SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.ts, y.ts)) / len(list_distinct(list_concat(x.ts, y.ts))), 6) AS jaccard FROM s x JOIN s y ON x.id < y.id AND len(list_intersect(x.ts, y.ts)) > 0) SELECT * FROM p WHERE jaccard >= 0.6"""
+       g AS (SELECT min(id) AS id, list_sort(ts) AS ts, count(*) AS n FROM s WHERE len(ts) > 0 GROUP BY list_sort(ts)),
+       p AS (SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.ts, y.ts)) / len(list_distinct(list_concat(x.ts, y.ts))), 6) AS jaccard, x.n AS n_a, y.n AS n_b FROM g x JOIN g y ON x.id < y.id AND len(list_intersect(x.ts, y.ts)) > 0) SELECT * FROM p WHERE jaccard >= 0.6"""
 )
 def alike_questions(spark, sf_dir):
-    """Conversation turns of the user that say nearly the same, among them a planted variant of each."""
+    """Turns of users that say nearly the same, a class of equal terms by its first turn, among them a planted variant of each."""
     asked = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     asked = asked.unionByName(asked.select((-1 - F.col("id")).alias("id"), F.concat("text", F.lit(" quickly")).alias("text")))
-    return search.alike(asked, "id", F.col("text"), 0.6)
+    return search.alike_classes(asked, "id", F.col("text"), 0.6)
 
 
 @query(
