@@ -288,7 +288,10 @@ def _block_pairs(spark, sf_dir):
     return entities.candidate_pairs(part.join(standing, "p_partkey", "left_semi"), "p_partkey", "p_name")
 
 
-@query()
+@query(
+    """WITH w AS (SELECT p_partkey AS id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS w FROM part), k AS (SELECT id, list_sort(list_distinct(list_filter(string_split(w, ' ') || [replace(w, ' ', ''), replace(trim(regexp_replace(w, '( v?[0-9]+)+$', '')), ' ', '')], lambda x: length(x) > 1))) AS keys FROM w)
+       SELECT id, CASE WHEN len(keys) > 0 THEN min(id) OVER (PARTITION BY keys) ELSE id END AS representative FROM k"""
+)
 def block_members(spark, sf_dir):
     """All parts, with the part that stands for their name in block_pairs_all."""
     return entities.name_members(table(spark, sf_dir, "part"), "p_partkey", "p_name")
