@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import held, slices, stored, work_dir
-from tidemark.llm.tokens import OTHERS, PIECES, SPECIAL, Known, byte_of_char, is_plain, library, vocabulary_path
+from tidemark.llm.tokens import OTHERS, PIECES, SPECIAL, Known, byte_of_char, is_plain, library, pieces_of, vocabulary_path
 
 LEXICON = 1 << 15
 MOST_KNOWN = 250_000
@@ -242,7 +242,7 @@ def pretokens_of_cut(cut: str) -> list[str]:
     """The pre-tokens of a cut: whole where it is marked and no plain text, else by the split rule."""
     if cut[:1] == MARK:
         return [cut[1:]] if not is_plain(cut[1:]) else PIECES.findall(cut[1:])
-    return PIECES.findall(cut if cut[:1] == "\n" else " " + cut)
+    return pieces_of(cut)
 
 
 class Coder:

@@ -23,6 +23,8 @@ OTHERS = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-՗؀-߿ऀ-ৠ 
 #: The same, with all white space but the blank and the line feed.
 ODD = re.compile("[^\n\x20-\x84\x86-\x9f\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-՗؀-߿ऀ-ৠ​-‧‪-‮‰-⁞぀-㆏一-鿿가-힣\x00-\x08\x0e-\x1b]")
 SPECIAL = "<|endoftext|>"
+#: Signs that form one pre-token behind a word.
+ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -80,31 +82,51 @@ def is_plain(text: str) -> bool:
     return not (ODD.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or SPECIAL in text)
 
 
+def pieces_of(cut: str) -> list[str]:
+    """The pre-tokens of a cut of a plain text, which has lost its blank or begins with a line feed: mostly letters, or letters and one run of signs."""
+    if cut.isalpha():
+        return [" " + cut]
+    word = cut.rstrip(ENDS)
+    if word.isalpha():
+        return [" " + word, cut[len(word) :]]
+    return PIECES.findall(cut if cut[:1] == "\n" else " " + cut)
+
+
 class Encoder:
     """Ids of texts as packed little-endian integers of ``width`` bytes.
 
     A plain text is cut before each blank and line feed, where a pre-token always ends; the cuts are looked up whole.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         self.tokenizer, self.most = library(path), most
         self.width = 2 if self.tokenizer.get_vocab_size(True) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.shown = {b: c for c, b in byte_of_char().items()}
+        self.blank, self.tokenize = self.shown[32], self.tokenizer.model.tokenize
         self.pack = [struct.Struct("<" + ("H" if self.width == 2 else "I") * n).pack for n in range(16)]
         self.pieces, self.cuts = Known(self._piece), Known(self._cut)
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
+    def _ids(self, said: str) -> bytes:
+        """The packed ids of a pre-token in the vocabulary's stand-ins."""
+        found = self.tokenize(said)
+        n = len(found)
+        return self.pack[n](*[t.id for t in found]) if n < 16 else self._pack([t.id for t in found])
+
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode()
         # Printable ASCII stands for itself, but for the blank.
-        said = piece.replace(" ", self.shown[32]) if raw.isascii() and piece.isprintable() else "".join(map(self.shown.__getitem__, raw))
-        found = self.tokenizer.model.tokenize(said)
-        return self.pack[len(found)](*[t.id for t in found]) if len(found) < 16 else self._pack([t.id for t in found])
+        return self._ids(piece.replace(" ", self.blank) if raw.isascii() and piece.isprintable() else "".join(map(self.shown.__getitem__, raw)))
 
     def _cut(self, cut: str) -> bytes:
+        if cut.isalpha():
+            return self._ids(self.blank + (cut if cut.isascii() else "".join(map(self.shown.__getitem__, cut.encode()))))
+        word = cut.rstrip(ENDS)
+        if word.isalpha():  # letters and one run of signs: the word is known from elsewhere as often as not
+            return self.cuts[word] + self.pieces[cut[len(word) :]]
         found = PIECES.findall(cut if cut[:1] == "\n" else " " + cut)
         return self._piece(found[0]) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))  # one piece is kept once, as the cut
 
