@@ -27,7 +27,7 @@ from tidemark.llm.common import held, slices, stored, work_dir
 from tidemark.llm.tokens import OTHERS, PIECES, SPECIAL, Known, byte_of_char, is_plain, library, pieces_of, vocabulary_path
 
 LEXICON = 1 << 15
-MOST_KNOWN = 250_000
+MOST_KNOWN = 400_000
 MARK = "\x00"
 BITS = 24
 MASK = (1 << BITS) - 1
@@ -251,6 +251,7 @@ class Coder:
     def __init__(self, path: str, data: bytes):
         self.path, self.merges, self.lexicon = path, Merges(path), Lexicon(data)
         self.known, self.whole = Known(None), Known(None)
+        self.bytes_of = np.array(self.merges.bytes_of, object)
 
     def _new(self, table: Known, keys: set[str]) -> list[str]:
         """Keys that a table has not; those of its last generation come over."""
@@ -284,7 +285,7 @@ class Coder:
         return out
 
     def decode(self, packed: bytes) -> str:
-        return b"".join(map(self.merges.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
+        return b"".join(self.bytes_of[np.frombuffer(packed, "<u4")].tolist()).decode("utf-8", "replace")
 
 
 def coder(path: str, data: bytes, digest: str) -> Coder:
