@@ -94,10 +94,9 @@ def strong_components(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
             return _union(done) if done else nodes.withColumn("component", F.col("node"))
         colour = _spread(left.select("node", F.col("node").alias("colour")), live, most_rounds)
         inside = live.join(colour.toDF("src", "cs"), "src").join(colour.toDF("dst", "cd"), "dst").where("cs = cd")
-        inside = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0).alias("_"))
+        inside = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         roots = colour.where("node = colour").select("node")
-        back = reach(inside, roots, most_rounds).select(F.col("origin").alias("component"), "node")
-        found = kept(back)
+        found = kept(reach(inside, roots, most_rounds).select(F.col("origin").alias("component"), "node"))
         done.append(found.select("node", "component"))
         left = kept(left.join(found, "node", "left_anti"))
         live = _within(live, left)
@@ -111,8 +110,7 @@ def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _spread(colours: DataFrame, edges: DataFrame, most_rounds: int) -> DataFrame:
     """(node, colour): the smallest colour that reaches each node along the edges; only colours that changed are sent on."""
-    colours, moved = kept(colours), None
-    moved = colours
+    colours = moved = kept(colours)
     for _ in range(most_rounds):
         came = edges.join(moved.select(F.col("node").alias("src"), F.col("colour").alias("came")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("came").alias("came"))
         following = colours.join(came, "node", "left").select("node", F.least("colour", F.coalesce("came", "colour")).alias("colour"), F.coalesce(F.col("came") < F.col("colour"), F.lit(False)).alias("moved"))
@@ -143,23 +141,23 @@ def _gains(links: DataFrame, nodes: DataFrame, labels: DataFrame, m2: float) ->
     around = kept(around.join(tot, "c"))
     home = sized.join(tot.toDF("community", "tot"), "community").join(around.select("node", F.col("c").alias("community"), "w"), ["node", "community"], "left")
     home = home.select("node", F.col("community").alias("own"), "deg", (F.coalesce("w", F.lit(0)) - (F.col("tot") - F.col("deg")) * F.col("deg") / m2).alias("stay"))
-    moves = around.join(kept(home), "node").where("c != own")
+    moves = around.join(home, "node").where("c != own")
     return moves.select("node", "own", F.col("c").alias("to"), "deg", (F.col("w") - F.col("tot") * F.col("deg") / m2 - F.col("stay")).alias("gain")).where("gain > 1e-9")
 
 
 def _chosen(moves: DataFrame, turn: int, m2: float) -> DataFrame:
     """(node, to): moves that together raise modularity by no less than the largest gain among them.
 
-    In a turn a community either gives or takes nodes, by a hash.  Each node has its best move.  Two nodes that leave one community or
+    In a turn a community either gives or takes nodes, by a hash, and in the next one the other way round.  Each node has its best move.  Two nodes that leave one community or
     enter one cost deg * deg / m2 at most beside their own gains; so a move goes through if its gain is more than that for
     all candidates of both its communities, or if it is the best of either.
     """
-    takes = lambda c: F.pmod(F.xxhash64(F.lit(turn), c), F.lit(2)) == 1
+    takes = lambda c: F.pmod(F.xxhash64(F.lit(turn // 2), c) + turn, F.lit(2)) == 1
     open_ = moves.where(takes(F.col("to")) & ~takes(F.col("own")))
     rank = lambda other: F.struct(-F.col("gain"), F.col(other))
     best = kept(open_.groupBy("node", "own", "deg").agg(F.min_by(F.struct("to", "gain"), rank("to")).alias("x")).select("node", "own", "deg", "x.to", "x.gain"))
     of = lambda c: best.groupBy(c).agg(F.sum("deg").alias(f"all_{c}"), F.min_by("node", rank("node")).alias(f"first_{c}"))
-    both = best.join(kept(of("to")), "to").join(kept(of("own")), "own")
+    both = best.join(of("to"), "to").join(of("own"), "own")
     crowd = F.col("all_to") + F.col("all_own") - 2 * F.col("deg")
     return both.where((F.col("gain") > F.col("deg") * crowd / m2) | ((F.col("node") == F.col("first_to")) & (F.col("node") == F.col("first_own")))).select("node", "to")
 
