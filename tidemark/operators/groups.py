@@ -206,7 +206,7 @@ def survey(tagged: DataFrame, fields: list[str], measures: dict) -> DataFrame:
     per = long.groupBy("measure", "field", "value").agg(F.max(F.when(F.col("k") == 0, F.col("v"))).alias("now"), F.median(F.when(F.col("k") > 0, F.col("v"))).alias("usual"))
     ratio = F.round(F.when(F.col("usual") != 0, F.col("now") / F.col("usual")), 6)
     per = per.withColumn("ratio", ratio).withColumn("off", F.coalesce((F.col("ratio") >= BAND[0]) | (F.col("ratio") <= BAND[1]), F.lit(False)))
-    far = F.desc(F.round(F.abs(F.log("ratio")), 6))
+    far = F.desc(F.when(F.col("ratio") == 0, F.lit(float("inf"))).otherwise(F.round(F.abs(F.log("ratio")), 6)))  # log(0) is null, and nothing is farther
     return per.where("off").withColumn("place", F.row_number().over(Window.partitionBy("measure").orderBy(far, "field", "value")))
 
 
