@@ -25,16 +25,21 @@ class Runs(StatefulProcessor):
 
     Samples wait until the watermark passes them, so late ones take their place in time, and a time counts once.  A run closes with a sample
     inside the threshold, or by a timer when the watermark is a step past its last sample.
+
+    All of a series' state is one value, read and written once a call, and one timer, for what is due next: calls to the state store go by
+    series and micro-batches, not by samples.
     """
 
+    #: Before the first sample: begin, last, n, worst, seen, and times and values that wait.
+    NEW = (0, 0, 0, 0.0, -(1 << 62), [], [])
+
     def __init__(self, labels: list[str], time: str, value: str, threshold: float, step: int, least: int, above: bool):
         self.labels, self.time, self.value = labels, time, value
         self.threshold, self.step, self.least, self.above = threshold, step * 1_000_000, least, above
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long", "v double")
-        self.run = handle.getValueState("run", "begin long, last long, n long, worst double, seen long")
+        self.state = handle.getValueState("series", "begin long, last long, n long, worst double, seen long, at array<long>, v array<double>")
 
     def _worse(self, a: float, b: float) -> float:
         return max(a, b) if self.above else min(a, b)
@@ -43,12 +48,13 @@ class Runs(StatefulProcessor):
         seconds = (run[1] - run[0]) // 1_000_000 + self.step // 1_000_000
         return [(*key, pd.Timestamp(run[0], unit="us"), pd.Timestamp(run[1], unit="us"), run[2], run[3], seconds)] if run[2] and seconds >= self.least else []
 
-    def _upto(self, key: tuple, mark: int) -> list[tuple]:
-        """Takes the waiting samples up to ``mark`` in order; the runs that they close."""
-        state = self.run.get()
-        run, out = list(state) if state is not None else [0, 0, 0, 0.0, -(1 << 62)], []
-        for at, v in sorted((k[0], x[0]) for k, x in self.waiting.iterator() if k[0] <= mark):
-            self.waiting.removeKey((at,))
+    def _upto(self, key: tuple, mark: int, run: list, waiting: dict[int, float]) -> list[tuple]:
+        """Takes the ``waiting`` samples up to ``mark`` in order, keeps the rest; the runs that they close."""
+        out, rest = [], {}
+        for at, v in sorted(waiting.items()):
+            if at > mark:
+                rest[at] = v
+                continue
             bad = v > self.threshold if self.above else v < self.threshold
             if run[2] and (not bad or at - run[1] > self.step):
                 out += self._told(key, run)
@@ -59,27 +65,33 @@ class Runs(StatefulProcessor):
         if run[2] and mark > run[1] + self.step:
             out += self._told(key, run)
             run[2] = 0
-        self.run.update(tuple(run))
+        self.state.update((*run, list(rest), list(rest.values())))
+        due = [*([next(iter(rest))] if rest else []), *([run[1] + self.step] if run[2] else [])]
+        if due:
+            self.handle.registerTimer(min(due) // 1000 + 1)
         return out
 
+    def _known(self) -> tuple[list, dict[int, float]]:
+        """The open run and the samples that wait."""
+        *run, ats, values = self.state.get() or self.NEW
+        return run, dict(zip(ats, values, strict=True))
+
     def _frames(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         if rows:
             yield pd.DataFrame(rows, columns=[*self.labels, "from_time", "to_time", "n_samples", "worst", "seconds"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         mark = max(timerValues.getCurrentWatermarkInMs(), 0) * 1000
-        seen = (self.run.get() or (0, 0, 0, 0.0, -(1 << 62)))[4]
+        run, waiting = self._known()
         for frame in rows:
             times = frame[self.time].astype("datetime64[us]").astype("int64")
             for at, v in zip(times.tolist(), frame[self.value].tolist(), strict=True):
-                if v == v and at > seen and not self.waiting.containsKey((at,)):
-                    self.waiting.updateValue((at,), (v,))
-                    self.handle.registerTimer(at // 1000 + 1)
-                    self.handle.registerTimer((at + self.step) // 1000 + 1)
-        yield from self._frames(self._upto(key, mark))
+                if v == v and at > run[4]:
+                    waiting.setdefault(at, v)
+        yield from self._frames(self._upto(key, mark, run, waiting))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._frames(self._upto(key, max(timerValues.getCurrentWatermarkInMs(), 0) * 1000))
+        yield from self._frames(self._upto(key, max(timerValues.getCurrentWatermarkInMs(), 0) * 1000, *self._known()))
 
     def close(self) -> None:
         pass
