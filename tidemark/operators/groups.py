@@ -120,12 +120,16 @@ def replaced(now: DataFrame, before: DataFrame, value: str, close: float = 0.25)
     b = before.groupBy(value).agg(F.count("*").alias("n"))
     came = a.join(b.select(value), value, "left_anti").select(F.col(value).alias("new"), F.col("n").alias("n_new"))
     went = b.join(a.select(value), value, "left_anti").select(F.col(value).alias("old"), F.col("n").alias("n_old"))
+    # Counts meet, not values: distinct counts of n rows are fewer than sqrt(2 n), so their pairs are no more than the rows.
     # Counts in logarithmic steps: near counts are in the same or a neighbouring step, so this is an equi-join.
     step = lambda c: F.floor(F.log(F.col(c)) / F.log(F.lit(1 + close))).cast("long")
-    near = came.withColumn("s", F.explode(F.array(*(step("n_new") + i for i in (-2, -1, 0, 1, 2))))).join(went.withColumn("s", step("n_old")), "s")
+    first = went.groupBy("n_old").agg(F.min("old").alias("old"))
+    counts = came.select("n_new").distinct()
+    near = counts.withColumn("s", F.explode(F.array(*(step("n_new") + i for i in (-2, -1, 0, 1, 2))))).join(first.withColumn("s", step("n_old")), "s")
     off = F.abs(F.col("n_new") - F.col("n_old"))
     fit = near.where(off <= close * F.greatest("n_new", "n_old"))
-    return fit.groupBy("new", "n_new").agg(F.min_by("old", F.struct(off, "old")).alias("old"))
+    best = fit.groupBy("n_new").agg(F.min_by("old", F.struct(off, "old")).alias("old"))
+    return came.join(best, "n_new").select("new", "n_new", "old")
 
 
 def filled_windows(tagged: DataFrame, wanted: int) -> DataFrame:
