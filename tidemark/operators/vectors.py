@@ -184,7 +184,8 @@ def search(index: Index, queries: DataFrame, k: int = 10, probes: float = 0.8, r
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = shared.value
         for batch in batches:
-            for c, keys, codes, asked, q in zip(*(batch[x].to_pylist() for x in ("list", "keys", "codes", "asked", "matrix")), strict=True):
+            for at in range(batch.num_rows):
+                c, (keys, codes, asked, q) = batch["list"][at].as_py(), (batch[x][at].as_buffer() for x in ("keys", "codes", "asked", "matrix"))
                 keys, asked = np.frombuffer(keys, "<i8"), np.frombuffer(asked, "<i8")
                 codes = np.frombuffer(codes, np.uint8).reshape(len(keys), -1).astype(np.int64) + np.arange(len(book.words)) * 256
                 q = np.frombuffer(q).reshape(len(asked), -1)
