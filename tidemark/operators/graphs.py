@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.scratch import kept
@@ -123,6 +123,9 @@ def _spread(colours: DataFrame, edges: DataFrame, most_rounds: int) -> DataFrame
 
 # Communities
 
+#: Levels of gain a degree, each 1.4 times the next, and slices of a level.
+LEVELS, SLICES = 64, 64
+
 
 def modularity(edges: DataFrame, labels: DataFrame) -> float:
     """Newman's modularity of ``labels`` (node, community) over undirected weighted ``edges`` (a, b, w)."""
@@ -145,21 +148,37 @@ def _gains(links: DataFrame, nodes: DataFrame, labels: DataFrame, m2: float) ->
     return moves.select("node", "own", F.col("c").alias("to"), "deg", (F.col("w") - F.col("tot") * F.col("deg") / m2 - F.col("stay")).alias("gain")).where("gain > 1e-9")
 
 
-def _chosen(moves: DataFrame, turn: int, m2: float) -> DataFrame:
-    """(node, to): moves that together raise modularity by no less than the largest gain among them.
+def _best(moves: DataFrame, turn: int) -> DataFrame:
+    """(node, own, deg, to, gain, slice): each node's best move that is open in this turn, stored.
 
-    In a turn a community either gives or takes nodes, by a hash, and in the next one the other way round.  Each node has its best move.  Two nodes that leave one community or
-    enter one cost deg * deg / m2 at most beside their own gains; so a move goes through if its gain is more than that for
-    all candidates of both its communities, or if it is the best of either.
+    In a turn a community either gives or takes nodes, by a hash, and in the next one the other way round.  Moves have an order: most gain a degree
+    first, by LEVELS, and in a level by a hash, by SLICES.
     """
     takes = lambda c: F.pmod(F.xxhash64(F.lit(turn // 2), c) + turn, F.lit(2)) == 1
     open_ = moves.where(takes(F.col("to")) & ~takes(F.col("own")))
-    rank = lambda other: F.struct(-F.col("gain"), F.col(other))
-    best = kept(open_.groupBy("node", "own", "deg").agg(F.min_by(F.struct("to", "gain"), rank("to")).alias("x")).select("node", "own", "deg", "x.to", "x.gain"))
-    of = lambda c: best.groupBy(c).agg(F.sum("deg").alias(f"all_{c}"), F.min_by("node", rank("node")).alias(f"first_{c}"))
-    both = best.join(of("to"), "to").join(of("own"), "own")
-    crowd = F.col("all_to") + F.col("all_own") - 2 * F.col("deg")
-    return both.where((F.col("gain") > F.col("deg") * crowd / m2) | ((F.col("node") == F.col("first_to")) & (F.col("node") == F.col("first_own")))).select("node", "to")
+    best = open_.groupBy("node", "own", "deg").agg(F.min_by(F.struct("to", "gain"), F.struct(-F.col("gain"), F.col("to"))).alias("x"))
+    level = F.least(F.greatest(F.floor(-2 * F.log2(F.col("x.gain") / F.col("deg"))), F.lit(0)), F.lit(LEVELS - 1))
+    slice_ = level * SLICES + F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(SLICES))
+    return kept(best.select("node", "own", "deg", "x.to", "x.gain", slice_.cast("int").alias("slice")))
+
+
+def _chosen(best: DataFrame, m2: float) -> DataFrame:
+    """(node, to): the moves of :func:`_best` that raise modularity one after the other when they are made in their order.
+
+    A node that leaves or enters a community costs a later one deg * deg / m2 at most of its gain; so a move goes through if its gain is more than
+    that for all candidates of both its communities in earlier slices and in its own.  The first of a slice of both its communities has none of its
+    own slice before it, so the very first move goes.  What is summed up in order is a row a community and slice, however many nodes it has.
+    """
+
+    def of(c: str) -> DataFrame:
+        per = best.groupBy(c, "slice").agg(F.sum("deg").alias(f"with_{c}"), F.min_by("node", F.struct(-F.col("gain"), F.col("node"))).alias(f"first_{c}"))
+        before = Window.partitionBy(c).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        return per.withColumn(f"before_{c}", F.coalesce(F.sum(f"with_{c}").over(before), F.lit(0)))
+
+    both = best.join(of("to"), ["to", "slice"]).join(of("own"), ["own", "slice"])
+    first = (F.col("node") == F.col("first_to")) & (F.col("node") == F.col("first_own"))
+    beside = F.when(first, F.lit(0)).otherwise(F.col("with_to") + F.col("with_own") - 2 * F.col("deg"))
+    return both.where(F.col("gain") > F.col("deg") * (F.col("before_to") + F.col("before_own") + beside) / m2).select("node", "to")
 
 
 def louvain(edges: DataFrame, most_rounds: int = 1000, on_round=None) -> DataFrame:
@@ -180,11 +199,14 @@ def louvain(edges: DataFrame, most_rounds: int = 1000, on_round=None) -> DataFra
         links = kept(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
         labels, moved = nodes.select("node", F.col("node").alias("community")), False
         for _ in range(most_rounds):
-            moves = kept(_gains(links, nodes, labels, m2))
-            if moves.isEmpty():
-                break
+            moves = _gains(links, nodes, labels, m2)
             turn += 1
-            chosen = _chosen(moves, turn, m2)
+            best = _best(moves, turn)
+            if best.isEmpty():
+                if moves.isEmpty():
+                    break
+                continue
+            chosen = _chosen(best, m2)
             labels = kept(labels.join(chosen, "node", "left").select("node", F.coalesce("to", "community").alias("community")))
             moved = True
             if on_round:
