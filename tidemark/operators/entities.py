@@ -16,6 +16,8 @@ TYPO_LETTERS = 7
 STRENGTH = {"strong": 1, "noenv": 2, "typo": 3}
 #: Names in a tile of a block.
 TILE = 1000
+#: Times that hooks are followed in a round of components.
+JUMPS = 3
 
 
 def name_keys(c: Column) -> Column:
@@ -78,24 +80,48 @@ def verdict_of(x: Column, y: Column) -> Column:
 def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component) of undirected ``edges`` (a, b): the smallest node reachable.
 
-    Minimum labels spread along the edges and jump to the label of their label; each round is a table in the
-    shared folder.  Labels that have not settled after ``most_rounds`` are an error.
+    Each round hooks every node to its smallest neighbour, if that is smaller, follows hooks JUMPS times and draws the edges between where they
+    lead; edges inside one place are gone, so rounds get smaller.  No hook leads to a larger node, so the smallest of a component
+    stays and names it.  Each round is a table in the shared folder.  Edges left after ``most_rounds`` are an error.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    ends = edges.where("a is not null and b is not null").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    first = live = stored(ends)
+    live = live.where("lo != hi")
+    hooks: list[DataFrame] = []
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        low = labels.join(near, "a").select("a", F.least("label", "near").alias("label"))
-        jump = low.select(F.col("a").alias("label"), F.col("label").alias("further"))
-        following = low.join(jump, "label", "left").select("a", F.least("label", F.coalesce("further", "label")).alias("label"), F.col("a").alias("was")).drop("was")
-        following = stored(following)
-        moved = following.join(labels.withColumnRenamed("label", "old"), "a").where("label != old").limit(1).count()
-        labels = following
-        if not moved:
+        hook = stored(live.groupBy("hi").agg(F.min("lo").alias("to")))
+        if hook.isEmpty():
             break
+        for _ in range(JUMPS):
+            on = hook.select(F.col("hi").alias("to"), F.col("to").alias("on"))
+            hook = stored(hook.join(on, "to", "left").select("hi", F.coalesce("on", "to").alias("to")))
+        hooks.append(hook)
+        led = live.join(hook, "hi").select("lo", F.col("to").alias("b")).join(hook.toDF("lo", "on"), "lo", "left").select(F.coalesce("on", "lo").alias("a"), "b")
+        live = stored(led.where("a != b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")))
     else:
         raise RuntimeError("components did not settle")
-    return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
+    smallest = first.select(F.col("lo").alias("node")).distinct()
+    if not hooks:
+        return smallest.withColumn("component", F.col("node"))
+    found = hooks[-1]
+    for hook in reversed(hooks[:-1]):
+        later = found.join(hook, "hi", "left_anti")  # hooked in a later round only
+        found = stored(hook.join(found.toDF("to", "on"), "to", "left").select("hi", F.coalesce("on", "to").alias("to")).unionByName(later))
+    found = found.toDF("node", "component")
+    alone = smallest.join(found, "node", "left_anti").withColumn("component", F.col("node"))
+    return stored(found.unionByName(alone))
+
+
+def connected_sides(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components of ``edges`` (a, b) whose a's are never b's: (a, component) and (b, component), each named by its smallest b.
+
+    The b's of an a are joined to the smallest of them, so the a's leave the graph before it is walked.
+    """
+    edges = edges.where("a is not null and b is not null")
+    least = stored(edges.groupBy("a").agg(F.min("b").alias("b")))
+    drawn = edges.join(least.toDF("a", "least"), "a").select(F.col("least").alias("a"), "b")
+    of_b = connected(drawn).toDF("b", "component")
+    return least.join(of_b, "b").select("a", "component"), of_b
 
 
 def paths(edges: DataFrame, src, dst, depth: int) -> DataFrame:
@@ -137,6 +163,27 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels.select(F.col("a").alias("node"), "label")
 
 
+def communities_of_sides(edges: DataFrame, rounds: int, name_a, name_b) -> tuple[DataFrame, DataFrame]:
+    """:func:`communities` of ``edges`` (a, b, w) whose a's are never b's: (a, label, of) and (b, label, of), ``of`` telling whose key a label is.
+
+    A round gives the labels of one side to the other, so all labels of a side are keys of one side: keys alone are shuffled, and ``name_a`` and
+    ``name_b`` write a key as the name that decides between equals.  Edges are sent to the node that reads them once, for both sums.
+    """
+    edges = stored(edges.select("a", "b", "w"))
+    names = {"a": name_a, "b": name_b}
+
+    def heard(to: str, of: str, labels: DataFrame | None, kind: str) -> DataFrame:
+        told = edges.select(to, F.col(of).alias("label"), "w") if labels is None else edges.join(labels, of).select(to, "label", "w")
+        around = told.repartition(to).groupBy(to, "label").agg(F.sum("w").alias("w"))
+        return stored(around.groupBy(to).agg(F.min_by("label", F.struct(-F.col("w"), names[kind](F.col("label")))).alias("label")))
+
+    of_a, of_b, kind_a, kind_b = None, None, "a", "b"
+    for _ in range(rounds):
+        of_a, of_b = heard("a", "b", of_b, kind_b), heard("b", "a", of_a, kind_a)
+        kind_a, kind_b = kind_b, kind_a
+    return of_a.withColumn("of", F.lit(kind_a)), of_b.withColumn("of", F.lit(kind_b))
+
+
 def span_calls(spans: DataFrame, time: str | None = None, within: int = 3600) -> DataFrame:
     """(caller, callee, calls, mean_duration) from spans (trace_id, span_id, parent_id, service, duration); calls inside a service do not count.
 
