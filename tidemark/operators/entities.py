@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import fold
-from tidemark.operators.graphs import groups_apart, reach
+from tidemark.operators.graphs import groups_apart, reach, strong_components  # noqa: F401  strong components are called by this name too
 from tidemark.operators.scratch import kept as stored
 
 #: Words of a name that tell an environment or a version.
