@@ -24,6 +24,8 @@ from tidemark.operators.series import first_of_each
 FIT, MOST_LISTS = 20_000, 4096
 #: Bytes of a code, vectors of a block, queries of a block.
 CODE, BLOCK, ASKED = 16, 4096, 256
+#: Vectors that meet a block of queries at once at most, and chunks of a smaller index.
+CHUNK, SPREAD = 32_768, 24
 ROUNDS, SEED = 12, 5
 
 
@@ -69,10 +71,9 @@ class Book:
         rest = (x - self.centroids[own]).reshape(len(x), len(self.words), -1)
         return own, np.stack([_nearest(rest[:, j], w)[0].astype(np.uint8) for j, w in enumerate(self.words)], 1)
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """(queries, CODE * 256): what each word of each sub-space adds to the inner product with a query."""
-        parts = self.padded(q).reshape(len(q), len(self.words), -1)
-        return np.einsum("qjw,jkw->qjk", parts, self.words).reshape(len(q), -1)
+    def read(self, own: int, codes: np.ndarray) -> np.ndarray:
+        """The vectors of one list as their codes have them; their inner products with a query are its estimates."""
+        return self.centroids[own] + self.words[np.arange(len(self.words)), codes].reshape(len(codes), -1)
 
 
 def train(unit: np.ndarray, lists: int) -> Book:
@@ -163,43 +164,63 @@ def search(index: Index, queries: DataFrame, k: int = 10, probes: float = 0.8, r
         return queries.sparkSession.createDataFrame([], empty)
     shared, first = queries.sparkSession.sparkContext.broadcast(index.book), recheck * k
     lists = max(1, int(np.ceil(probes * len(index.book.centroids))))
+    chunk = int(min(CHUNK, max(BLOCK, index.rows / SPREAD)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(list, asked, matrix): for each list the queries that probe it, ASKED at a time."""
+        """(asked, matrix, probed): ASKED queries at a time, and a bit for each list that each of them probes."""
         book = shared.value
         for batch in batches:
-            for s in range(0, batch.num_rows, 4 * ASKED):
-                part = batch.slice(s, 4 * ASKED)
-                at, x = _units(part["q"], book.dim)
-                if not len(at):
-                    continue
-                ids = part["query_id"].to_numpy()[at].astype("<i8")
-                near = np.argsort(-(2 * (book.padded(x) @ book.centroids.T) - (book.centroids**2).sum(1)), axis=1, kind="stable")[:, :lists]
-                for c in np.unique(near).tolist():
-                    who = np.flatnonzero((near == c).any(1))
-                    for t in range(0, len(who), ASKED):
-                        w = who[t : t + ASKED]
-                        yield pa.record_batch([pa.array([c], pa.int32()), pa.array([ids[w].tobytes()]), pa.array([x[w].tobytes()])], ["list", "asked", "matrix"])
+            at, x = _units(batch["q"], book.dim)
+            ids = batch["query_id"].to_numpy()[at].astype("<i8")
+            for s in range(0, len(at), ASKED):
+                q = x[s : s + ASKED]
+                near = np.argsort(-(2 * (book.padded(q) @ book.centroids.T) - (book.centroids**2).sum(1)), axis=1, kind="stable")[:, :lists]
+                probed = np.zeros((len(q), len(book.centroids)), bool)
+                np.put_along_axis(probed, near, True, 1)
+                yield pa.record_batch([pa.array([x.tobytes()]) for x in (ids[s : s + ASKED], q, np.packbits(probed, axis=1))], ["asked", "matrix", "probed"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(lists, keys, codes): blocks one behind the other, about ``chunk`` vectors at a time, each vector with its list."""
+        held: list[tuple[np.ndarray, bytes, bytes]] = []
+
+        def whole() -> pa.RecordBatch:
+            cols = [np.concatenate([own for own, _, _ in held]).tobytes(), b"".join(k for _, k, _ in held), b"".join(c for _, _, c in held)]
+            held.clear()
+            return pa.record_batch([pa.array([c]) for c in cols], ["lists", "keys", "codes"])
+
+        for batch in batches:
+            for c, keys, codes in zip(*(batch[x] for x in ("list", "keys", "codes")), strict=True):
+                keys = keys.as_py()
+                held.append((np.full(len(keys) // 8, c.as_py(), "<i4"), keys, codes.as_py()))
+                if sum(len(own) for own, _, _ in held) >= chunk:
+                    yield whole()
+        if held:
+            yield whole()
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = shared.value
         for batch in batches:
             for at in range(batch.num_rows):
-                c, (keys, codes, asked, q) = batch["list"][at].as_py(), (batch[x][at].as_buffer() for x in ("keys", "codes", "asked", "matrix"))
-                keys, asked = np.frombuffer(keys, "<i8"), np.frombuffer(asked, "<i8")
-                codes = np.frombuffer(codes, np.uint8).reshape(len(keys), -1).astype(np.int64) + np.arange(len(book.words)) * 256
-                q = np.frombuffer(q).reshape(len(asked), -1)
-                tables, base = book.tables(q), book.padded(q) @ book.centroids[c]
-                for i, own in enumerate(asked.tolist()):
-                    score = base[i] + tables[i][codes].sum(1)
-                    score[keys == own] = -np.inf
-                    best = np.argpartition(-score, first)[:first] if len(score) > first else np.arange(len(score))
-                    best = best[np.isfinite(score[best])]
-                    yield pa.record_batch([pa.array([own] * len(best), pa.int64()), pa.array(keys[best]), pa.array(score[best])], ["query_id", "key", "estimate"])
+                owns, keys, codes, asked, q, probed = (batch[x][at].as_buffer() for x in ("lists", "keys", "codes", "asked", "matrix", "probed"))
+                owns, keys, asked = np.frombuffer(owns, "<i4"), np.frombuffer(keys, "<i8"), np.frombuffer(asked, "<i8")
+                codes, q = np.frombuffer(codes, np.uint8).reshape(len(keys), -1), book.padded(np.frombuffer(q).reshape(len(asked), -1))
+                probed = np.unpackbits(np.frombuffer(probed, np.uint8).reshape(len(asked), -1), axis=1, count=len(book.centroids)).astype(bool)
+                score = np.full((len(asked), len(keys)), -np.inf)
+                for s, e in zip(starts := [0, *(np.flatnonzero(np.diff(owns)) + 1).tolist()], [*starts[1:], len(owns)], strict=True):
+                    who = np.flatnonzero(probed[:, owns[s]])
+                    if len(who):
+                        score[who, s:e] = q[who] @ book.read(owns[s], codes[s:e]).T
+                score[asked[:, None] == keys[None, :]] = -np.inf
+                for own, row in zip(asked.tolist(), score, strict=True):
+                    best = np.argpartition(-row, first)[:first] if len(row) > first else np.arange(len(row))
+                    best = best[np.isfinite(row[best])]
+                    yield pa.record_batch([pa.array([own] * len(best), pa.int64()), pa.array(keys[best]), pa.array(row[best])], ["query_id", "key", "estimate"])
 
     asked = kept(queries.select(F.col("query_id").cast("long"), F.col("q").cast("array<double>").alias("q")))
-    probed = kept(asked.mapInArrow(ask, "list int, asked binary, matrix binary"))
-    hits = index.blocks.join(probed, "list").mapInArrow(estimate, "query_id long, key long, estimate double")
+    probed = kept(asked.mapInArrow(ask, "asked binary, matrix binary, probed binary"))
+    # Every chunk of the index meets every block of queries once, and only the best of a query leave a meeting; chunks are dealt to tasks.
+    chunks = index.blocks.mapInArrow(gather, "lists binary, keys binary, codes binary").repartition(max(1, -(-index.rows // chunk)))
+    hits = kept(chunks).crossJoin(probed).mapInArrow(estimate, "query_id long, key long, estimate double")
     near = kept(first_of_each(hits, ["query_id"], [F.desc("estimate"), F.asc("key")], first).select("query_id", "key"))
     exact = index.vectors.join(near, "key").join(asked, "query_id").select("query_id", "key", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score"))
     return first_of_each(exact, ["query_id"], [F.desc("score"), F.asc("key")], k)
