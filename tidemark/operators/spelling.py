@@ -99,6 +99,11 @@ def shortened(c: Column, letters: int) -> Column:
     return forms
 
 
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` spread over all tasks: a few bytes of words are much work, and Spark would give them to one task by their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def near_words(asked: DataFrame, vocab: DataFrame) -> DataFrame:
     """(word, term, n_docs, slips, typing) of each of ``asked`` (word) and the words of ``vocab`` (term, n_docs) at most two slips away, with its first letter.
 
@@ -106,9 +111,16 @@ def near_words(asked: DataFrame, vocab: DataFrame) -> DataFrame:
     """
     forms = F.when(F.length("word") >= TWO_SLIPS, shortened(F.col("word"), 2)).otherwise(shortened(F.col("word"), 1))
     left = asked.select("word", F.explode(forms).alias("form"))
-    right = vocab.where(F.length("term") > 1).select("term", "n_docs", F.explode(shortened(F.col("term"), 2)).alias("form"))
+    # Only words that begin as an asked one does and are at most two letters longer or shorter are cut: a long run of letters has forms by the square.
+    beside = F.explode(F.sequence(F.length("word") - 2, F.length("word") + 2)).alias("letters")
+    spans = kept(asked.select(F.left("word", F.lit(1)).alias("first"), beside).distinct())
+    some = vocab.where(F.length("term") > 1).withColumns({"first": F.left("term", F.lit(1)), "letters": F.length("term")}).join(spans, ["first", "letters"], "left_semi")
+    right = _dealt(some, "term").select("term", "n_docs", F.explode(shortened(F.col("term"), 2)).alias("form"))
     met = left.join(right, "form").where("word != term and left(word, 1) = left(term, 1)").select("word", "term", "n_docs").distinct()
-    found = met.withColumn("slips", slips(F.col("word"), F.col("term")))
+    # Two slips are four edits at most, and four only as two swaps, which leave the letters as they are: told before the table of a pair is filled.
+    edits, letters = F.levenshtein(F.col("word"), F.col("term")), lambda c: F.array_sort(_letters(F.col(c)))
+    met = met.where((edits <= 3) | ((edits == 4) & (letters("word") == letters("term"))))
+    found = kept(_dealt(met, "word", "term").withColumn("slips", slips(F.col("word"), F.col("term"))))  # stored: a filter would work it out again
     found = found.where((F.col("slips") == 1) | ((F.col("slips") == 2) & (F.length("word") >= TWO_SLIPS)))
     return found.withColumn("typing", typing_slip(F.col("word"), F.col("term")))
 
@@ -126,7 +138,11 @@ def _two_typed(pairs: DataFrame) -> DataFrame:
     left = F.transform(spots, lambda i: F.concat(F.substring(a, F.lit(1), i), F.substring(a, i + 2, F.length(a))))
     swap = F.transform(spots, lambda i: F.concat(F.substring(a, F.lit(1), i), F.substring(a, i + 2, F.lit(1)), F.substring(a, i + 1, F.lit(1)), F.substring(a, i + 3, F.length(a))))
     between = F.array_distinct(F.concat(put, changed, left, swap))
-    each = pairs.select("word", "term", F.explode(between).alias("mid")).where("length(mid) > 0 and mid != word and mid != term")
+    each = _dealt(pairs, "word", "term").select("word", "term", F.explode(between).alias("mid")).where("length(mid) > 0 and mid != word and mid != term")
+    # One slip from the term is one letter missing, too many or another, or the same letters in another order: told before keys are looked at.
+    mid = F.col("mid")
+    same = (F.length(mid) == F.length(b)) & (F.array_sort(_letters(mid)) == F.array_sort(_letters(b)))
+    each = each.where((F.levenshtein(mid, b) == 1) | same)
     good = each.where(typing_slip(F.col("word"), F.col("mid")) & typing_slip(F.col("mid"), F.col("term")))
     return good.select("word", "term").distinct()
 
@@ -145,6 +161,17 @@ def readings(asked: DataFrame, vocab: DataFrame, pairs: DataFrame, stop: tuple[s
     words = kept(words.select("query_id", "place", "word", "known", "functional"))
     wrong = kept(words.where(~F.col("known") & (F.length("word") >= LEAST_LETTERS)).select("word").distinct())
 
+    near = kept(near_words(wrong, vocab))
+    slip = first_of_each(near.where("typing"), ["word"], [F.desc("n_docs"), F.asc("term")], 1).select("word", F.col("term").alias("read"), F.lit("slip").alias("how"))
+    left = wrong.join(slip, "word", "left_anti")
+
+    halves = left.select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("at"))
+    halves = halves.select("word", F.expr("left(word, at)").alias("a"), F.expr("substring(word, at + 1)").alias("b"))
+    of = lambda side: vocab.select(F.col("term").alias(side), F.col("n_docs").alias(f"n_{side}"))
+    is_stop = lambda c: F.col(c).isin(*stop) if stop else F.lit(False)
+    plain = halves.where((F.length("a") >= HALF) & (F.length("b") >= HALF) & ~is_stop("a") & ~is_stop("b"))
+    plain = kept(plain.join(of("a"), "a").join(of("b"), "b"))
+
     # Two neighbours that make one known word: one of them unknown or a fragment; two known ones only if no piece has them side by side.
     w = Window.partitionBy("query_id").orderBy("place")
     follow = lambda c: F.lead(c).over(w)
@@ -152,8 +179,13 @@ def readings(asked: DataFrame, vocab: DataFrame, pairs: DataFrame, stop: tuple[s
     odd = lambda s="": ~F.col(f"known{s}") | ((F.length(f"word{s}") <= FRAGMENT) & ~F.col(f"functional{s}"))
     both = both.withColumn("read", F.concat("word", "word_b")).where((odd() | odd("_b")) & (F.length("read") >= LEAST_LETTERS))
     both = both.join(vocab.select(F.col("term").alias("read")), "read", "left_semi")
-    apart = both.where("known and known_b")
-    apart = apart.where("not functional and not functional_b").join(pairs.select(F.col("a").alias("word"), F.col("b").alias("word_b")).distinct(), ["word", "word_b"], "left_anti")
+    both = kept(both)
+    apart = both.where("known and known_b and not functional and not functional_b")
+    # Of the pairs side by side only those asked for are kept, so the pairs of all texts are not shuffled.
+    wanted = kept(apart.select(F.col("word").alias("a"), F.col("word_b").alias("b")).unionByName(plain.select("a", "b")).distinct())
+    seen = kept(pairs.select("a", "b").join(wanted, ["a", "b"], "left_semi").distinct())
+    apart = apart.join(seen.toDF("word", "word_b"), ["word", "word_b"], "left_anti")
+    plain = plain.join(seen, ["a", "b"], "left_semi").withColumn("n", F.least("n_a", "n_b"))
     joins = both.where("not (known and known_b)").unionByName(apart)
     joins = joins.select("query_id", "place", "read", F.concat_ws(" ", "word", "word_b").alias("typed"))
     # Of joins that overlap, the first of a run goes, and every other one after it.
@@ -162,16 +194,6 @@ def readings(asked: DataFrame, vocab: DataFrame, pairs: DataFrame, stop: tuple[s
     nth = F.row_number().over(Window.partitionBy("query_id", "run").orderBy("place"))
     joins = kept(joins.withColumn("nth", nth).where("nth % 2 = 1").select("query_id", "place", "typed", "read"))
 
-    near = kept(near_words(wrong, vocab))
-    slip = first_of_each(near.where("typing"), ["word"], [F.desc("n_docs"), F.asc("term")], 1).select("word", F.col("term").alias("read"), F.lit("slip").alias("how"))
-    left = wrong.join(slip, "word", "left_anti")
-
-    halves = left.select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("at"))
-    halves = halves.select("word", F.expr("left(word, at)").alias("a"), F.expr("substring(word, at + 1)").alias("b"))
-    of = lambda side: vocab.select(F.col("term").alias(side), F.col("n_docs").alias(f"n_{side}"))
-    is_stop = lambda c: F.col(c).isin(*stop) if stop else F.lit(False)
-    plain = halves.where((F.length("a") >= HALF) & (F.length("b") >= HALF) & ~is_stop("a") & ~is_stop("b"))
-    plain = plain.join(of("a"), "a").join(of("b"), "b").join(pairs.select("a", "b").distinct(), ["a", "b"], "left_semi").withColumn("n", F.least("n_a", "n_b"))
     cuts = [plain.select("word", "a", "b", "n")]
     for func, other in (("a", "b"), ("b", "a")):
         some = halves.where(is_stop(func) & ~is_stop(other) & (F.length(func) >= HALF) & (F.length(other) > HALF)).join(of(other), other)
