@@ -142,9 +142,16 @@ def common_reach(reached: DataFrame, n: int) -> DataFrame:
 
 
 def mutual(edges: DataFrame) -> DataFrame:
-    """Pairs that point at each other."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return edges.join(back, ["src", "dst"], "left_semi").where("src < dst").select("src", "dst").distinct()
+    """Pairs (src < dst) of ``edges`` (src, dst) that point at each other.
+
+    Only nodes that are a src and a dst can be in one, so other edges leave first; the rest is one aggregation that sees each pair from both sides.
+    """
+    edges = edges.where("src is not null and dst is not null and src != dst")
+    nodes = stored(edges.select(F.col("src").alias("node")).distinct())
+    inner = edges.join(nodes.toDF("dst"), "dst", "left_semi")
+    pairs = inner.groupBy(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"))
+    seen = pairs.agg(F.max(F.when(F.col("src") < F.col("dst"), 1).otherwise(0)).alias("up"), F.max(F.when(F.col("src") > F.col("dst"), 1).otherwise(0)).alias("down"))
+    return seen.where("up = 1 and down = 1").select(F.col("lo").alias("src"), F.col("hi").alias("dst"))
 
 
 def majority_parent(votes: DataFrame, child: str, parent: str) -> DataFrame:
